@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding
+from . import decontaminate, mixing, sharding, warc
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_sharding": sharding.op8_sharding,
+    "op10_warc": warc.op10_warc,
 }
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.OP3_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
