@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, warc
+from . import decontaminate, langid, mixing, sharding, warc
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op6_langid": langid.op6_langid,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_sharding": sharding.op8_sharding,
     "op10_warc": warc.op10_warc,
