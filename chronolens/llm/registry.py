@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, sharding, warc
+from . import decontaminate, fingerprint, langid, mixing, sharding, warc
 
 QUERIES = {
+    "op1_fingerprints": fingerprint.op1_fingerprints,
     "op3_mixing": mixing.op3_mixing,
     "op6_langid": langid.op6_langid,
     "op7_decontaminate": decontaminate.op7_decontaminate,
