@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, mixing, sharding, warc
+from . import decontaminate, fingerprint, jaccard, langid, mixing, sharding, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op3_mixing": mixing.op3_mixing,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op6_langid": langid.op6_langid,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_sharding": sharding.op8_sharding,
