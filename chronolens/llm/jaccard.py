@@ -4,18 +4,19 @@ A document's set holds its distinct shingles of `k` words (a shorter document's
 words, nothing). Two documents link when den * intersection >= num * union.
 
 1. Documents with equal sets collapse into a node, by a 128-bit digest of the set.
-2. Shingles are ordered by a hash, but very frequent ones come last; the order only steers cost. A set's prefix
-   is its first n - ceil(n * num / den) + 1 shingles; linked sets share a shingle of their prefixes.
-3. Nodes with identical prefix and size collapse into a group. Groups meet in postings of prefix shingles that
-   at least two groups have. Group pairs pass a test of size and of the places of the shared shingle.
-4. Links are sought where they can still join classes. First every group is compared with one representative
-   of its posting and size band, and every member with its group's first node; the links found make classes.
-   Then all group pairs left whose members are of different classes expand to members, and each pair is
-   verified on the whole texts. What is never compared is already in one class, so no class is missed, and a
-   group of thousands of near copies costs as many comparisons as it has members, not their square.
-
-The list of frequent shingles is from counts over the first parts of all sets. It goes to the tasks as at most
-`MAX_HOT` numbers (1.6 MB); whether a shingle is in it changes no result.
+2. Shingles are ordered by a hash. A set's prefix is its first n - ceil(n * num / den) + 1 shingles; linked sets
+   share a shingle of their prefixes. Nodes with identical prefix and size collapse into a group, and groups meet
+   in postings of prefix shingles.
+3. A posting of more than `CROWD` nodes is set aside: its shingle is too frequent to tell texts apart. The nodes
+   of such postings are ordered anew among themselves, by how many of them have a shingle, rare ones first, and
+   meet in the postings of their new prefixes. Two linked nodes share a posting that was kept, or are both in
+   postings set aside and then share one of the new ones, so no link is missed.
+4. Group pairs of a posting pass a test of size and of the places of the shared shingle. Links are sought where
+   they can still join classes. First each group is compared with the heaviest group of its posting and size
+   band, and each member with its group's first node; the links found make classes. Then all pairs left whose
+   members are of different classes expand to members and are verified on the whole texts. What is never
+   compared is already in one class; a group of thousands of near copies costs about as many comparisons as it
+   has members, not their square.
 
 Edge cases: null or empty text, or text of white space, has 0 shingles and is a class of its own. Repeated rows
 are in one class. A null id never names a class while the class has another id. Ties of ids are equal ids. An
@@ -25,7 +26,6 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +36,13 @@ from pyspark.sql.window import Window
 
 from .common import materialize, table
 
-HOT = 24
-MAX_HOT = 200_000
-STARS = 2
+CROWD = 32
 _CHUNK = 1 << 21
 _U = np.uint64
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _POWERS: list[np.ndarray] = []
-_HOTS: dict = {}
 
 
 def _powers(n: int) -> list[np.ndarray]:
@@ -107,58 +104,53 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
-def frequent(docs: DataFrame, text_col: str, k: int, num: int, den: int, hot: int = HOT, max_hot: int = MAX_HOT) -> np.ndarray:
-    """Shingles that come up often among the first parts (two prefixes long) of all sets."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            firsts = [s[: 2 * prefix_length(len(s), num, den)] for s in sets_of(b["t"].tolist(), k) if len(s)]
-            if firsts:
-                token, c = np.unique(np.concatenate(firsts), return_counts=True)
-                yield pd.DataFrame({"token": token, "c": c})
-
-    counts = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= hot)
-    top = counts.orderBy(F.desc("c"), "token").limit(max_hot).select("token").toPandas()
-    return np.sort(top["token"].to_numpy(dtype=np.int64))
-
-
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """For each document: id, tk (md5 of the text), n, digest of the set, and its prefix."""
-    name, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(hot)
+def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """For each document: id, tk (md5 of the text), n, digest of the set, and its prefix in order of the hash."""
 
     @F.pandas_udf("n int, digest binary, prefix array<long>")
     def sign(text: pd.Series) -> pd.DataFrame:
-        if name not in _HOTS:
-            _HOTS.clear()
-            _HOTS[name] = sent.value
-        often, rows = _HOTS[name], []
-        for s in sets_of(text.tolist(), k):
-            p = prefix_length(len(s), num, den) if len(s) else 0
-            if p and len(often):
-                at = np.searchsorted(often, s)
-                at[at == len(often)] = 0
-                is_hot = often[at] == s
-                order = np.concatenate([s[~is_hot], s[is_hot]]) if is_hot.any() else s
-            else:
-                order = s
-            rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, order[:p]))
+        rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[: prefix_length(len(s), num, den)]) if len(s) else (0, None, s) for s in sets_of(text.tolist(), k)]
         return pd.DataFrame(rows, columns=["n", "digest", "prefix"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("tk"), sign(text).alias("s")).select("id", "tk", "s.n", "s.digest", "s.prefix")
 
 
+def rare_first(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Prefix postings (token, gid, node, n, pos) of nodes (node, text), ordered by how many of these nodes have a shingle."""
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                sets = sets_of(b["text"].iloc[at : at + 500].tolist(), k)
+                n = np.array([len(s) for s in sets], dtype=np.int32)
+                yield pd.DataFrame({"node": np.repeat(b["node"].iloc[at : at + 500].to_numpy(), n), "n": np.repeat(n, n), "token": np.concatenate(sets)})
+
+    rows = texts.select("node", "text").mapInPandas(shingles, "node long, n int, token long")
+    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("token")))
+    placed = counted.withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("df", "token")) - 1)
+    length = F.col("n") - F.expr(f"(n * {num} + {den} - 1) DIV {den}") + 1
+    return placed.where((F.col("pos") < length) & (F.col("df") > 1)).select("token", F.col("node").alias("gid"), "n", "pos")
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """Postings with weight (how many nodes its shingles bring a group together with) and before (its shared shingles before this one)."""
+    of_group = Window.partitionBy("gid")
+    return rows.withColumn("weight", F.sum("of").over(of_group)).withColumn("before", F.row_number().over(of_group.orderBy("pos")) - 1)
+
+
 def near_size(a, b, num: int, den: int):
     return (a * den >= b * num) & (b * den >= a * num)
 
 
-def star_pairs(postings: DataFrame, num: int, den: int, salt: int) -> DataFrame:
+def star_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
     """In each posting and size band: one representative with one group of each other class.
 
-    postings: token, gid, node (a member of the group), comp (its class), n."""
+    postings: token, gid, node (a member of the group), comp (its class), n, weight. The heaviest represents the
+    posting: of a text and its edited copies, that is the text."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).alias("band")
-    one = postings.groupBy("token", band, "comp").agg(F.min(F.struct("node", "n")).alias("m"))
-    rep = F.min(F.struct(F.xxhash64(F.lit(salt), "comp").alias("o") if salt else F.col("m.node").alias("o"), F.col("m"), F.col("comp"))).over(Window.partitionBy("token", "band"))
+    one = postings.groupBy("token", band, "comp").agg(F.min(F.struct((-F.col("weight")).alias("o"), F.col("node"), F.col("n"))).alias("m"))
+    rep = F.min(F.struct("m", "comp")).over(Window.partitionBy("token", "band"))
     pairs = one.withColumn("r", rep).where(F.col("r.comp") != F.col("comp"))
     return pairs.where(near_size(F.col("m.n"), F.col("r.m.n"), num, den)).select(F.least("m.node", "r.m.node").alias("a"), F.greatest("m.node", "r.m.node").alias("b")).distinct()
 
@@ -167,9 +159,10 @@ def cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of (group, class) of different classes that share a posting and pass the tests of size and place."""
     w = Window.partitionBy("token")
     mixed = postings.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").drop("lo", "hi")
-    x, y = (mixed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("gid", "comp", "n", "pos")]) for s in "xy")
+    x, y = (mixed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("gid", "comp", "n", "pos", "before")]) for s in "xy")
+    # Of the shingles before a shared one, only those in postings can be shared too; after it, as many as the smaller rest.
     need = F.ceil((F.col("x_n") + F.col("y_n")) * F.lit(num) / F.lit(num + den) - 1e-9)
-    can = 1 + F.least(F.col("x_pos"), F.col("y_pos")) + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
+    can = F.least("x_before", "y_before") + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
     pairs = x.join(y, "token").where((F.col("x_comp") < F.col("y_comp")) & near_size(F.col("x_n"), F.col("y_n"), num, den) & (can >= need))
     return pairs.select("x_gid", "x_comp", "y_gid", "y_comp").distinct()
 
@@ -205,35 +198,42 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, stars: int = STARS) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, crowd: int = CROWD) -> DataFrame:
     """A row for each document: id, tk, n_shingles, component_id (the smallest id of its class) and node (the class, null without words)."""
-    found = materialize(signatures(docs, id_col, text_col, k, num, den, frequent(docs, text_col, k, num, den)), "signatures")
+    found = materialize(signatures(docs, id_col, text_col, k, num, den), "signatures")
     nodes = found.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("gk", F.unhex(F.md5(F.concat_ws(",", "n", F.col("prefix").cast("array<string>"))))), "nodes")
-    groups = nodes.groupBy("gk").agg(F.min("node").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    groups = materialize(groups.select("gk", "gid", "n", "members", "prefix"), "groups")
-    shared = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("of", F.count("*").over(Window.partitionBy("token"))).where("of > 1").drop("of")
-    shared = materialize(shared, "postings")
-    wanted = groups.where("members > 1").select("gid").union(shared.select("gid")).distinct()
-    members = materialize(nodes.select("gk", "node", "tk", "n").join(groups.select("gk", "gid"), "gk").join(wanted, "gid", "left_semi").select("gid", "node", "tk", "n"), "members")
+    groups = materialize(nodes.groupBy("gk").agg(F.min("node").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members")), "groups")
+    met = groups.select("gid", "n", "members", F.posexplode("prefix").alias("pos", "token")).withColumn("of", F.sum("members").over(Window.partitionBy("token")))
+    met = materialize(met.where("of > 1"), "met")  # also groups of several members alone in their postings
+    wide = met.where(F.col("of") > crowd).select("gid").distinct()
+    members = nodes.select("gk", "node", "tk", "n").join(groups.select("gk", "gid"), "gk").join(met.select("gid").distinct(), "gid", "left_semi")
+    members = materialize(members.join(wide.withColumn("crowded", F.lit(True)), "gid", "left").select("gid", "node", "tk", "n", F.coalesce("crowded", F.lit(False)).alias("crowded")), "members")
     whole = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("tk"), F.col(text_col).alias("text"))
-    texts = materialize(whole.join(members.select("tk", "node"), "tk").dropDuplicates(["node"]).select("node", "text"), "texts")
-
-    labels, edges = None, None
-    for salt in range(stars):
-        now = members.withColumn("comp", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        of_class = now.groupBy("gid", "comp").agg(F.min("node").alias("node"))
-        pairs = star_pairs(shared.join(of_class, "gid"), num, den, salt)
-        if labels is None:
-            pairs = pairs.union(members.where("gid <> node").select(F.col("gid").alias("a"), F.col("node").alias("b"))).distinct()
-        new = materialize(verify(pairs, texts, k, num, den), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        labels = components(edges)
-    now = materialize(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "classes")
-    pairs = cross_pairs(shared.join(now.select("gid", "comp").distinct(), "gid"), num, den)
-    x, y = (now.select(F.col("gid").alias(f"{s}_gid"), F.col("comp").alias(f"{s}_comp"), F.col("node").alias(s)) for s in "xy")
-    pairs = pairs.join(x, ["x_gid", "x_comp"]).join(y, ["y_gid", "y_comp"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    labels = components(edges.unionByName(materialize(verify(pairs, texts, k, num, den), "links")))
+    texts = materialize(whole.join(members.select("tk", "node", "crowded"), "tk").dropDuplicates(["node"]).select("node", "text", "crowded"), "texts")
+
+    by_hash = materialize(postings_of(met.select("token", "gid", "n", "pos", "of")).where(F.col("of") <= crowd), "postings")
+    rare = rare_first(texts.where("crowded"), k, num, den).withColumn("of", F.count("*").over(Window.partitionBy("token"))).where("of > 1")
+    by_count = materialize(postings_of(rare), "postings")
+    small = members.where("NOT crowded").select("gid", "node").union(members.where("crowded").select("gid", "node").join(by_hash.select("gid").distinct(), "gid", "left_semi"))
+    alone = members.where("crowded").select(F.col("node").alias("gid"), "node")
+    orders = [(by_hash, materialize(small, "in-groups")), (by_count, alone)]
+
+    def classes(labels: DataFrame | None, of: DataFrame) -> DataFrame:
+        return of.withColumn("comp", F.col("node")) if labels is None else of.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    pairs = members.where("gid <> node").select(F.col("gid").alias("a"), F.col("node").alias("b"))
+    for postings, of in orders:
+        pairs = pairs.union(star_pairs(postings.join(classes(None, of).groupBy("gid", "comp").agg(F.min("node").alias("node")), "gid"), num, den))
+    edges = materialize(verify(pairs.distinct(), texts, k, num, den), "links")
+    labels, crossing = components(edges), None
+    for postings, of in orders:
+        now = materialize(classes(labels, of), "classes")
+        new = cross_pairs(postings.join(now.select("gid", "comp").distinct(), "gid"), num, den)
+        x, y = (now.select(F.col("gid").alias(f"{s}_gid"), F.col("comp").alias(f"{s}_comp"), F.col("node").alias(s)) for s in "xy")
+        new = new.join(x, ["x_gid", "x_comp"]).join(y, ["y_gid", "y_comp"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        crossing = new if crossing is None else crossing.union(new)
+    labels = components(edges.unionByName(materialize(verify(crossing.distinct(), texts, k, num, den), "links")))
 
     of_node = nodes.select("digest", "node", "id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = of_node.groupBy("comp").agg(F.min("id").alias("component_id"))
