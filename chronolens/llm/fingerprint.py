@@ -14,10 +14,9 @@ key; all rows of a pair already lie in one partition, so rounds need no shuffle.
 Likeness is the Jaccard likeness of the two sets: from the sizes of both and the digests recovered on either
 side. Two empty sets are alike (1.0); an empty set and another aren't (0.0).
 
-Edge cases of `fingerprints` and the query: null text is the empty text. Repeated rows (same doc_id and text) are
-one document for the order of documents, and each gives its own equal result; the next document is the next
-distinct (doc_id, text) with null doc_ids first and equal doc_ids in order of a hash of the text; the last
-one's is the first. A table of one document is its own next. An empty table gives an empty result.
+Edge cases of the query: null text is the empty text. Rows are in order of doc_id, nulls first, and rows of equal
+doc_id in order of a hash of the text; repeated rows are rows of their own, so a copy's next may be its copy.
+The last row's next is the first. A table of one document is its own next. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +31,7 @@ CELLS = 8
 GROWTH = 8
 ROUNDS = 5
 SUBTABLES = 3
+BUCKET_BYTES = 16 << 20
 
 
 def paragraphs(text: Column) -> Column:
@@ -98,13 +98,15 @@ def differences(pairs: DataFrame, keys: list[str], a: str, b: str, cells: int =
     Retries are written to the shared folder, so each works on what failed before and on nothing else."""
     todo, done = pairs.select(*keys, a, b), None
     while True:
-        tried = materialize(todo.select(*keys).join(peel(subtract(todo, keys, a, b, cells), keys, cells), keys, "left").fillna(0, ["a_only", "b_only", "left"]), "peeled")
+        # Dealt out once by key; the sketches and all rounds of peeling then group rows where they lie.
+        peeled = peel(subtract(todo.repartition(*keys), keys, a, b, cells), keys, cells)
+        tried = materialize(todo.select(*keys).join(peeled, keys, "left").fillna(0, ["a_only", "b_only", "left"]), "peeled")
         good = tried.where("left = 0").drop("left")
         done = good if done is None else done.unionByName(good)
         bad = tried.where("left > 0").select(*keys)
         if bad.isEmpty():
             return done
-        todo, cells = materialize(pairs.select(*keys, a, b).join(bad, keys, "left_semi"), "retry").repartition(*keys), cells * growth
+        todo, cells = materialize(pairs.select(*keys, a, b).join(bad, keys, "left_semi"), "retry"), cells * growth
 
 
 def likeness(a_size: Column, b_size: Column, a_only: Column, b_only: Column) -> Column:
@@ -112,48 +114,44 @@ def likeness(a_size: Column, b_size: Column, a_only: Column, b_only: Column) ->
     return F.when(a_size + b_size == 0, F.lit(1.0)).otherwise(same / (same + a_only + b_only))
 
 
-def next_keys(docs: DataFrame, id_col: str, hash_col: str) -> DataFrame:
-    """For each distinct (id, hash): the next one in order, the first after the last; and `id`-range buckets in between.
-
-    Ids go to buckets by approximate quantiles and are ordered within a bucket; a bucket's last looks to the
-    first of the next bucket in a table of a row for each bucket."""
-    rows = docs.select(F.col(id_col).alias("i"), F.col(hash_col).alias("h")).distinct()
-    cuts = sorted({c for c in rows.select("i").where("i IS NOT NULL").approxQuantile("i", [k / 64 for k in range(1, 64)], 0.005)})
-    bucket = F.when(F.col("i").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c <= F.col("i"))))
-    rows = rows.withColumn("bucket", bucket)
-    order = Window.partitionBy("bucket").orderBy(F.col("i").asc_nulls_first(), "h")
-    rows = rows.withColumn("next", F.lead(F.struct("i", "h")).over(order))
-    firsts = docs.select(F.col(id_col).alias("i"), F.col(hash_col).alias("h")).withColumn("bucket", bucket).groupBy("bucket").agg(F.min(F.struct(F.coalesce("i", F.lit(0).cast("long")).alias("o"), F.col("h"), F.col("i"))).alias("f")).collect()
-    firsts = sorted((r["bucket"], r["f"]["i"], r["f"]["h"]) for r in firsts)  # at most 65 rows
-    after = [(b, *firsts[(k + 1) % len(firsts)][1:]) for k, (b, _, _) in enumerate(firsts)]
-    wrap = docs.sparkSession.createDataFrame(after, "bucket int, wrap_i long, wrap_h long")
-    return rows.join(F.broadcast(wrap), "bucket").select(
-        "i", "h", F.when(F.col("next").isNull(), F.col("wrap_i")).otherwise(F.col("next.i")).alias("next_i"), F.when(F.col("next").isNull(), F.col("wrap_h")).otherwise(F.col("next.h")).alias("next_h")
-    )
+def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """`docs` with next_text, the text of the next row in order of (id, hash of the text), the first after the last.
+
+    Rows go to buckets of ascending ids of about `bucket_bytes` of text: approximate quantiles of the id, each cut
+    into equal ranges; null ids, which come first, go by the hash. A row finds its next in its bucket; the last
+    of a bucket finds it in a table of the first row of each bucket. The text is shuffled once."""
+    i, h, size = F.col(id_col), F.xxhash64(text_col), F.octet_length(text_col)
+    total, least, most = docs.agg(F.sum(size), F.min(i), F.max(i)).first()
+    cuts = sorted({int(c) for c in docs.select(id_col).where(i.isNotNull()).approxQuantile(id_col, [k / 64 for k in range(1, 64)], 0.005)}) if most is not None else []
+    lows, highs = [least or 0, *cuts], [*cuts, (most or 0) + 1]
+    parts = max(1, -(-(total or 0) // (bucket_bytes * len(lows))))
+    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>"), lambda c: c <= i))
+    low, high = (F.element_at(F.array(*[F.lit(c).cast("long") for c in x]), at + 1) for x in (lows, highs))
+    within = F.least(F.lit(parts - 1), F.floor((i - low) / F.greatest(F.lit(1), high - low) * parts)).cast("long")
+    bucket = F.when(i.isNull(), F.shiftright(h, 58) - 64).otherwise(at * parts + within)
+    rows = docs.withColumn("h", h).withColumn("bucket", bucket)
+    first = rows.groupBy("bucket").agg(F.min_by(text_col, F.struct(F.coalesce(i, F.lit(0)).alias("i"), "h")).alias("first_text"))
+    first = materialize(first, "firsts")
+    numbers = sorted(r["bucket"] for r in first.select("bucket").collect())  # a number for each bucket
+    before = docs.sparkSession.createDataFrame([(b, numbers[k - 1]) for k, b in enumerate(numbers)], "bucket long, before long")
+    after = first.join(before, "bucket").select(F.col("before").alias("bucket"), "first_text")
+    ahead = F.lead(text_col).over(Window.partitionBy("bucket").orderBy(i.asc_nulls_first(), "h"))
+    return rows.withColumn("ahead", ahead).join(after, "bucket").withColumn("next_text", F.coalesce("ahead", "first_text")).drop("h", "bucket", "ahead", "first_text")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
-    docs = docs.withColumn("k", F.xxhash64("doc_id", "h", F.col("doc_id").isNull())).withColumn("n_chars", F.length("text").cast("long"))
-    nexts = next_keys(docs, "doc_id", "h").select(F.xxhash64("i", "h", F.col("i").isNull()).alias("k"), F.xxhash64("next_i", "next_h", F.col("next_i").isNull()).alias("next_k"))
-    sizes = docs.select("k", F.col("n_chars").alias("n")).distinct()
-    asked = nexts.join(sizes, "k").select(F.col("next_k").alias("k"), F.col("k").alias("for_k"), F.expr("CAST(n DIV 2 AS INT)").alias("half"))
-    given = docs.join(asked, "k").select(F.col("for_k").alias("k"), F.expr("left(text, half)").alias("head"), paragraphs(F.col("text")).alias("next_set")).dropDuplicates(["k"])
-    edited = F.concat(F.expr("left(text, CAST(n_chars - n_chars DIV 2 AS INT))"), F.col("head"))
-    rows = docs.join(given, "k").withColumn("edited", edited).select(
-        "doc_id", "n_chars", "k", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edited"), "next_set"
-    )
-    rows = materialize(rows, "digests")
-    distinct = rows.dropDuplicates(["k"]).select("k", "own", "edited", "next_set").repartition("k")
-    versions = distinct.select("k", F.inline(F.array(*[F.struct(F.lit(v).alias("v"), F.col(c).alias("set")) for v, c in ((0, "own"), (1, "edited"))])))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+    half = F.expr("CAST(length(text) DIV 2 AS INT)")
+    rows = with_next(docs, "doc_id", "text").withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edited"), paragraphs(F.col("next_text")).alias("next_set"))
+    rows = materialize(rows.withColumn("k", F.monotonically_increasing_id()), "digests")
+    versions = rows.select("k", F.inline(F.array(*[F.struct(F.lit(v).alias("v"), F.col(c).alias("set")) for v, c in ((0, "own"), (1, "edited"))]))).repartition("k")
     prints = serialize(sketch(versions, ["k", "v"], "set"), ["k", "v"]).groupBy("k").agg(*[F.max(F.when(F.col("v") == v, F.col("fingerprint"))).alias(c) for v, c in ((0, "fingerprint"), (1, "edited_fingerprint"))])
-    pairs = distinct.select("k", "own", F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.col(c).alias("other")) for p, c in ((0, "edited"), (1, "next_set"))])))
+    pairs = rows.select("k", "own", F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.col(c).alias("other")) for p, c in ((0, "edited"), (1, "next_set"))])))
     near = differences(pairs, ["k", "p"], "own", "other").groupBy("k").agg(*[F.max(F.when(F.col("p") == p, F.struct("a_only", "b_only"))).alias(f"d{p}") for p in (0, 1)])
     like = lambda other, d: likeness(F.size("own"), F.size(other), F.col(f"{d}.a_only"), F.col(f"{d}.b_only"))
     return rows.join(prints, "k", "left").join(near, "k").select(
         "doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
         like("edited", "d0").alias("near_edited"), like("next_set", "d1").alias("near_next"),
     )
-
-
