@@ -9,7 +9,8 @@ copy, which shuffles them globally.
 Without given weights, source s of size n_s weighs n_s ** temperature (0.7), as in multilingual mixing. The
 budget is the size of the whole table unless given. Sizes are rows or UTF-8 bytes.
 
-The table of sources is joined, never collected, and broadcast only below Spark's own threshold of size. The cumulative
+The table of sources is broadcast up to `MAX_BROADCAST` sources, counted first; beyond that it is an ordinary
+join, whose hot sources Spark splits. The cumulative
 distribution is held to 12 standard deviations above the mean, where what is left is below 1e-15. Means above
 500 are split: the whole number part above 500 repeats outright and the rest is drawn.
 
@@ -29,6 +30,7 @@ from .common import free_name, table, utf8_bytes
 SEED = 1234
 TEMPERATURE = 0.7
 LARGE = 500.0
+MAX_BROADCAST = 20_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -78,6 +80,8 @@ def mix(
     # Drawn below the join, so that it is computed once a document and not once a value of the distribution.
     drawn = docs.withColumn(u, uniform(F.lit(str(seed)), F.col(key).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     n = F.col(whole) + F.size(F.filter(F.col(cdf), lambda c: c <= F.col(u)))
+    if of.count() <= MAX_BROADCAST:  # rows of about 300 bytes
+        of = F.broadcast(of)
     out = (
         drawn.join(of, drawn[source].eqNullSafe(of["mix_source"]))
         .where(F.col("rate") > 0)
