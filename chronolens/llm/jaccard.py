@@ -4,7 +4,8 @@ A document's set holds its distinct shingles of `k` words (a shorter document's
 words, nothing). Two documents link when den * intersection >= num * union.
 
 1. Documents with equal sets collapse into a node, by a 128-bit digest of the set.
-2. Shingles are ordered by a hash. A set's prefix is its first n - ceil(n * num / den) + 1 shingles; linked sets
+2. Shingles are ordered by a hash, but those that often come first in sets come last (at most `MAX_HOT` of them,
+   1.6 MB in each task; which they are steers cost and no result). A set's prefix is its first n - ceil(n * num / den) + 1 shingles; linked sets
    share a shingle of their prefixes. Nodes with identical prefix and size collapse into a group, and groups meet
    in postings of prefix shingles.
 3. A posting of more than `CROWD` nodes is set aside: its shingle is too frequent to tell texts apart. The nodes
@@ -34,9 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import materialize, release, remove, table
 
 CROWD = 32
+HOT = 24
+MAX_HOT = 200_000
 _CHUNK = 1 << 21
 _U = np.uint64
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -104,12 +107,37 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """For each document: id, tk (md5 of the text), n, digest of the set, and its prefix in order of the hash."""
+def frequent(docs: DataFrame, text_col: str, k: int, num: int, den: int, hot: int = HOT, max_hot: int = MAX_HOT) -> np.ndarray:
+    """The shingles that come up in the first parts of most sets, a prefix and a quarter long, counted over all documents."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            firsts = [s[: prefix_length(len(s), num, den) * 5 // 4 + 1] for s in sets_of(b["t"].tolist(), k) if len(s)]
+            if firsts:
+                token, c = np.unique(np.concatenate(firsts), return_counts=True)
+                yield pd.DataFrame({"token": token, "c": c})
+
+    counts = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= hot)
+    top = counts.orderBy(F.desc("c"), "token").limit(max_hot).select("token").toPandas()
+    return np.sort(top["token"].to_numpy(dtype=np.int64))
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
+    """For each document: id, tk (md5 of the text), n, digest of the set, and its prefix."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     @F.pandas_udf("n int, digest binary, prefix array<long>")
     def sign(text: pd.Series) -> pd.DataFrame:
-        rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[: prefix_length(len(s), num, den)]) if len(s) else (0, None, s) for s in sets_of(text.tolist(), k)]
+        often, rows = sent.value, []
+        for s in sets_of(text.tolist(), k):
+            if not len(s):
+                rows.append((0, None, s))
+                continue
+            order = s
+            if len(often):
+                is_hot = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+                order = np.concatenate([s[~is_hot], s[is_hot]])
+            rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), order[: prefix_length(len(s), num, den)]))
         return pd.DataFrame(rows, columns=["n", "digest", "prefix"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -200,17 +228,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, crowd: int = CROWD) -> DataFrame:
     """A row for each document: id, tk, n_shingles, component_id (the smallest id of its class) and node (the class, null without words)."""
-    found = materialize(signatures(docs, id_col, text_col, k, num, den), "signatures")
-    nodes = found.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("gk", F.unhex(F.md5(F.concat_ws(",", "n", F.col("prefix").cast("array<string>"))))), "nodes")
-    groups = materialize(nodes.groupBy("gk").agg(F.min("node").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members")), "groups")
-    met = groups.select("gid", "n", "members", F.posexplode("prefix").alias("pos", "token")).withColumn("of", F.sum("members").over(Window.partitionBy("token")))
-    met = materialize(met.where("of > 1"), "met")  # also groups of several members alone in their postings
+    spark = docs.sparkSession
+    signed = materialize(signatures(docs, id_col, text_col, k, num, den, frequent(docs, text_col, k, num, den)), "signatures")
+    found = materialize(signed.select("id", "tk", "n", "digest"), "documents")
+    nodes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("gk", F.unhex(F.md5(F.concat_ws(",", "n", F.col("prefix").cast("array<string>"))))), "prefixes")
+    remove(spark, signed)
+    release(spark)
+    groups = materialize(nodes.groupBy("gk").agg(F.min("node").alias("gid"), F.count("*").alias("members")), "groups")
+    met = nodes.select(F.col("node").alias("gid"), "n", "prefix").join(groups.select("gid", "members"), "gid").select("gid", "n", "members", F.posexplode("prefix").alias("pos", "token"))
+    met = materialize(met.withColumn("of", F.sum("members").over(Window.partitionBy("token"))).where("of > 1"), "met")  # also groups of several members alone in their postings
+    prefixes, nodes = nodes, materialize(nodes.select("digest", "id", "tk", "n", "node", "gk"), "nodes")
+    remove(spark, prefixes)
     wide = met.where(F.col("of") > crowd).select("gid").distinct()
     members = nodes.select("gk", "node", "tk", "n").join(groups.select("gk", "gid"), "gk").join(met.select("gid").distinct(), "gid", "left_semi")
     members = materialize(members.join(wide.withColumn("crowded", F.lit(True)), "gid", "left").select("gid", "node", "tk", "n", F.coalesce("crowded", F.lit(False)).alias("crowded")), "members")
+    release(spark)
     whole = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("tk"), F.col(text_col).alias("text"))
-    texts = materialize(whole.join(members.select("tk", "node", "crowded"), "tk").dropDuplicates(["node"]).select("node", "text", "crowded"), "texts")
+    texts = whole.join(members.select("tk", "node", "crowded"), "tk").withColumn("copy", F.row_number().over(Window.partitionBy("tk").orderBy("tk"))).where("copy = 1")
+    texts = materialize(texts.select("node", "text", "crowded"), "texts")
+    release(spark)
 
     by_hash = materialize(postings_of(met.select("token", "gid", "n", "pos", "of")).where(F.col("of") <= crowd), "postings")
     rare = rare_first(texts.where("crowded"), k, num, den).withColumn("of", F.count("*").over(Window.partitionBy("token"))).where("of > 1")
@@ -226,6 +263,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     for postings, of in orders:
         pairs = pairs.union(star_pairs(postings.join(classes(None, of).groupBy("gid", "comp").agg(F.min("node").alias("node")), "gid"), num, den))
     edges = materialize(verify(pairs.distinct(), texts, k, num, den), "links")
+    release(spark)
     labels, crossing = components(edges), None
     for postings, of in orders:
         now = materialize(classes(labels, of), "classes")
