@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, jaccard, langid, lmscore, mixing, quality, sharding, warc
+from . import decontaminate, extract, fingerprint, jaccard, langid, lmscore, mixing, quality, sharding, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
     "op4_jaccard": jaccard.op4_jaccard,
+    "op5_extract": extract.op5_extract,
     "op6_langid": langid.op6_langid,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_sharding": sharding.op8_sharding,
