@@ -35,6 +35,8 @@ MAX_BYTES = 64 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isdigit() or chr(b).islower() else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
 #: Automatons of this Python worker, by block: tasks of one worker build it once.
 _BUILT: dict = {}
 
@@ -83,7 +85,7 @@ def scan(text: str | None, machine, any_patterns: bool = True) -> tuple[int, lis
 
 def spans_in_original(text: str, hit: list[int]) -> list[tuple[int, int]]:
     """Code-point ranges [start, end) of runs of hit words."""
-    at = [m.span() for m in _WORD.finditer(text)]
+    at = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
     out: list[tuple[int, int]] = []
     for a in hit:
         if out and last == a - 1:
