@@ -1,0 +1,140 @@
+"""Scalar expressions: likelihood ratios, buckets, geometry, keys, dates, vectors. All are built-in columns."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+INF = float("inf")
+
+
+def size_bucket(side: Column) -> Column:
+    """Right-closed buckets of the short side."""
+    return F.when(side <= 256, "<=256").when(side <= 512, "257-512").when(side <= 1024, "513-1024").otherwise(">1024")
+
+
+def short_side(width: Column, height: Column) -> Column:
+    return F.least(width, height)
+
+
+def centre_box(side: Column, size: int, align: int) -> Column:
+    """Start of the centred window of `size`, on a multiple of `align`."""
+    return F.floor(F.floor((side - size) / 2) / align) * align
+
+
+def subset(rule: str, origin: str = "origin", side: Column | None = None) -> Column:
+    """A predicate from `all`, `origin=x`, `origin!=x`, `short<=n` or `short>=n`."""
+    if rule == "all":
+        return F.lit(True)
+    for sign, make in (("!=", lambda c, v: c != v), ("<=", lambda c, v: c <= v), (">=", lambda c, v: c >= v), ("=", lambda c, v: c == v)):
+        if sign in rule:
+            name, value = rule.split(sign)
+            if name == "origin":
+                return make(F.col(origin).cast("string"), value)
+            if name == "short" and sign in ("<=", ">="):
+                return make(side, int(value))
+    raise ValueError(f"unknown subset: {rule}")
+
+
+def odds(p: Column) -> Column:
+    """p / (1 - p), infinite at 1."""
+    return F.when(p >= 1, F.lit(INF)).otherwise(p / (1 - F.least(p, F.lit(1 - 1e-16))))
+
+
+def inverse(x: Column) -> Column:
+    """1 / x with 1 / 0 = infinity and 1 / infinity = 0."""
+    return F.when(x == 0, F.lit(INF)).when(x == INF, F.lit(0.0)).otherwise(1.0 / F.when(x == 0, 1.0).otherwise(x))
+
+
+def clip(x: Column, lower, upper) -> Column:
+    return F.least(F.greatest(x, F.lit(lower) if isinstance(lower, float | int) else lower), F.lit(upper) if isinstance(upper, float | int) else upper)
+
+
+def flat_key(key: Column) -> Column:
+    return F.translate(key, "/", "_")
+
+
+def crop_path(key: Column, policy: Column) -> Column:
+    return F.concat(F.lit("crops/"), policy, F.lit("/"), flat_key(key), F.lit(".png"))
+
+
+def crop_policy(size: int, align: int) -> Column:
+    return F.format_string("native_%d_align%d", F.lit(size), F.lit(align))
+
+
+def replaced_segment(path: Column, old: str, new: str) -> Column:
+    return F.regexp_replace(path, f"(^|/){old}(/|$)", f"$1{new}$2")
+
+
+def area_fraction(width: Column, height: Column, size: int) -> Column:
+    return F.lit(float(size * size)) / (width * height)
+
+
+def parsed_date(text: Column) -> Column:
+    """A date, null where the text isn't one."""
+    return F.try_to_date(text)
+
+
+def origin_source(dataset: Column) -> Column:
+    return F.split_part(dataset, F.lit("_"), F.lit(1))
+
+
+def padded_url(number: Column, base: str = "http://images/", digits: int = 12) -> Column:
+    return F.concat(F.lit(base), F.lpad(number.cast("string"), digits, "0"), F.lit(".jpg"))
+
+
+def recorded(importer: Column, origin: Column) -> list[Column]:
+    """A value and the basis it rests on: the importer's record, the origin's, or none."""
+    basis = F.when(importer.isNotNull(), "importer").when(origin.isNotNull(), "origin").otherwise("unknown")
+    return [F.coalesce(importer, origin, F.lit("unknown")).alias("value"), basis.alias("basis")]
+
+
+def year(date: Column) -> Column:
+    return F.unix_date(date) / 365.25
+
+
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def linear(columns: list[str], weights: list[float], intercept: float = 0.0) -> Column:
+    return reduce(lambda a, b: a + b, [F.col(c) * w for c, w in zip(columns, weights, strict=True)], F.lit(intercept))
+
+
+def logit_difference(logits: Column) -> Column:
+    """The spatial mean of an array of logits (one channel), or of the difference of two channels."""
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    two = F.zip_with(F.element_at(logits, -1), F.element_at(logits, 1), lambda b, a: b - a)
+    return F.when(F.size(logits) == 2, mean(two)).otherwise(mean(F.element_at(logits, 1)))
+
+
+def phi_blocks(x: str, planes: int, width: int) -> dict[str, Column]:
+    """Blocks of a vector of `planes` x `width`: all, plane mean, deviations from it, even and odd places."""
+    plane = [F.slice(x, p * width + 1, width) for p in range(planes)]
+    total = reduce(lambda a, b: F.zip_with(a, b, lambda u, v: u + v), plane)
+    mean = F.transform(total, lambda v: v / planes)
+    apart = F.flatten(F.array(*[F.zip_with(p, mean, lambda u, v: u - v) for p in plane]))
+    at = lambda r: F.transform(F.filter(F.transform(F.col(x), lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda s: s["i"] % 2 == r), lambda s: s["v"])
+    return {"full": F.col(x), "mean": mean, "deviation": apart, "even": at(0), "odd": at(1)}
+
+
+def md5_uniform(*parts: Column) -> Column:
+    """A number in [0, 1) that depends on the parts alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def probit(p: Column) -> Column:
+    """The inverse of the normal distribution by Acklam's rational approximation (relative error below 1.2e-9)."""
+    # The approximation's coefficients.
+    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+    poly = lambda co, v: reduce(lambda s, k: s * v + k, co[1:], F.lit(co[0]))
+    tail = lambda q: poly(c, q) / poly(d, q)
+    q, safe = p - 0.5, F.least(F.greatest(p, F.lit(1e-300)), F.lit(1 - 1e-16))
+    return (
+        F.when(p < 0.02425, tail(F.sqrt(-2 * F.log(safe)))).when(p > 1 - 0.02425, -tail(F.sqrt(-2 * F.log(1 - safe)))).otherwise(poly(a, q * q) * q / poly(b, q * q))
+    )
