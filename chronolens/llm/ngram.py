@@ -214,12 +214,25 @@ def score(docs: DataFrame, text_col: str, models: dict[str, DataFrame], order: i
         out = out.withColumn(name, F.lit(0.0))
         owner = None if n == 1 else _owners(models[name], n)
         for s in range(n):
-            found = rows.where(F.col("shard").isin(-1, s)).select("order", "key", F.col("logp").cast("float"), F.col("backoff").cast("float")).toPandas()
-            arrays = {int(k): (g["key"].to_numpy(), g["logp"].to_numpy(np.float32), g["backoff"].to_numpy(np.float32)) for k, g in found.groupby("order")}
-            out = _add(out, text_col, name, spark.sparkContext.broadcast(arrays), order, n, s, owner)
+            sent = spark.sparkContext.broadcast(_arrays(rows.where(F.col("shard").isin(-1, s))))
+            out = _add(out, text_col, name, sent, order, n, s, owner)
     return out
 
 
+def _arrays(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A shard's arrays for each order. Tasks pack them, so that the driver gets 16 bytes a row and nothing else."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, g in b.groupby("order"):
+                yield pd.DataFrame([(k, g["key"].to_numpy(np.int64).tobytes(), g["logp"].to_numpy(np.float32).tobytes(), g["backoff"].to_numpy(np.float32).tobytes())], columns=["order", "key", "logp", "backoff"])
+
+    packed: dict[int, list] = {}
+    for r in rows.select("order", "key", F.col("logp").cast("float"), F.col("backoff").cast("float")).mapInPandas(pack, "order int, key binary, logp binary, backoff binary").toLocalIterator():
+        packed.setdefault(r.order, []).append((r.key, r.logp, r.backoff))
+    return {k: tuple(np.frombuffer(b"".join(p[j] for p in parts), kind) for j, kind in enumerate((np.int64, np.float32, np.float32))) for k, parts in packed.items()}
+
+
 def _owners(model: DataFrame, n: int):
     """For several shards: the pairs of tokens of each shard, from the model's own rows."""
     pairs = model.where(F.col("order") > LOW).select(F.explode(F.array(F.shiftright("key", BITS).bitwiseAND((1 << 2 * BITS) - 1), F.col("key").bitwiseAND((1 << 2 * BITS) - 1))).alias("k")).distinct()
