@@ -24,5 +24,5 @@ def load() -> None:
     """Import the modules that register queries."""
     from importlib import import_module
 
-    for name in ("tables", "evidence"):
+    for name in ("tables", "evidence", "space"):
         import_module(f"chronolens.plans.{name}")
