@@ -184,21 +184,27 @@ def star_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where(near_size(F.col("m.n"), F.col("r.m.n"), num, den)).select(F.least("m.node", "r.m.node").alias("a"), F.greatest("m.node", "r.m.node").alias("b")).distinct()
 
 
-def group_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
+def group_pairs(postings: DataFrame, num: int, den: int, first: bool = False) -> DataFrame:
     """(x_gid, x_comp, y_gid, y_comp) of different classes that share postings and pass the tests of size, place and number.
 
+    With `first`, every shared prefix shingle must be in the postings; a pair then passes by its first one alone,
+    before which nothing is shared, and is not counted at the others.
+
     postings: token, gid, comp, n, pos, before (shared shingles before this one), aside (prefix shingles in postings set aside)."""
     w = Window.partitionBy("token")
     mixed = postings.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").drop("lo", "hi")
     x, y = (mixed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("gid", "comp", "n", "pos", "before", "aside")]) for s in "xy")
     need = F.ceil((F.col("x_n") + F.col("y_n")) * F.lit(num) / F.lit(num + den) - 1e-9)
     # Of the shingles before a shared one, only those in postings can be shared too; after it, as many as the smaller rest.
-    can = F.least("x_before", "y_before") + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+    rest = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+    can = rest if first else F.least("x_before", "y_before") + rest
     near = x.join(y, "token").where((F.col("x_comp") < F.col("y_comp")) & near_size(F.col("x_n"), F.col("y_n"), num, den) & (can >= need))
+    if first:
+        return near.select("x_gid", "x_comp", "y_gid", "y_comp").distinct()
     pairs = near.groupBy("x_gid", "x_comp", "y_gid", "y_comp").agg(F.count("*").alias("common"), F.max(need).alias("need"), *[F.max(f"{s}_{c}").alias(f"{s}_{c}") for s in "xy" for c in ("n", "aside")])
     # What is shared is in both prefixes, or after the end of the one that ends first.
-    rest = F.greatest(*[F.col(f"{s}_n") - (F.col(f"{s}_n") - F.expr(f"({s}_n * {num} + {den} - 1) DIV {den}") + 1) for s in "xy"])
-    return pairs.where(F.col("common") + F.least("x_aside", "y_aside") + rest >= F.col("need")).select("x_gid", "x_comp", "y_gid", "y_comp")
+    after = F.greatest(*[F.col(f"{s}_n") - (F.col(f"{s}_n") - F.expr(f"({s}_n * {num} + {den} - 1) DIV {den}") + 1) for s in "xy"])
+    return pairs.where(F.col("common") + F.least("x_aside", "y_aside") + after >= F.col("need")).select("x_gid", "x_comp", "y_gid", "y_comp")
 
 
 def members_of(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -278,7 +284,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     comp = lambda df, node: df.join(labels.select(F.col("node").alias(node), F.col("comp").alias(f"{node}_of")), node, "left").withColumn(f"{node}_of", F.coalesce(f"{node}_of", node))
     left = comp(comp(pairs, "a"), "b").where("a_of <> b_of").select("a", "b")
     rare = comp(rare, "node").withColumnRenamed("node_of", "comp")
-    crossing = group_pairs(rare, num, den).select(F.least("x_gid", "y_gid").alias("a"), F.greatest("x_gid", "y_gid").alias("b"))
+    crossing = group_pairs(rare, num, den, first=True).select(F.least("x_gid", "y_gid").alias("a"), F.greatest("x_gid", "y_gid").alias("b"))
     labels = components(edges.unionByName(materialize(verify(left.union(crossing).distinct(), texts, k, num, den), "links")))
 
     of_node = nodes.select("digest", "node", "id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
