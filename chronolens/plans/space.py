@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..operators import ranks, temporal, vectors
+from ..operators import mixture, ranks, temporal, vectors
 from ..sources import views as V
 from .registry import query
 from .tables import r6
@@ -223,3 +223,45 @@ def q_drift_power(spark, d):
     sim = sim.withColumn("slot", (F.floor(X.md5_uniform(F.lit(3), F.col("family"), F.col("groups"), F.col("rep"), F.col("k")) * F.col("n")) + 1).cast("int")).withColumn("t", (F.col("k") - 1) / (F.col("groups") - 1))
     rows = sim.join(resid, ["family", "slot"]).withColumn("v", F.col("e") + F.when(F.col("i") == 0, F.col("planted") * F.col("t")).otherwise(0.0))
     return temporal.drift(rows, ["family", "groups", "planted", "rep"]).groupBy("family", "groups", "planted").agg(r6(F.avg("delta")).alias("mean_delta"), r6(F.percentile("delta", 0.95)).alias("q95"))
+
+
+def reduced(spark, d, k=4):
+    """Vectors centred on family and origin, on their first components."""
+    scored, _ = vectors.pca(vectors.centre(V.vectors(spark, d), ["family", "origin"]), k)
+    return scored.drop("x").withColumnRenamed("scores", "x").persist()
+
+
+@query()
+def q_generator_components(spark, d):
+    """How many diagonal components each generator's vectors ask for, and how they agree with the origin."""
+    v = reduced(spark, d)
+    models = mixture.fit(v.select(F.col("generator").alias("model"), "x"))
+    member = mixture.score(v.select(F.col("generator").alias("model"), "origin", "x"), models.select("model", "components"), ["model"])
+    shares = member.groupBy("model").agg(F.count_distinct("component").alias("used"))
+    return models.join(shares, "model").select(F.col("model").alias("generator"), "k", "n", "used", r6("bic").alias("bic"))
+
+
+@query()
+def q_bin_components(spark, d):
+    """Shares of a family's mixture components in each time bin."""
+    v = reduced(spark, d)
+    g = temporal.release_groups(v.select("family", "generator", "release_date").distinct(), ["family"])
+    bins = temporal.time_bins(g.groupBy("family", "grp").agg(F.min("group_date").alias("group_date")), ["family"], 2)
+    of = g.join(bins.select("family", "grp", "bin"), ["family", "grp"]).select("family", "generator", "bin")
+    models = mixture.fit(v.select(F.col("family").alias("model"), "x"), most=8)
+    member = mixture.score(v.select(F.col("family").alias("model"), "generator", "x"), models.select("model", "components"), ["model"]).join(F.broadcast(of), "generator")
+    return member.groupBy("family", "bin", "component").agg(F.count("*").alias("n")).withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy("family", "bin"))))
+
+
+@query()
+def q_cell_divergence(spark, d):
+    """Held-out divergence of (generator, origin) cells against their gap in release date: rank correlation and p by permuted dates."""
+    v = reduced(spark, d).withColumn("cell", F.col("generator") * 10 + F.col("origin"))
+    pairs = mixture.divergence(v, "vec_id", "cell", ["family"]).withColumn("a", F.floor(F.col("cell_a") / 10).cast("int")).withColumn("b", F.floor(F.col("cell_b") / 10).cast("int")).where("a <> b").persist()
+    days = v.select("family", "generator", "release_date").distinct().withColumn("day", F.unix_date("release_date"))
+    dealt = days.withColumn("perm", F.lit(0)).select("perm", "family", "generator", F.col("day").alias("shuffled")).unionByName(ranks.permuted(days, "generator", "day", ["family"], 30))
+    a, b = (dealt.select("perm", "family", F.col("generator").alias(s), F.col("shuffled").alias(f"day_{s}")) for s in "ab")
+    gaps = pairs.join(F.broadcast(a), ["family", "a"]).join(F.broadcast(b), ["perm", "family", "b"]).withColumn("gap", F.abs(F.col("day_a") - F.col("day_b")))
+    rho = ranks.with_ranks(gaps, ["divergence", "gap"], ["perm", "family"]).groupBy("perm", "family").agg(F.corr("rank_divergence", "rank_gap").alias("rho"), F.count("*").alias("n_pairs"))
+    seen = rho.where("perm = 0").select("family", "n_pairs", F.col("rho").alias("spearman"))
+    return rho.where("perm > 0").select("family", "rho").join(F.broadcast(seen), "family").groupBy("family").agg(F.first("n_pairs").alias("n_pairs"), r6(F.first("spearman")).alias("spearman"), r6(F.avg("rho")).alias("null_mean"), r6((1 + F.count_if(F.col("rho") >= F.col("spearman") - 1e-12)) / (1.0 + F.count("*"))).alias("p"))
