@@ -18,5 +18,6 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.OP3_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
 }
