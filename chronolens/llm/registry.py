@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.OP3_SQL,
+    "op4_jaccard": jaccard.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
 }
