@@ -58,6 +58,19 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows of the highest counts, at most `limit`: all above a cutoff found from how often each count comes up.
+
+    No task sends more than it keeps; rows at the cutoff stay out together where they don't all fit."""
+    kept, cutoff = 0, 0
+    for r in counts.groupBy(F.col(count).alias("value")).agg(F.count("*").alias("rows")).orderBy(F.desc("value")).toLocalIterator():
+        if kept + r.rows > limit:
+            cutoff = r.value
+            break
+        kept += r.rows
+    return counts.where(F.col(count) > cutoff)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it while `df` has such a column (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -3,7 +3,7 @@
 Fitting. Words and the character n-grams (1 to 4, over the word with a blank at either end) of labelled texts
 are counted per language; counts are summed in each task before the shuffle. The fit reads a bounded sample of
 labelled documents: about `fit_docs` of each of the MAX_LANGS most frequent languages, chosen by a hash of the text. The model holds the
-`max_words` most frequent (language, word) pairs and as many n-grams, which bounds what is sent to executors.
+at most `max_words` most frequent (language, word) pairs and as many n-grams, which bounds what is sent to executors.
 
 Scoring. A known word scores its log relative frequency in each language. An unknown word scores by its
 longest n-grams of which any is known: the mean log relative frequency of those n-grams. A language that
@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import most_frequent, table
 
 FIT_DOCS = 8_000
 MAX_LANGS = 1_000
@@ -82,8 +82,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_doc
                 yield pd.DataFrame({"lang": lang, "n": n, "token": list(part), "c": list(part.values())})
 
     sums = chosen.mapInPandas(count, "lang string, n int, token string, c long").groupBy("lang", "n", "token").agg(F.sum("c").alias("c")).persist()
-    top = lambda words: sums.where((F.col("n") == 0) if words else (F.col("n") > 0)).orderBy(F.desc("c"), "lang", "n", "token").limit(max_words).toPandas()
-    model = pd.concat([top(True), top(False)], ignore_index=True)
+    top = lambda words: most_frequent(sums.where((F.col("n") == 0) if words else (F.col("n") > 0)), "c", max_words).toPandas()
+    model = pd.concat([top(True), top(False)], ignore_index=True).sort_values(["lang", "n", "token"], ignore_index=True)
     sums.unpersist()
     return model
 
