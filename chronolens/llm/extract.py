@@ -390,7 +390,11 @@ def main_text(sources: list[str | None], model: Boosted) -> list[str]:
 
 def extract(pages: DataFrame, html_col: str = "html", key: str = "url", sample: int = FIT_PAGES) -> DataFrame:
     """`pages` with text and n_chars."""
-    chosen = pages.where(F.col(html_col).isNotNull()).orderBy(F.xxhash64(F.lit(SEED), key, F.substring(html_col, 1, 200))).limit(sample)
+    some, order = pages.where(F.col(html_col).isNotNull()), F.xxhash64(F.lit(SEED), key, F.substring(html_col, 1, 200))
+    n = some.count()
+    if n > 4 * sample:  # about twice the sample, so that no task sends more than its share
+        some = some.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * 2 * sample / n))
+    chosen = some.orderBy(order).limit(sample)
     sent = pages.sparkSession.sparkContext.broadcast(fit([r[0] for r in chosen.select(html_col).collect()]))
 
     @F.pandas_udf("string")
