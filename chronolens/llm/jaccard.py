@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, release, remove, table
+from .common import materialize, most_frequent, release, remove, table
 
 CROWD = 32
 HOT = 24
@@ -119,7 +119,7 @@ def frequent(docs: DataFrame, text_col: str, k: int, num: int, den: int, hot: in
                 yield pd.DataFrame({"token": token, "c": c})
 
     counts = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= hot)
-    top = counts.orderBy(F.desc("c"), "token").limit(max_hot).select("token").toPandas()
+    top = most_frequent(materialize(counts, "frequent"), "c", max_hot).select("token").toPandas()
     return np.sort(top["token"].to_numpy(dtype=np.int64))
 
 
