@@ -220,6 +220,16 @@ def test_quality_and_cross_entropy_tell_junk(spark, docs, empty):
     assert all(r.keep == bool(r.n_tokens) for r in quality.classify(docs, labels.where("false")).collect())
 
 
+def test_quality_thresholds_use_all_held_rows_and_labelled_junk(spark):
+    held = spark.range(1000).selectExpr("'en' AS lang", "1 + id / 100D AS perplexity").union(spark.range(5).selectExpr("'xx' AS lang", "2D AS perplexity"))
+    of_lang, rest = quality.thresholds(held, spark.createDataFrame([("en", 10.35)] * 10 + [("xx", 100.0)], "lang string, perplexity double"))
+    (r,) = of_lang.collect()  # 0.92 is the highest quantile that keeps the junk of en out
+    assert r.lang == "en" and r.threshold == pytest.approx(10.19, abs=0.02) and rest < 10.35
+    labels = spark.range(300).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    ids = quality.trusted_ids(labels, fit_docs=30)
+    assert ids.count() == 300 and 10 < ids.where("fit").count() < 60
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<html>" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n\r\nÄ</html>"
     rows = [(3, "http://b/x?q=1#f", long), (1, "http://a/ \n", long), (2, None, "<p>short</p>"), (4, "http://c", "<p>short</p>"), (5, "u", None), (6, "u", ""), (7, "v", "y" * 150), (7, "v", "y" * 150), (None, "w", "y" * 150)]
