@@ -1,57 +1,80 @@
-"""Character n-gram language models: interpolated modified Kneser-Ney, counted and estimated in Spark.
+"""Character n-gram language models: interpolated modified Kneser-Ney, counted, estimated and applied in Spark.
 
-Tokens are characters. The vocabulary is fixed and shared by all models: code points below 4095 stand for
-themselves, and all others are one token (4095), the unknown one. Code point 1, repeated, begins a text. An n-gram of up to five tokens is packed
-into one long, 12 bits a token.
+Tokens are code points, each for itself. Code point 1, repeated, begins a text. An n-gram of up to six tokens is two
+longs of 21 bits a token: `lo` has its last three tokens, `hi` those before. All models share one vocabulary size,
+over which the lowest order is uniform.
 
 Counting sums in each task over blocks of text and then by shuffle. Estimation is joins of tables of n-grams,
 each sharded by the n-gram: a lower order's counts are the numbers of distinct left neighbours, discounts come
 from counts of counts, and each probability joins its context's sums and its suffix's probability. A model is a
-table (order, key, logp, backoff): the log probability of a seen n-gram and the log weight of its backoff as
+table (order, hi, lo, logp, backoff): the log probability of a seen n-gram and the log weight of its backoff as
 a context.
 
-Scoring joins the counts with the texts where the texts lie: the model is dealt into shards by the two tokens before
-the last, so that all a position needs is in one shard, and a shard of at most `SHARD_ROWS` rows goes to each
-task as sorted arrays (16 bytes a row). Texts pass through the shards one after the other and add up their log
-probabilities; no text is shuffled, and a larger model means more shards.
+Scoring joins the n-grams of the texts with the model. Texts are dealt by a hash into buckets of about `BUCKET_BYTES`; a task lists
+the distinct n-grams of each. The distinct n-grams of all buckets look up their log probabilities and backoffs in
+the model by joins, one n-gram a row; the results are joined to the lists and meet the texts of their bucket, where
+the texts' sums are taken. An n-gram comes up once a bucket at most, so no key of a join is frequent, and no part of a
+model passes through the driver.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize, release, utf8_bytes
 
-BITS = 12
-UNKNOWN = 4095
+BITS = 21
+HALF = 3  # tokens in a long
 BEGIN = 1
-SHARD_ROWS = 3_000_000
+VOCABULARY = 4096
+CODE_POINTS = 0x110000
+BUCKET_BYTES = 24_000_000
 _CHUNK = 1 << 20
-_SHARDS: dict = {}
-LOW = 2  # orders that every shard holds whole: bounded by the vocabulary
+_MASK = (1 << BITS) - 1
 
 
-def encode(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of `order` tokens ending at each character of the texts, and the number of characters of each text."""
+def encode(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed n-grams (hi, lo) of `order` tokens ending at each character of the texts, and the number of characters of each text."""
     pad = chr(BEGIN) * (order - 1)
     n = np.array([len(t) if t else 0 for t in texts], dtype=np.int64)
-    codes = np.frombuffer("".join(pad + (t or "") for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    codes = np.minimum(codes, UNKNOWN).astype(np.int64)
-    key = np.zeros(max(0, len(codes) - order + 1), np.int64)
+    codes = np.frombuffer("".join(pad + (t or "") for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    size = max(0, len(codes) - order + 1)
+    hi, lo = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for j in range(order):
-        key = (key << BITS) | codes[j : j + len(key)]
+        part = hi if j < order - HALF else lo
+        part <<= BITS
+        part |= codes[j : j + size]
     ends = np.cumsum(n + order - 1)
     keep = np.ones(len(codes), bool)
     begin = ends - n - (order - 1)
     for j in range(order - 1):
         keep[begin + j] = False
-    return key[keep[order - 1 :]], n
+    keep = keep[order - 1 :]
+    return hi[keep], lo[keep], n
+
+
+def mixed(hi: np.ndarray, lo: np.ndarray, turn: int) -> np.ndarray:
+    """One number for each n-gram; `turn` chooses among several ways to mix."""
+    a, b = np.uint64(0x9E3779B97F4A7C15 + 2 * turn), np.uint64(0xC2B2AE3D27D4EB4F + 6 * turn)
+    x = hi.astype(np.uint64) * a + lo.astype(np.uint64) * b
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def distinct(hi: np.ndarray, lo: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams and how often each comes up (or the sum of `c`)."""
+    turn = 0
+    while True:
+        _, first, of = np.unique(mixed(hi, lo, turn), return_index=True, return_inverse=True)
+        if np.array_equal(hi[first][of], hi) and np.array_equal(lo[first][of], lo):  # no two share a number
+            return hi[first], lo[first], np.bincount(of, c, len(first)).astype(np.int64)
+        turn += 1
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -67,23 +90,39 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
         yield at, held
 
 
+def _summed(texts: Iterator[list[str | None]], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct n-grams of the texts with counts, in parts of bounded size."""
+    none = np.zeros(0, np.int64)
+    held = none, none, none
+    for batch in texts:
+        for _, part in chunks(batch):
+            new = distinct(*encode(part, order)[:2])
+            held = distinct(*(np.concatenate(x) for x in zip(held, new, strict=True)))
+            if len(held[0]) > 1_500_000:
+                yield held
+                held = none, none, none
+    yield held
+
+
 def count(texts: DataFrame, text_col: str, order: int) -> DataFrame:
-    """(key, c): how often each n-gram of `order` tokens ends at a character of the texts."""
+    """(hi, lo, c): how often each n-gram of `order` tokens ends at a character of the texts."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
-            for _, part in chunks(b["t"].tolist()):
-                k, c = np.unique(encode(part, order)[0], return_counts=True)
-                both, which = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                sums = np.bincount(which, np.concatenate([sums, c]), len(both)).astype(np.int64)
-                keys = both
-                if len(keys) > 1_500_000:
-                    yield pd.DataFrame({"key": keys, "c": sums})
-                    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield pd.DataFrame({"key": keys, "c": sums})
+        for hi, lo, c in _summed((b["t"].tolist() for b in batches), order):
+            yield pd.DataFrame({"hi": hi, "lo": lo, "c": c})
+
+    return texts.select(F.col(text_col).alias("t")).mapInPandas(counted, "hi long, lo long, c long").groupBy("hi", "lo").agg(F.sum("c").alias("c"))
 
-    return texts.select(F.col(text_col).alias("t")).mapInPandas(counted, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+def suffix(k: int) -> tuple[Column, Column]:
+    """The last `k` tokens of an n-gram (hi, lo)."""
+    low, high = min(k, HALF), max(0, k - HALF)
+    return F.col("hi").bitwiseAND((1 << BITS * high) - 1), F.col("lo").bitwiseAND((1 << BITS * low) - 1)
+
+
+def context(hi: Column, lo: Column) -> tuple[Column, Column]:
+    """An n-gram without its last token."""
+    return F.shiftright(hi, BITS), F.shiftright(lo, BITS).bitwiseOR(F.shiftleft(hi.bitwiseAND(_MASK), BITS * (HALF - 1)))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -93,175 +132,92 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def estimate(top: DataFrame, order: int, vocabulary: int = UNKNOWN + 1) -> DataFrame:
-    """The model of the counts of order `order`: (order, key, logp, backoff)."""
+def estimate(top: DataFrame, order: int, vocabulary: int = VOCABULARY) -> DataFrame:
+    """The model of the counts of order `order`: (order, hi, lo, logp, backoff)."""
     counts = {order: materialize(top, "counts")}
     for k in range(order - 1, 0, -1):  # each distinct (k + 1)-gram is a left neighbour of its last k tokens
-        counts[k] = materialize(counts[k + 1].groupBy(F.col("key").bitwiseAND((1 << BITS * k) - 1).alias("key")).agg(F.count("*").alias("c")), "counts")
+        hi, lo = suffix(k)
+        counts[k] = materialize(counts[k + 1].groupBy(hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("c")), "counts")
     lower, model = None, None
     for k in range(1, order + 1):
         d = discounts(counts[k])
         off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        of = counts[k].withColumn("context", F.shiftright("key", BITS))
-        sums = of.groupBy("context").agg(F.sum("c").alias("total"), F.sum(off).alias("freed"))
-        joined = of.join(sums, "context").withColumn("weight", F.col("freed") / F.col("total"))
+        c_hi, c_lo = context(F.col("hi"), F.col("lo"))
+        of = counts[k].withColumns({"c_hi": c_hi, "c_lo": c_lo})
+        sums = of.groupBy("c_hi", "c_lo").agg(F.sum("c").alias("total"), F.sum(off).alias("freed"))
+        joined = of.join(sums, ["c_hi", "c_lo"]).withColumn("weight", F.col("freed") / F.col("total"))
         below = F.lit(1.0 / vocabulary)
         if lower is not None:
-            joined = joined.withColumn("suffix", F.col("key").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("below")), "suffix")
+            s_hi, s_lo = suffix(k - 1)
+            joined = joined.withColumns({"s_hi": s_hi, "s_lo": s_lo}).join(lower.select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.col("p").alias("below")), ["s_hi", "s_lo"])
             below = F.col("below")
-        p = materialize(joined.select("key", ((F.col("c") - off) / F.col("total") + F.col("weight") * below).alias("p")), "probabilities")
-        rows = p.select(F.lit(k).alias("order"), "key", F.log("p").alias("logp"))
-        contexts = sums.select(F.lit(k - 1).alias("order"), F.col("context").alias("key"), F.log(F.col("freed") / F.col("total")).alias("backoff"))
+        p = materialize(joined.select("hi", "lo", ((F.col("c") - off) / F.col("total") + F.col("weight") * below).alias("p")), "probabilities")
+        rows = p.select(F.lit(k).alias("order"), "hi", "lo", F.log("p").alias("logp"))
+        contexts = sums.select(F.lit(k - 1).alias("order"), F.col("c_hi").alias("hi"), F.col("c_lo").alias("lo"), F.log(F.col("freed") / F.col("total")).alias("backoff"))
         part = rows.withColumn("backoff", F.lit(None).cast("double")).unionByName(contexts.withColumn("logp", F.lit(None).cast("double")))
         model = part if model is None else model.unionByName(part)
         lower = p
-    return materialize(model.groupBy("order", "key").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), "model")
-
-
-class Table:
-    """Open addressing in arrays: looks up many packed n-grams at once."""
-
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 1.4).bit_length())
-        self.slots = np.full(1 << self.bits, -1, np.int64)
-        self.values = [np.zeros(1 << self.bits, np.float32) for _ in values]
-        left = np.arange(len(keys))
-        at = self._slot(keys)
-        while len(left):
-            free = self.slots[at] == -1
-            _, first = np.unique(at[free], return_index=True)  # one key for each free slot
-            put = np.flatnonzero(free)[first]
-            self.slots[at[put]] = keys[left[put]]
-            for mine, theirs in zip(self.values, values, strict=True):
-                mine[at[put]] = theirs[left[put]]
-            rest = np.ones(len(left), bool)
-            rest[put] = False
-            left, at = left[rest], (at[rest] + 1) & (len(self.slots) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 where it isn't held."""
-        at = self._slot(keys)
-        got = self.slots[at]
-        out = np.where(got == keys, at, -1)
-        open_ = np.flatnonzero((got != keys) & (got != -1))
-        at = at[open_]
-        while len(open_):
-            at = (at + 1) & (len(self.slots) - 1)
-            got = self.slots[at]
-            hit = got == keys[open_]
-            out[open_[hit]] = at[hit]
-            go = ~hit & (got != -1)
-            open_, at = open_[go], at[go]
-        return out
-
-
-class Shard:
-    """A shard of a model in a task. rows: arrays (key, logp, backoff) for each order, order 0 for the empty context."""
-
-    def __init__(self, rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], order: int):
-        self.order = order
-        self.unseen = float(np.nansum(rows[0][2])) - np.log(UNKNOWN + 1) if 0 in rows else -np.log(UNKNOWN + 1)
-        none = np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)
-        self.tables = {k: Table(*rows.get(k, none)) for k in range(1, order + 1)}
-
-    def logp(self, key: np.ndarray) -> np.ndarray:
-        """The log probability of the last token of each packed n-gram of the highest order: that of its longest
-        suffix seen, with the backoff weights of the contexts left behind. A context never seen weighs 1."""
-        total = np.zeros(len(key), np.float64)
-        todo = np.arange(len(key))
-        for k in range(self.order, 0, -1):
-            mine = key[todo] & ((1 << BITS * k) - 1)
-            at = self.tables[k].find(mine)
-            lp = self.tables[k].values[0][at]
-            seen = (at >= 0) & ~np.isnan(lp)
-            total[todo[seen]] += lp[seen]
-            todo = todo[~seen]
-            if not len(todo):
-                break
-            if k == 1:
-                total[todo] += self.unseen
-            else:
-                at = self.tables[k - 1].find(mine[~seen] >> BITS)
-                back = self.tables[k - 1].values[1][at]
-                total[todo] += np.where((at >= 0) & ~np.isnan(back), back, 0.0)
-        return total
-
-
-def shards_of(model: DataFrame, order: int, shard_rows: int = SHARD_ROWS) -> tuple[int, DataFrame]:
-    """How many shards the model takes, and its rows with `shard` (-1: in every shard)."""
-    n = model.count()
-    shards = max(1, -(-n // shard_rows))
-    # The two tokens before the last: of an n-gram, tokens -3 and -2; of a context, tokens -2 and -1. A row serves as both.
-    gram = F.pmod(F.xxhash64(F.shiftright("key", BITS).bitwiseAND((1 << 2 * BITS) - 1)), F.lit(shards))
-    context = F.pmod(F.xxhash64(F.col("key").bitwiseAND((1 << 2 * BITS) - 1)), F.lit(shards))
-    both = F.when(F.col("order") <= LOW, F.array(F.lit(-1))).otherwise(F.array_distinct(F.array(gram, context)))
-    return shards, model.withColumn("shard", F.explode(both) if shards > 1 else F.lit(-1).cast("long"))
-
-
-def shard_key(key: np.ndarray) -> np.ndarray:
-    return (key >> BITS) & ((1 << 2 * BITS) - 1)
-
-
-def score(docs: DataFrame, text_col: str, models: dict[str, DataFrame], order: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    return materialize(model.groupBy("order", "hi", "lo").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), "model")
+
+
+def looked_up(grams: DataFrame, model: DataFrame, name: str, order: int, vocabulary: int) -> DataFrame:
+    """`grams` (hi, lo, ...) with the log probability of the last token of each: that of its longest suffix seen, with
+    the backoff weights of the contexts left behind. A context never seen weighs 1."""
+    out = grams.withColumns({"sum_": F.lit(0.0), "done_": F.lit(False)})
+    for k in range(order, 0, -1):
+        hi, lo = suffix(k)
+        c_hi, c_lo = context(hi, lo)
+        seen = model.where((F.col("order") == k) & F.col("logp").isNotNull()).select(F.col("hi").alias("k_hi"), F.col("lo").alias("k_lo"), "logp")
+        left = model.where((F.col("order") == k - 1) & F.col("backoff").isNotNull()).select(F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), "backoff")
+        out = out.withColumns({"k_hi": hi, "k_lo": lo, "c_hi": c_hi, "c_lo": c_lo}).join(seen, ["k_hi", "k_lo"], "left").join(left, ["c_hi", "c_lo"], "left")
+        add = F.when(F.col("done_"), 0.0).otherwise(F.coalesce("logp", "backoff", F.lit(0.0)))
+        out = out.withColumns({"sum_": F.col("sum_") + add, "done_": F.col("done_") | F.col("logp").isNotNull()}).select(*grams.columns, "sum_", "done_")
+    return out.select(*grams.columns, (F.col("sum_") - F.when(F.col("done_"), 0.0).otherwise(math.log(vocabulary))).alias(name))
+
+
+def score(docs: DataFrame, text_col: str, models: dict[str, DataFrame], order: int, bucket_bytes: int = BUCKET_BYTES, vocabulary: int = VOCABULARY) -> DataFrame:
     """`docs` with n_tokens and, for each model, its sum of log probabilities over all characters of the text."""
-    spark = docs.sparkSession
-    dealt = {name: shards_of(m, order, shard_rows) for name, m in models.items()}
-    out = docs.withColumn("n_tokens", F.coalesce(F.length(text_col), F.lit(0)).cast("long"))
-    for name, (n, rows) in dealt.items():
-        out = out.withColumn(name, F.lit(0.0))
-        owner = None if n == 1 else _owners(models[name], n)
-        for s in range(n):
-            sent = spark.sparkContext.broadcast(_arrays(rows.where(F.col("shard").isin(-1, s))))
-            out = _add(out, text_col, name, sent, order, n, s, owner)
-    return out
-
-
-def _arrays(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A shard's arrays for each order. Tasks pack them, so that the driver gets 16 bytes a row and nothing else."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, g in b.groupby("order"):
-                yield pd.DataFrame([(k, g["key"].to_numpy(np.int64).tobytes(), g["logp"].to_numpy(np.float32).tobytes(), g["backoff"].to_numpy(np.float32).tobytes())], columns=["order", "key", "logp", "backoff"])
-
-    packed: dict[int, list] = {}
-    for r in rows.select("order", "key", F.col("logp").cast("float"), F.col("backoff").cast("float")).mapInPandas(pack, "order int, key binary, logp binary, backoff binary").toLocalIterator():
-        packed.setdefault(r.order, []).append((r.key, r.logp, r.backoff))
-    return {k: tuple(np.frombuffer(b"".join(p[j] for p in parts), kind) for j, kind in enumerate((np.int64, np.float32, np.float32))) for k, parts in packed.items()}
-
-
-def _owners(model: DataFrame, n: int):
-    """For several shards: the pairs of tokens of each shard, from the model's own rows."""
-    pairs = model.where(F.col("order") > LOW).select(F.explode(F.array(F.shiftright("key", BITS).bitwiseAND((1 << 2 * BITS) - 1), F.col("key").bitwiseAND((1 << 2 * BITS) - 1))).alias("k")).distinct()
-    held = pairs.select("k", F.pmod(F.xxhash64("k"), F.lit(n)).alias("s")).toPandas().sort_values("k")  # at most the vocabulary squared
-    return model.sparkSession.sparkContext.broadcast((held["k"].to_numpy(), held["s"].to_numpy()))
-
-
-def _add(df: DataFrame, text_col: str, name: str, sent, order: int, n: int, s: int, owner) -> DataFrame:
-    token = uuid.uuid4().hex
-
-    @F.pandas_udf("double")
-    def summed(text: pd.Series, before: pd.Series) -> pd.Series:
-        if token not in _SHARDS:
-            if len(_SHARDS) > 1:
-                _SHARDS.clear()
-            _SHARDS[token] = Shard(sent.value, order)
-        shard, out = _SHARDS[token], before.to_numpy(dtype=np.float64).copy()
-        for at, part in chunks(text.tolist()):
-            key, lengths = encode(part, order)
-            lp = np.zeros(len(key))
-            if n == 1:
-                lp = shard.logp(key)
-            else:
-                pair, (known, of) = shard_key(key), owner.value
-                where = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-                mine = np.where(known[where] == pair, of[where], pair % n) == s
-                lp[mine] = shard.logp(key[mine])
-            ends = np.concatenate([[0], np.cumsum(lp)])[np.concatenate([[0], np.cumsum(lengths)])]
-            out[at : at + len(part)] += np.diff(ends)
-        return pd.Series(out)
-
-    return df.withColumn(name, summed(F.col(text_col), F.col(name)))
+    buckets = max(1, -(-(docs.agg(F.sum(utf8_bytes(F.col(text_col)))).first()[0] or 0) // bucket_bytes))
+    bucket, names = free_name(docs, "bucket"), list(models)
+    dealt = docs.withColumn(bucket, F.pmod(F.xxhash64(*docs.columns), F.lit(buckets)))
+
+    def listed(texts: pa.Table) -> pa.Table:
+        at = texts.column(bucket)[0].as_py()
+        parts = list(_summed(iter([texts.column(text_col).to_pylist()]), order))
+        hi, lo, _ = distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return pa.table({"bucket": pa.array(np.full(len(hi), at, np.int64)), "hi": hi, "lo": lo})
+
+    texts = dealt.select(bucket, text_col).where(F.length(text_col) > 0)
+    lists = materialize(texts.groupBy(bucket).applyInArrow(listed, "bucket long, hi long, lo long"), "grams")
+    found = lists.select("hi", "lo").distinct()
+    for name in names:
+        found = materialize(looked_up(found, models[name], name, order, vocabulary), "looked_up")
+    release(docs.sparkSession)
+    rows = lists.join(found, ["hi", "lo"])
+    out = docs.withColumn("n_tokens", F.coalesce(F.length(text_col), F.lit(0)).cast("long")).withColumns({name: F.lit(0.0) for name in names})
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _sums(left.drop_columns([bucket]), right, text_col, names, order)
+
+    dealt = out.withColumn(bucket, F.pmod(F.xxhash64(*docs.columns), F.lit(buckets)))
+    return dealt.groupBy(bucket).cogroup(rows.groupBy("bucket")).applyInArrow(summed, out.schema)
+
+
+def _sums(docs: pa.Table, grams: pa.Table, text_col: str, names: list[str], order: int) -> pa.Table:
+    hi, lo = (grams.column(c).to_numpy() for c in ("hi", "lo"))
+    turn = 0
+    while len(np.unique(key := mixed(hi, lo, turn))) < len(hi):  # until no two n-grams of the bucket share a number
+        turn += 1
+    by = np.argsort(key)
+    key, values = key[by], [grams.column(n).to_numpy()[by] for n in names]
+    texts = docs.column(text_col).to_pylist()
+    sums = np.zeros((len(names), len(texts)))
+    for at, part in chunks(texts):
+        *gram, lengths = encode(part, order)
+        where = np.searchsorted(key, mixed(*gram, turn))
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        for j, v in enumerate(values):
+            sums[j, at : at + len(part)] = np.diff(np.concatenate([[0], np.cumsum(v[where])])[bounds])
+    for j, n in enumerate(names):
+        docs = docs.set_column(docs.schema.get_field_index(n), n, pa.array(sums[j]))
+    return docs
