@@ -230,6 +230,32 @@ def test_quality_thresholds_use_all_held_rows_and_labelled_junk(spark):
     assert ids.count() == 300 and 10 < ids.where("fit").count() < 60
 
 
+def test_scoring_sends_no_model_through_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"some text {i} 日本 \U0001f600") for i in range(20)], "i long, text string")
+    model = ngram.estimate(ngram.count(df, "text", 5), 5)
+    for of, name in ((type(df), "toLocalIterator"), (type(df), "toPandas"), (type(df), "collect"), (type(spark.sparkContext), "broadcast")):
+        monkeypatch.setattr(of, name, lambda *a, **k: pytest.fail("rows of the model on the driver"))
+    out = ngram.score(df, "text", {"lp": model}, 5)
+    monkeypatch.undo()
+    assert out.where("lp < 0").count() == 20
+
+
+def test_cross_entropy_takes_all_target_text_and_every_script(spark, tmp_path, monkeypatch):
+    a, b = "春夏秋冬山川草木", "東西南北上下左右"
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choices(a if i % 2 else b, k=200))) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = {r.doc_id: r.score for r in lmscore.difference(d, d.where("doc_id % 2 = 1")).collect()}
+    assert max(s for i, s in scored.items() if i % 2) + 1 < min(s for i, s in scored.items() if not i % 2)
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    d.selectExpr("doc_id", "1 AS quality", "0 AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("TRUSTED_DOCS", "FIT_DOCS"):
+        monkeypatch.setattr(quality, name, 5, raising=False)
+    monkeypatch.setattr(quality.trusted_ids, "__defaults__", (5,))
+    # with all documents trusted, both models are of the same text
+    assert all(r.score == pytest.approx(0, abs=1e-9) for r in lmscore.op9_lmscore(spark, str(tmp_path)).collect())
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<html>" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n\r\nÄ</html>"
     rows = [(3, "http://b/x?q=1#f", long), (1, "http://a/ \n", long), (2, None, "<p>short</p>"), (4, "http://c", "<p>short</p>"), (5, "u", None), (6, "u", ""), (7, "v", "y" * 150), (7, "v", "y" * 150), (None, "w", "y" * 150)]
