@@ -15,7 +15,8 @@ Text of kept nodes: character references are decoded, white space inside a block
 trimmed and joined by an empty line in page order. Nothing is dropped for its length.
 
 Edge cases: null or empty html gives the empty text, and so does a page without kept text. Html without any
-element is one block of text. Unclosed and misnested elements are closed where the next block demands it.
+element is one block of text. Unclosed and misnested elements are closed where the next block demands it;
+head ends at body or the first thing that can't be in it, and a button, select, object or the like without an end tag hides nothing.
 Repeated rows get equal results. Without any page to lend text, the layouts use the words of TAG_WORDS.
 """
 
@@ -44,6 +45,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SILENT = frozenset("script style textarea title xmp iframe noembed noframes head template noscript select button svg canvas object audio video map datalist".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+IN_HEAD = frozenset("title style script noscript template noframes".split())
 TAGS = ["html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "figure", "figcaption", "pre"]
 # Words in class, id and role that tell what a part of a page is for.
 WORDS = {
@@ -75,7 +77,31 @@ class Page:
         self.tag, self.parent, self.groups, self.runs = ["#root"], [-1], [set()], []
         stack, block, link, at = [0], 0, None, 0
 
+        def leave_head(all_: bool) -> None:
+            """Close head where its end tag is left out; with what is open in it for `all_`."""
+            nonlocal silent
+            heads = [k for k, i in enumerate(stack) if self.tag[i] == "head"]
+            if heads and (all_ or heads[-1] == len(stack) - 1):
+                silent -= sum(self.tag[i] in SILENT for i in stack[heads[0] :])
+                del stack[heads[0] :]
+
+        def unclosed(name: str) -> bool:
+            """No end tag of the element that begins here follows, or not before another that can't be inside it."""
+            if name in endless:
+                return True
+            tags = re.compile(f"<(/?){re.escape(name)}(?=[\\s/>])", re.I)
+            found = tags.search(source, at)
+            while found and not found[1] and name not in ("button", "select"):
+                found = tags.search(source, found.end())
+            if not found:
+                endless.add(name)
+            return not found or not found[1]
+
+        endless: set = set()
+
         def text(a: int, b: int) -> None:
+            if a < b and self.tag[stack[-1]] == "head" and source[a:b].strip():
+                leave_head(False)
             if a < b and self.tag[stack[-1]] not in SILENT and not silent:
                 t = source[a:b]
                 if t.strip():
@@ -110,6 +136,11 @@ class Page:
             if name in VOID:
                 block += name == "hr"
                 continue
+            if name == "body" or name not in IN_HEAD:
+                leave_head(name == "body")
+            if name in SILENT and name not in RAW and name != "head" and not m[3].rstrip().endswith("/") and unclosed(name):
+                block += 1
+                continue
             same, within = CLOSES.get(name, ({"p"}, set()))
             for depth in range(len(stack) - 1, 0, -1):
                 open_ = self.tag[stack[depth]]

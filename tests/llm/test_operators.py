@@ -267,6 +267,18 @@ def test_langid_floor_is_the_same_for_a_language_of_one_document(spark):
     assert set(few["lang"]) == {"en", "zz"} and len(few) <= 100 and (few["n"] == 0).sum() == 50
 
 
+def test_left_out_end_tags_lose_no_text():
+    runs = lambda html: " ".join(r[2].strip() for r in extract.Page(html).runs if r[2].strip())
+    assert runs("<html><head><title>x</title><body><p>text") == "text"
+    assert runs("<html><head><title>x</title><p>text<p>more") == "text more"
+    assert runs("<head><title>x</title>plain") == "plain"
+    assert runs("<head><noscript><style>a</style><body><p>text") == "text"
+    for name in ("button", "select", "object", "audio", "video", "svg"):
+        assert runs(f"<body><div><{name}><p>text</p></div><p>more").endswith("more") and "text" in runs(f"<body><{name}><p>text</p>")
+        assert runs(f"<body><{name}><p>label</p></{name}><p>text") == "text"
+    assert "text" in runs("<body><button>a<p>text</p><button>b</button>")
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<html>" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n\r\nÄ</html>"
     rows = [(3, "http://b/x?q=1#f", long), (1, "http://a/ \n", long), (2, None, "<p>short</p>"), (4, "http://c", "<p>short</p>"), (5, "u", None), (6, "u", ""), (7, "v", "y" * 150), (7, "v", "y" * 150), (None, "w", "y" * 150)]
