@@ -2,36 +2,47 @@
 
 A paragraph is a line with something other than white space, trimmed; its digest is a 64-bit hash. A document is
 the set of its paragraphs' digests. A sketch has three subtables; a digest falls into one cell of each. A cell
-holds how many digests fell into it, their exclusive or, and the exclusive or of a check hash of each.
+holds how many digests fell into it, their exclusive or, and the exclusive or of a check hash of each. A fingerprint
+is the sketch as a string: for each cell in use, in order, its number, count, digest and check, all in hex.
 
 Sketches of two versions subtract cell by cell, which leaves only the digests that differ. Peeling then takes
 one subtable at a time: a cell of count 1 or -1 whose check fits its digest gives that digest away, which
 leaves its other two cells. A pair of versions whose cells don't all empty in `ROUNDS` rounds has failed and is
-tried again with a sketch `GROWTH` times as large, until none is left. Within one subtable no digest is in
-two cells, so a round never removes a digest twice. Each round is an explode and an aggregation on the pair's
-key; all rows of a pair already lie in one partition, so rounds need no shuffle.
+tried again with sketches `GROWTH` times as large, until none is left; a pair that fails even with 64 cells a digest
+(digests that agree in all cells) is compared digest by digest. Within one subtable no digest is in
+two cells, so a round never removes a digest twice. Each round is an explode and an aggregation on pair and cell:
+small sketches are dealt out by pair once and peel without a shuffle, in partitions sized by their cells; those of
+`WIDE` cells and more are dealt out by cell in each round, so that one long document is the work of many tasks.
 
-Likeness is the Jaccard likeness of the two sets: from the sizes of both and the digests recovered on either
-side. Two empty sets are alike (1.0); an empty set and another aren't (0.0).
+Likeness is the Jaccard likeness of the two sets, from the sketches alone: the counts of a subtable add up to the size
+of a set, and peeling gives the digests on either side. Two empty sets are alike (1.0); an empty set and another aren't (0.0).
 
-Edge cases of the query: null text is the empty text. Rows are in order of doc_id, nulls first, and rows of equal
+Edge cases of the query: null text is the empty text, whose fingerprint is the empty string; very long texts are
+sketched and compared whole. Rows are in order of doc_id (a whole number), nulls first, and rows of equal
 doc_id in order of a hash of the text; repeated rows are rows of their own, so a copy's next may be its copy.
 The last row's next is the first. A table of one document is its own next. An empty table gives an empty result.
+Columns beside doc_id and text are left aside.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import free_name, materialize, table
 
 CELLS = 8
 GROWTH = 8
 ROUNDS = 5
 SUBTABLES = 3
+WIDE = 4096
+CELL_ROWS = 250_000
 BUCKET_BYTES = 16 << 20
+SPANS = 4096
+SKETCH = "array<struct<cell:bigint,n:bigint,x:bigint,c:bigint>>"
 
 
 def paragraphs(text: Column) -> Column:
@@ -46,67 +57,97 @@ def check(digest: Column) -> Column:
 
 def place(digest: Column, subtable: int, cells: int) -> Column:
     """The cell of a digest in a subtable, numbered through all subtables."""
-    return (F.pmod(F.xxhash64(F.lit(subtable), digest), F.lit(cells)) + subtable * cells).cast("int")
-
-
-def _spread(digest: Column, sign: Column, cells: int) -> Column:
-    return F.array(*[F.struct(place(digest, j, cells).alias("cell"), F.lit(None).cast("long").alias("found"), sign.cast("long").alias("n"), digest.alias("x"), check(digest).alias("c")) for j in range(SUBTABLES)])
+    return F.pmod(F.xxhash64(F.lit(subtable), digest), F.lit(cells).cast("long")) + F.lit(subtable * cells).cast("long")
 
 
 def _sum(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, "cell", "found").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
 
 
-def sketch(df: DataFrame, keys: list[str], digests: str, cells: int = CELLS) -> DataFrame:
+def cells_of(df: DataFrame, keys: list[str], digests: str, cells: int = CELLS) -> DataFrame:
     """A row (keys, cell, n, x, c) for each cell in use of the sketch of each row's `digests`; keys identify rows."""
-    one = df.select(*keys, F.explode(digests).alias("d")).select(*keys, F.inline(_spread(F.col("d"), F.lit(1), cells)))
-    return _sum(one, keys).drop("found")
+    d, none = F.col("d"), F.lit(None).cast("long")
+    spread = F.array(*[F.struct(place(d, j, cells).alias("cell"), none.alias("found"), F.lit(1).cast("long").alias("n"), d.alias("x"), check(d).alias("c")) for j in range(SUBTABLES)])
+    return _sum(df.select(*keys, F.explode(digests).alias("d")).select(*keys, F.inline(spread)), keys).drop("found")
 
 
-def serialize(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """A string for each sketch: cells in use in order, each its number, count, digest and check in hex."""
-    part = F.concat_ws("", F.lpad(F.hex("cell"), 2, "0"), F.lpad(F.hex("n"), 4, "0"), F.lpad(F.hex("x"), 16, "0"), F.lpad(F.substring(F.hex("c"), -8, 8), 8, "0"))
-    return cells.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", part.alias("p")))), lambda s: s["p"]), "").alias("fingerprint"))
+def packed(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sketch): the cells of each sketch as an array in order of the cell; an empty set has no row."""
+    return cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cell", "n", "x", "c"))).alias("sketch"))
 
 
-def subtract(pairs: DataFrame, keys: list[str], a: str, b: str, cells: int) -> DataFrame:
-    """Cells of the sketch of `a` minus that of `b`, for each row; cells that empty stay out."""
-    both = F.concat(F.transform(a, lambda d: F.struct(d.alias("d"), F.lit(1).alias("s"))), F.transform(b, lambda d: F.struct(d.alias("d"), F.lit(-1).alias("s"))))
-    rows = pairs.select(*keys, F.inline(both)).select(*keys, F.inline(_spread(F.col("d"), F.col("s"), cells)))
-    return _sum(rows, keys).where("n <> 0 OR x <> 0 OR c <> 0")
+def serialized(sketch: Column) -> Column:
+    """A sketch as a string, cells divided by `;` and their numbers by `:`, so that no two sketches share one."""
+    part = lambda s: F.concat_ws(":", *[F.lower(F.hex(s[c])) for c in ("cell", "n", "x", "c")])
+    return F.array_join(F.transform(sketch, part), ";")
 
 
-def peel(cells_df: DataFrame, keys: list[str], cells: int, rounds: int = ROUNDS) -> DataFrame:
-    """For each pair: a_only and b_only, the numbers of digests recovered on either side, and left, the cells that didn't empty."""
-    df = cells_df
+def size_of(sketch: Column, cells: int = CELLS) -> Column:
+    """How many digests a sketch holds: each is in one cell of the first subtable."""
+    return F.aggregate(F.filter(sketch, lambda s: s["cell"] < cells), F.lit(0).cast("long"), lambda a, s: a + s["n"])
+
+
+def subtract(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells (keys, cell, found, n, x, c) of the sketches `a` minus those of `b`, both as rows of cells; cells that empty stay out."""
+    both = a.select(*keys, "cell", "n", "x", "c").unionByName(b.select(*keys, "cell", (-F.col("n")).alias("n"), "x", "c"))
+    return _sum(both.withColumn("found", F.lit(None).cast("long")), keys).where("n <> 0 OR x <> 0 OR c <> 0")
+
+
+def peel(df: DataFrame, keys: list[str], cells: int, rounds: int = ROUNDS) -> DataFrame:
+    """Cells after peeling: rows with `found` hold a digest recovered, n tells its side (1 or -1); other rows are cells that didn't empty."""
     for r in range(rounds * SUBTABLES):
         j = r % SUBTABLES
         pure = F.col("found").isNull() & F.col("cell").between(j * cells, (j + 1) * cells - 1) & (F.abs("n") == 1) & (F.col("c") == check(F.col("x"))) & (F.col("cell") == place(F.col("x"), j, cells))
-        struct = lambda cell, found, n, x, c: F.struct(cell.alias("cell"), found.alias("found"), n.alias("n"), x.alias("x"), c.alias("c"))
+        struct = lambda cell, found, n, x, c: F.struct(cell.cast("long").alias("cell"), found.alias("found"), n.alias("n"), x.alias("x"), c.alias("c"))
         none = F.lit(None).cast("long")
         out = [struct(place(F.col("x"), i, cells), none, -F.col("n"), F.col("x"), F.col("c")) for i in range(SUBTABLES) if i != j]
         peeled = F.array(struct(F.lit(-1), F.col("x"), F.col("n"), F.lit(0).cast("long"), F.lit(0).cast("long")), *out)
         kept = F.array(struct(F.col("cell"), F.col("found"), F.col("n"), F.col("x"), F.col("c")))
         df = _sum(df.select(*keys, F.inline(F.when(pure, peeled).otherwise(kept))), keys).where("found IS NOT NULL OR n <> 0 OR x <> 0 OR c <> 0")
+    return df
+
+
+def recovered(peeled: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, digest, side): the digests that peeling recovered; side is `a` or `b`."""
+    return peeled.where("found IS NOT NULL AND n <> 0").select(*keys, F.col("found").alias("digest"), F.when(F.col("n") > 0, "a").otherwise("b").alias("side"))
+
+
+def tally(peeled: DataFrame, keys: list[str]) -> DataFrame:
+    """For each pair: a_only and b_only, the numbers of digests recovered on either side, and left, the cells that didn't empty."""
     of_side = lambda s: F.count_if(F.col("found").isNotNull() & (F.col("n") == s)).alias("a_only" if s > 0 else "b_only")
-    return df.groupBy(*keys).agg(of_side(1), of_side(-1), F.count_if(F.col("found").isNull()).alias("left"))
+    return peeled.groupBy(*keys).agg(of_side(1), of_side(-1), F.count_if(F.col("found").isNull()).alias("left"))
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """`df` in partitions by `keys`, of about CELL_ROWS of the `rows` rows that it is going to have."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // CELL_ROWS)), *keys)
 
 
-def differences(pairs: DataFrame, keys: list[str], a: str, b: str, cells: int = CELLS, growth: int = GROWTH) -> DataFrame:
-    """For each row of `pairs` (keys identify it): a_only and b_only, from the smallest sketch that peels wholly.
+def differences(pairs: DataFrame, keys: list[str], a: str, b: str, a_sketch: str | None = None, b_sketch: str | None = None, cells: int = CELLS, growth: int = GROWTH) -> DataFrame:
+    """For each row of `pairs` (keys identify it; a and b are sets of digests): a_only and b_only, from the smallest
+    sketches that peel wholly. The first are taken from the columns a_sketch and b_sketch, where given.
 
     Retries are written to the shared folder, so each works on what failed before and on nothing else."""
-    todo, done = pairs.select(*keys, a, b), None
+    todo, done, given = pairs, None, a_sketch is not None
     while True:
-        # Dealt out once by key; the sketches and all rounds of peeling then group rows where they lie.
-        peeled = peel(subtract(todo.repartition(*keys), keys, a, b, cells), keys, cells)
-        tried = materialize(todo.select(*keys).join(peeled, keys, "left").fillna(0, ["a_only", "b_only", "left"]), "peeled")
+        sizes = [F.size(c) for c in (a_sketch, b_sketch)] if given else [SUBTABLES * F.size(c) for c in (a, b)]
+        rows, largest = todo.agg(F.sum(sizes[0] + sizes[1]), F.max(F.greatest(F.size(a), F.size(b)))).first()
+        if cells > 64 * max(CELLS, largest or 0):
+            last = todo.select(*keys, *[F.size(F.array_except(x, y)).cast("long").alias(n) for x, y, n in ((a, b, "a_only"), (b, a, "b_only"))])
+            return last if done is None else done.unionByName(last)
+        todo = dealt(todo, keys, rows or 0) if cells * SUBTABLES < WIDE else todo
+        if given:
+            sides = [todo.select(*keys, F.inline(c)) for c in (a_sketch, b_sketch)]
+        else:
+            sides = [cells_of(todo, keys, c, cells) for c in (a, b)]
+        counts = tally(peel(subtract(*sides, keys), keys, cells), keys)
+        tried = materialize(todo.select(*keys).join(counts, keys, "left").fillna(0, ["a_only", "b_only", "left"]), "peeled")
         good = tried.where("left = 0").drop("left")
         done = good if done is None else done.unionByName(good)
         bad = tried.where("left > 0").select(*keys)
         if bad.isEmpty():
             return done
-        todo, cells = materialize(pairs.select(*keys, a, b).join(bad, keys, "left_semi"), "retry"), cells * growth
+        todo, cells, given = materialize(pairs.select(*keys, a, b).join(bad, keys, "left_semi"), "retry"), cells * growth, False
 
 
 def likeness(a_size: Column, b_size: Column, a_only: Column, b_only: Column) -> Column:
@@ -118,25 +159,37 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = B
     """`docs` with next_text, the text of the next row in order of (id, hash of the text), the first after the last.
 
     Rows go to buckets of ascending ids of about `bucket_bytes` of text: approximate quantiles of the id, each cut
-    into equal ranges; null ids, which come first, go by the hash. A row finds its next in its bucket; the last
-    of a bucket finds it in a table of the first row of each bucket. The text is shuffled once."""
-    i, h, size = F.col(id_col), F.xxhash64(text_col), F.octet_length(text_col)
-    total, least, most = docs.agg(F.sum(size), F.min(i), F.max(i)).first()
-    cuts = sorted({int(c) for c in docs.select(id_col).where(i.isNotNull()).approxQuantile(id_col, [k / 64 for k in range(1, 64)], 0.005)}) if most is not None else []
+    into equal ranges. Null ids, which come first, and an id that holds two quantiles are cut by the hash. A row finds
+    its next in its bucket; the last of a bucket finds it in a table of the first row of each bucket. The text is
+    shuffled once. next_text replaces an input column of that name."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == "next_text"])
+    h, bucket, ahead, last = (free_name(docs, c) for c in ("h", "bucket", "ahead", "last"))
+    i, text = F.col(id_col), F.col(text_col)
+    total, least, most = docs.agg(F.sum(F.octet_length(text)), F.min(i), F.max(i)).first()
+    found = [int(c) for c in docs.select(id_col).where(i.isNotNull()).approxQuantile(id_col, [k / 64 for k in range(1, 64)], 0.005)] if most is not None else []
+    hot = [c for c, n in Counter(found).items() if n > 1]
+    cuts = sorted({*found, *[c + 1 for c in hot]})
     lows, highs = [least or 0, *cuts], [*cuts, (most or 0) + 1]
-    parts = max(1, -(-(total or 0) // (bucket_bytes * len(lows))))
-    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>"), lambda c: c <= i))
-    low, high = (F.element_at(F.array(*[F.lit(c).cast("long") for c in x]), at + 1) for x in (lows, highs))
-    within = F.least(F.lit(parts - 1), F.floor((i - low) / F.greatest(F.lit(1), high - low) * parts)).cast("long")
-    bucket = F.when(i.isNull(), F.shiftright(h, 58) - 64).otherwise(at * parts + within)
-    rows = docs.withColumn("h", h).withColumn("bucket", bucket)
-    first = rows.groupBy("bucket").agg(F.min_by(text_col, F.struct(F.coalesce(i, F.lit(0)).alias("i"), "h")).alias("first_text"))
-    first = materialize(first, "firsts")
-    numbers = sorted(r["bucket"] for r in first.select("bucket").collect())  # a number for each bucket
-    before = docs.sparkSession.createDataFrame([(b, numbers[k - 1]) for k, b in enumerate(numbers)], "bucket long, before long")
-    after = first.join(before, "bucket").select(F.col("before").alias("bucket"), "first_text")
-    ahead = F.lead(text_col).over(Window.partitionBy("bucket").orderBy(i.asc_nulls_first(), "h"))
-    return rows.withColumn("ahead", ahead).join(after, "bucket").withColumn("next_text", F.coalesce("ahead", "first_text")).drop("h", "bucket", "ahead", "first_text")
+    parts = min(SPANS, max(1, -(-(total or 0) // (bucket_bytes * min(len(lows), 64)))))
+    longs = lambda x: F.array(*[F.lit(c).cast("long") for c in x]) if x else F.array().cast("array<long>")
+    at = F.size(F.filter(longs(cuts), lambda c: c <= i))
+    low, high = (F.element_at(longs(x), at + 1) for x in (lows, highs))
+    by_id = F.least(F.lit(parts - 1), F.floor((i - low) / F.greatest(F.lit(1), high - low) * parts))
+    by_hash = F.shiftright(F.col(h), 52) + SPANS // 2  # in the order of the hash
+    within = F.when(i.isNull() | F.array_contains(longs(hot), i.cast("long")), by_hash).otherwise(by_id).cast("long")
+    rows = docs.withColumn(h, F.xxhash64(text)).withColumn(bucket, F.when(i.isNull(), F.lit(0)).otherwise(at + 1).cast("long") * SPANS + within)
+    place = F.struct(F.coalesce(i, F.lit(0)).alias("i"), F.col(h).alias("h"))
+    first = materialize(rows.groupBy(F.col(bucket).alias("b")).agg(F.min_by(text, place).alias("first_text")), "firsts")
+    # The bucket after each: the next of its span, or the first of the next span; spans are a few dozen.
+    numbers = first.select("b", F.floor(F.col("b") / SPANS).alias("span"))
+    heads = numbers.groupBy("span").agg(F.min("b").alias("head"))
+    heads = heads.select("span", F.coalesce(F.lead("head").over(Window.orderBy("span")), F.min("head").over(Window.partitionBy())).alias("head"))
+    after = numbers.withColumn("a", F.lead("b").over(Window.partitionBy("span").orderBy("b"))).join(heads, "span").select(F.coalesce("a", "head").alias("a"), F.col("b").alias(last))
+    after = after.join(first.withColumnRenamed("b", "a"), "a").select(last, "first_text")
+    w = Window.partitionBy(bucket).orderBy(i.asc_nulls_first(), h)
+    rows = rows.withColumn(ahead, F.lead(F.struct(text.alias("t"))).over(w))
+    out = rows.join(after, (F.col(bucket) == F.col(last)) & F.col(ahead).isNull(), "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col(ahead).isNull(), F.col("first_text")).otherwise(F.col(ahead)["t"]).alias("next_text"))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,14 +197,20 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     half = F.expr("CAST(length(text) DIV 2 AS INT)")
     rows = with_next(docs, "doc_id", "text").withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edited"), paragraphs(F.col("next_text")).alias("next_set"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[paragraphs(F.col(c)).alias(v) for c, v in (("text", "own"), ("edited", "edited"), ("next_text", "next"))])
     rows = materialize(rows.withColumn("k", F.monotonically_increasing_id()), "digests")
-    versions = rows.select("k", F.inline(F.array(*[F.struct(F.lit(v).alias("v"), F.col(c).alias("set")) for v, c in ((0, "own"), (1, "edited"))]))).repartition("k")
-    prints = serialize(sketch(versions, ["k", "v"], "set"), ["k", "v"]).groupBy("k").agg(*[F.max(F.when(F.col("v") == v, F.col("fingerprint"))).alias(c) for v, c in ((0, "fingerprint"), (1, "edited_fingerprint"))])
-    pairs = rows.select("k", "own", F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.col(c).alias("other")) for p, c in ((0, "edited"), (1, "next_set"))])))
-    near = differences(pairs, ["k", "p"], "own", "other").groupBy("k").agg(*[F.max(F.when(F.col("p") == p, F.struct("a_only", "b_only"))).alias(f"d{p}") for p in (0, 1)])
-    like = lambda other, d: likeness(F.size("own"), F.size(other), F.col(f"{d}.a_only"), F.col(f"{d}.b_only"))
-    return rows.join(prints, "k", "left").join(near, "k").select(
-        "doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
-        like("edited", "d0").alias("near_edited"), like("next_set", "d1").alias("near_next"),
+    sets = ["own", "edited", "next"]
+    total = rows.agg(F.sum(sum((F.size(c) for c in sets), F.lit(0)))).first()[0] or 0
+    versions = dealt(rows.select("k", *sets), ["k"], SUBTABLES * total).select("k", F.inline(F.array(*[F.struct(F.lit(v).alias("v"), F.col(v).alias("set")) for v in sets])))
+    sketches = packed(cells_of(versions, ["k", "v"], "set"), ["k", "v"]).groupBy("k").agg(*[F.max(F.when(F.col("v") == v, F.col("sketch"))).alias(f"{v}_sketch") for v in sets])
+    none = F.array().cast(SKETCH)
+    rows = rows.join(sketches, "k", "left").withColumns({f"{v}_sketch": F.coalesce(f"{v}_sketch", none) for v in sets})
+    rows = materialize(rows, "sketches")
+    pairs = rows.select("k", "own", "own_sketch", F.inline(F.array(*[F.struct(F.lit(v).alias("p"), F.col(v).alias("other"), F.col(f"{v}_sketch").alias("other_sketch")) for v in sets[1:]])))
+    near = differences(pairs, ["k", "p"], "own", "other", "own_sketch", "other_sketch").groupBy("k").agg(*[F.max(F.when(F.col("p") == v, F.struct("a_only", "b_only"))).alias(f"d_{v}") for v in sets[1:]])
+    size = {v: size_of(F.col(f"{v}_sketch")) for v in sets}
+    like = lambda v: likeness(size["own"], size[v], F.col(f"d_{v}.a_only"), F.col(f"d_{v}.b_only"))
+    return rows.join(near, "k").select(
+        "doc_id", "n_chars", "edited_sha256", serialized(F.col("own_sketch")).alias("fingerprint"), serialized(F.col("edited_sketch")).alias("edited_fingerprint"),
+        like("edited").alias("near_edited"), like("next").alias("near_next"),
     )
