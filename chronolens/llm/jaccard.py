@@ -21,8 +21,9 @@ words, nothing). Two documents link when den * intersection >= num * union.
    as it has members, not their square.
 
 Edge cases: null or empty text, or text of white space, has 0 shingles and is a class of its own. Repeated rows
-are in one class. A null id never names a class while the class has another id. Ties of ids are equal ids. An
-empty table gives an empty result.
+are in one class. A null id never names a class while the class has another id. Ties of ids are equal ids. A very long
+text has as many shingles as it has; it is compared whole. An empty table gives an empty result. Other columns pass through
+keep_one() as they are, whatever their names; link() reads none of them. Of rows equal in id and text one stays, whichever.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, most_frequent, release, remove, table
+from .common import free_name, materialize, most_frequent, release, remove, table
 
 CROWD = 32
 HOT = 24
@@ -108,6 +109,19 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """16 bytes for a row's id and text, so that copies of a text under other ids meet in no join; a null id differs from all others."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.concat(F.lit("v"), id_.cast("string")), F.lit("n")), F.md5(F.coalesce(text, F.lit(""))))))
+
+
+def with_sum(rows: DataFrame, key: str, name: str, value: Column | None = None) -> DataFrame:
+    """`rows` with the sum of `value`, or the number of rows, of their key, where it is over 1.
+
+    Tasks sum before the shuffle and the join splits frequent keys, so no key is one task's work as in a window."""
+    sums = rows.groupBy(key).agg(F.sum(value if value is not None else F.lit(1)).alias(name)).where(F.col(name) > 1)
+    return rows.join(sums, key)
+
+
 def frequent(docs: DataFrame, text_col: str, k: int, num: int, den: int, hot: int = HOT, max_hot: int = MAX_HOT) -> np.ndarray:
     """The shingles that come up in the first parts of most sets, a prefix and a quarter long, counted over all documents."""
 
@@ -124,7 +138,7 @@ def frequent(docs: DataFrame, text_col: str, k: int, num: int, den: int, hot: in
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """For each document: id, tk (md5 of the text), n, digest of the set, and its prefix."""
+    """For each document: id, rk (of id and text), n, digest of the set, and its prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     @F.pandas_udf("n int, digest binary, prefix array<long>")
@@ -142,7 +156,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, de
         return pd.DataFrame(rows, columns=["n", "digest", "prefix"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("tk"), sign(text).alias("s")).select("id", "tk", "s.n", "s.digest", "s.prefix")
+    return docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), text).alias("rk"), sign(text).alias("s")).select("id", "rk", "s.n", "s.digest", "s.prefix")
 
 
 def rare_first(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -155,8 +169,8 @@ def rare_first(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 n = np.array([len(s) for s in sets], dtype=np.int32)
                 yield pd.DataFrame({"node": np.repeat(b["node"].iloc[at : at + 500].to_numpy(), n), "n": np.repeat(n, n), "token": np.concatenate(sets)})
 
-    rows = texts.select("node", "text").mapInPandas(shingles, "node long, n int, token long")
-    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("token")))
+    rows = materialize(texts.select("node", "text").mapInPandas(shingles, "node long, n int, token long"), "shingles")
+    counted = rows.join(rows.groupBy("token").agg(F.count("*").alias("df")), "token")
     placed = counted.withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("df", "token")) - 1)
     length = F.col("n") - F.expr(f"(n * {num} + {den} - 1) DIV {den}") + 1
     return placed.where((F.col("pos") < length) & (F.col("df") > 1)).select("token", F.col("node").alias("gid"), "n", "pos")
@@ -178,9 +192,10 @@ def star_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
     postings: token, gid, node (a member of the group), comp (its class), n, weight. The heaviest represents the
     posting: of a text and its edited copies, that is the text."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).alias("band")
-    one = postings.groupBy("token", band, "comp").agg(F.min(F.struct((-F.col("weight")).alias("o"), F.col("node"), F.col("n"))).alias("m"))
-    rep = F.min(F.struct("m", "comp")).over(Window.partitionBy("token", "band"))
-    pairs = one.withColumn("r", rep).where(F.col("r.comp") != F.col("comp"))
+    heaviest = F.struct((-F.col("weight")).alias("o"), F.col("node"), F.col("n"))
+    one = postings.groupBy("token", band, "comp").agg(F.min(heaviest).alias("m"))
+    rep = postings.groupBy("token", band).agg(F.min(F.struct(heaviest.alias("m"), F.col("comp"))).alias("r"))
+    pairs = one.join(rep, ["token", "band"]).where(F.col("r.comp") != F.col("comp"))
     return pairs.where(near_size(F.col("m.n"), F.col("r.m.n"), num, den)).select(F.least("m.node", "r.m.node").alias("a"), F.greatest("m.node", "r.m.node").alias("b")).distinct()
 
 
@@ -191,8 +206,8 @@ def group_pairs(postings: DataFrame, num: int, den: int, first: bool = False) ->
     before which nothing is shared, and is not counted at the others.
 
     postings: token, gid, comp, n, pos, before (shared shingles before this one), aside (prefix shingles in postings set aside)."""
-    w = Window.partitionBy("token")
-    mixed = postings.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").drop("lo", "hi")
+    tokens = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    mixed = postings.join(tokens, "token", "left_semi")
     x, y = (mixed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("gid", "comp", "n", "pos", "before", "aside")]) for s in "xy")
     need = F.ceil((F.col("x_n") + F.col("y_n")) * F.lit(num) / F.lit(num + den) - 1e-9)
     # Of the shingles before a shared one, only those in postings can be shared too; after it, as many as the smaller rest.
@@ -245,37 +260,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, crowd: int = CROWD) -> DataFrame:
-    """A row for each document: id, tk, n_shingles, component_id (the smallest id of its class) and node (the class, null without words)."""
+    """A row for each document: id, rk, n_shingles, component_id (the smallest id of its class) and node (the class, null without words)."""
     spark = docs.sparkSession
     signed = materialize(signatures(docs, id_col, text_col, k, num, den, frequent(docs, text_col, k, num, den)), "signatures")
-    found = materialize(signed.select("id", "tk", "n", "digest"), "documents")
-    nodes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    found = materialize(signed.select("id", "rk", "n", "digest"), "documents")
+    of_set = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rk"))).alias("r")
+    nodes = signed.where("n > 0").groupBy("digest").agg(of_set, F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("digest", "r.id", "r.rk", "n", "prefix")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("gk", F.unhex(F.md5(F.concat_ws(",", "n", F.col("prefix").cast("array<string>"))))), "prefixes")
     remove(spark, signed)
     release(spark)
     groups = materialize(nodes.groupBy("gk").agg(F.min("node").alias("gid"), F.count("*").alias("members")), "groups")
     met = nodes.select(F.col("node").alias("gid"), "n", "prefix").join(groups.select("gid", "members"), "gid").select("gid", "n", "members", F.posexplode("prefix").alias("pos", "token"))
-    met = materialize(met.withColumn("of", F.sum("members").over(Window.partitionBy("token"))).where("of > 1").drop("members"), "met")
-    prefixes, nodes = nodes, materialize(nodes.select("digest", "id", "tk", "n", "node", "gk"), "nodes")
+    met = materialize(with_sum(met, "token", "of", F.col("members")).drop("members"), "met")
+    prefixes, nodes = nodes, materialize(nodes.select("digest", "id", "rk", "n", "node", "gk"), "nodes")
     remove(spark, prefixes)
     release(spark)
 
     aside = F.count_if(F.col("of") > crowd).over(Window.partitionBy("gid"))
     met = materialize(postings_of(met).withColumn("aside", aside), "postings")
     gids = met.groupBy("gid").agg((F.max("aside") > 0).alias("crowded"))  # also groups of several members alone in their postings
-    members = materialize(nodes.join(groups.select("gk", "gid"), "gk").join(gids, "gid").select("gid", "node", "tk", "crowded"), "members")
+    members = materialize(nodes.join(groups.select("gk", "gid"), "gk").join(gids, "gid").select("gid", "node", "rk", "crowded"), "members")
     of_group = members.withColumn("comp", F.col("gid"))
     pairs = members_of(group_pairs(met.where(F.col("of") <= crowd).withColumn("comp", F.col("gid")), num, den), of_group)
     small = members.join(groups.where((F.col("members") > 1) & (F.col("members") <= crowd)).select("gid"), "gid", "left_semi")
     inside = small.select("gid", F.col("node").alias("a")).join(small.select("gid", F.col("node").alias("b")), "gid").where("a < b").select("a", "b")
     pairs = materialize(pairs.union(inside).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.where("crowded").select("node")).distinct()
-    whole = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("tk"), F.col(text_col).alias("text"))
-    texts = whole.join(members.join(wanted, "node").select("tk", "node", "crowded"), "tk").withColumn("copy", F.row_number().over(Window.partitionBy("tk").orderBy("tk"))).where("copy = 1")
-    texts = materialize(texts.select("node", "text", "crowded"), "texts")
+    whole = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
+    texts = whole.join(members.join(wanted, "node").select("rk", "node", "crowded"), "rk")  # one row of each set, but for repeated rows
+    texts = materialize(texts.groupBy("rk").agg(*[F.first(c).alias(c) for c in ("node", "text", "crowded")]).drop("rk"), "texts")
     release(spark)
 
-    rare = rare_first(texts.where("crowded"), k, num, den).withColumn("of", F.count("*").over(Window.partitionBy("token"))).where("of > 1")
+    rare = with_sum(materialize(rare_first(texts.where("crowded"), k, num, den), "rare"), "token", "of")
     rare = materialize(postings_of(rare).withColumn("aside", F.lit(0)).withColumn("node", F.col("gid")), "postings")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(star_pairs(rare.withColumn("comp", F.col("node")), num, den)).distinct()
     edges = materialize(verify(first, texts, k, num, den), "links")
@@ -290,22 +306,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     of_node = nodes.select("digest", "node", "id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = of_node.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = of_node.join(names, "comp").select("digest", F.col("comp").alias("node"), "component_id")
-    return found.select("id", "tk", "n", "digest").join(named, "digest", "left").select(
-        "id", "tk", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "node"
+    return found.join(named, "digest", "left").select(
+        "id", "rk", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "node"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one row of each class: that with the smallest id (nulls last), then text digest; documents without words stay."""
-    classes = materialize(link(docs, id_col, text_col, **options).select("id", "tk", "node"), "membership")
-    first = classes.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("tk"))).alias("f")).select("f.id", "f.tk")
-    kept = first.withColumn("bare", F.lit(False)).union(classes.where("node IS NULL").select("id", "tk").distinct().withColumn("bare", F.lit(True)))
-    tk, bare = "_tk_of_text", "_without_words"
-    keyed = docs.withColumn(tk, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    kept = kept.select(F.col("tk").alias(tk), F.col("id").alias("_kept_id"), F.col("bare").alias(bare))
-    joined = keyed.join(kept, tk).where(F.col(id_col).eqNullSafe(F.col("_kept_id")))
-    copy = F.row_number().over(Window.partitionBy(tk, id_col).orderBy(id_col))
-    return joined.withColumn("_copy", copy).where(F.col(bare) | (F.col("_copy") == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` with one row of each class: that with the smallest id (nulls last), then the smallest hash of id and text; documents without words stay."""
+    key, bare = free_name(docs, "row_key"), free_name(docs, "bare")
+    classes = materialize(link(docs, id_col, text_col, **options).select("id", "rk", "node"), "membership")
+    first = classes.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rk"))).alias("f")).select("f.rk")
+    kept = first.withColumn(bare, F.lit(False)).union(classes.where("node IS NULL").select("rk").distinct().withColumn(bare, F.lit(True))).withColumnRenamed("rk", key)
+    joined = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col))).join(kept, key)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.where(~F.col(bare)).dropDuplicates([key]).select(*columns).unionByName(joined.where(bare).select(*columns))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
