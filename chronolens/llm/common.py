@@ -14,9 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a local session gets a
+    folder of its own; on a cluster, whose machines share no local folder, it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return f"{found.rstrip('/')}/chronolens"
 
