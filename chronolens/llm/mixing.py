@@ -3,8 +3,9 @@
 A source's mean repetition rate is its target weight times the budget, over the size of the source. For each
 document a uniform number comes from a hash of (seed, doc_id, text) and is looked up in the inverted Poisson
 distribution of that mean: the count is the number of values of the cumulative distribution below it. A
-document is exploded by its count, and all copies are dealt out and sorted by a seeded hash of document and
-copy, which shuffles them globally.
+document is exploded by its count, and all copies are dealt out and sorted by a seeded hash of document, copy and
+the row's number in the table, which shuffles them globally, equal rows too. The number is that of the row in its
+partition: where a task may run again on rows in another order, as after a shuffle, write the table first.
 
 Without given weights, source s of size n_s weighs n_s ** temperature (0.7), as in multilingual mixing. The
 budget is the size of the whole table unless given. Sizes are rows or UTF-8 bytes.
@@ -15,7 +16,7 @@ distribution is held to 12 standard deviations above the mean, where what is lef
 500 are split: the whole number part above 500 repeats outright and the rest is drawn.
 
 Edge cases: null sources are a source of their own. Null, empty and very long texts are documents like any
-other. Equal rows draw equal counts. A weight of 0, or a source without a weight when weights are given, gives
+other. Equal rows draw equal counts, and their copies lie apart in the global order. A weight of 0, or a source without a weight when weights are given, gives
 no copies. An empty table gives an empty result. Columns of the input pass through; `copy`, `rate` and
 `shuffle_key` replace input columns of that name.
 """
@@ -71,22 +72,23 @@ def mix(
 ) -> DataFrame:
     """`docs`, each row `copy` times from 1 on, with its source's `rate` and the `shuffle_key` of the global order."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {"copy", "rate", "shuffle_key"}])
-    columns, cdf, whole, u = docs.columns, *(free_name(docs, c) for c in ("cdf", "whole", "u"))
+    columns, cdf, whole, u, row = docs.columns, *(free_name(docs, c) for c in ("cdf", "whole", "u", "row"))
     of = (
         rates(docs, source, weights, budget, size, temperature)
         .withColumn(whole, F.when(F.col("rate") > LARGE, F.floor(F.col("rate") - LARGE)).otherwise(0).cast("int"))
         .withColumn(cdf, cumulative(F.col("rate") - F.col(whole)))
     )
     # Drawn below the join, so that it is computed once a document and not once a value of the distribution.
-    drawn = docs.withColumn(u, uniform(F.lit(str(seed)), F.col(key).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    drawn = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(u, uniform(F.lit(str(seed)), F.col(key).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     n = F.col(whole) + F.size(F.filter(F.col(cdf), lambda c: c <= F.col(u)))
     if of.count() <= MAX_BROADCAST:  # rows of about 300 bytes
         of = F.broadcast(of)
     out = (
         drawn.join(of, drawn[source].eqNullSafe(of["mix_source"]))
         .where(F.col("rate") > 0)
-        .select(*columns, "rate", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("copy"))
-        .withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(key), F.col(text_col), F.col("copy")))
+        .select(*columns, row, "rate", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("copy"))
+        .withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(key), F.col(row), F.col("copy")))
+        .drop(row)
     )
     return out.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key") if shuffle else out
 
