@@ -7,12 +7,14 @@ once; a match's place in the normalised text maps back to word numbers and to co
 original text.
 
 The automaton goes to the executors only up to `max_bytes` of windows. A larger benchmark is dealt into
-blocks of whole items below that size, each with an automaton of its own, and the texts pass through the
-blocks one after the other without a shuffle; the result doesn't depend on the number of blocks.
+blocks of whole items below that size, each with an automaton of its own. The texts pass through the
+blocks one after the other without a shuffle and are written with what was found after each, so that a worker holds
+one automaton and the driver one block at a time; the result doesn't depend on the number of blocks.
 
 Edge cases: null or empty text, or text without words, has no words, no hit and no items. An item
 without words, or null, never matches. Items that repeat an item_id count once. Repeated rows each get
-their own result. Columns of the input pass through; result columns replace input columns of that name.
+their own result. A very long text is scanned whole, in one pass. Empty documents give an empty result. Columns of the input
+pass through; result columns replace input columns of that name.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table
+from .common import free_name, materialize, remove, table
 
 WINDOW = 10
 MAX_BYTES = 64 << 20
@@ -120,8 +122,15 @@ def decontaminate(
     found = docs.drop(*[c for c in docs.columns if c.lower() in {"n_words", "n_hit", "n_items", "items", "contaminated", "hit_spans"} and c != text_col])
     columns = found.columns
     found = found.withColumn(state, F.lit(None).cast(STATE))
-    for block in list(blocks(benchmark, item_id, item_text, max_bytes)) or [[]]:
-        found = _pass(spark, found, block, text_col, state, n)
+    rest = blocks(benchmark, item_id, item_text, max_bytes)
+    block, written = next(rest, []), None
+    while block is not None:
+        found, block = _pass(spark, found, block, text_col, state, n), next(rest, None)
+        if block is not None:  # the next block's automaton meets the texts in tasks of its own
+            found, done = materialize(found, "scanned"), written
+            written = found
+            if done is not None:
+                remove(spark, done)
     s = F.col(state)
     out = found.select(*columns, s["n_words"].alias("n_words"), F.size(s["hit"]).cast("long").alias("n_hit"), F.size(s["items"]).cast("long").alias("n_items"), s["items"].alias("items"), (F.size(s["hit"]) > 0).alias("contaminated"), *([s["hit"].alias(state)] if spans else []))
     if spans:
