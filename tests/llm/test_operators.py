@@ -90,6 +90,9 @@ def test_mixing_meets_weights_and_repeats_itself(spark, docs, empty):
     heavy = mixing.mix(docs, weights={"a": 1}, budget=50_000.0).groupBy("doc_id", "text").agg(F.count("*").alias("n"), F.first("rate").alias("rate")).collect()
     assert all(r.rate > 500 for r in heavy) and abs(np.mean([r.n / r.rate for r in heavy if r.doc_id != 3]) - 1) < 0.2
     assert mixing.mix(empty).count() == 0
+    equal = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"), F.lit(0.5).alias("rate"), F.lit("c").alias("cdf"))
+    keys = mixing.mix(equal, budget=8000.0)  # equal rows aren't one partition's
+    assert keys.select("shuffle_key").distinct().count() == keys.count() and keys.columns == ["doc_id", "text", "source", "cdf", "rate", "copy", "shuffle_key"]
 
 
 def test_mixing_counts_follow_the_poisson_distribution(spark):
@@ -108,7 +111,38 @@ def test_sharding_moves_rows_only_into_a_new_shard(docs, rows, empty, tmp_path):
     again = sharding.shard(docs.repartition(7), bucket_bytes=500).select("doc_id", "text", "shard", "slot").collect()
     assert same([(r.doc_id, r.text, r.shard, r.slot) for r in got], [tuple(r) for r in again])
     assert sharding.shard(empty).count() == 0
-    assert sharding.write_shards(docs, str(tmp_path / "s")).count() == len(rows)
+    keys = [(r.doc_id, r.shard, r.grown_shard) for r in got]
+    assert same([(i, s, g) for i, _, _, s, g in sharding.brute([r[:2] for r in rows])], keys)
+
+
+def test_written_shards_hold_slots_in_order_and_split_repeated_rows(spark, docs, rows, empty, tmp_path):
+    import pyarrow.parquet as pq
+
+    many = docs.unionByName(docs.where("doc_id = 3").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("copy"))
+    path = tmp_path / "s"
+    found = sharding.write_shards(many, str(path), bucket_bytes=2000)
+    total = len(rows) + 2000 * sum(r[0] == 3 for r in rows)
+    assert found.count() == total and {"shard", "slot", "grown_shard", "bucket", "lang", "source", "state"} <= set(found.columns)
+    hot = found.where("doc_id = 3").groupBy("bucket").count().collect()
+    assert len(hot) > 20 and max(r["count"] for r in hot) < 400  # the copies of a row are many buckets
+    for s in range(8):
+        slots = [r.slot for r in found.where(f"shard = {s}").select("slot").collect()]
+        assert sorted(slots) == list(range(len(slots)))
+        for f in (path / f"shard={s}").glob("*.parquet") if slots else []:
+            t = pq.ParquetFile(f).read().to_pydict()
+            assert t["slot"] == sorted(t["slot"])
+            for b in set(t["bucket"]):  # a bucket is whole and without a gap
+                of = [x for x, y in zip(t["slot"], t["bucket"], strict=True) if y == b]
+                assert of == list(range(of[0], of[0] + len(of)))
+    assert sharding.write_shards(empty, str(tmp_path / "e")).count() == 0
+    empty.write.parquet(str(tmp_path / "q/documents.parquet"))
+    assert sharding.op8_sharding(spark, str(tmp_path / "q")).count() == 0
+
+
+def test_sharding_query_is_brute_force(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.doc_id, r["size"], r.text_crc32, r.shard, r.grown_shard) for r in sharding.op8_sharding(spark, str(tmp_path)).collect()]
+    assert same(got, sharding.brute([r[:2] for r in rows]))
 
 
 def test_fingerprints_recover_differences(spark, docs):
