@@ -1,150 +1,241 @@
 """Language identification by words, backing off to character n-grams for words never seen.
 
-Fitting. Words and the character n-grams (1 to 4, over the word with a blank at either end) of labelled texts
-are counted per language; counts are summed in each task before the shuffle. The fit reads a bounded sample of
-labelled documents: about `fit_docs` of each of the MAX_LANGS most frequent languages, chosen by a hash of the text. The model holds the
-at most `max_words` (language, word) pairs, the most frequent of each language, and as many n-grams, which bounds what is sent to executors.
+Fitting. A word is a run of letters and marks, lower-cased. Words and their character n-grams (1 to 4, over the word with
+a blank at either end) of labelled texts are counted per language; counts are summed in each task before the shuffle. The
+fit reads a bounded sample of labelled documents, chosen by a hash: about `fit_docs` of each language, and about `FIT_TOTAL`
+in all, shared equally where there are many languages, so no language is left out. Every word and n-gram of the sample is
+in the model, unless `max_words` asks for the most frequent of each language alone. A word or n-gram is known by a
+64-bit hash, so the model is arrays of numbers: for each word and n-gram, the languages that have it and their log frequencies.
 
 Scoring. A known word scores its log relative frequency in each language. An unknown word scores by its
 longest n-grams of which any is known: the mean log relative frequency of those n-grams. A language that
 lacks the word or n-gram gets a floor, the same for all languages. A document adds its words' scores; the prediction is the best language
 and the score its share in a softmax of the mean score per word over at most `EVIDENCE` words. Scoring covers
-every word of the whole text.
+every word of the whole text, in pieces of about a million characters; a batch of texts is scored at once.
 
 Edge cases: null text, empty text and text without a letter are `und` with score 0. Ties go to the language
-that sorts first. Without any labelled row every text is `und`. Null labels aren't learned from. Repeated rows
-get equal results. Columns of the input pass through; lang_pred and score replace input columns of that name.
+that sorts first. Without any labelled row every text is `und`, and without texts there is no row. Null labels aren't
+learned from. Repeated rows get equal results. Very long texts are read whole. Columns of the input pass through; lang_pred
+and score replace input columns of that name.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import free_name, table
 
 FIT_DOCS = 8_000
-MAX_LANGS = 1_000
-MAX_WORDS = 200_000
+FIT_TOTAL = 64_000
 ORDERS = (4, 3, 2, 1)
 EVIDENCE = 30
 UND = "und"
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
-_LETTER = regex.compile(r"\p{L}")
+_PIECE = 1 << 20
+_BREAK = re.compile(r"[\s\d]")
+_U = np.uint64
 _MODELS: dict = {}
 
 
-def words_of(text: str | None) -> Counter:
-    found = Counter(_WORD.findall(text.lower())) if text else Counter()
-    return found if any(_LETTER.search(w) for w in found) else Counter()
-
-
-def grams(word: str, n: int) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word)
-
-
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS) -> pd.DataFrame:
-    """The model's rows (lang, n, token, count): n is 0 for words, else the n-gram's length."""
-    docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    of = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not of:
-        return pd.DataFrame({"lang": [], "n": [], "token": [], "c": []})
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, fit_docs / r["count"])) for r in of], "lang string, share double")
-    chosen = docs.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text")
+@cache
+def _classes() -> np.ndarray:
+    """For each code point: 2 for a letter, 1 for a mark, else 0."""
+    return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], dtype=np.uint8)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> _U(33))
+
+
+def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts in lower case as code points, about _PIECE at a time, with the number of the text of each; texts end in a line break."""
+    held, of, size = [], [], 0
+    for i, t in enumerate(texts):
+        at, t = 0, t.lower() if t else ""
+        while at < len(t):
+            end = len(t)
+            if end - at > _PIECE and (cut := _BREAK.search(t, at + _PIECE)):
+                end = cut.start() + 1
+            held.append(t[at:end] + "\n")
+            of.append(i)
+            size += end - at + 1
+            at = end
+            if size > _PIECE:
+                yield _joined(held, of)
+                held, of, size = [], [], 0
+    if held:
+        yield _joined(held, of)
+
+
+def _joined(held: list[str], of: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return codes, np.repeat(np.array(of), [len(t) for t in held])
+
+
+class Words:
+    """The words of a piece: the text of each, its hash, and its place among the code points."""
+
+    def __init__(self, codes: np.ndarray, of: np.ndarray):
+        kind = _classes()[codes]
+        edge = np.diff(np.concatenate([[0], (kind > 0).view(np.int8), [0]]).astype(np.int8))
+        self.codes, self.start, self.end = codes, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.of = of[self.start]
+        self.lettered = np.unique(of[kind == 2])
+        n = self.end - self.start
+        spread, at = _ranges(n)
+        h = np.zeros(len(n), _U)
+        place = _mix(codes[self.start[spread] + at].astype(_U) + (at.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
+        if len(n):
+            h = np.add.reduceat(place, np.concatenate([[0], np.cumsum(n)[:-1]]))
+        self.hash = _mix(h + n.astype(_U))
+
+    def grams(self, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash) of the n-grams of the words `which`; with blanks at either end, but for single characters."""
+        pad = int(n > 1)
+        length = self.end[which] - self.start[which] + 2 * pad
+        count = np.maximum(0, length - n + 1)
+        word, at = _ranges(count)
+        h = np.zeros(len(word), _U)
+        for j in range(n):
+            k = self.start[which][word] + at + j - pad
+            inside = (k >= self.start[which][word]) & (k < self.end[which][word])
+            h = _mix(h + np.where(inside, self.codes[np.where(inside, k, 0)], 32).astype(_U) * _U(2 * j + 3))
+        return word, h
+
+
+def _ranges(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0..n[0]-1, 0..n[1]-1, ... in one array, and before it the number of the range of each."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _counted(texts: list[str]) -> Iterator[pd.DataFrame]:
+    """(n, token, c) of the words (n is 0) and n-grams of texts of one language, in parts."""
+    for piece in pieces(texts):
+        words = Words(*piece)
+        words_in = np.isin(words.of, words.lettered)
+        token, first, c = np.unique(words.hash[words_in], return_index=True, return_counts=True)
+        first = np.flatnonzero(words_in)[first]
+        yield pd.DataFrame({"n": 0, "token": token.view(np.int64), "c": c})
+        for n in ORDERS:
+            word, h = words.grams(first, n)
+            token, of = np.unique(h, return_inverse=True)
+            yield pd.DataFrame({"n": n, "token": token.view(np.int64), "c": np.bincount(of, c[word], len(token)).astype(np.int64)})
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, max_words: int | None = None, total: int = FIT_TOTAL) -> pd.DataFrame:
+    """The model's rows (lang, n, token, c): n is 0 for words, else the n-gram's length; token is a hash."""
+    pick = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(1_000_003))
+    docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), pick.alias("pick"))
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("size"))
+    each = max(1, min(fit_docs, total // max(1, sizes.count())))
+    chosen = docs.join(sizes.select("lang", (F.lit(float(each)) / F.col("size")).alias("share")), "lang").where(F.col("pick") < F.col("share") * 1_000_003).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, Counter] = {}
+        held: list[pd.DataFrame] = []
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                seen.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, seen.values())) > 300_000:
-                yield from counted(seen)
-                seen = {}
-        yield from counted(seen)
-
-    def counted(seen: dict[str, Counter]) -> Iterator[pd.DataFrame]:
-        for lang, found in seen.items():
-            parts = [Counter() for _ in range(5)]
-            parts[0] = found
-            for w, c in found.items():
-                for n in ORDERS:
-                    for g in grams(w, n):
-                        parts[n][g] += c
-            for n, part in enumerate(parts):
-                yield pd.DataFrame({"lang": lang, "n": n, "token": list(part), "c": list(part.values())})
-
-    sums = chosen.mapInPandas(count, "lang string, n int, token string, c long").groupBy("lang", "n", "token").agg(F.sum("c").alias("c")).persist()
-    top = lambda words: most_frequent_of_each(sums.where((F.col("n") == 0) if words else (F.col("n") > 0)), max_words).toPandas()
-    model = pd.concat([top(True), top(False)], ignore_index=True).sort_values(["lang", "n", "token"], ignore_index=True)
-    sums.unpersist()
-    return model
-
-
-def most_frequent_of_each(sums: DataFrame, limit: int) -> DataFrame:
-    """The most frequent rows of each language, at most `limit` in all: as many for each, or all where a language has fewer."""
-    sizes = sorted(r["count"] for r in sums.groupBy("lang").count().collect())  # MAX_LANGS rows at most
-    each, left = limit, limit
-    for i, size in enumerate(sizes):
-        each = left // (len(sizes) - i)
-        if size > each:
-            break
-        left -= size
-        each = size
-    order = Window.partitionBy("lang").orderBy(F.desc("c"), "n", "token")
-    return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).drop("rank")
+            for lang, texts in b.groupby("lang", sort=False)["text"]:
+                for part in _counted(texts.tolist()):
+                    held.append(part.assign(lang=lang))
+                    if sum(map(len, held)) > 1_500_000:
+                        held = [pd.concat(held).groupby(["lang", "n", "token"], as_index=False)["c"].sum()]
+                        if len(held[0]) > 750_000:
+                            yield held.pop()[["lang", "n", "token", "c"]]
+        if held:
+            yield pd.concat(held).groupby(["lang", "n", "token"], as_index=False)["c"].sum()[["lang", "n", "token", "c"]]
+
+    sums = chosen.mapInPandas(count, "lang string, n int, token long, c long").groupBy("lang", "n", "token").agg(F.sum("c").alias("c"))
+    if max_words is not None:
+        kind = (F.col("n") > 0).alias("grams")
+        order = Window.partitionBy("lang", kind).orderBy(F.desc("c"), "n", "token")
+        sums = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_words).drop("rank")
+    rows = sums.toPandas()  # bounded by the sample; numbers but for the language
+    return rows.assign(lang=rows["lang"].astype("category"), n=rows["n"].astype("int8"))
 
 
 class Scorer:
-    """The model in a task: a row of log relative frequencies for each known word and n-gram."""
+    """The model in a task: for each length, sorted hashes, and for each of them the languages that have it with their log
+    frequency above the floor. The floor itself, the same for all languages, changes no prediction and no score."""
 
     def __init__(self, model: pd.DataFrame):
         self.langs = sorted(model["lang"].unique())
         at = {x: i for i, x in enumerate(self.langs)}
-        self.rows: list[dict[str, np.ndarray]] = []
+        self.levels = []
         for n in range(5):
             part = model[model["n"] == n]
-            lang = part["lang"].map(at).to_numpy(dtype=int)
-            c = part["c"].to_numpy(dtype=float)
+            lang, c = part["lang"].map(at).to_numpy(dtype=np.int64), part["c"].to_numpy(dtype=float)
             totals = np.bincount(lang, c, minlength=len(self.langs)) + 1.0
-            token, which = np.unique(part["token"].to_numpy(dtype=object), return_inverse=True) if len(part) else (np.array([], dtype=object), np.array([], dtype=int))
-            m = np.full((len(token), len(self.langs)), 0.5 / totals.max(initial=1.0))  # one floor, so that no language gains by its size
-            m[which, lang] = c / totals[lang]
-            m = np.log(m)
-            self.rows.append(dict(zip(token, m, strict=True)))
-        self.cache: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        if (row := self.rows[0].get(w)) is not None:
-            return row
-        if (row := self.cache.get(w)) is None:
-            row = np.zeros(len(self.langs))
-            for n in ORDERS:
-                if known := [r for g in grams(w, n) if (r := self.rows[n].get(g)) is not None]:
-                    row = np.mean(known, axis=0)
-                    break
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            self.cache[w] = row
-        return row
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        found = words_of(text)
-        if not found or not self.langs:
-            return UND, 0.0
-        total = np.fromiter(found.values(), float, len(found)) @ np.array([self.word(w) for w in found])
-        n = sum(found.values())
-        x = total / n * min(n, EVIDENCE)
-        best = int(np.argmax(x))
-        return self.langs[best], float(1.0 / np.exp(x - x[best]).sum())
+            above = np.log(c / totals[lang]) - np.log(0.5 / totals.max(initial=1.0))
+            token = part["token"].to_numpy(dtype=np.int64).view(_U)
+            by = np.lexsort((lang, token))
+            key, first = np.unique(token[by], return_index=True)
+            self.levels.append((key, np.append(first, len(by)), lang[by].astype(np.int32), above[by].astype(np.float32)))
+
+    def _found(self, n: int, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among those known, or -1."""
+        key = self.levels[n][0]
+        if not len(key):
+            return np.full(len(h), -1)
+        k = np.minimum(np.searchsorted(key, h), len(key) - 1)
+        return np.where(key[k] == h, k, -1)
+
+    def _entries(self, n: int, which: np.ndarray, place: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which, language, value) for each language of each known token."""
+        _, first, lang, above = self.levels[n]
+        part, at = _ranges(first[place + 1] - first[place])
+        k = first[place][part] + at
+        return which[part], lang[k], above[k] * weight[part]
+
+    def _rows(self, words: Words, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The entries of distinct words with hash h, each given by the number of its first occurrence."""
+        place = self._found(0, h)
+        known = np.flatnonzero(place >= 0)
+        out, left = [self._entries(0, known, place[known], np.ones(len(known)))], np.flatnonzero(place < 0)
+        for n in ORDERS:
+            if not len(left):
+                break
+            word, g = words.grams(first[left], n)
+            place = self._found(n, g)
+            seen = place >= 0
+            m = np.bincount(word[seen], minlength=len(left))
+            out.append(self._entries(n, left[word[seen]], place[seen], 1.0 / m[word[seen]]))
+            left = left[m == 0]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Prediction and score of each text."""
+        langs = max(1, len(self.langs))
+        total, n, lettered = np.zeros((len(texts), langs)), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for piece in pieces(texts):
+            words = Words(*piece)
+            lettered[words.lettered] = True
+            if not len(words.hash) or not self.langs:
+                continue
+            h, first, of = np.unique(words.hash, return_index=True, return_inverse=True)
+            which, lang, value = self._rows(words, first, h)
+            by = np.argsort(which, kind="stable")
+            begin = np.searchsorted(which[by], np.arange(len(h) + 1))
+            part, at = _ranges(begin[of + 1] - begin[of])
+            k = by[begin[of][part] + at]
+            low, texts_in = words.of[0], words.of[-1] - words.of[0] + 1
+            total[low : low + texts_in] += np.bincount((words.of[part] - low) * langs + lang[k], value[k], texts_in * langs).reshape(texts_in, langs)
+            n[low : low + texts_in] += np.bincount(words.of - low, minlength=texts_in)
+        x = total / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE)[:, None]
+        best = x.argmax(axis=1)
+        share = 1.0 / np.exp(x - x[np.arange(len(x)), best][:, None]).sum(axis=1) if len(x) else np.zeros(0)
+        given = lettered & (n > 0) & bool(self.langs)
+        return [self.langs[b] if g else UND for b, g in zip(best, given, strict=True)], [float(s) if g else 0.0 for s, g in zip(share, given, strict=True)]
 
 
 def identify(docs: DataFrame, model: pd.DataFrame, text_col: str = "text") -> DataFrame:
@@ -156,11 +247,12 @@ def identify(docs: DataFrame, model: pd.DataFrame, text_col: str = "text") -> Da
         if name not in _MODELS:
             _MODELS.clear()
             _MODELS[name] = Scorer(sent.value)
-        return pd.DataFrame([_MODELS[name].score(t) for t in text], columns=["lang_pred", "score"])
+        lang, score = _MODELS[name].score(text.tolist())
+        return pd.DataFrame({"lang_pred": lang, "score": score})
 
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {"lang_pred", "score"}])
-    taken = "_".join(["found", *docs.columns])[:200]
-    return docs.withColumn(taken, predict(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{taken}`.lang_pred").alias("lang_pred"), F.col(f"`{taken}`.score").alias("score"))
+    found = free_name(docs, "found")
+    return docs.withColumn(found, predict(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{found}`.lang_pred").alias("lang_pred"), F.col(f"`{found}`.score").alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -296,9 +296,72 @@ def test_langid_floor_is_the_same_for_a_language_of_one_document(spark):
     train = [(" ".join(rng.choices(known, k=100)), "en") for _ in range(200)] + [("xyzzy plugh", "zz")]
     model = langid.fit(spark.createDataFrame(train, "text string, lang string"))
     scorer = langid.Scorer(model)
-    assert all(scorer.score(t)[0] == lang for t, lang in train)
+    assert scorer.score([t for t, _ in train])[0] == [lang for _, lang in train]
     few = langid.fit(spark.createDataFrame(train, "text string, lang string"), max_words=50)
-    assert set(few["lang"]) == {"en", "zz"} and len(few) <= 100 and (few["n"] == 0).sum() == 50
+    assert set(few["lang"]) == {"en", "zz"} and (few["n"] == 0).sum() == 52
+
+
+def langid_brute(train, texts, evidence=langid.EVIDENCE):
+    """Word frequencies with backoff to n-grams, in dictionaries of strings."""
+    from collections import Counter, defaultdict
+
+    import regex
+
+    words_of = lambda t: regex.findall(r"[\p{L}\p{M}]+", t.lower()) if t and regex.search(r"\p{L}", t) else []
+    grams = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)
+    counts = defaultdict(Counter)
+    for t, lang in train:
+        for w in words_of(t) if lang is not None else []:
+            counts[0, lang][w] += 1
+            for n in (4, 3, 2, 1):
+                counts[n, lang].update(grams(w, n))
+    langs = sorted({lang for _, lang in counts})
+    total = {n: {x: sum(counts[n, x].values()) + 1 for x in langs} for n in range(5)}
+    known = {n: set().union(*[counts[n, x] for x in langs]) for n in range(5)} if langs else {}
+    row = lambda n, g: np.array([np.log(counts[n, x][g] / total[n][x] if g in counts[n, x] else 0.5 / max(total[n].values())) for x in langs])
+    out = []
+    for t in texts:
+        x = np.zeros(len(langs))
+        w = words_of(t)
+        for word in w if langs else []:
+            if word in known[0]:
+                x += row(0, word)
+                continue
+            for n in (4, 3, 2, 1):
+                if some := [g for g in grams(word, n) if g in known[n]]:
+                    x += np.mean([row(n, g) for g in some], axis=0)
+                    break
+        if not w or not langs:
+            out.append(("und", 0.0))
+        else:
+            x = x / len(w) * min(len(w), evidence)
+            out.append((langs[int(x.argmax())], 1 / np.exp(x - x.max()).sum()))
+    return out
+
+
+def test_langid_is_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 7)))
+    of = {"aa": "abcdé", "bb": "cdefß", "cc": "हिन्दीक", "dd": "日本語文"}
+    train = [(" ".join(word(of[lang]) for _ in range(rng.randint(1, 30))) + "! 12", lang) for lang in of for _ in range(15)] + [("nothing", None), (None, "aa"), ("", "bb")] + [("twice the same", "aa")] * 2
+    tests = [" ".join(word(rng.choice(list(of.values()))) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", "12 !", "\u0301 3", "ÀÉ CDE", "x", "zzzz qqqq", "İstanbul", train[0][0], train[0][0]]
+    tests.append(" ".join(word("abcdé") for _ in range(3000)))  # longer than a piece
+    monkeypatch.setattr(langid, "_PIECE", 500)
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"))
+    lang, score = langid.Scorer(model).score(tests)
+    for t, a, b in zip(tests, zip(lang, score, strict=True), langid_brute(train, tests), strict=True):
+        assert a[1] == pytest.approx(b[1], abs=1e-4), t
+        assert a[0] == b[0] or b[1] < 0.51, t
+
+
+def test_langid_query_is_brute_force(spark, docs, rows, empty, tmp_path):
+    docs.write.parquet(str(tmp_path / "a/documents.parquet"))
+    fold = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    want = langid_brute([(r[1], r[2]) for r in rows if not fold(r[0])], [r[1] for r in rows])
+    got = langid.op6_langid(spark, str(tmp_path / "a")).collect()
+    assert same([(r.doc_id, r.held_out, r.lang_pred, round(r.score, 3)) for r in got], [(r[0], fold(r[0]), lang, round(float(s), 3)) for r, (lang, s) in zip(rows, want, strict=True)])
+    empty.write.parquet(str(tmp_path / "b/documents.parquet"))
+    assert langid.op6_langid(spark, str(tmp_path / "b")).count() == 0
 
 
 def test_left_out_end_tags_lose_no_text():
