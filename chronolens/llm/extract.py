@@ -1,23 +1,27 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded along the tree.
 
-A page is parsed into block elements (inline elements belong to the block around them). A node's features are its
-tag, words in its class, id and role, and those of its ancestors, its depth, the density of text, links and
-punctuation in its subtree, its share of its parent and of the page, and its place among its siblings. The trees
+A page is parsed into block elements (inline elements belong to the block around them), in time linear in its length. A node's
+features are its tag, the tokens of its class, id and role and those of its ancestors, its depth, the density of text, links and
+punctuation in its subtree, its share of its parent and of the page, and its place among its siblings and the long texts among
+them. Attribute tokens are hashed: a token counts by the character n-grams that it has in one of `BUCKETS` buckets, each with a
+weight learned from one half of the layouts, so names like those seen count as well. The trees learn from the other half, and
 give each node the log odds of holding main text. Decoding chooses keep or drop for all nodes at once so that
 the summed log odds are greatest and nothing is kept below a dropped node.
 
-The trees are fitted to pages of known structure: a bounded sample of `FIT_PAGES` pages, chosen by a hash of url and
-page_id, lends its paragraphs and phrases, and these are set into `TRAIN_PAGES` layouts drawn by a seeded generator
-(menus, headers, notices, adverts, sidebars, forms, share bars, comments and footers, named and nested in many ways,
-around and inside the article). Labels follow from the layout.
+Weights and trees are fitted to pages of known structure: a bounded sample of `FIT_PAGES` pages, chosen by a hash of url and
+html, lends its paragraphs and phrases, and these are set into `TRAIN_PAGES` layouts drawn by a seeded generator
+(menus, headers, notices, adverts, sidebars, forms, share bars, comments and footers, nested in many ways,
+around and inside the article). Names come from `NAMES`, in several languages, or say nothing. Labels follow from the layout.
 
 Text of kept nodes: character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by an empty line in page order. Nothing is dropped for its length.
 
 Edge cases: null or empty html gives the empty text, and so does a page without kept text. Html without any
 element is one block of text. Unclosed and misnested elements are closed where the next block demands it;
-head ends at body or the first thing that can't be in it, and a button, select, object or the like without an end tag hides nothing.
-Repeated rows get equal results. Without any page to lend text, the layouts use the words of TAG_WORDS.
+head ends at body or the first thing that can't be in it, and a button, select, object or the like without an end tag hides
+nothing. A tag without an end is markup up to the end of the page. Very long pages are parsed whole. Repeated rows get equal
+results. An empty table gives an empty result. Without any page to lend text, the layouts use the words of TAG_WORDS. Columns of
+the input pass through; text and n_chars replace input columns of that name.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -32,11 +38,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 FIT_PAGES = 300
-TRAIN_PAGES = 700
-TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
+TRAIN_PAGES = 1500
+TREES, DEPTH, RATE, BINS = 80, 4, 0.2, 32
 SEED = 1234
 
 # Elements of HTML by their role in parsing.
@@ -47,26 +53,27 @@ SILENT = frozenset("script style textarea title xmp iframe noembed noframes head
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 IN_HEAD = frozenset("title style script noscript template noframes".split())
 TAGS = ["html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "figure", "figcaption", "pre"]
-# Words in class, id and role that tell what a part of a page is for.
-WORDS = {
-    "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion banner adsense dfp",
-    "notice": "cookie cookies consent gdpr notice alert popup modal overlay dialog privacy banner message warning",
-    "menu": "nav navigation navbar menu breadcrumb breadcrumbs pagination pager toc skip links tabs",
-    "header": "header masthead top topbar logo branding site",
-    "footer": "footer foot bottom copyright legal colophon credits",
-    "side": "sidebar side aside rail widget widgets related recommended popular trending more teaser",
-    "comment": "comment comments commentlist disqus reply replies discussion respond responses reader thread",
-    "form": "form search newsletter subscribe signup login register input contact",
-    "share": "share sharing social follow tweet facebook buttons tools print",
-    "content": "article content main post entry story body text page prose copy",
+# Names that sites give to the parts of a page, for the layouts of the fit.
+NAMES = {
+    "advert": "ad ads advert advertisement sponsor sponsored promo promotion banner adsense dfp werbung anzeige publicite pub publicidad anuncio reclame",
+    "notice": "cookie cookies consent gdpr notice alert popup modal overlay dialog privacy hinweis datenschutz avis aviso bandeau",
+    "menu": "nav navigation navbar menu breadcrumb pagination pager toc links tabs menue navi hauptmenue sommaire menú navegacion",
+    "header": "header masthead top topbar logo branding kopf kopfzeile entete cabecera",
+    "footer": "footer foot bottom copyright legal colophon credits fuss fusszeile impressum pied mentions pie",
+    "side": "sidebar side aside rail widget related recommended popular trending more teaser seitenleiste rechts aehnlich colonne lateral relacionados",
+    "comment": "comment comments commentlist disqus reply replies discussion respond thread kommentar kommentare commentaires comentarios opiniones forum",
+    "form": "form search newsletter subscribe signup login register contact suche anmeldung recherche buscar kontakt",
+    "share": "share sharing social follow tweet facebook tools print teilen partager compartir",
+    "content": "article content main post entry story body text page prose copy artikel inhalt beitrag contenu texte contenido articulo noticia",
 }
-GROUPS = list(WORDS)
-_GROUP_OF = {w: [g for g in GROUPS if w in WORDS[g].split()] for g in GROUPS for w in WORDS[g].split()}
 TAG_WORDS = ["page", "site", "more", "news", "read", "home", "about", "contact", "today", "report", "people", "work", "year", "world", "story", "city"]
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_CUT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+BUCKETS = 4096
+LONG = 80  # characters of a long text
+_TAG = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""[>"']""")
+_ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
+_CUT = re.compile(r"[\W\d_]+|(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?]")
 
 
@@ -74,106 +81,174 @@ class Page:
     """The block elements of a page in order, and its runs of text: (block number, node, text, in a link)."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.groups, self.runs = ["#root"], [-1], [set()], []
-        stack, block, link, at = [0], 0, None, 0
-
-        def leave_head(all_: bool) -> None:
-            """Close head where its end tag is left out; with what is open in it for `all_`."""
-            nonlocal silent
-            heads = [k for k, i in enumerate(stack) if self.tag[i] == "head"]
-            if heads and (all_ or heads[-1] == len(stack) - 1):
-                silent -= sum(self.tag[i] in SILENT for i in stack[heads[0] :])
-                del stack[heads[0] :]
-
-        def unclosed(name: str) -> bool:
-            """No end tag of the element that begins here follows, or not before another that can't be inside it."""
-            if name in endless:
-                return True
-            tags = re.compile(f"<(/?){re.escape(name)}(?=[\\s/>])", re.I)
-            found = tags.search(source, at)
-            while found and not found[1] and name not in ("button", "select"):
-                found = tags.search(source, found.end())
-            if not found:
-                endless.add(name)
-            return not found or not found[1]
-
-        endless: set = set()
-
-        def text(a: int, b: int) -> None:
-            if a < b and self.tag[stack[-1]] == "head" and source[a:b].strip():
-                leave_head(False)
-            if a < b and self.tag[stack[-1]] not in SILENT and not silent:
-                t = source[a:b]
-                if t.strip():
-                    self.runs.append((block, stack[-1], _html.unescape(t), link is not None))
-                elif self.runs and self.runs[-1][0] == block:
-                    self.runs.append((block, stack[-1], " ", link is not None))
-
-        silent, find = 0, _TOKEN.search
-        while m := find(source, at):
-            text(at, m.start())
-            at = m.end()
-            name = (m[2] or "").lower()
-            if not name:
-                continue
-            if name in INLINE:
-                if name == "a":
-                    link = None if m[1] else len(stack)
-                elif name == "br" and self.runs:
-                    self.runs.append((block, stack[-1], " ", False))
-                continue
-            if m[1]:
-                if name in [self.tag[i] for i in stack]:
-                    while True:
-                        gone = self.tag[stack.pop()]
-                        silent -= gone in SILENT
-                        if gone == name:
-                            break
-                    if link is not None and link > len(stack):
-                        link = None
-                    block += 1
-                continue
-            if name in VOID:
-                block += name == "hr"
+        self.tag, self.parent, self.tokens, self.runs = ["#root"], [-1], [()], []
+        self.source, self.stack, self.at_depth, self.silent = source, [0], {}, 0
+        self.block, self.link = 0, None
+        self._marks: dict[str, tuple[list[int], list[int]]] = {}
+        at, quotes = 0, {'"', "'"}
+        while at < len(source):
+            start = source.find("<", at)
+            if start < 0:
+                break
+            after = source[start + 1 : start + 2]
+            if after in ("!", "?"):
+                self._text(at, start)
+                end = source.find("-->", start + 4) if source.startswith("<!--", start) else source.find(">", start)
+                at = len(source) if end < 0 else end + (3 if source.startswith("<!--", start) else 1)
                 continue
-            if name == "body" or name not in IN_HEAD:
-                leave_head(name == "body")
-            if name in SILENT and name not in RAW and name != "head" and not m[3].rstrip().endswith("/") and unclosed(name):
-                block += 1
+            closing = after == "/"
+            name = _TAG.match(source, start + 1 + closing)
+            if not name:  # a bare sign
+                self._text(at, start + 1)
+                at = start + 1
                 continue
-            same, within = CLOSES.get(name, ({"p"}, set()))
-            for depth in range(len(stack) - 1, 0, -1):
-                open_ = self.tag[stack[depth]]
-                if open_ in same:
-                    silent -= sum(self.tag[i] in SILENT for i in stack[depth:])
-                    del stack[depth:]
-                    link = None
-                elif open_ in within or not (name in CLOSES or open_ in same):
-                    break
-            block += 1
-            stack.append(len(self.tag))
-            self.tag.append(name)
-            self.parent.append(stack[-2])
-            self.groups.append(groups_of(m[3]) if m[3] else set())
-            silent += name in SILENT
-            if name in RAW:
-                end = re.compile(f"</{re.escape(name)}", re.I).search(source, at)
-                at = end.start() if end else len(source)
-            elif m[3].rstrip().endswith("/") and name not in TAGS:
-                silent -= self.tag[stack.pop()] in SILENT
-        text(at, len(source))
+            self._text(at, start)
+            end = self._end_of_tag(name.end(), quotes)
+            attributes, at = source[name.end() : end], end + 1
+            if end >= len(source):
+                break
+            if closing:
+                self._close(name[0].lower())
+            else:
+                at = self._open(name[0].lower(), attributes, at)
+        self._text(at, len(source))
+
+    def _end_of_tag(self, at: int, quotes: set) -> int:
+        """Where the tag's > is, outside of quoted values; the length of the page where there is none."""
+        while m := _STOP.search(self.source, at):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if m[0] in quotes and self.source[max(0, m.start() - 8) : m.start()].rstrip().endswith("="):
+                end = self.source.find(m[0], at)
+                if end < 0:
+                    quotes.discard(m[0])  # none is left to close a value
+                else:
+                    at = end + 1
+        return len(self.source)
+
+    def _text(self, a: int, b: int) -> None:
+        if a >= b:
+            return
+        t = self.source[a:b]
+        full = bool(t.strip())
+        if full and self.tag[self.stack[-1]] == "head":
+            self._leave_head(False)
+        if self.silent:
+            return
+        if full:
+            self.runs.append((self.block, self.stack[-1], _html.unescape(t), self.link is not None))
+        elif self.runs and self.runs[-1][0] == self.block:
+            self.runs.append((self.block, self.stack[-1], " ", self.link is not None))
+
+    def _pop(self, depth: int) -> None:
+        """Close all elements from this depth of the stack on."""
+        while len(self.stack) > depth:
+            name = self.tag[self.stack.pop()]
+            self.at_depth[name].pop()
+            self.silent -= name in SILENT
+        if self.link is not None and self.link > len(self.stack):
+            self.link = None
+
+    def _deepest(self, names) -> int:
+        return max((self.at_depth[n][-1] for n in names if self.at_depth.get(n)), default=0)
+
+    def _leave_head(self, all_: bool) -> None:
+        """Close head where its end tag is left out; with what is open in it for `all_`."""
+        if self.at_depth.get("head") and (all_ or self.at_depth["head"][-1] == len(self.stack) - 1):
+            self._pop(self.at_depth["head"][0])
+
+    def _unclosed(self, name: str, at: int) -> bool:
+        """No end tag of the element that begins here follows, or not before another that can't be inside it."""
+        if name not in self._marks:
+            found = [(m.start(), bool(m[1])) for m in re.finditer(f"<(/?){re.escape(name)}(?=[\\s/>])", self.source, re.I)]
+            self._marks[name] = [a for a, end in found if end], [a for a, end in found if not end]
+        ends, starts = self._marks[name]
+        k = bisect_left(ends, at)
+        if k == len(ends):
+            return True
+        if name not in ("button", "select"):
+            return False
+        j = bisect_left(starts, at)
+        return j < len(starts) and starts[j] < ends[k]
+
+    def _close(self, name: str) -> None:
+        if name in INLINE:
+            if name == "a":
+                self.link = None
+            elif name == "br" and self.runs:
+                self.runs.append((self.block, self.stack[-1], " ", False))
+        elif self.at_depth.get(name):
+            self._pop(self.at_depth[name][-1])
+            self.block += 1
+
+    def _open(self, name: str, attributes: str, at: int) -> int:
+        """Begin an element; returns where the page goes on."""
+        if name in INLINE:
+            if name == "a":
+                self.link = len(self.stack)
+            elif name == "br" and self.runs:
+                self.runs.append((self.block, self.stack[-1], " ", False))
+            return at
+        if name in VOID:
+            self.block += name == "hr"
+            return at
+        empty = attributes.rstrip().endswith("/")
+        if name == "body" or name not in IN_HEAD:
+            self._leave_head(name == "body")
+        if name in SILENT and name not in RAW and name != "head" and not empty and self._unclosed(name, at):
+            self.block += 1
+            return at
+        if name in CLOSES:
+            same, within = CLOSES[name]
+            while (depth := self._deepest(same)) > self._deepest(within):
+                self._pop(depth)
+        elif self.tag[self.stack[-1]] == "p":
+            self._pop(len(self.stack) - 1)
+            self.link = None
+        self.block += 1
+        self.at_depth.setdefault(name, []).append(len(self.stack))
+        self.parent.append(self.stack[-1])
+        self.stack.append(len(self.tag))
+        self.tag.append(name)
+        self.tokens.append(tokens_of(attributes) if attributes else ())
+        self.silent += name in SILENT
+        if name in RAW:
+            end = re.compile(f"</{re.escape(name)}", re.I).search(self.source, at)
+            return end.start() if end else len(self.source)
+        if empty and name not in TAGS:
+            self._pop(len(self.stack) - 1)
+        return at
+
+
+@lru_cache(maxsize=4096)
+def tokens_of(attributes: str) -> tuple[tuple[int, ...], ...]:
+    """For each token of class, id and role: the buckets of its character n-grams and of itself."""
+    if len(attributes) > 10_000:
+        attributes = " ".join(m[0] for m in _ATTR.finditer(attributes))
+    words = {w.lower() for value in _ATTR.findall(attributes) for w in _CUT.split(value.strip("\"'")) if w}
+    return tuple(tuple(sorted({zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in [f"={w}", *[f"<{w}>"[i : i + n] for n in (3, 4) for i in range(len(w) + 3 - n)]]})) for w in sorted(words))
 
 
 @lru_cache(maxsize=4096)
-def groups_of(attributes: str) -> frozenset:
-    found: set = set()
-    for _, value in _ATTR.findall(attributes):
-        for word in _CUT.split(value.strip("\"'")):
-            found.update(_GROUP_OF.get(word.lower(), ()))
-    return frozenset(found)
+def tag_bucket(tag: str) -> int:
+    return zlib.crc32(f"#{tag}".encode("utf-8", "replace")) % BUCKETS
 
 
-def features(page: Page) -> np.ndarray:
+def token_weights(pages: list[tuple[Page, np.ndarray]]) -> np.ndarray:
+    """The log odds of main text for each bucket of tokens and tags, against those of all; 0 for buckets never met."""
+    held = np.zeros((2, BUCKETS))
+    for page, main in pages:
+        for tag, tokens, m in zip(page.tag, page.tokens, main, strict=True):
+            held[int(m), tag_bucket(tag)] += 1
+            for t in tokens:
+                held[int(m), list(t)] += 1
+    share = held.sum(axis=1) + 1
+    odds = np.log((held[1] + 0.5) / share[1]) - np.log((held[0] + 0.5) / share[0])
+    return np.where(held.sum(axis=0) > 0, odds, 0.0)
+
+
+def features(page: Page, weights: np.ndarray) -> np.ndarray:
     """A row for each node."""
     n = len(page.tag)
     own = np.zeros((n, 4))  # characters, characters in links, words, punctuation marks
@@ -192,28 +267,44 @@ def features(page: Page) -> np.ndarray:
         start[parent[i]] = min(start[parent[i]], start[i])
         kids[parent[i]] += 1
         p_below[parent[i]] += p_below[i] + (page.tag[i] == "p")
-    place, same, above = np.zeros(n), np.zeros(n), [set()] * n
-    order, counts = [0] * n, [{} for _ in range(n)]
+    place, same, order, counts = np.zeros(n), np.zeros(n), [0] * n, [{} for _ in range(n)]
+    least, most, above, above_most, marks_above = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, len(OUTER)))
+    plain = (own[:, 0] >= LONG) & (own[:, 1] < own[:, 0] / 2)  # a block of running text
+    long_in, long_before, long_chars = np.zeros(n), np.zeros(n), np.zeros(n)
     for i in range(1, n):
         p = parent[i]
         depth[i] = depth[p] + 1
-        above[i] = above[p] | page.groups[p] | ({page.tag[p]} if page.tag[p] in ("nav", "header", "footer", "aside", "form", "article", "main") else set())
+        if page.tokens[i]:
+            each = [weights[list(t)].mean() for t in page.tokens[i]]
+            least[i], most[i] = min(each), max(each)
+        above[i], above_most[i] = min(above[p], least[p]), max(above_most[p], most[p])
+        marks_above[i] = marks_above[p]
+        if page.tag[p] in OUTER:
+            marks_above[i, OUTER[page.tag[p]]] = 1
         order[p] += 1
         place[i] = order[p]
         counts[p][page.tag[i]] = counts[p].get(page.tag[i], 0) + 1
+        long_before[i] = long_in[p]
+        if plain[i]:
+            long_in[p] += 1
+            long_chars[p] += own[i, 0]
     for i in range(1, n):
         same[i] = counts[parent[i]][page.tag[i]]
     par = np.array([0, *parent[1:]])
-    chars = total[:, 0]
+    chars, all_long = total[:, 0], long_chars.sum() + 1
     numeric = np.stack(
         [
             depth, np.log1p(chars), np.log1p(total[:, 2]), total[:, 1] / (chars + 1), total[:, 3] / (total[:, 2] + 1), chars / tags, np.log1p(own[:, 0]), own[:, 0] / (chars + 1),
-            chars / (chars[0] + 1), chars / (chars[par] + 1), np.where(np.isinf(start), seen, start) / (seen + 1), kids[par], place / (kids[par] + 1), same, kids, p_below, total[par, 1] / (chars[par] + 1), chars / (chars.max() + 1),
+            chars / (chars[0] + 1), chars / (chars[par] + 1), np.where(np.isinf(start), seen, start) / (seen + 1), kids[par], place / (kids[par] + 1), same, kids, p_below, total[par, 1] / (chars[par] + 1),
+            long_in, long_in[par], long_before, long_chars / all_long, long_chars[par] / all_long, p_below[par], tags[par], weights[[tag_bucket(t) for t in page.tag]], least, most, above, above_most, least[par], most[par],
         ],
         axis=1,
     )
-    marks = [[t == x for x in TAGS] + [g in page.groups[i] for g in GROUPS] + [g in above[i] for g in [*GROUPS, "nav", "header ", "aside", "form", "article", "main"]] for i, t in enumerate(page.tag)]
-    return np.concatenate([numeric, np.array(marks, dtype=float)], axis=1)
+    marks = np.array([[t == x for x in TAGS] for t in page.tag], dtype=float)
+    return np.concatenate([numeric, marks, marks_above], axis=1)
+
+
+OUTER = {"nav": 0, "header": 1, "footer": 2, "aside": 3, "form": 4, "article": 5, "main": 6, "table": 7}
 
 
 class Boosted:
@@ -303,11 +394,18 @@ def layout(rng: random.Random, paragraphs: list[str], phrases: list[str]) -> str
     para, phrase = (lambda: e(rng.choice(paragraphs))), (lambda: e(rng.choice(phrases)))
     some = lambda lo, hi, f: "".join(f() for _ in range(rng.randint(lo, hi)))
 
+    def name_of(kind: str) -> str:
+        words = NAMES[kind].split()
+        x = rng.random()
+        if x < 0.6:
+            return rng.choice(words)
+        if x < 0.85:
+            return f"{rng.choice(('site', 'page', 'block', 'box', 'c', 'x', 'js'))}-{rng.choice(words)}" if rng.random() < 0.5 else f"{rng.choice(words)}-{rng.choice(('box', 'area', 'wrap', 'inner', 'list', '1'))}"
+        return f"{rng.choice('abcdxyz')}{rng.randint(1, 99)}" if rng.random() < 0.5 else "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8)))  # says nothing
+
     def named(kind: str, inner: str, tags: tuple = ("div",), odds: float = 0.85) -> str:
         tag = rng.choice(tags)
-        words = WORDS[kind].split()
-        name = rng.choice(words) if rng.random() < 0.7 else f"{rng.choice(('site', 'page', 'block', 'box', 'c', 'x', 'js'))}-{rng.choice(words)}"
-        attr = f' {rng.choice(("class", "class", "id"))}="{name}"' if tag == "div" and rng.random() < 0.97 or rng.random() < odds * 0.6 else ""
+        attr = f' {rng.choice(("class", "class", "id"))}="{name_of(kind)}"' if tag == "div" and rng.random() < 0.97 or rng.random() < odds * 0.6 else ""
         return f"<{tag}{attr}>{inner}</{tag}>"
 
     links = lambda lo, hi: "<ul>" + some(lo, hi, lambda: f'<li><a href="/{phrase()}">{phrase()}</a></li>') + "</ul>"
@@ -326,7 +424,7 @@ def layout(rng: random.Random, paragraphs: list[str], phrases: list[str]) -> str
     def body_part() -> str:
         x = rng.random()
         if x < 0.66:
-            return f"<p>{para()}</p>" if rng.random() < 0.8 else f"<p><b>{phrase()}<br><p>{para()}"
+            return f"<p>{para() if rng.random() < 0.8 else phrase()}</p>" if rng.random() < 0.8 else f"<p><b>{phrase()}<br><p>{para()}"
         if x < 0.76:
             return f"<{(h := rng.choice(('h2', 'h3')))}>{phrase()}</{h}>"
         if x < 0.82:
@@ -337,19 +435,28 @@ def layout(rng: random.Random, paragraphs: list[str], phrases: list[str]) -> str
             return f'<p>{para()} <a href="/y">{phrase()}</a> {para()}</p>'
         return f"<div><p>{para()}</p></div>"
 
-    title = rng.choice((f"<h1>{phrase()}</h1>", f"<h1>{phrase()}</h1>", f"<header><h1>{phrase()}</h1></header>", ""))
-    parts = [f"<!--+-->{body_part()}<!---->" for _ in range(rng.randint(1, 14))]
+    title = rng.choice((f"<h1>{phrase()}</h1>", f"<h1>{phrase()}</h1>", f"<h2>{phrase()}</h2>", f"<header><h1>{phrase()}</h1></header>", ""))
+    parts = [f"<!--+-->{body_part()}<!---->" for _ in range(rng.choice((rng.randint(1, 2), rng.randint(1, 14), rng.randint(1, 14))))]
     for extra, chance in ((advert, 0.25), (share, 0.15), (side, 0.1), (notice, 0.06), (form, 0.06), (comments, 0.05)):
         if rng.random() < chance:
             parts.insert(rng.randint(0, len(parts)), extra())
-    inner = (f"<!--+-->{title}<!---->" if title else "") + "".join(parts)
+    heading = f"<!--+-->{title}<!---->" if title else ""
+    inner = heading + "".join(parts)
+    if rng.random() < 0.2:  # the heading beside the box of the text
+        inner = f"{heading}<div{rng.choice(('', f' class={chr(34)}{name_of(chr(99) + 'ontent')}{chr(34)}'))}>{''.join(parts)}</div>"
     kind = rng.random()
-    if kind < 0.45:
+    if kind < 0.35:
         main = f"<article>{inner}</article>"
-    elif kind < 0.6:
+    elif kind < 0.45:
         main = f"<main>{inner}</main>"
+    elif kind < 0.75:
+        main = f'<div {rng.choice(("class", "id"))}="{name_of("content")}">{inner}</div>'
+    elif kind < 0.88:
+        main = f"<div>{inner}</div>"
+    elif kind < 0.94:
+        main = f"<table><tr>{rng.choice(('', f'<td>{menu()}</td>'))}<td>{inner}</td>{rng.choice(('', f'<td>{side()}</td>'))}</tr></table>"
     else:
-        main = f'<div {rng.choice(("class", "id"))}="{rng.choice(WORDS["content"].split())}{rng.choice(("", "-body", "-wrap"))}">{inner}</div>' if rng.random() < 0.85 else f"<div>{inner}</div>"
+        main = inner  # right in the body
     if rng.random() < 0.3:
         main = f"<main>{main}{comments() if rng.random() < 0.3 else ''}</main>"
     around = [("head", head, 0.6), ("menu", menu, 0.6), ("notice", notice, 0.3), ("advert", advert, 0.5), ("form", form, 0.2), ("side", side, 0.25)]
@@ -364,53 +471,50 @@ def layout(rng: random.Random, paragraphs: list[str], phrases: list[str]) -> str
     return f"<!DOCTYPE html><html><head><title>{phrase()}</title></head><body>{page}</body></html>"
 
 
+#: Code points for private use, which stand for the comments around main text while labels are read.
+_BEGIN, _END = "\ue000", "\ue001"
+
+
 def labelled(source: str) -> tuple[Page, np.ndarray]:
     """The page of a layout, and for each node whether it holds main text."""
-    marked = source.replace("<!--+-->", "").replace("<!---->", "")
-    inside, depth = [], 0
-    page = Page(marked)
+    marked = source.replace("<!--+-->", _BEGIN).replace("<!---->", _END)
+    depth, page = 0, Page(marked)
     main = [False] * len(page.tag)
     for _, node, t, _ in page.runs:
         for c in t:
-            if c == "":
-                depth += 1
-            elif c == "":
-                depth -= 1
-            elif depth > 0 and not c.isspace():
+            depth += (c == _BEGIN) - (c == _END)
+            if depth > 0 and c != _BEGIN and not c.isspace():
                 main[node] = True
-        inside.append(depth)
     for i in range(len(main) - 1, 0, -1):
         if main[i]:
             main[page.parent[i]] = True
-    clean = Page(source)
-    return clean, np.array(main)
+    return Page(source), np.array(main)
 
 
-def fit(samples: list[str], seed: int = SEED, pages: int = TRAIN_PAGES) -> Boosted:
-    """Trees for layouts that use the texts of the sample."""
+def fit(samples: list[str], seed: int = SEED, pages: int = TRAIN_PAGES) -> tuple[np.ndarray, Boosted]:
+    """Weights of attribute tokens and trees, for layouts that use the texts of the sample."""
     paragraphs, phrases = [], []
     for s in sorted(x for x in samples if x):
         for t in blocks(p := Page(s), np.ones(len(p.tag), bool)):
-            (paragraphs if t.count(" ") >= 8 else phrases).append(t[:2000])
+            (paragraphs if t.count(" ") >= 8 else phrases).append(t)
     rng = random.Random(seed)
     phrases = phrases or [" ".join(rng.choices(TAG_WORDS, k=rng.randint(1, 4))) for _ in range(50)]
     paragraphs = paragraphs or [" ".join(rng.choices(TAG_WORDS, k=rng.randint(9, 60))).capitalize() + "." for _ in range(200)]
     phrases += [" ".join(p.split()[: rng.randint(1, 6)]) for p in rng.choices(paragraphs, k=200)]
     paragraphs += [" ".join(p.split()[: rng.randint(3, 12)]) + "." for p in rng.choices(paragraphs, k=len(paragraphs) // 5 + 1)]
-    xs, ys = [], []
-    for _ in range(pages):
-        page, main = labelled(layout(rng, paragraphs, phrases))
-        xs.append(features(page)[1:])
-        ys.append(main[1:])
-    return Boosted(np.concatenate(xs), np.concatenate(ys).astype(float))
+    drawn = [labelled(layout(rng, paragraphs, phrases)) for _ in range(pages)]
+    weights = token_weights(drawn[: pages // 2])
+    xs, ys = zip(*[(features(page, weights)[1:], main[1:]) for page, main in drawn[pages // 2 :]], strict=True)
+    return weights, Boosted(np.concatenate(xs), np.concatenate(ys).astype(float))
 
 
-def main_text(sources: list[str | None], model: Boosted) -> list[str]:
+def main_text(sources: list[str | None], model: tuple[np.ndarray, Boosted]) -> list[str]:
+    weights, trees = model
     pages = [Page(s) for s in sources if s]
     if not pages:
         return [""] * len(sources)
-    rows = [features(p) for p in pages]
-    odds, at = model.log_odds(np.concatenate(rows)), 0
+    rows = [features(p, weights) for p in pages]
+    odds, at = trees.log_odds(np.concatenate(rows)), 0
     found = []
     for p, r in zip(pages, rows, strict=True):
         found.append("\n\n".join(blocks(p, decode(p.parent, odds[at : at + len(r)]))))
@@ -421,7 +525,7 @@ def main_text(sources: list[str | None], model: Boosted) -> list[str]:
 
 def extract(pages: DataFrame, html_col: str = "html", key: str = "url", sample: int = FIT_PAGES) -> DataFrame:
     """`pages` with text and n_chars."""
-    some, order = pages.where(F.col(html_col).isNotNull()), F.xxhash64(F.lit(SEED), key, F.substring(html_col, 1, 200))
+    some, order = pages.where(F.col(html_col).isNotNull()), F.xxhash64(F.lit(SEED), key, html_col)
     n = some.count()
     if n > 4 * sample:  # about twice the sample, so that no task sends more than its share
         some = some.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * 2 * sample / n))
@@ -435,7 +539,10 @@ def extract(pages: DataFrame, html_col: str = "html", key: str = "url", sample:
             out += main_text(source.iloc[a : a + 100].tolist(), sent.value)
         return pd.Series(out, dtype=object)
 
-    return pages.drop("text", "n_chars").withColumn("text", text_of(F.col(html_col))).withColumn("n_chars", F.length("text").cast("long"))
+    found = free_name(pages, "found")
+    kept = [c for c in pages.columns if c.lower() not in ("text", "n_chars") or c == html_col]
+    out = pages.withColumn(found, text_of(F.col(html_col)))
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.col(found).alias("text"), F.length(found).cast("long").alias("n_chars"))
 
 
 def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
