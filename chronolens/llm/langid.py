@@ -26,6 +26,7 @@ import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -134,12 +135,24 @@ def _counted(texts: list[str]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"n": n, "token": token.view(np.int64), "c": np.bincount(of, c[word], len(token)).astype(np.int64)})
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, max_words: int | None = None, total: int = FIT_TOTAL) -> pd.DataFrame:
-    """The model's rows (lang, n, token, c): n is 0 for words, else the n-gram's length; token is a hash."""
+class Model(NamedTuple):
+    """A row for each language and each word (n is 0) or n-gram of length n in it: the language's number, n, the hash and the count."""
+
+    langs: list[str]
+    lang: np.ndarray
+    n: np.ndarray
+    token: np.ndarray
+    c: np.ndarray
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, max_words: int | None = None, total: int = FIT_TOTAL) -> Model:
+    """The model of a sample of labelled documents. What reaches the driver is its rows, as arrays of numbers, and the languages' names."""
     pick = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(1_000_003))
     docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), pick.alias("pick"))
     sizes = docs.groupBy("lang").agg(F.count("*").alias("size"))
-    each = max(1, min(fit_docs, total // max(1, sizes.count())))
+    langs = sorted(r.lang for r in sizes.select("lang").collect())  # a row for each language
+    number = {x: i for i, x in enumerate(langs)}
+    each = max(1, min(fit_docs, total // max(1, len(langs))))
     chosen = docs.join(sizes.select("lang", (F.lit(float(each)) / F.col("size")).alias("share")), "lang").where(F.col("pick") < F.col("share") * 1_000_003).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +160,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_doc
         for b in batches:
             for lang, texts in b.groupby("lang", sort=False)["text"]:
                 for part in _counted(texts.tolist()):
-                    held.append(part.assign(lang=lang))
+                    held.append(part.assign(lang=number[lang]))
                     if sum(map(len, held)) > 1_500_000:
                         held = [pd.concat(held).groupby(["lang", "n", "token"], as_index=False)["c"].sum()]
                         if len(held[0]) > 750_000:
@@ -155,29 +168,27 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_doc
         if held:
             yield pd.concat(held).groupby(["lang", "n", "token"], as_index=False)["c"].sum()[["lang", "n", "token", "c"]]
 
-    sums = chosen.mapInPandas(count, "lang string, n int, token long, c long").groupBy("lang", "n", "token").agg(F.sum("c").alias("c"))
+    sums = chosen.mapInPandas(count, "lang int, n int, token long, c long").groupBy("lang", "n", "token").agg(F.sum("c").alias("c"))
     if max_words is not None:
         kind = (F.col("n") > 0).alias("grams")
         order = Window.partitionBy("lang", kind).orderBy(F.desc("c"), "n", "token")
         sums = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_words).drop("rank")
-    rows = sums.toPandas()  # bounded by the sample; numbers but for the language
-    return rows.assign(lang=rows["lang"].astype("category"), n=rows["n"].astype("int8"))
+    rows = sums.select("lang", F.col("n").cast("byte").alias("n"), "token", F.col("c").cast("int").alias("c")).toArrow()  # bounded by the sample
+    return Model(langs, *(rows.column(c).to_numpy() for c in ("lang", "n", "token", "c")))
 
 
 class Scorer:
     """The model in a task: for each length, sorted hashes, and for each of them the languages that have it with their log
     frequency above the floor. The floor itself, the same for all languages, changes no prediction and no score."""
 
-    def __init__(self, model: pd.DataFrame):
-        self.langs = sorted(model["lang"].unique())
-        at = {x: i for i, x in enumerate(self.langs)}
-        self.levels = []
+    def __init__(self, model: Model):
+        self.langs, self.levels = model.langs if len(model.lang) else [], []
         for n in range(5):
-            part = model[model["n"] == n]
-            lang, c = part["lang"].map(at).to_numpy(dtype=np.int64), part["c"].to_numpy(dtype=float)
+            of = model.n == n
+            lang, c = model.lang[of], model.c[of].astype(float)
             totals = np.bincount(lang, c, minlength=len(self.langs)) + 1.0
             above = np.log(c / totals[lang]) - np.log(0.5 / totals.max(initial=1.0))
-            token = part["token"].to_numpy(dtype=np.int64).view(_U)
+            token = model.token[of].view(_U)
             by = np.lexsort((lang, token))
             key, first = np.unique(token[by], return_index=True)
             self.levels.append((key, np.append(first, len(by)), lang[by].astype(np.int32), above[by].astype(np.float32)))
@@ -238,7 +249,7 @@ class Scorer:
         return [self.langs[b] if g else UND for b, g in zip(best, given, strict=True)], [float(s) if g else 0.0 for s, g in zip(share, given, strict=True)]
 
 
-def identify(docs: DataFrame, model: pd.DataFrame, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score."""
     name, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 

@@ -298,7 +298,7 @@ def test_langid_floor_is_the_same_for_a_language_of_one_document(spark):
     scorer = langid.Scorer(model)
     assert scorer.score([t for t, _ in train])[0] == [lang for _, lang in train]
     few = langid.fit(spark.createDataFrame(train, "text string, lang string"), max_words=50)
-    assert set(few["lang"]) == {"en", "zz"} and (few["n"] == 0).sum() == 52
+    assert few.langs == ["en", "zz"] and set(few.lang) == {0, 1} and (few.n == 0).sum() == 52
 
 
 def langid_brute(train, texts, evidence=langid.EVIDENCE):
@@ -400,7 +400,7 @@ def test_extraction_on_held_out_layouts_and_edge_cases(spark):
     right = total = 0
     for _ in range(150):
         page, main = extract.labelled(extract.layout(rng, paragraphs, phrases))
-        keep = extract.decode(page.parent, model.log_odds(extract.features(page)))
+        keep = extract.decode(page.parent, model[1].log_odds(extract.features(page, model[0])))
         right, total = right + (keep[1:] == main[1:]).sum(), total + len(main) - 1
     assert right / total > 0.97
     page = "<html><head><title>T</title><script>var x='<p>no</p>'</script></head><body><nav><ul><li><a href=1>menu</a></li></ul></nav><article><h1>Title &amp; more</h1><p>First  text,\n with enough words to be read as one.<p>Second<br>text of the article, also long enough to count.</article><footer>&copy; foot</footer>"
@@ -410,6 +410,60 @@ def test_extraction_on_held_out_layouts_and_edge_cases(spark):
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0), 4: ("plain text", 10), 5: (want, len(want))}
 
 
+LONG = "A paragraph of the article that goes on for a good many words, so that it reads as running text. " * 3
+HEAD = "<html><head><title>x</title></head><body>"
+HAND = {  # pages that no layout of the fit draws: foreign, opaque or no names, tables, bare bodies
+    "div": f"{HEAD}<div><a href=/>home</a> <a href=/n>news</a></div><div><h1>Heading</h1><p>{LONG}</p><p>{LONG}</p></div><div>&copy; 2020 Foo</div>",
+    "x2": f"{HEAD}<div class=nav><ul><li><a href=/>home</a></li><li><a href=/b>b</a></li></ul></div><div class=x2><h1>Heading</h1><p>{LONG}</p><p>{LONG}</p></div><div class=footer>&copy; 2020 Foo</div>",
+    "artikel": f"{HEAD}<div class=menue><ul><li><a href=/>home</a></li><li><a href=/b>b</a></li></ul></div><div class=artikel><h1>Heading</h1><p>{LONG}</p><p>{LONG}</p></div><div class=kommentare><h3>Kommentare</h3><p>I do not agree with this, it is wrong.</p></div>",
+    "table": f"{HEAD}<table><tr><td><a href=/>home</a><br><a href=/b>b</a></td><td><h1>Heading</h1><p>{LONG}</p><p>{LONG}</p></td></tr></table>",
+    "bare": f"<h1>Heading</h1><p>{LONG}</p><p>{LONG}</p>",
+}
+
+
+@pytest.fixture(scope="module")
+def trees():
+    return extract.fit([])
+
+
+@pytest.mark.parametrize("name", sorted(HAND))
+def test_extraction_of_pages_outside_the_layouts(trees, name):
+    assert extract.main_text([HAND[name]], trees) == ["\n\n".join(["Heading", LONG.strip(), LONG.strip()])]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", '<a href="x ', "<svg>", "<button>", "<head>", "< ", "<p>a", "</div>", "<!-- ", '<p title="', "<li>", "&amp;", "<td>x"])
+def test_a_page_of_a_million_characters_is_parsed_in_linear_time(part):
+    import time
+
+    took = []
+    for size in (100_000, 1_000_000):
+        begin = time.process_time()
+        extract.Page(part * (size // len(part)))
+        took.append(time.process_time() - begin)
+    assert took[1] < 4 and took[1] < 40 * max(took[0], 0.01)
+
+
+def test_extraction_takes_any_rows(spark, trees):
+    rows = [(1, "u", HAND["x2"], "mine", 5, "f")] * 3 + [(2, None, "<div>" * 3000 + "x", None, None, None), (None, None, None, None, None, None), (4, "v", "<p>" + LONG * 4000, "t", 1, "g")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, found string")
+    out = extract.extract(df)
+    got = out.collect()
+    assert out.columns == ["page_id", "url", "html", "found", "text", "n_chars"] and len(got) == 6
+    assert len({r.text for r in got if r.page_id == 1}) == 1 and all(r.n_chars == len(r.text) for r in got)
+    assert next(r.text for r in got if r.page_id == 4) == (LONG * 4000).strip()
+    assert extract.extract(df.where("false")).count() == 0
+
+
+def test_extraction_query_is_its_operator_page_by_page(spark, tmp_path):
+    rows = [(i, f"u{i}", h) for i, h in enumerate(HAND.values())] + [(9, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    model = extract.fit([h for _, _, h in rows if h])
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in extract.op5_extract(spark, str(tmp_path)).collect()}
+    for i, u, h in rows:
+        want = extract.main_text([h], model)[0]
+        assert got[i] == (u, want, len(want))
+
+
 def test_decoding_is_the_best_of_all_consistent_choices():
     from itertools import product
 
