@@ -4,8 +4,8 @@ A page is parsed into block elements (inline elements belong to the block around
 features are its tag, the tokens of its class, id and role and those of its ancestors, its depth, the density of text, links and
 punctuation in its subtree, its share of its parent and of the page, and its place among its siblings and the long texts among
 them. Attribute tokens are hashed: a token counts by the character n-grams that it has in one of `BUCKETS` buckets, each with a
-weight learned from one half of the layouts, so names like those seen count as well. The trees learn from the other half, and
-give each node the log odds of holding main text. Decoding chooses keep or drop for all nodes at once so that
+weight learned from the layouts, so names like those seen count as well. The trees learn from each half of the layouts with the
+weights of the other, and give each node the log odds of holding main text. Decoding chooses keep or drop for all nodes at once so that
 the summed log odds are greatest and nothing is kept below a dropped node.
 
 Weights and trees are fitted to pages of known structure: a bounded sample of `FIT_PAGES` pages, chosen by a hash of url and
@@ -70,6 +70,7 @@ TAG_WORDS = ["page", "site", "more", "news", "read", "home", "about", "contact",
 
 BUCKETS = 4096
 LONG = 80  # characters of a long text
+PART = 2000  # characters of the longest paragraph in a layout
 _TAG = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
@@ -465,7 +466,7 @@ def layout(rng: random.Random, paragraphs: list[str], phrases: list[str]) -> str
     after = [f() for f, p in ((share, 0.2), (comments, 0.45), (side, 0.35), (advert, 0.3), (form, 0.2), (notice, 0.15), (foot, 0.8)) if rng.random() < p]
     if rng.random() < 0.3:
         after.sort(key=lambda _: rng.random())
-    page = "".join(before) + main + "".join(after)
+    page = main if rng.random() < 0.06 else "".join(before) + main + "".join(after)
     if rng.random() < 0.35:
         page = f'<div class="{rng.choice(("wrapper", "container", "page", "site", "layout"))}">{page}</div>'
     return f"<!DOCTYPE html><html><head><title>{phrase()}</title></head><body>{page}</body></html>"
@@ -496,16 +497,17 @@ def fit(samples: list[str], seed: int = SEED, pages: int = TRAIN_PAGES) -> tuple
     paragraphs, phrases = [], []
     for s in sorted(x for x in samples if x):
         for t in blocks(p := Page(s), np.ones(len(p.tag), bool)):
-            (paragraphs if t.count(" ") >= 8 else phrases).append(t)
+            for part in (t[i : i + PART] for i in range(0, len(t), PART)):  # a long paragraph is lent in parts
+                (paragraphs if part.count(" ") >= 8 else phrases).append(part)
     rng = random.Random(seed)
     phrases = phrases or [" ".join(rng.choices(TAG_WORDS, k=rng.randint(1, 4))) for _ in range(50)]
     paragraphs = paragraphs or [" ".join(rng.choices(TAG_WORDS, k=rng.randint(9, 60))).capitalize() + "." for _ in range(200)]
     phrases += [" ".join(p.split()[: rng.randint(1, 6)]) for p in rng.choices(paragraphs, k=200)]
     paragraphs += [" ".join(p.split()[: rng.randint(3, 12)]) + "." for p in rng.choices(paragraphs, k=len(paragraphs) // 5 + 1)]
     drawn = [labelled(layout(rng, paragraphs, phrases)) for _ in range(pages)]
-    weights = token_weights(drawn[: pages // 2])
-    xs, ys = zip(*[(features(page, weights)[1:], main[1:]) for page, main in drawn[pages // 2 :]], strict=True)
-    return weights, Boosted(np.concatenate(xs), np.concatenate(ys).astype(float))
+    halves = drawn[::2], drawn[1::2]  # each half's trees see weights of the other
+    rows = [(features(page, w)[1:], main[1:]) for w, half in ((token_weights(halves[1]), halves[0]), (token_weights(halves[0]), halves[1])) for page, main in half]
+    return token_weights(drawn), Boosted(np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows]).astype(float))
 
 
 def main_text(sources: list[str | None], model: tuple[np.ndarray, Boosted]) -> list[str]:
