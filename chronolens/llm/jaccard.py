@@ -40,6 +40,7 @@ from pyspark.sql.window import Window
 from .common import free_name, materialize, most_frequent, release, remove, table
 
 CROWD = 32
+BLOCK = 128
 HOT = 24
 MAX_HOT = 200_000
 _CHUNK = 1 << 21
@@ -203,17 +204,20 @@ def group_pairs(postings: DataFrame, num: int, den: int, first: bool = False) ->
     """(x_gid, x_comp, y_gid, y_comp) of different classes that share postings and pass the tests of size, place and number.
 
     With `first`, every shared prefix shingle must be in the postings; a pair then passes by its first one alone,
-    before which nothing is shared, and is not counted at the others.
+    before which nothing is shared, and is not counted at the others. The groups of a posting of over BLOCK are dealt into
+    blocks, and each pair of blocks meets in a task of its own.
 
     postings: token, gid, comp, n, pos, before (shared shingles before this one), aside (prefix shingles in postings set aside)."""
-    tokens = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    mixed = postings.join(tokens, "token", "left_semi")
-    x, y = (mixed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("gid", "comp", "n", "pos", "before", "aside")]) for s in "xy")
+    tokens = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("lo < hi").select("token", "blocks")
+    mixed = postings.join(tokens, "token").withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")))
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    x, y = (mixed.select("token", "low", "high", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "gid", "comp", "n", "pos", "before", "aside")]) for s in "xy")
     need = F.ceil((F.col("x_n") + F.col("y_n")) * F.lit(num) / F.lit(num + den) - 1e-9)
     # Of the shingles before a shared one, only those in postings can be shared too; after it, as many as the smaller rest.
     rest = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
     can = rest if first else F.least("x_before", "y_before") + rest
-    near = x.join(y, "token").where((F.col("x_comp") < F.col("y_comp")) & near_size(F.col("x_n"), F.col("y_n"), num, den) & (can >= need))
+    once = (F.col("low") == F.col("high")) | (F.col("x_block") != F.col("y_block"))
+    near = x.join(y, ["token", "low", "high"]).where(once & (F.col("x_comp") < F.col("y_comp")) & near_size(F.col("x_n"), F.col("y_n"), num, den) & (can >= need))
     if first:
         return near.select("x_gid", "x_comp", "y_gid", "y_comp").distinct()
     pairs = near.groupBy("x_gid", "x_comp", "y_gid", "y_comp").agg(F.count("*").alias("common"), F.max(need).alias("need"), *[F.max(f"{s}_{c}").alias(f"{s}_{c}") for s in "xy" for c in ("n", "aside")])
