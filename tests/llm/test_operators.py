@@ -46,8 +46,9 @@ def same(a, b):
     return sorted(a, key=repr) == sorted(b, key=repr)
 
 
-@pytest.mark.parametrize(("k", "num", "crowd"), [(3, 90, 32), (5, 80, 32), (3, 50, 2), (2, 60, 3)])
-def test_jaccard_is_brute_force(docs, rows, k, num, crowd):
+@pytest.mark.parametrize(("k", "num", "crowd", "block"), [(3, 90, 32, 128), (5, 80, 32, 128), (3, 50, 2, 2), (2, 60, 3, 3)])
+def test_jaccard_is_brute_force(docs, rows, k, num, crowd, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     got = [(r.id, r.n_shingles, r.component_id) for r in jaccard.link(docs, k=k, num=num, den=100, crowd=crowd).collect()]
     assert same(got, jaccard.brute([r[:2] for r in rows], k, num, 100))
 
