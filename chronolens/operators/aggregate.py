@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import md5_uniform
+from .ranks import positions
 
 
 def availability(families: DataFrame, dates: DataFrame) -> DataFrame:
@@ -52,7 +53,8 @@ def tstar_table(tstar: DataFrame, truth: DataFrame) -> DataFrame:
 
 def multiplicity(curve: DataFrame, truth: DataFrame, boot: int, seed: int = 0) -> DataFrame:
     """For each date: the mean of the maximum over authentic items, with 2.5 and 97.5 % points of a bootstrap over items."""
-    d = curve.join(truth.where("y = 0"), "item").withColumn("slot", F.row_number().over(Window.partitionBy("T").orderBy("item")) - 1)
+    d = curve.join(truth.where("y = 0"), "item")
+    d = positions(d.select("T", "item", "max"), ["T"], ["item"], "slot").withColumn("slot", F.col("slot") - 1)
     n = d.groupBy("T").agg(F.count("*").alias("n"), F.avg("max").alias("mean"))
     pick = F.floor(md5_uniform(F.lit(seed), F.unix_date("T"), F.col("rep"), F.col("k")) * F.col("n")).cast("int")
     draws = n.select("T", "n", F.explode(F.sequence(F.lit(1), F.lit(boot))).alias("rep")).select("T", "n", "rep", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k")).select("T", "rep", pick.alias("slot"))

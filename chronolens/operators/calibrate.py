@@ -11,7 +11,6 @@ import numpy as np
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.exprs import inverse, odds
 
@@ -63,7 +62,8 @@ def fuse(df: DataFrame, keys: list[str], features: list[str], y: str, l2: str, s
 
     Minimises sum w loss + l2 / 2 |weights| ** 2 with weights w summing to the rows of the key. A Newton step is one
     aggregation; what reaches the driver is a row of sums for each model."""
-    data = balanced(df, y, keys).withColumn("w", F.col("w") * F.count("*").over(Window.partitionBy(*keys))).select(*keys, F.col(y).cast("double").alias("_y"), F.col("w").alias("_w"), F.col(l2).cast("double").alias("_l2"), *[F.col(c).cast("double").alias(c) for c in features]).persist()
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("size"))
+    data = balanced(df, y, keys).join(F.broadcast(sizes), keys).withColumn("w", F.col("w") * F.col("size")).select(*keys, F.col(y).cast("double").alias("_y"), F.col("w").alias("_w"), F.col(l2).cast("double").alias("_l2"), *[F.col(c).cast("double").alias(c) for c in features]).persist()
     x = [F.lit(1.0), *[F.col(c) for c in features]]
     m = len(x)
     spark, beta = df.sparkSession, {tuple(r[k] for k in keys): np.zeros(m) for r in data.select(*keys).distinct().collect()}

@@ -12,20 +12,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import written
 
-def running_counts(df: DataFrame, value: str, by: list[str], sums: dict[str, Column]) -> DataFrame:
-    """For each distinct (by, value): the sums over its rows, and over all smaller values (`<name>_below`).
 
-    Values meet in ranges; a range's offset comes from a table with a row for each key and range."""
+def running_counts(df: DataFrame, value: str, by: list[str], sums: dict[str, Column], following: str | None = None) -> DataFrame:
+    """For each distinct (by, value): the sums over its rows, and over all smaller values (`<name>_below`); with `following`
+    also the next larger value, null for the largest, in a column of that name.
+
+    Values meet in ranges; a range's offset comes from a table with a row for each key and range. Values are written with
+    the range they were dealt to, so both sides of the join see the same ranges whatever runs again."""
     counts = df.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()])
-    counts = counts.repartitionByRange(*[F.col(c) for c in [*by, value]]).withColumn("range", F.spark_partition_id())
+    counts = written(counts.repartitionByRange(*[F.col(c) for c in [*by, value]]).withColumn("range", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"{n}_in") for n in sums])
-    offsets = counts.groupBy(*by, "range").agg(*[F.sum(n).alias(f"{n}_t") for n in sums])
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select(*by, "range", *[F.coalesce(F.sum(f"{n}_t").over(before), F.lit(0)).alias(f"{n}_o") for n in sums])
+    offsets = counts.groupBy(*by, "range").agg(F.min(value).alias("least"), *[F.sum(n).alias(f"{n}_t") for n in sums])
+    ranges = Window.partitionBy(*(by or [F.lit(0)])).orderBy("range")  # a row for each key and range
+    before = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.select(*by, "range", F.lead("least").over(ranges).alias("beyond"), *[F.coalesce(F.sum(f"{n}_t").over(before), F.lit(0)).alias(f"{n}_o") for n in sums])
+    after = [F.lead(value).over(Window.partitionBy("range", *by).orderBy(value)).alias("after")] if following else []
+    counts = counts.select("*", *after, *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"{n}_in") for n in sums])
     joined = counts.join(F.broadcast(offsets), [*by, "range"])
-    return joined.select(*by, value, *sums, *[(F.col(f"{n}_in") + F.col(f"{n}_o")).alias(f"{n}_below") for n in sums])
+    more = [F.coalesce("after", "beyond").alias(following)] if following else []
+    return joined.select(*by, value, *sums, *[(F.col(f"{n}_in") + F.col(f"{n}_o")).alias(f"{n}_below") for n in sums], *more)
+
+
+def positions(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """`df` with each row's place (from 1) in the order of the columns `order` within `by`; no task holds a whole group.
+
+    Rows are dealt out by range and written with their range; a row's place is that in its range plus the rows of the ranges before."""
+    rows = written(df.repartitionByRange(*[F.col(c) for c in [*by, *order]]).withColumn("range_", F.spark_partition_id()), "positions")
+    inside = F.row_number().over(Window.partitionBy("range_", *by).orderBy(*order))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each key and range
+    offsets = rows.groupBy(*by, "range_").agg(F.count("*").alias("n_")).select(*[F.col(c).alias(f"{c}_") for c in by], F.col("range_").alias("of_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("offset_"))
+    on = F.col("range_") == F.col("of_")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return rows.withColumn(name, inside).join(F.broadcast(offsets), on).withColumn(name, (F.col(name) + F.col("offset_")).cast("long")).select(*df.columns, name)
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -43,6 +64,7 @@ def auroc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """`df` with average ranks within `by`, by windows: for tables of groups or of their pairs (see ranked_columns)."""
     out = df
     for c in columns:
         r = F.rank().over(Window.partitionBy(*by).orderBy(c))
@@ -51,9 +73,17 @@ def with_ranks(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     return out
 
 
+def ranked_columns(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """`df` with average ranks within `by`, by a join with the ranks of each column's distinct values: for tables of facts."""
+    out = df
+    for c in columns:
+        out = out.join(average_ranks(df.select(*by, c), c, by).withColumnRenamed("rank", f"rank_{c}"), [*by, c])
+    return out
+
+
 def spearman_matrix(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """(by, a, b, rho) for each pair of columns, from ranks within `by`."""
-    ranks = with_ranks(df, columns, by)
+    """(by, a, b, rho) for each pair of columns, from ranks within `by`; rows with a null in one of them stay out."""
+    ranks = ranked_columns(written(df.select(*by, *columns).dropna(subset=columns), "ranked"), columns, by)
     pairs = list(combinations(columns, 2))
     wide = ranks.groupBy(*by).agg(*[F.corr(f"rank_{a}", f"rank_{b}").alias(f"{a}~{b}") for a, b in pairs])
     long = wide.unpivot(by, [f"{a}~{b}" for a, b in pairs], "pair", "rho")

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import positions
+
 
 def draw_order(seed: int, *parts: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]))
 
 
 def ranked(df: DataFrame, stratum: list[str], key: str, seed: int, name: str = "draw") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*stratum).orderBy(draw_order(seed, *stratum, key), key)))
+    return positions(df.withColumn("order_", draw_order(seed, *stratum, key)), stratum, ["order_", key], name).drop("order_")
 
 
 def first_n(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+BLOCK_ROWS = 4096
+
 
 def long(df: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
     """A row (keys, i, v) for each element."""
@@ -59,10 +64,25 @@ def between_share(df: DataFrame, by: list[str], x: str = "x") -> DataFrame:
 
 
 def gram(df: DataFrame, x: str = "x", by: list[str] | None = None) -> DataFrame:
-    """(by, i, j, xx) for i <= j: sums of products, added up in each task before the shuffle."""
+    """(by, i, j, xx) for i <= j: sums of products. A task multiplies its rows as matrices, one for each batch and group, and
+    sends a row for each group and pair of elements to the shuffle."""
     by = by or []
-    pairs = df.select(*by, F.posexplode(x).alias("i", "u"), x).select(*by, "i", "u", F.posexplode(x).alias("j", "v")).where("i <= j")
-    return pairs.groupBy(*by, "i", "j").agg(F.sum(F.col("u").cast("double") * F.col("v").cast("double")).alias("xx"))
+    kinds = dict(df.dtypes)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for group, rows in b.groupby(by, dropna=False) if by else [((), b)]:
+                m = np.stack(rows["x"]) if len(rows) else np.zeros((0, 0))
+                if len(m):
+                    held[group] = held.get(group, 0) + m.T @ m
+        for group, m in held.items():
+            i, j = np.triu_indices(len(m))
+            yield pd.DataFrame({**dict(zip(by, group, strict=True)), "i": i, "j": j, "xx": m[i, j]})
+
+    rows = df.select(*by, F.col(x).cast("array<double>").alias("x"))
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "i int, j int, xx double"])
+    return rows.mapInPandas(products, schema).groupBy(*by, "i", "j").agg(F.sum("xx").alias("xx"))
 
 
 def covariance(df: DataFrame, x: str = "x") -> tuple[np.ndarray, np.ndarray]:
@@ -98,18 +118,43 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda u, v: (u.cast("double") - v.cast("double")) * (u.cast("double") - v.cast("double"))), F.lit(0.0), lambda s, v: s + v)
 
 
-def neighbours(df: DataFrame, key: str, x: str, k: int, stratum: list[str] | None = None, queries: DataFrame | None = None, blocks: int = 8) -> DataFrame:
-    """(key, rank, other, d2): the k nearest other rows of each query row, exactly, within its stratum.
-
-    Rows are dealt into blocks; each (query block, row block) pair is a partition, keeps its k best, and the
-    bests of a query meet at the end. Queries are all rows unless given."""
-    s = stratum or []
-    left = (queries if queries is not None else df).select(*s, F.col(key), F.col(x).alias("q"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
-    right = df.select(*s, F.col(key).alias("other"), F.col(x).alias("r"), F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int").alias("rb"))
-    pairs = left.join(right, [*s, "rb"]).where(F.col(key) != F.col("other")).select(key, "rb", F.struct(F.round(squared_distance(F.col("q"), F.col("r")), 9).alias("d2"), F.col("other")).alias("c"))
-    best = pairs.groupBy(key, "rb").agg(F.slice(F.array_sort(F.collect_list("c")), 1, k).alias("c")).select(key, F.explode("c").alias("c"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("c")))
-    return ranked.where(F.col("rank") <= k).select(key, "rank", F.col("c.other").alias("other"), F.col("c.d2").alias("d2"))
+def neighbours(df: DataFrame, key: str, x: str, k: int, stratum: list[str] | None = None, queries: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, rank, other, d2): the k nearest other rows of each query row, exactly, within its stratum (all of them where
+    the stratum has k or fewer others). Ties in d2, rounded to nine decimals, go to the smaller key.
+
+    Rows are dealt into blocks of about `block_rows`, as many as the largest stratum needs. Each pair of a query block and a row
+    block is a group of its own: one product of two matrices, in parts, of which k best rows a query are left. These meet at the
+    end. All pairs of rows are compared, as exact neighbours without an index must be; no group holds more than two blocks."""
+    s, asked = stratum or [], queries if queries is not None else df
+    blocks = [max(1, -(-(f.groupBy(*s).count().agg(F.max("count")).first()[0] or 0) // block_rows)) for f in (asked, df)]
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    floats = F.col(x).cast("array<double>")
+    left = asked.select(*s, F.col(key).alias("asked"), floats.alias("x"), block(blocks[0]).alias("qb"), all_of(blocks[1]).alias("rb"))
+    right = df.select(*[F.col(c).alias(f"r_{c}") for c in s], F.col(key).alias("other"), floats.alias("x"), all_of(blocks[0]).alias("r_qb"), block(blocks[1]).alias("r_rb"))
+
+    def nearest(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            r = r.sort_values("other")
+            a, b, other, asked = np.stack(q["x"]), np.stack(r["x"]), r["other"].to_numpy(), q["asked"].to_numpy()
+            square, most = (b * b).sum(axis=1), min(k, len(r)) - 1
+            for at in range(0, len(a), 256):
+                part, ids = a[at : at + 256], asked[at : at + 256]
+                d = np.round(np.maximum(0.0, (part * part).sum(axis=1)[:, None] + square - 2 * part @ b.T), 9)
+                d[other[None, :] == ids[:, None]] = np.inf
+                row, col = np.nonzero((d <= np.partition(d, most, axis=1)[:, most : most + 1]) & np.isfinite(d))
+                by = np.lexsort((col, d[row, col], row))
+                row, col = row[by], col[by]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[first], col[first]
+                out.append(pd.DataFrame({key: ids[row], "other": other[col], "d2": d[row, col]}))
+        return pd.concat(out) if out else pd.DataFrame({key: [], "other": [], "d2": []})
+
+    kind = dict(df.dtypes)[key]
+    near = left.groupBy(*s, "qb", "rb").cogroup(right.groupBy(*[f"r_{c}" for c in s], "r_qb", "r_rb")).applyInPandas(nearest, f"`{key}` {kind}, other {kind}, d2 double")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d2", "other")))
+    return ranked.where(F.col("rank") <= k).select(key, "rank", "other", "d2")
 
 
 def votes(near: DataFrame, labels: DataFrame, key: str, label: str, by: list[str] | None = None) -> DataFrame:

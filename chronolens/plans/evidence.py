@@ -138,7 +138,14 @@ def q_bounds(spark, d):
     return n.select("family", r6(lower).alias("lower"), upper.alias("upper"))
 
 
-@query()
+@query(f"""WITH {C}, c AS (SELECT family, lr AS v, count(*) FILTER (WHERE item % 2 = 1) AS p, count(*) FILTER (WHERE item % 2 = 0) AS d FROM curves GROUP BY ALL),
+w AS (SELECT family, v, sum(p) OVER (PARTITION BY family ORDER BY v) AS pv, sum(d) OVER (PARTITION BY family ORDER BY v) AS dv, sum(p) OVER (PARTITION BY family) AS np, sum(d) OVER (PARTITION BY family) AS nd,
+ coalesce(lead(v) OVER (PARTITION BY family ORDER BY v), 1e300) AS nxt, min(v) OVER (PARTITION BY family) AS first FROM c),
+m AS (SELECT *, (pv + 1) / (np + 1) AS miss, (nd - dv + 1) / (nd + 1) AS alarm FROM w),
+s AS (SELECT family, first, greatest(1.0, v, (1 - miss) / alarm) AS starts, nxt, v, CASE WHEN alarm < 1 THEN miss / (1 - alarm) ELSE 1e300 END AS low FROM m),
+b AS (SELECT family, CASE WHEN any_value(first) > 1 THEN 1.0 ELSE least(1e6, coalesce(min(starts) FILTER (WHERE starts < nxt), 1e6)) END AS upper,
+ greatest(1e-6, least(1.0, any_value(first)), coalesce(max(least(1.0, nxt, low)) FILTER (WHERE v < 1 AND low > v), 0)) AS lower FROM s GROUP BY family)
+SELECT family, round(lower, 6) AS lower, round(upper, 6) AS upper, round(log10(upper / lower), 6) AS span FROM b""")
 def q_elub(spark, d):
     e = bounds.elub(V.curves(spark, d).withColumn("y", F.col("item") % 2), "lr", "y", ["family"])
     return e.select("family", r6("lower").alias("lower"), r6("upper").alias("upper"), r6(F.log10(F.col("upper") / F.col("lower"))).alias("span"))

@@ -15,15 +15,15 @@ VV = V.VECTORS
 LONG = "l AS (SELECT v.vec_id, v.generator, v.family, v.origin, v.release_date, i, CAST(v.x[i + 1] AS DOUBLE) AS v FROM vectors v, range(0, 64) t(i))"
 
 
-@query(f"WITH {VV}, {LONG}, q AS (SELECT i, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS b FROM l GROUP BY i) SELECT vec_id, CAST(i AS INT) AS i, round((v - m) / CASE WHEN b > a THEN b - a ELSE 1 END, 5) AS v FROM l JOIN q USING (i) WHERE i < 4")
+@query(f"WITH {VV}, {LONG}, q AS (SELECT i, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS b FROM l GROUP BY i) SELECT vec_id, CAST(i AS INT) AS i, round((v - m) / CASE WHEN b > a THEN b - a ELSE 1 END, 5) AS v FROM l JOIN q USING (i)")
 def q_robust_scale(spark, d):
-    return vectors.long(vectors.scale(V.vectors(spark, d)), ["vec_id"]).where("i < 4").withColumn("v", F.round("v", 5))
+    return vectors.long(vectors.scale(V.vectors(spark, d)), ["vec_id"]).withColumn("v", F.round("v", 5))
 
 
-@query(f"WITH {VV}, {LONG} SELECT vec_id, CAST(i AS INT) AS i, round(v - avg(v) OVER (PARTITION BY family, origin, i), 6) AS v FROM l QUALIFY i < 4")
+@query(f"WITH {VV}, {LONG} SELECT vec_id, CAST(i AS INT) AS i, round(v - avg(v) OVER (PARTITION BY family, origin, i), 6) AS v FROM l")
 def q_group_centre(spark, d):
     v = V.vectors(spark, d)
-    return vectors.long(vectors.centre(v, ["family", "origin"]), ["vec_id"]).where("i < 4").withColumn("v", r6("v"))
+    return vectors.long(vectors.centre(v, ["family", "origin"]), ["vec_id"]).withColumn("v", r6("v"))
 
 
 @query(f"WITH {VV}, {LONG}, g AS (SELECT i, generator, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM l GROUP BY ALL), t AS (SELECT sum(n * s) AS w, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS b FROM g GROUP BY i) SELECT round(sum(b) / (sum(b) + sum(w)), 6) AS share FROM t")
@@ -31,10 +31,9 @@ def q_between_share(spark, d):
     return vectors.between_share(V.vectors(spark, d), ["generator"]).select(r6("share").alias("share"))
 
 
-@query(f"WITH {VV}, {LONG} SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(sum(a.v * b.v), 4) AS xx FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i <= b.i AND b.i < 8 GROUP BY ALL")
+@query(f"WITH {VV}, {LONG} SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(sum(a.v * b.v), 4) AS xx FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
 def q_gram(spark, d):
-    v = V.vectors(spark, d).withColumn("x", F.slice("x", 1, 8))
-    return vectors.gram(v).select("i", "j", F.round("xx", 4).alias("xx"))
+    return vectors.gram(V.vectors(spark, d)).select("i", "j", F.round("xx", 4).alias("xx"))
 
 
 @query()
@@ -43,7 +42,7 @@ def q_pca_scores(spark, d):
     return scored.select("vec_id", *[F.round(F.col("scores")[k], 4).alias(f"pc{k + 1}") for k in range(5)], *[F.lit(round(float(s), 6)).alias(f"share{k + 1}") for k, s in enumerate(share)])
 
 
-#: Neighbours of every vector whose id is divisible by ten, among all vectors.
+#: The five nearest other vectors of every vector.
 NEAR = """p AS (SELECT a.vec_id, b.vec_id AS other, round(list_sum(list_transform(list_zip(a.x, b.x), lambda t: (CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE)) ** 2)), 9) AS d2 FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id {on}),
 n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, other) AS rank FROM p QUALIFY rank <= 5)"""
 
@@ -57,7 +56,7 @@ def q_knn_accuracy(spark, d):
 @query(f"WITH {VV}, {NEAR.format(on='AND a.family = b.family AND a.origin = b.origin')}, v AS (SELECT n.vec_id, o.generator AS voted, count(*) AS c, min(rank) AS f FROM n JOIN vectors o ON o.vec_id = n.other GROUP BY ALL), b AS (SELECT vec_id, arg_min(voted, f - 100 * c) AS predicted FROM v GROUP BY vec_id), r AS (SELECT m.family, m.origin, m.generator AS truth, avg(CAST(predicted = m.generator AS INT)) AS recall, count(*) AS n FROM b JOIN vectors m USING (vec_id) GROUP BY ALL) SELECT family, origin, CAST(sum(n) AS BIGINT) AS n, count(*) AS labels, round(avg(recall), 6) AS accuracy FROM r GROUP BY ALL")
 def q_stratified_knn(spark, d):
     v = V.vectors(spark, d)
-    near = vectors.neighbours(v, "vec_id", "x", 5, ["family", "origin"], blocks=2)
+    near = vectors.neighbours(v, "vec_id", "x", 5, ["family", "origin"])
     p = vectors.votes(near, v, "vec_id", "generator").join(v.select("vec_id", "family", "origin"), "vec_id")
     n = p.groupBy("family", "origin").agg(F.count("*").alias("n"), F.count_distinct("truth").alias("labels"))
     return vectors.balanced_accuracy(p, ["family", "origin"]).join(n, ["family", "origin"]).select("family", "origin", "n", "labels", r6("accuracy").alias("accuracy"))
@@ -170,11 +169,11 @@ def q_planted_power(spark, d):
     return parts.select("delta", "family", r6("acc").alias("acc"), r6("llr").alias("llr"), r6("p_llr").alias("p_llr"), (F.col("p_llr") <= 0.05).alias("found"))
 
 
-@query(f"""WITH {VV}, {LONG}, s AS (SELECT vec_id, i, v, CAST(vec_id % 100 AS DOUBLE) AS z FROM l WHERE i < 4), b AS (SELECT i, covar_pop(v, z) AS cyz, covar_pop(v, z * z) AS cyw, var_pop(z) AS zz, var_pop(z * z) AS ww, covar_pop(z, z * z) AS zw, avg(v) AS mv, avg(z) AS mz, avg(z * z) AS mw FROM s GROUP BY i)
+@query(f"""WITH {VV}, {LONG}, s AS (SELECT vec_id, i, v, CAST(vec_id % 100 AS DOUBLE) AS z FROM l), b AS (SELECT i, covar_pop(v, z) AS cyz, covar_pop(v, z * z) AS cyw, var_pop(z) AS zz, var_pop(z * z) AS ww, covar_pop(z, z * z) AS zw, avg(v) AS mv, avg(z) AS mz, avg(z * z) AS mw FROM s GROUP BY i)
 SELECT vec_id, CAST(i AS INT) AS i, round(v - mv - (cyz * ww - cyw * zw) / (zz * ww - zw * zw) * (z - mz) - (cyw * zz - cyz * zw) / (zz * ww - zw * zw) * (z * z - mw), 5) AS residual FROM s JOIN b USING (i)""")
 def q_size_check(spark, d):
     """Vectors with size and its square regressed out, element by element."""
-    rows = vectors.long(V.vectors(spark, d), ["vec_id"]).where("i < 4").withColumn("z", (F.col("vec_id") % 100).cast("double")).withColumn("w", F.col("z") * F.col("z"))
+    rows = vectors.long(V.vectors(spark, d), ["vec_id"]).withColumn("z", (F.col("vec_id") % 100).cast("double")).withColumn("w", F.col("z") * F.col("z"))
     b = rows.groupBy("i").agg(*temporal.two_regressors("v", "z", "w"), F.avg("v").alias("mv"), F.avg("z").alias("mz"), F.avg("w").alias("mw"))
     residual = F.col("v") - F.col("mv") - F.col("b_a") * (F.col("z") - F.col("mz")) - F.col("b_b") * (F.col("w") - F.col("mw"))
     return rows.join(F.broadcast(b), "i").select("vec_id", "i", F.round(residual, 5).alias("residual"))

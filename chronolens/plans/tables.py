@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import exprs as X
 from ..operators import audit, ranks, sampling
@@ -72,23 +71,25 @@ def q_audit_offenders(spark, d):
     return audit.first_offenders(audit.duplicate_keys(V.read(spark, d, "lineitem"), "l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT p_brand, count(*) AS n_rows FROM part WHERE p_brand IS NOT NULL AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 25) GROUP BY p_brand")
+@query("SELECT o_custkey, count(*) AS n_rows FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey")
 def q_audit_dictionary(spark, d):
-    part = V.read(spark, d, "part")
-    return audit.not_in_dimension(part, part.where("p_size > 25").select("p_brand").distinct(), "p_brand")
+    """Customers of orders that a dictionary of those with a positive balance lacks."""
+    known = V.read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return audit.not_in_dimension(V.read(spark, d, "orders"), known, "o_custkey")
 
 
-@query(f"WITH {S} SELECT item_id FROM scored WHERE split = 'train' INTERSECT SELECT item_id FROM scored WHERE split = 'val'")
+@query("SELECT user_id FROM events WHERE event_id % 2 = 0 INTERSECT SELECT user_id FROM events WHERE event_id % 2 = 1")
 def q_split_disjoint(spark, d):
-    m = V.scored(spark, d)
-    return audit.overlap(m.where("split = 'train'"), m.where("split = 'val'"), "item_id")
+    """Users on both sides of a split of their events: a split by event isn't one by user."""
+    e = V.read(spark, d, "events")
+    return audit.overlap(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id")
 
 
-@query("SELECT lang, CASE WHEN max(CAST(source IN ('src0','src1','src2','src3','src4','src5','src6','src7','src8','src9') AS INT)) = 1 THEN 'left' ELSE 'right' END AS side FROM documents GROUP BY lang HAVING max(CAST(source IN ('src0','src1','src2','src3','src4','src5','src6','src7','src8','src9') AS INT)) <> 1 OR min(CAST(source IN ('src0','src1','src2','src3','src4','src5','src6','src7','src8','src9') AS INT)) <> 0")
+@query("SELECT source, 'left' AS side FROM documents WHERE lang = 'en' GROUP BY source HAVING source NOT IN (SELECT source FROM documents WHERE lang = 'fr' AND source IS NOT NULL) UNION ALL SELECT source, 'right' FROM documents WHERE lang = 'fr' GROUP BY source HAVING source NOT IN (SELECT source FROM documents WHERE lang = 'en' AND source IS NOT NULL)")
 def q_fingerprint_parity(spark, d):
+    """Sources that only one of two halves of the documents has."""
     docs = V.read(spark, d, "documents")
-    left = F.col("source").isin([f"src{i}" for i in range(10)])
-    return audit.value_parity(docs.where(left), docs.where(~left), "lang")
+    return audit.value_parity(docs.where("lang = 'en'"), docs.where("lang = 'fr'"), "source")
 
 
 @query(f"WITH {S} SELECT \"column\", n_rows, n_missing FROM (SELECT 'generator' AS \"column\", count(*) AS n_rows, count(*) FILTER (WHERE generator IS NULL) AS n_missing FROM scored UNION ALL SELECT 's1', count(*), count(*) FILTER (WHERE s1 IS NULL) FROM scored UNION ALL SELECT 'release_date', count(*), count(*) FILTER (WHERE release_date IS NULL) FROM scored)")
@@ -188,12 +189,16 @@ def q_allocate(spark, d):
 
 @query(f"""WITH {S}, f AS (SELECT * FROM scored WHERE label = 1), z AS (SELECT generator, split, count(*) AS n FROM f GROUP BY ALL),
 {ALLOCATE.format(by='generator, ', part='split', total=7, over='PARTITION BY generator')},
-r AS (SELECT item_id, generator, split, {DRAW.format(by='generator, split', seed=1234, parts="generator || ':' || split", key='item_id')} AS draw FROM f)
-SELECT item_id, generator, split FROM r JOIN q USING (generator, split) WHERE draw <= share""")
+r AS (SELECT item_id, generator, split, {DRAW.format(by='generator, split', seed=1234, parts="generator || ':' || split", key='item_id')} AS draw FROM f),
+ones AS (SELECT item_id, 1 AS label, generator, split FROM r JOIN q USING (generator, split) WHERE draw <= share),
+zs AS (SELECT source, count(*) AS n FROM scored WHERE label = 0 GROUP BY source), es AS (SELECT source, n, t * n / sum(n) OVER () AS exact, t FROM zs, (SELECT count(*) AS t FROM ones)),
+bs AS (SELECT *, row_number() OVER (ORDER BY round(exact - floor(exact), 9) DESC, source DESC) AS o, t - sum(floor(exact)) OVER () AS short, sum(n) OVER () AS grand FROM es),
+qs AS (SELECT source, CASE WHEN t >= grand THEN n ELSE floor(exact) + CASE WHEN o <= short THEN 1 ELSE 0 END END AS share FROM bs),
+rs AS (SELECT item_id, source, split, {DRAW.format(by='source', seed=1234, parts='source', key='item_id')} AS draw FROM scored WHERE label = 0)
+SELECT item_id, label, generator, split FROM ones UNION ALL SELECT item_id, 0, NULL, split FROM rs JOIN qs USING (source) WHERE draw <= share""")
 def q_draw_matched(spark, d):
     m = V.scored(spark, d)
-    both = sampling.draw_matched(m, "label", "generator", "split", "source", "item_id", 7)
-    return both.where("label = 1").select("item_id", "generator", "split")
+    return sampling.draw_matched(m, "label", "generator", "split", "source", "item_id", 7).select("item_id", "label", "generator", "split")
 
 
 @query(f"WITH {S} SELECT item_id, label, CAST(({DRAW.format(by='label, source', seed=0, parts="label || ':' || source", key='item_id')} - 1) % 5 AS INT) AS fold FROM scored")
@@ -346,6 +351,8 @@ def q_deduplicate(spark, d):
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(list_sort(list(value))[CAST(floor(0.5 * (count(*) - 1)) AS INT) + 1], 6) AS p50, round(list_sort(list(value))[CAST(floor(0.9 * (count(*) - 1)) AS INT) + 1], 6) AS p90 FROM events GROUP BY event_type")
 def q_timing_percentiles(spark, d):
-    e = V.read(spark, d, "events").withColumn("place", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).withColumn("m", F.count("*").over(Window.partitionBy("event_type")) - 1)
+    e = V.read(spark, d, "events").select("event_type", "value")
+    sizes = e.groupBy("event_type").agg((F.count("*") - 1).alias("m"))
+    e = ranks.positions(e, ["event_type"], ["value"], "place").withColumn("place", F.col("place") - 1).join(F.broadcast(sizes), "event_type")
     at = lambda q: r6(F.max(F.when(F.col("place") == F.floor(F.lit(q) * F.col("m")), F.col("value"))))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"))
