@@ -37,29 +37,66 @@ VOCABULARY = 4096
 CODE_POINTS = 0x110000
 BUCKET_BYTES = 24_000_000
 _CHUNK = 1 << 20
+_MERGE = 4_000_000
 _MASK = (1 << BITS) - 1
 
 
-def encode(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed n-grams (hi, lo) of `order` tokens ending at each character of the texts, and the number of characters of each text."""
+def _codes(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of the texts, each after order - 1 begins; which n-grams end at a character of a text; and the lengths."""
     pad = chr(BEGIN) * (order - 1)
     n = np.array([len(t) if t else 0 for t in texts], dtype=np.int64)
-    codes = np.frombuffer("".join(pad + (t or "") for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    size = max(0, len(codes) - order + 1)
-    hi, lo = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for j in range(order):
-        part = hi if j < order - HALF else lo
-        part <<= BITS
-        part |= codes[j : j + size]
-    ends = np.cumsum(n + order - 1)
+    codes = np.frombuffer("".join(pad + (t or "") for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     keep = np.ones(len(codes), bool)
-    begin = ends - n - (order - 1)
+    begin = np.cumsum(n + order - 1) - n - (order - 1)
     for j in range(order - 1):
         keep[begin + j] = False
-    keep = keep[order - 1 :]
+    return codes, keep[order - 1 :], n
+
+
+def _packed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hi, lo) of n-grams given as the array of their first tokens, that of their second tokens and so on."""
+    hi, lo = np.zeros(len(parts[0]), np.int64), np.zeros(len(parts[0]), np.int64)
+    for j, part in enumerate(parts):
+        to = hi if j < len(parts) - HALF else lo
+        to <<= BITS
+        to |= part
+    return hi, lo
+
+
+def encode(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed n-grams (hi, lo) of `order` tokens ending at each character of the texts, and the number of characters of each text."""
+    codes, keep, n = _codes(texts, order)
+    codes, size = codes.astype(np.int64), max(0, len(codes) - order + 1)
+    hi, lo = _packed([codes[j : j + size] for j in range(order)])
     return hi[keep], lo[keep], n
 
 
+def counted(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of the texts and how often each comes up.
+
+    N-grams are sorted as numbers to the base of how many code points these texts have, where those fit in 64 bits."""
+    codes, keep, _ = _codes(texts, order)
+    seen = np.zeros(CODE_POINTS, bool)
+    seen[codes] = True
+    alphabet = np.flatnonzero(seen)
+    base, size = max(2, len(alphabet)), max(0, len(codes) - order + 1)
+    if base**order >= 1 << 64:
+        return distinct(*encode(texts, order)[:2])
+    digit = np.zeros(CODE_POINTS, np.uint64)
+    digit[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+    digits, key = digit[codes], np.zeros(size, np.uint64)
+    for j in range(order):
+        key *= np.uint64(base)
+        key += digits[j : j + size]
+    key = np.sort(key[keep])
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    c, key, parts = np.diff(np.append(first, len(key))), key[first], []
+    for _ in range(order):
+        key, part = np.divmod(key, np.uint64(base))
+        parts.append(alphabet[part.astype(np.int64)] if len(part) else part.astype(np.int64))
+    return *_packed(parts[::-1]), c
+
+
 def mixed(hi: np.ndarray, lo: np.ndarray, turn: int) -> np.ndarray:
     """One number for each n-gram; `turn` chooses among several ways to mix."""
     a, b = np.uint64(0x9E3779B97F4A7C15 + 2 * turn), np.uint64(0xC2B2AE3D27D4EB4F + 6 * turn)
@@ -69,11 +106,17 @@ def mixed(hi: np.ndarray, lo: np.ndarray, turn: int) -> np.ndarray:
 
 def distinct(hi: np.ndarray, lo: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct n-grams and how often each comes up (or the sum of `c`)."""
+    if not len(hi):
+        return hi, lo, np.zeros(0, np.int64)
     turn = 0
     while True:
-        _, first, of = np.unique(mixed(hi, lo, turn), return_index=True, return_inverse=True)
-        if np.array_equal(hi[first][of], hi) and np.array_equal(lo[first][of], lo):  # no two share a number
-            return hi[first], lo[first], np.bincount(of, c, len(first)).astype(np.int64)
+        key = mixed(hi, lo, turn)
+        by = np.argsort(key)
+        key, a, b = key[by], hi[by], lo[by]
+        new = key[1:] != key[:-1]
+        if np.array_equal(new, (a[1:] != a[:-1]) | (b[1:] != b[:-1])):  # no two share a number
+            first = np.flatnonzero(np.concatenate([[True], new]))
+            return a[first], b[first], np.diff(np.append(first, len(key))) if c is None else np.add.reduceat(c[by], first)
         turn += 1
 
 
@@ -93,15 +136,18 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
 def _summed(texts: Iterator[list[str | None]], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The distinct n-grams of the texts with counts, in parts of bounded size."""
     none = np.zeros(0, np.int64)
-    held = none, none, none
+    held, rows = [(none, none, none)], 0
     for batch in texts:
         for _, part in chunks(batch):
-            new = distinct(*encode(part, order)[:2])
-            held = distinct(*(np.concatenate(x) for x in zip(held, new, strict=True)))
-            if len(held[0]) > 1_500_000:
-                yield held
-                held = none, none, none
-    yield held
+            held.append(counted(part, order))
+            rows += len(held[-1][0])
+            if rows > _MERGE:
+                held = [distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                rows = len(held[0][0])
+                if rows > _MERGE // 2:
+                    yield held[0]
+                    held, rows = [(none, none, none)], 0
+    yield distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def count(texts: DataFrame, text_col: str, order: int) -> DataFrame:
@@ -203,18 +249,45 @@ def score(docs: DataFrame, text_col: str, models: dict[str, DataFrame], order: i
     return dealt.groupBy(bucket).cogroup(rows.groupBy("bucket")).applyInArrow(summed, out.schema)
 
 
+class Table:
+    """Where each of some distinct numbers is: hashed to four times as many places, those whose place is taken again in a next table."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.numbers, self.levels = numbers, []
+        left = np.arange(len(numbers), dtype=np.int32)
+        while len(left):
+            table = np.full(1 << (4 * len(left)).bit_length(), -1, np.int32)
+            place = self._place(numbers[left], len(table))
+            table[place] = left
+            self.levels.append(table)
+            left = left[table[place] != left]
+
+    def _place(self, numbers: np.ndarray, size: int) -> np.ndarray:
+        shift = np.uint64(64 - size.bit_length() + 1)
+        return ((numbers * np.uint64(0x9E3779B97F4A7C15 + 2 * (len(bin(size)) << 20))) >> shift).astype(np.int64)
+
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        """The place of each of `numbers`, all of which are in the table."""
+        out, todo = np.zeros(len(numbers), np.int64), np.arange(len(numbers))
+        for table in self.levels:
+            at = table[self._place(numbers[todo], len(table))]
+            ok = self.numbers[at] == numbers[todo]
+            out[todo[ok]] = at[ok]
+            todo = todo[~ok]
+        return out
+
+
 def _sums(docs: pa.Table, grams: pa.Table, text_col: str, names: list[str], order: int) -> pa.Table:
     hi, lo = (grams.column(c).to_numpy() for c in ("hi", "lo"))
     turn = 0
     while len(np.unique(key := mixed(hi, lo, turn))) < len(hi):  # until no two n-grams of the bucket share a number
         turn += 1
-    by = np.argsort(key)
-    key, values = key[by], [grams.column(n).to_numpy()[by] for n in names]
+    known, values = Table(key), [grams.column(n).to_numpy() for n in names]
     texts = docs.column(text_col).to_pylist()
     sums = np.zeros((len(names), len(texts)))
     for at, part in chunks(texts):
         *gram, lengths = encode(part, order)
-        where = np.searchsorted(key, mixed(*gram, turn))
+        where = known.find(mixed(*gram, turn))
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         for j, v in enumerate(values):
             sums[j, at : at + len(part)] = np.diff(np.concatenate([[0], np.cumsum(v[where])])[bounds])
