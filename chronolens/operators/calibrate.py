@@ -7,7 +7,10 @@ for each model and Newton step, all models in one job.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,117 @@ def pav_lr(model: IsotonicRegressionModel, df: DataFrame, score: str, name: str
     return model.setFeaturesCol(score).transform(df.withColumn(score, F.col(score).cast("double"))).withColumn(name, odds(F.round("calibrated", 12))).drop("calibrated")
 
 
+def _pooled(rows: np.ndarray) -> np.ndarray:
+    """Rows (lowest score, highest score, weight, weight of class 1) in order of score, pooled until their shares of class 1 increase."""
+    held: list[np.ndarray] = []
+    for row in rows:
+        while held and held[-1][3] * row[2] >= row[3] * held[-1][2]:
+            last = held.pop()
+            row = np.array([last[0], row[1], last[2] + row[2], last[3] + row[3]])
+        held.append(row)
+    return np.array(held).reshape(-1, 4)
+
+
+BLOCK = ["lo", "hi", "w", "w1"]
+
+
+def pav_table(df: DataFrame, score: str, y: str, by: list[str]) -> DataFrame:
+    """(by, lo, hi, w, w1): the blocks of weighted pool-adjacent-violators of each model, classes weighing one half each.
+
+    Scores are dealt out by range and pooled where they lie, then the blocks of the ranges are pooled: pooling in parts
+    gives the blocks of pooling at once. What one task pools of a model at the end are blocks, not scores."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], *[f"{c} double" for c in BLOCK]])
+    one = F.col(y) == 1
+    hist = balanced(df.select(*by, F.col(score).cast("double").alias("lo"), F.col(y).alias(y)), y, by).groupBy(*by, "lo").agg(F.sum("w").alias("w"), F.sum(F.when(one, F.col("w")).otherwise(0.0)).alias("w1"))
+    hist = hist.select(*by, "lo", F.col("lo").alias("hi"), "w", "w1").repartitionByRange(*by, "lo").sortWithinPartitions(*by, "lo")
+
+    def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, rows in b.groupby(by, sort=False, dropna=False) if by else [((), b)]:
+                yield pd.DataFrame(_pooled(rows[BLOCK].to_numpy()), columns=BLOCK).assign(**dict(zip(by, key, strict=True)))[[*by, *BLOCK]]
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("lo")
+        return pd.DataFrame(_pooled(rows[BLOCK].to_numpy()), columns=BLOCK).assign(**{c: rows[c].iloc[0] for c in by})[[*by, *BLOCK]]
+
+    return hist.mapInPandas(here, schema).groupBy(*by).applyInPandas(whole, schema)
+
+
+def pav_ratios(df: DataFrame, table: DataFrame, score: str, by: list[str], name: str = "lr", most: int = 500_000) -> DataFrame:
+    """`df` with the likelihood ratio of its score under its model's blocks: linear between blocks, and the end's outside.
+
+    The table of blocks goes to the tasks only up to `most` rows; beyond, round the scores before the fit."""
+    if (n := table.count()) > most:
+        raise ValueError(f"{n} blocks are too many to send to every task; round the scores")
+    models: dict = {}
+    for r in table.orderBy(*by, "lo").toLocalIterator():
+        xs, ps = models.setdefault(tuple(r[c] for c in by), ([], []))
+        xs += [r.lo, r.hi]
+        ps += [r.w1 / r.w] * 2
+    sent = df.sparkSession.sparkContext.broadcast({k: (np.array(x), np.array(p)) for k, (x, p) in models.items()})
+
+    @F.pandas_udf("double")
+    def calibrated(model: pd.DataFrame, x: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=x.index)
+        for key, rows in model.groupby(list(model.columns), sort=False).groups.items():
+            knots = sent.value.get(key if isinstance(key, tuple) else (key,))
+            if knots is not None:
+                out[rows] = np.interp(x[rows].astype(float), *knots)
+        return out
+
+    keys = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all_"))
+    if not by:
+        sent = df.sparkSession.sparkContext.broadcast({(0,): v for v in sent.value.values()})
+    return df.withColumn(name, odds(F.round(calibrated(keys, F.col(score).cast("double")), 12)))
+
+
+def block_cost(table: DataFrame, by: list[str]) -> DataFrame:
+    """(by, cllr_min): the cost after the best monotone recalibration, from the blocks of the ratios themselves."""
+    one, zero = F.col("w1"), F.col("w") - F.col("w1")
+    term = lambda x, other: F.when(x > 1e-12, x * F.log2(1 + F.greatest(F.lit(0.0), other) / x)).otherwise(0.0)
+    cost = term(one, zero) + term(zero, one)
+    return table.groupBy(*by).agg(F.sum(cost).alias("cllr_min"))
+
+
+def decomposition(df: DataFrame, lr: str, y: str, by: list[str]) -> DataFrame:
+    """(by, cllr, n_p, n_d, cllr_min, cllr_cal): the cost, what is left of it after recalibration, and the rest."""
+    least = block_cost(pav_table(df, lr, y, by), by)
+    both = cllr(df, lr, y, by)
+    both = both.join(least, by) if by else both.join(least)
+    return both.withColumn("cllr_cal", F.col("cllr") - F.col("cllr_min"))
+
+
+def logistic(df: DataFrame, score: str, y: str, by: list[str]) -> DataFrame:
+    """(by, intercept, b_<score>): the logistic calibrator of each model, without a penalty; its ratio is exp of the linear score."""
+    kinds = dict(df.dtypes)
+    beta = fuse(df.withColumn("l2_", F.lit(0.0)), by, [score], y, "l2_")
+    return coefficients(df.sparkSession, beta, by, [score], [kinds[c] for c in by])
+
+
+def permuted_cost(df: DataFrame, lr: str, y: str, by: list[str], perms: int, seed: int = 0) -> DataFrame:
+    """(by, perm, cllr_min) with the labels dealt anew, for each permutation: from the counts of distinct ratios, as the number
+    of each that gets label 1 is a draw without replacement. A permutation of a model is a group of its own."""
+    kinds = dict(df.dtypes)
+    hist = df.groupBy(*by, F.col(lr).cast("double").alias("lo")).agg(F.count("*").alias("n"), F.sum((F.col(y) == 1).cast("long")).alias("p"))
+    many = hist.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
+
+    def cost(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("lo")
+        n, n_p = rows["n"].to_numpy(), int(rows["p"].sum())
+        words = [seed, int(rows["perm"].iloc[0]), *"|".join(str(rows[c].iloc[0]) for c in by).encode()]
+        p = np.random.default_rng(words).multivariate_hypergeometric(n, n_p, method="marginals")
+        w1, w0 = 0.5 * p / max(1, n_p), 0.5 * (n - p) / max(1, n.sum() - n_p)
+        blocks = _pooled(np.column_stack([rows["lo"], rows["lo"], w1 + w0, w1]))
+        a, b = blocks[:, 3], blocks[:, 2] - blocks[:, 3]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            least = np.where(a > 0, a * np.log2(1 + b / a), 0).sum() + np.where(b > 1e-15, b * np.log2(1 + a / b), 0).sum()
+        return pd.DataFrame([[*[rows[c].iloc[0] for c in by], int(rows["perm"].iloc[0]), float(least)]], columns=[*by, "perm", "cllr_min"])
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "perm int, cllr_min double"])
+    return many.groupBy(*by, "perm").applyInPandas(cost, schema)
+
+
 def cllr_terms(lr: Column, y: Column) -> list[Column]:
     """Mean penalty of label 1 and of label 0, in bits."""
     return [F.avg(F.when(y == 1, F.log2(1 + inverse(lr)))), F.avg(F.when(y == 0, F.log2(1 + lr)))]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import aggregate, bounds, calibrate, ranks, sampling
+from ..operators.lineage import written
 from ..sources import views as V
 from .registry import query
 from .tables import r6
@@ -201,87 +202,226 @@ def q_fuse_ridge(spark, d):
     return calibrate.coefficients(spark, beta, ["of"], Z, ["string"]).select(F.col("of").alias("family"), *[r6(c).alias(c) for c in ["intercept", *[f"b_{z}" for z in Z]]])
 
 
+def span(lower: str, upper: str):
+    return r6(F.log10(F.col(upper) / F.col(lower))).alias("span")
+
+
+def clipped(lrs, e, keys):
+    """Ratios within the bounds (keys, lower, upper) of their model."""
+    return lrs.join(F.broadcast(e), keys).withColumn("lr", X.clip(F.col("lr"), F.col("lower"), F.col("upper"))).drop("lower", "upper")
+
+
+def ratios(rows, keys, train):
+    """`rows` (keys, item_id, y, l2, features) with `fused` and `lr`, of each key's fusion and isotonic calibrator fitted on its rows of
+    `train`. Fused scores are rounded to four decimals, which bounds the blocks of a calibrator."""
+    spark, kinds = rows.sparkSession, dict(rows.dtypes)
+    rows = written(rows, "rows")
+    models = calibrate.coefficients(spark, calibrate.fuse(rows.where(train), keys, Z, "y", "l2"), keys, Z, [kinds[c] for c in keys])
+    scored = written(rows.join(F.broadcast(models), keys).withColumn("fused", F.round(calibrate.fused_score(Z), 4)).select(*rows.columns, "fused"), "fused")
+    return calibrate.pav_ratios(scored, calibrate.pav_table(scored.where(train), "fused", "y", keys), "fused", keys)
+
+
 def out_of_fold(rows, keys, k: int = 5):
-    """Each row's score under the model fitted without its fold; rows carry the keys, fold and l2."""
-    spark = rows.sparkSession
-    rows = rows.persist()
-    grid = spark.range(k).select(F.col("id").cast("int").alias("held"))
-    train = rows.join(F.broadcast(grid), F.col("fold") != F.col("held"))
-    beta = calibrate.fuse(train, [*keys, "held"], Z, "y", "l2")
-    kinds = [dict(rows.dtypes)[c] for c in keys]
-    models = calibrate.coefficients(spark, beta, [*keys, "held"], Z, [*kinds, "int"])
-    return rows.join(F.broadcast(models), [*(rows[c] == models[c] for c in keys), rows["fold"] == models["held"]]).select(*[rows[c] for c in keys], "item_id", "y", "fold", calibrate.fused_score(Z).alias("logit"))
+    """Each row's ratio under the fusion and the calibrator fitted without its fold; rows carry the keys, fold and l2."""
+    grid = rows.sparkSession.range(k).select(F.col("id").cast("int").alias("held"))
+    return ratios(rows.join(F.broadcast(grid)), [*keys, "held"], F.col("fold") != F.col("held")).where("fold = held")
+
+
+#: The ridge strengths to choose from.
+L2_GRID = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0)
+
+
+def strengths(spark, rows, keys):
+    """(keys, l2, cost) of each model and strength: mean out-of-fold cost, ratios of the isotonic calibrator clipped to the count bound."""
+    grid = spark.createDataFrame([(x,) for x in L2_GRID], "l2 double")
+    scored = written(out_of_fold(rows.join(F.broadcast(grid)), [*keys, "l2"]), "folds")
+    n = scored.groupBy(*keys, "l2").agg(F.count_if(F.col("y") == 1).alias("n_p"), F.count_if(F.col("y") == 0).alias("n_d"))
+    lr = X.clip(F.col("lr"), 1.0 / F.col("n_p"), F.col("n_d").cast("double"))
+    return calibrate.cllr(scored.join(F.broadcast(n), [*keys, "l2"]).withColumn("lr", lr), "lr", "y", [*keys, "l2", "fold"]).groupBy(*keys, "l2").agg(F.avg("cllr").alias("cost"))
+
+
+def chosen(spark, rows):
+    """(of, l2, cllr): the strength of least cost for each family, the smaller of equal ones."""
+    cost = strengths(spark, sampling.kfolds(rows, ["of", "y"], "item_id"), ["of"])
+    return cost.groupBy("of").agg(F.min_by("l2", F.struct("cost", "l2")).alias("l2"), F.min("cost").alias("cllr"))
 
 
 @query()
 def q_pick_l2(spark, d):
     """The ridge strength of least out-of-fold cost for each family; ratios are clipped to the count bound."""
-    rows = sampling.kfolds(per_family(standardised(spark, d).where("split = 'train'")), ["of", "y"], "item_id")
-    grid = spark.createDataFrame([(10.0**e,) for e in (-2, 0, 2)], "l2 double")
-    scored = out_of_fold(rows.join(F.broadcast(grid)), ["of", "l2"])
-    n = scored.groupBy("of", "l2").agg(F.count_if(F.col("y") == 1).alias("n_p"), F.count_if(F.col("y") == 0).alias("n_d"))
-    lr = X.clip(F.exp(F.col("logit")), 1.0 / F.col("n_p"), F.col("n_d").cast("double"))
-    cost = calibrate.cllr(scored.join(F.broadcast(n), ["of", "l2"]).withColumn("lr", lr), "lr", "y", ["of", "l2", "fold"]).groupBy("of", "l2").agg(F.avg("cllr").alias("cost"))
-    return cost.groupBy(F.col("of").alias("family")).agg(F.min_by("l2", F.struct("cost", "l2")).alias("l2"), r6(F.min("cost")).alias("cllr"))
+    return chosen(spark, per_family(standardised(spark, d).where("split = 'train'"))).select(F.col("of").alias("family"), "l2", r6("cllr").alias("cllr"))
 
 
 @query()
 def q_crossfit(spark, d):
+    """For each family: ratios of models that didn't see the row's fold, their bounds and cost, beside those of the fixed split."""
     rows = sampling.kfolds(per_family(standardised(spark, d)), ["of", "y"], "item_id").withColumn("l2", F.lit(1.0))
-    scored = out_of_fold(rows, ["of"]).withColumn("lr", F.exp("logit"))
-    e = bounds.elub(scored.withColumn("lr", F.round("lr", 4)), "lr", "y", ["of"])
-    c = calibrate.cllr(scored.join(F.broadcast(e), "of").withColumn("lr", X.clip(F.col("lr"), F.col("lower"), F.col("upper"))), "lr", "y", ["of"])
-    return c.join(e, "of").select(F.col("of").alias("family"), "n_p", "n_d", r6("cllr").alias("cllr"), r6(F.log10(F.col("upper") / F.col("lower"))).alias("span"))
+    lrs = written(out_of_fold(rows, ["of"]), "crossfit")
+    e = bounds.elub(lrs, "lr", "y", ["of"])
+    c = calibrate.decomposition(clipped(lrs, e, ["of"]), "lr", "y", ["of"])
+    split = q_family_table(spark, d).select(F.col("family").alias("of"), F.col("cllr").alias("cllr_split"), F.col("cllr_cal").alias("cllr_cal_split"))
+    return c.join(e, "of").join(split, "of").select(F.col("of").alias("family"), "n_p", "n_d", *[r6(x).alias(x) for x in ("cllr", "cllr_min", "cllr_cal")], span("lower", "upper"), "cllr_split", "cllr_cal_split")
 
 
-@query()
-def q_truncated(spark, d):
-    """A model for each family and number of members released: what could have been fitted by each date."""
-    m = per_family(standardised(spark, d).where("split = 'train'"))
+def truncated(spark, d):
+    """(lrs, bounds) of a model for each family and number of members released: what could have been fitted by each date."""
+    m = per_family(standardised(spark, d))
     members = V.generators(spark, d).groupBy("family", "generator").agg(F.min("release_date").alias("date"))
     events = members.alias("a").join(members.alias("b"), (F.col("a.family") == F.col("b.family")) & (F.col("b.date") <= F.col("a.date"))).select(F.col("a.family").alias("of"), F.col("a.date").alias("by"), F.col("b.generator").alias("member"))
     j = events.groupBy("of", "by").agg(F.count_distinct("member").alias("j"), F.collect_set("member").alias("out"))
-    rows = m.join(F.broadcast(j), "of").where((F.col("y") == 0) | F.array_contains("out", F.col("generator"))).withColumn("l2", F.lit(1.0))
-    beta = calibrate.fuse(rows, ["of", "j"], Z, "y", "l2")
-    return calibrate.coefficients(spark, beta, ["of", "j"], Z, ["string", "long"]).select(F.col("of").alias("family"), "j", *[r6(c).alias(c) for c in ["intercept", *[f"b_{z}" for z in Z]]])
+    train = (F.col("split") == "train") & ((F.col("y") == 0) | F.array_contains("out", F.col("generator")))
+    lrs = written(ratios(m.join(F.broadcast(j), "of").withColumn("l2", F.lit(1.0)), ["of", "j"], train), "truncated")
+    return lrs, written(bounds.elub(lrs.where(train), "lr", "y", ["of", "j"]), "bounds")
+
+
+@query()
+def q_truncated(spark, d):
+    """Cost and bounds of each truncated model, on all of the family's rows of the other half."""
+    lrs, e = truncated(spark, d)
+    c = calibrate.cllr(clipped(lrs.where("split = 'val'"), e, ["of", "j"]), "lr", "y", ["of", "j"])
+    dates = lrs.groupBy("of", "j").agg(F.first("by").alias("by"))
+    return c.join(e, ["of", "j"]).join(dates, ["of", "j"]).select(F.col("of").alias("family"), "j", "by", "n_p", "n_d", r6("cllr").alias("cllr"), span("lower", "upper"))
+
+
+@query()
+def q_truncated_curve(spark, d):
+    """For each date and class: the mean running maximum over families of the ratios of the models that were fitted by then."""
+    lrs, e = truncated(spark, d)
+    held = clipped(lrs.where("split = 'val'"), e, ["of", "j"]).select("of", "by", "item_id", "label", "lr")
+    # The model in force from a date on is that of the last release by then: the maximum by then of each family, then over families.
+    dates = lrs.select(F.col("by").alias("T")).distinct()
+    force = dates.join(lrs.select("of", "by").distinct(), F.col("by") <= F.col("T")).groupBy("T", "of").agg(F.max("by").alias("by"))
+    raw = held.join(F.broadcast(force), ["of", "by"]).groupBy("item_id", "label", "T").agg(F.max("lr").alias("max"))
+    run = aggregate.running_max(raw.withColumnRenamed("item_id", "item"), "max")
+    return run.groupBy("T", "label").agg(F.count("*").alias("n"), r6(F.avg("running")).alias("mean_running"), r6(F.avg((F.col("running") >= 2).cast("int"))).alias("share_2"))
+
+
+def on_halves(lrs, keys):
+    """(cost, bounds): the bounds of the ratios of the one half, and the cost of the other within them."""
+    e = bounds.elub(lrs.where("split = 'train'"), "lr", "y", keys)
+    return calibrate.decomposition(clipped(lrs.where("split = 'val'"), e, keys), "lr", "y", keys), e
+
+
+def floor_of(spark, d):
+    rows = written(per_family(V.scored(spark, d).withColumn("f", F.round(F.log10(X.area_fraction(F.col("source_width"), F.col("source_height"), 200)), 4))).select("of", "item_id", "y", "split", "f"), "floor")
+    return on_halves(written(calibrate.pav_ratios(rows, calibrate.pav_table(rows.where("split = 'train'"), "f", "y", ["of"]), "f", ["of"]), "ratios"), ["of"])
+
+
+@query()
+def q_floor(spark, d):
+    """The same calibration, bounds and cost from one field of metadata, the share of the area that is cropped: what the panel must beat."""
+    c, e = floor_of(spark, d)
+    return c.join(e, "of").select(F.col("of").alias("family"), "n_p", "n_d", *[r6(x).alias(x) for x in ("lower", "upper", "cllr", "cllr_min", "cllr_cal")])
+
+
+def family_ratios(spark, d):
+    return written(ratios(per_family(standardised(spark, d)).withColumn("l2", F.lit(1.0)), ["of"], F.col("split") == "train"), "families")
 
 
 @query()
 def q_family_table(spark, d):
-    """For each family: fusion on train, isotonic calibration, bounds, and cost on the other half."""
-    m = standardised(spark, d).persist()
-    rows = per_family(m).withColumn("l2", F.lit(1.0))
-    beta = calibrate.fuse(rows.where("split = 'train'"), ["of"], Z, "y", "l2")
-    models = calibrate.coefficients(spark, beta, ["of"], Z, ["string"])
-    scored = rows.join(F.broadcast(models), "of").select("of", "split", "y", "generator", F.round(calibrate.fused_score(Z), 4).alias("fused")).persist()
-    parts = []
-    for (family,) in sorted(beta):  # a calibrator for each family of the registry
-        of = scored.where(F.col("of") == family)
-        parts.append(calibrate.pav_lr(calibrate.pav(of.where("split = 'train'"), "fused", "y"), of, "fused"))
-    lrs = parts[0]
-    for p in parts[1:]:
-        lrs = lrs.unionByName(p)
-    lrs = lrs.persist()
+    """For each family: fusion on train, isotonic calibration, three bounds and the tightest, cost on the other half, and the floor."""
+    lrs = family_ratios(spark, d)
     e = bounds.elub(lrs.where("split = 'train'"), "lr", "y", ["of"])
     n = lrs.where("split = 'train'").groupBy("of").agg(F.count_if(F.col("y") == 1).alias("t_p"), F.count_if(F.col("y") == 0).alias("t_d"), F.count_distinct("generator").alias("n_gen"))
     lower, upper = bounds.adopt([F.col("lower"), F.col("upper")], bounds.count_bound(F.col("t_p"), F.col("t_d")), bounds.source_bound(F.col("n_gen")))
     adopted = e.join(n, "of").select("of", "n_gen", "lower", "upper", lower.alias("lo"), upper.alias("hi"))
-    val = lrs.where("split = 'val'").join(F.broadcast(adopted), "of").withColumn("bounded", X.clip(F.col("lr"), F.col("lo"), F.col("hi")))
-    cost = calibrate.cllr(val, "bounded", "y", ["of"])
-    return cost.join(adopted, "of").select(F.col("of").alias("family"), "n_gen", "n_p", "n_d", r6("lower").alias("elub_lower"), r6("upper").alias("elub_upper"), r6("lo").alias("lower"), r6("hi").alias("upper"), r6("cllr").alias("cllr"), r6(F.log10(F.col("hi") / F.col("lo"))).alias("span"))
+    cost = calibrate.decomposition(clipped(lrs.where("split = 'val'"), e, ["of"]), "lr", "y", ["of"])
+    floor = floor_of(spark, d)[0].select("of", F.col("cllr").alias("cllr_floor"))
+    return cost.join(adopted, "of").join(floor, "of").select(
+        F.col("of").alias("family"), "n_gen", "n_p", "n_d", r6("lower").alias("elub_lower"), r6("upper").alias("elub_upper"), r6("lo").alias("lower"), r6("hi").alias("upper"),
+        *[r6(c).alias(c) for c in ("cllr", "cllr_min", "cllr_cal", "cllr_floor")], span("lower", "upper"),
+    )
+
+
+@query()
+def q_calibrators(spark, d):
+    """Isotonic against logistic calibration of the same fused score: cost and span of bounds of each family."""
+    lrs = family_ratios(spark, d)
+    line = calibrate.logistic(lrs.where("split = 'train'"), "fused", "y", ["of"])
+    other = lrs.join(F.broadcast(line), "of").withColumn("lr", F.exp(calibrate.fused_score(["fused"]))).select(*lrs.columns)
+    parts = []
+    for name, of in (("pav", lrs), ("logistic", written(other, "logistic"))):
+        c, e = on_halves(of, ["of"])
+        parts.append(c.join(e, "of").select(F.col("of").alias("family"), F.lit(name).alias("calibrator"), r6("cllr").alias("cllr"), r6("cllr_cal").alias("cllr_cal"), span("lower", "upper")))
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def q_global_fusion(spark, d):
+    """One fusion for all families with a calibrator for each, against a fusion for each family."""
+    m = standardised(spark, d).withColumn("y", F.col("label")).withColumn("all", F.lit(1)).withColumn("l2", F.lit(1.0))
+    models = calibrate.coefficients(spark, calibrate.fuse(m.where("split = 'train'"), ["all"], Z, "y", "l2"), ["all"], Z, ["int"])
+    scored = m.drop("y").join(F.broadcast(models), "all").withColumn("fused", F.round(calibrate.fused_score(Z), 4))
+    rows = written(per_family(scored).select("of", "item_id", "y", "split", "fused"), "global")
+    lrs = written(calibrate.pav_ratios(rows, calibrate.pav_table(rows.where("split = 'train'"), "fused", "y", ["of"]), "fused", ["of"]), "ratios")
+    c, e = on_halves(lrs, ["of"])
+    own = on_halves(family_ratios(spark, d), ["of"])[0].select("of", F.col("cllr").alias("cllr_own"))
+    return c.join(e, "of").join(own, "of").select(F.col("of").alias("family"), "n_p", r6("cllr").alias("cllr"), r6("cllr_cal").alias("cllr_cal"), r6("cllr_own").alias("cllr_own"), span("lower", "upper"))
+
+
+@query()
+def q_generator_models(spark, d):
+    """A model for each generator at a fixed strength, against that of its family: finer dates, fewer sources, less evidence."""
+    m = standardised(spark, d)
+    members = m.where("label = 1").select(F.col("generator").alias("of"), F.col("family").alias("of_family")).distinct()
+    rows = m.join(F.broadcast(members), (F.col("label") == 0) | (F.col("generator") == F.col("of"))).withColumn("y", F.col("label")).withColumn("l2", F.lit(1.0))
+    c, e = on_halves(written(ratios(rows, ["of"], F.col("split") == "train"), "generators"), ["of"])
+    own = on_halves(family_ratios(spark, d), ["of"])[0].select(F.col("of").alias("of_family"), F.col("cllr").alias("cllr_family"))
+    return c.join(e, "of").join(F.broadcast(members), "of").join(F.broadcast(own), "of_family").select(F.col("of").alias("generator"), F.col("of_family").alias("family"), "n_p", r6("cllr").alias("cllr"), r6("cllr_family").alias("cllr_family"), span("lower", "upper"), F.lit(1.0).alias("source_bound"))
+
+
+@query()
+def q_bound_choice(spark, d):
+    """The cost of each family's ratios within four choices of bounds: those of the error rate, of counts, of sources, and the tightest."""
+    lrs = family_ratios(spark, d)
+    e = bounds.elub(lrs.where("split = 'train'"), "lr", "y", ["of"])
+    n = lrs.where("split = 'train'").groupBy("of").agg(F.count_if(F.col("y") == 1).alias("t_p"), F.count_if(F.col("y") == 0).alias("t_d"), F.count_distinct("generator").alias("n_gen"))
+    own, count, source = [F.col("lower"), F.col("upper")], bounds.count_bound(F.col("t_p"), F.col("t_d")), bounds.source_bound(F.col("n_gen"))
+    choices = {"elub": own, "count": count, "source": source, "adopted": bounds.adopt(own, count, source)}
+    rows = e.join(n, "of").select("of", F.inline(F.array(*[F.struct(F.lit(k).alias("bound"), v[0].alias("lo"), v[1].alias("hi")) for k, v in choices.items()])))
+    val = lrs.where("split = 'val'").join(F.broadcast(rows), "of").withColumn("lr", X.clip(F.col("lr"), F.col("lo"), F.col("hi")))
+    c = calibrate.cllr(val, "lr", "y", ["of", "bound"])
+    return c.join(rows, ["of", "bound"]).select(F.col("of").alias("family"), "bound", r6("cllr").alias("cllr"), span("lo", "hi"))
+
+
+@query()
+def q_identity_table(spark, d):
+    """The two identities of the isotonic ratios of each family on the rows they were fitted to (see q_pav_identity)."""
+    one, zero = F.col("y") == 1, F.col("y") == 0
+    return family_ratios(spark, d).where("split = 'train'").groupBy(F.col("of").alias("family")).agg(
+        r6(F.avg(F.when(zero, F.col("lr")))).alias("e_lr_d"), r6(1 - F.avg(F.when(one, (F.col("lr") == X.INF).cast("int")))).alias("finite_p"),
+        r6(F.avg(F.when(one, X.inverse(F.col("lr"))))).alias("e_inv_p"), r6(1 - F.avg(F.when(zero, (F.col("lr") == 0).cast("int")))).alias("positive_d"),
+    )
+
+
+@query()
+def q_lr_rank_matrix(spark, d):
+    """Rank correlation of the ratios of each pair of families over the authentic items of the other half; least and median of all pairs."""
+    lrs = family_ratios(spark, d)
+    e = bounds.elub(lrs.where("split = 'train'"), "lr", "y", ["of"])
+    names = sorted(r.of for r in lrs.select("of").distinct().collect())
+    wide = clipped(lrs.where("split = 'val' AND label = 0"), e, ["of"]).groupBy("item_id").pivot("of", names).agg(F.first("lr")).withColumn("one", F.lit(1))
+    safe = [f"lr_{i}" for i in range(len(names))]
+    m = ranks.spearman_matrix(wide.select("one", *[F.col(f"`{n}`").alias(s) for n, s in zip(names, safe, strict=True)]), safe, ["one"])
+    ends = m.agg(F.min("rho").alias("least"), F.median("rho").alias("middle"))
+    name = F.create_map(*[F.lit(x) for s, n in zip(safe, names, strict=True) for x in (s, n)])
+    return m.join(F.broadcast(ends)).select(name[F.col("a")].alias("a"), name[F.col("b")].alias("b"), *[r6(c).alias(c) for c in ("rho", "least", "middle")])
 
 
 @query()
 def q_blind_battery(spark, d):
-    """Three ways to see nothing: order information against permuted labels, the number of sources, common support of the covariate."""
-    rows = per_family(V.scored(spark, d)).select("of", "item_id", "y", "s1", F.log10(X.area_fraction(F.col("source_width"), F.col("source_height"), 200)).alias("f"), "generator").persist()
-    observed = ranks.auroc(rows, "s1", "y", ["of"])
-    rank = ranks.average_ranks(rows, "s1", ["of"])
-    ranked = rows.join(rank, ["of", "s1"]).select("of", "item_id", "y", "rank")
-    n = ranked.groupBy("of").agg(F.sum("y").alias("n_pos"), F.count("*").alias("n"))
-    # Under permuted labels the rank sum of class 1 has this mean and variance; ties are in the ranks.
-    spread = ranked.groupBy("of").agg(F.var_pop("rank").alias("v")).join(n, "of")
-    z = F.abs(F.col("auroc") - 0.5) * F.col("o.n_pos") * F.col("n_neg") / F.sqrt(F.col("v") * F.col("o.n_pos") * F.col("n_neg") / (F.col("n") - 1))
-    lo_hi = rows.where("y = 0").groupBy("of").agg(F.percentile("f", 0.01).alias("lo"), F.percentile("f", 0.99).alias("hi"))
-    support = rows.where("y = 1").join(F.broadcast(lo_hi), "of").groupBy("of").agg(F.avg(F.col("f").between(F.col("lo"), F.col("hi")).cast("int")).alias("support"), F.count_distinct("generator").alias("n_gen"))
-    return observed.alias("o").join(spread.alias("s"), "of").join(support, "of").select(F.col("of").alias("family"), "n_gen", r6("auroc").alias("auroc"), r6(z).alias("z"), (z < 1.96).alias("panel_blind"), (F.col("n_gen") == 1).alias("registry_blind"), r6("support").alias("support"))
+    """Four ways to see nothing of a family: no span of bounds, no order in its ratios against permuted labels, one source, no common support of the covariate."""
+    lrs = family_ratios(spark, d)
+    e = bounds.elub(lrs.where("split = 'train'"), "lr", "y", ["of"])
+    val = written(clipped(lrs.where("split = 'val'"), e, ["of"]).select("of", "y", "lr"), "val")
+    seen = calibrate.block_cost(calibrate.pav_table(val, "lr", "y", ["of"]), ["of"]).withColumnRenamed("cllr_min", "observed")
+    null = calibrate.permuted_cost(val, "lr", "y", ["of"], 2000).join(F.broadcast(seen), "of")
+    p = null.groupBy("of").agg(F.first("observed").alias("cllr_min"), F.median("cllr_min").alias("null_median"), ((1 + F.count_if(F.col("cllr_min") <= F.col("observed") + 1e-12)) / (1.0 + F.count("*"))).alias("p"))
+    f = per_family(V.scored(spark, d)).select("of", "y", "generator", F.log10(X.area_fraction(F.col("source_width"), F.col("source_height"), 200)).alias("f"))
+    lo_hi = f.where("y = 0").groupBy("of").agg(F.percentile("f", 0.01).alias("lo"), F.percentile("f", 0.99).alias("hi"))
+    support = f.where("y = 1").join(F.broadcast(lo_hi), "of").groupBy("of").agg(F.avg(F.col("f").between(F.col("lo"), F.col("hi")).cast("int")).alias("support"), F.count_distinct("generator").alias("n_gen"))
+    return p.join(support, "of").join(e, "of").select(
+        F.col("of").alias("family"), "n_gen", span("lower", "upper"), r6("cllr_min").alias("cllr_min"), r6("null_median").alias("null_median"), r6("p").alias("p"), (F.col("p") > 0.05).alias("panel_blind"),
+        (F.col("n_gen") == 1).alias("registry_blind"), r6("support").alias("support"), (F.col("support") == 0).alias("confound_blind"),
+    )
