@@ -40,6 +40,7 @@ FIT_DOCS = 8_000
 FIT_TOTAL = 64_000
 ORDERS = (4, 3, 2, 1)
 EVIDENCE = 30
+MAX_BROADCAST = 20_000  # languages whose shares are sent to the tasks; of more, the join is an ordinary one
 UND = "und"
 _PIECE = 1 << 20
 _BREAK = re.compile(r"[\s\d]")
@@ -149,11 +150,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_doc
     """The model of a sample of labelled documents. What reaches the driver is its rows, as arrays of numbers, and the languages' names."""
     pick = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(1_000_003))
     docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), pick.alias("pick"))
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("size"))
-    langs = sorted(r.lang for r in sizes.select("lang").collect())  # a row for each language
+    sizes = {r.lang: r.size_ for r in docs.groupBy("lang").agg(F.count("*").alias("size_")).collect()}  # a row for each language
+    langs = sorted(sizes)
     number = {x: i for i, x in enumerate(langs)}
     each = max(1, min(fit_docs, total // max(1, len(langs))))
-    chosen = docs.join(sizes.select("lang", (F.lit(float(each)) / F.col("size")).alias("share")), "lang").where(F.col("pick") < F.col("share") * 1_000_003).select("lang", "text")
+    shares = docs.sparkSession.createDataFrame([(x, each / n) for x, n in sizes.items()], "lang string, share double")
+    if len(langs) <= MAX_BROADCAST:
+        shares = F.broadcast(shares)
+    chosen = docs.join(shares, "lang").where(F.col("pick") < F.col("share") * 1_000_003).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
