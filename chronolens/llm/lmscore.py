@@ -7,7 +7,8 @@ model; lower is nearer to the target.
 
 Edge cases: null or empty text has no tokens, and null losses and score. Without target documents the target
 model is uniform over the vocabulary. Repeated rows get equal results; they count as often as they come in
-the background.
+the background. Very long texts are scored whole. An empty table gives an empty result. Columns of the input pass through;
+n_tokens, target_loss, background_loss and score replace input columns of that name.
 """
 
 from __future__ import annotations

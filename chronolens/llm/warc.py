@@ -17,7 +17,8 @@ shuffle, in any order and from any files; a capture is one nested row.
 Edge cases: null html is an empty payload. Null page_id or url stays null. Rows with a null page_id sort after
 all others; they can be a response only where no row has a page_id. Repeated rows are captures of their own:
 the first copy may be the response, further copies revisit it. Payloads under `min_bytes` are responses. An
-empty table gives an empty folder of archives and no captures.
+empty table gives an empty folder of archives and no captures. A payload is one value of a row, so it has to be below 2 GB.
+Columns beside page_id, url and html aren't written.
 """
 
 from __future__ import annotations

@@ -291,6 +291,81 @@ def test_cross_entropy_takes_all_target_text_and_every_script(spark, tmp_path, m
     assert all(r.score == pytest.approx(0, abs=1e-9) for r in lmscore.op9_lmscore(spark, str(tmp_path)).collect())
 
 
+def query_tables(spark, tmp_path, rows, labels):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_tokens string, score string, bucket string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+
+@pytest.fixture(scope="module")
+def judged():
+    rng = random.Random(21)
+    text = lambda: words(rng, rng.randint(3, 25))
+    rows = [(i, text(), "en" if i % 3 else "fr", "a", "b", "c") for i in range(150)] + [(200 + i, "X|! " * rng.randint(2, 9), "en", None, None, None) for i in range(20)]
+    rows += [rows[3], rows[3], (300, None, None, None, None, None), (301, "", "fr", None, None, None), (None, text(), "en", None, None, None), (302, words(rng, 4000), "en", None, None, None)]
+    labels = [(i, 1, 0) for i in range(120)] + [(200 + i, 0, 0) for i in range(20)] + [(5, 1, 1), (None, 1, 0), (7, 1, 0)]
+    return rows, labels
+
+
+def log_p(p, text):
+    s = "\x01" * 4 + text
+    return sum(np.log(p(s[j : j + 5])) for j in range(len(text)))
+
+
+def test_quality_query_is_brute_force(spark, judged, tmp_path, monkeypatch):
+    rows, labels = judged
+    query_tables(spark, tmp_path, rows, labels)
+    monkeypatch.setattr(quality.classify, "__defaults__", (quality.ORDER, 60))
+    got = {(r.doc_id, r.n_tokens): r for r in quality.op2_quality(spark, str(tmp_path)).collect()}
+    trusted = {i for i, q, t in labels if i is not None} - {5} - {i for i, q, _ in labels if q == 0}
+    split = {r.doc_id: r.fit for r in quality.trusted_ids(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 60).collect()}
+    assert set(split) == trusted and 0 < sum(split.values()) < len(split)
+    p = kneser_ney([t for i, t, *_ in rows if split.get(i)], 5, ngram.CODE_POINTS)
+    perplexity = {t: np.exp(-log_p(p, t) / len(t)) for _, t, *_ in rows if t}
+    held = [(lang, perplexity[t]) for i, t, lang, *_ in rows if split.get(i) is False]
+    junk = [(lang, perplexity[t]) for i, t, lang, *_ in rows if i is not None and 200 <= i < 220]
+    at = lambda xs, q: sorted(xs)[max(0, int(np.ceil(q * len(xs))) - 1)]
+    large = {x for x, _ in held if sum(y == x for y, _ in held) >= quality.LEAST}
+
+    def limits(q):
+        return {x: at([v for y, v in held if x in (y, None)], q) for x in [*large, None]}
+
+    share = lambda of, lim: np.mean([v <= lim[x if x in lim else None] * (1 + 1e-9) for x, v in of])
+    best = max(quality.QUANTILES, key=lambda q: (share(held, limits(q)) - share(junk, limits(q)), q))
+    lim = limits(best)
+    assert len(got) == len({(r[0], len(r[1] or "")) for r in rows})
+    for i, t, lang, *_ in rows:
+        r = got[i, len(t or "")]
+        threshold = lim[lang if lang in lim else None]
+        assert r.threshold == pytest.approx(threshold, rel=1e-5) and r.lang == (lang or "und")
+        if t:
+            assert r.perplexity == pytest.approx(perplexity[t], rel=1e-5)
+            assert r.keep == (perplexity[t] <= threshold) or abs(perplexity[t] / threshold - 1) < 1e-5
+        else:
+            assert r.perplexity is None and not r.keep
+
+
+def test_scoring_query_is_brute_force(spark, judged, empty, tmp_path):
+    rows, labels = judged
+    query_tables(spark, tmp_path, rows, labels)
+    got = lmscore.op9_lmscore(spark, str(tmp_path)).collect()
+    trusted = {i for i, q, _ in labels if i is not None and q == 1} - {5}
+    target = kneser_ney([t for i, t, *_ in rows if i in trusted], 5, ngram.CODE_POINTS)
+    background = kneser_ney([t or "" for _, t, *_ in rows], 5, ngram.CODE_POINTS)
+    want = {(i, len(t or "")): t for i, t, *_ in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        t = want[r.doc_id, r.n_tokens]
+        if not t:
+            assert (r.target_loss, r.background_loss, r.score) == (None, None, None)
+            continue
+        a, b = -log_p(target, t) / len(t), -log_p(background, t) / len(t)
+        assert r.target_loss == pytest.approx(a, rel=1e-5) and r.background_loss == pytest.approx(b, rel=1e-5) and r.score == pytest.approx(a - b, abs=1e-5)
+    clash = spark.createDataFrame([(1, "abc", "x", "y", "z")], "doc_id long, text string, score string, bucket string, target_loss string")
+    out = lmscore.difference(clash, clash.where("false"))
+    assert set(out.columns) == {"doc_id", "text", "bucket", "n_tokens", "target_loss", "background_loss", "score"} and out.first().bucket == "y"
+    assert lmscore.difference(empty.drop("shard"), empty).count() == 0
+
+
 def test_langid_floor_is_the_same_for_a_language_of_one_document(spark):
     rng = random.Random(4)
     known = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
