@@ -9,6 +9,10 @@
 
 A stage gets the documents that the one before it wrote, decides over all of them, and returns their columns;
 the last adds its own. Stages but the fourth keep all clean documents.
+
+Edge cases, for every stage: an empty table gives an empty table of the same columns; columns beside those that a stage
+reads (doc_id, text, lang, source) pass through, whatever their names; very long texts are read whole. Each stage says what
+it does with nulls, ties and repeated rows. Tables between stages are deleted once the next is written.
 """
 
 from __future__ import annotations
@@ -17,29 +21,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolens.llm import decontaminate, jaccard, langid, mixing, sharding
-from chronolens.llm.common import materialize, table
+from chronolens.llm.common import materialize, remove, table
 
 MIN_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts and texts without a letter go. A null lang isn't learned from; without any lang every text is `und`
+    and goes. Ties go to the language that sorts first. Repeated rows are decided alike and all stay or go."""
     found = langid.identify(docs, langid.fit(docs))
     return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words stay, all of them. Of equal smallest ids, the row with the smaller hash of id and text stays; of rows equal
+    in both, one. A row with a null doc_id stays only where its class has no other id."""
     return jaccard.keep_one(docs, k=5, num=80, den=100)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts and texts without words hold no window and stay. Without benchmark items all stay. Repeated rows are decided alike."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null sources are a source. Equal rows (doc_id and text) come out equally often. A null doc_id or text draws like any other value."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null doc_id hashes like a value, a null text is empty. Equal ids share a shard; repeated rows get slots of their own."""
     return sharding.shard(docs)
 
 
@@ -57,6 +68,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if k:  # the first reads the given table
+            remove(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
