@@ -30,3 +30,28 @@ def test_stages(spark, tmp_path):
     assert {i for i, _ in kept["decontaminate"]} == clean and 20 not in clean
     assert {i for i, _ in kept["mix"]} <= clean and len(kept["shard"]) == len(kept["mix"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["shard"])
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, shard_ string, token string, bucket string, row_key string, state string"
+    long = " ".join(f"word{i % 997}" for i in range(60_000))
+    texts = ["the house and the garden of the old man by the river", "le jardin et la maison du vieil homme près de la rivière", long, None, "", "12 !", "one"]
+    rows = [(i, t, "fr" if i == 1 else "en", "a" if i % 2 else None, len(t or ""), "x", "y", "z", None, "s") for i, t in enumerate(texts)]
+    rows += [rows[0]] * 3 + [(None, texts[0], None, None, 1, None, None, None, None, None), (None, "an id is missing here but the text is not like any other", "en", "b", 1, None, None, None, None, None)]
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(out.columns) and (name == "shard" or out.columns == docs.columns)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len(kept["language_id"]) == len(rows) - 3  # null, empty and without a letter
+    assert sorted(kept["near_duplicates"], key=repr) == sorted({(i, texts[i]) for i in (0, 1, 2, 6)} | {(None, rows[-1][1])}, key=repr)
+    assert sorted(kept["decontaminate"], key=repr) == sorted(kept["near_duplicates"], key=repr)
+    assert {x for x in kept["mix"]} <= set(kept["decontaminate"]) and sorted(kept["shard"], key=repr) == sorted(kept["mix"], key=repr)
+    empty = spark.createDataFrame([], columns)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0 and set(empty.columns) <= set(out.columns), name
