@@ -125,6 +125,12 @@ def md5_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def md5_normal(seed: int, other: int, key: Column) -> Column:
+    """A standard normal number that depends on two seeds and the key alone (Box and Muller)."""
+    u, w = md5_uniform(F.lit(seed), key), md5_uniform(F.lit(other), key)
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * w)
+
+
 def probit(p: Column) -> Column:
     """The inverse of the normal distribution by Acklam's rational approximation (relative error below 1.2e-9)."""
     # The approximation's coefficients.

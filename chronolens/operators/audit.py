@@ -94,6 +94,18 @@ def short_strata(df: DataFrame, stratum: str, least: int) -> DataFrame:
     return df.groupBy(stratum).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") < least)
 
 
+def fractions(df: DataFrame, group: str, side: str, of: str, share: float) -> DataFrame:
+    """Rows of each group, the share of them on one side, and whether it is `share` to the row."""
+    n = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(side) == of).alias("n_of"))
+    return n.select(group, "n", (F.col("n_of") / F.col("n")).alias("share"), (F.abs(F.col("n_of") - share * F.col("n")) <= 0.5).alias("exact"))
+
+
+def with_missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """`left` with those columns of `right` that it lacks, by a key unique in `right`."""
+    more = [c for c in right.columns if c not in left.columns]
+    return left.join(right.select(key, *more), key, "left")
+
+
 def drift(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Entries of two (key, value) records that differ."""
     a, b = old.select(key, F.col(value).alias("old")), new.select(key, F.col(value).alias("new"))
