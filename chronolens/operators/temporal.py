@@ -6,12 +6,14 @@ group is a subtraction and permutations touch tables of generators only.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.exprs import md5_uniform
 from .ranks import permuted
-from .vectors import long
+from .vectors import centre, covariance, group_means, long, project
 
 WINDOW_DAYS = 7
 RIDGE = 1e-3
@@ -108,3 +110,72 @@ def two_regressors(y: str, a: str, b: str) -> list[Column]:
 def drift(means: DataFrame, by: list[str]) -> DataFrame:
     """The norm of the slopes of each dimension on time in [0, 1]: rows are (by, grp, t, i, v)."""
     return means.groupBy(*by, "i").agg(F.regr_slope("v", "t").alias("slope")).groupBy(*by).agg(F.sqrt(F.sum(F.col("slope") * F.col("slope"))).alias("delta"))
+
+
+def whitening(df: DataFrame, by: list[str], x: str = "x") -> np.ndarray:
+    """The inverse square root of the pooled covariance within groups: it maps one deviation within a group to length 1 in any direction.
+
+    The covariance is one aggregation; the matrix, as wide as a vector, is solved on the driver."""
+    _, cov = covariance(centre(df, by, x), x)
+    values, axes = np.linalg.eigh(cov)
+    return axes @ np.diag(1 / np.sqrt(np.maximum(values, 1e-12 * values.max()))) @ axes.T
+
+
+def whitened_group_means(df: DataFrame, generators: DataFrame, family: list[str], x: str = "x") -> DataFrame:
+    """(family, grp, t, i, v): the mean of each release group's generator means, in deviations within a generator, and its time in [0, 1].
+
+    generators: family, generator, release_date."""
+    q = whitening(df, ["generator"], x)
+    means = group_means(df, [*family, "generator"], x)
+    means = means.select(*family, "generator", project(F.col("mean"), np.zeros(len(q)), q).alias("mean"))  # a row for each generator
+    g = release_groups(generators, family)
+    w = Window.partitionBy(*family)
+    days = F.greatest(F.lit(1), F.datediff(F.max("group_date").over(w), F.min("group_date").over(w)))
+    g = g.withColumn("t", F.datediff("group_date", F.min("group_date").over(w)) / days)
+    return long(means.join(F.broadcast(g), [*family, "generator"]), [*family, "grp", "t"], "mean").groupBy(*family, "grp", "t", "i").agg(F.avg("v").alias("v"))
+
+
+def drift_test(means: DataFrame, family: list[str], perms: int = 1000, boot: int = 1000, seed: int = 0, least: int = 4) -> DataFrame:
+    """Is there a linear trend in where release groups lie, and how big? means: whitened_group_means().
+
+    delta, its null with times dealt anew among groups, the 95 % point of a bootstrap over groups, and tau, the scatter of groups
+    about the line for each dimension. A family with fewer than `least` groups isn't testable."""
+    groups = means.select(*family, "grp", "t").distinct()
+    n = groups.groupBy(*family).agg(F.count("*").alias("n_groups"))
+    fit = groups.join(F.broadcast(n.where(F.col("n_groups") >= least)), family)
+    seen = drift(means, family)
+    dealt = permuted(fit.drop("n_groups"), "grp", "t", family, perms, seed).select("perm", *family, "grp", F.col("shuffled").alias("t"))
+    null = drift(means.drop("t").join(F.broadcast(dealt), [*family, "grp"]), [*family, "perm"]).select(*family, F.col("delta").alias("null"))
+    slots = fit.withColumn("slot", F.row_number().over(Window.partitionBy(*family).orderBy("grp")))
+    picks = fit.groupBy(*family).agg(F.first("n_groups").alias("n_groups")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(boot)))).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_groups"))))
+    picks = picks.withColumn("slot", (F.floor(md5_uniform(F.lit(seed), *[F.col(c) for c in family], F.col("rep"), F.col("k")) * F.col("n_groups")) + 1).cast("int"))
+    boots = drift(means.drop("t").join(F.broadcast(picks.join(slots.drop("n_groups"), [*family, "slot"]).select(*family, "rep", "grp", "t")), [*family, "grp"]), [*family, "rep"])
+    boots = boots.where("delta IS NOT NULL").groupBy(*family).agg(F.percentile("delta", 0.95).alias("boot_q95"))
+    line = means.groupBy(*family, "i").agg(F.regr_sxx("v", "t").alias("xx"), F.regr_sxy("v", "t").alias("xy"), F.regr_syy("v", "t").alias("yy"), F.count("*").alias("n"))
+    tau = line.groupBy(*family).agg(F.sqrt(F.sum(F.greatest(F.lit(0.0), F.col("yy") - F.col("xy") * F.col("xy") / F.nullif(F.col("xx"), F.lit(0.0)))) / F.nullif((F.first("n") - 2) * F.count("*"), F.lit(0))).alias("tau"))
+    tests = null.join(F.broadcast(seen), family).groupBy(*family).agg(
+        F.first("delta").alias("delta"), F.avg("null").alias("null_mean"), F.percentile("null", 0.95).alias("null_q95"), ((1 + F.count_if(F.col("null") >= F.col("delta") - 1e-9)) / (1.0 + F.count("*"))).alias("p")
+    ).join(boots, family).join(tau, family)
+    return n.join(tests, family, "left").withColumn("not_testable", F.when(F.col("n_groups") < least, F.concat(F.col("n_groups").cast("string"), F.lit(f" release group(s) < {least}"))))
+
+
+def lineage_test(stats: DataFrame, generators: DataFrame, family: list[str], perms: int = 200, seed: int = 0) -> DataFrame:
+    """Is a held-out release group's lineage told by its vectors? Attribution to lineage classes against labels dealt anew.
+
+    generators: family, generator, release_date, lineage (null for unknown). Classes span two groups or more, in the null too:
+    orders under which one doesn't are left out, which takes up to four times as many orders."""
+    g = release_groups(generators.where("lineage IS NOT NULL"), family)
+    spanning = g.groupBy(*family, "lineage").agg(F.count_distinct("grp").alias("spans")).where("spans >= 2").drop("spans")
+    kept = g.join(F.broadcast(spanning), [*family, "lineage"]).select(*family, "generator", "grp", F.col("lineage").alias("class"))
+    n = kept.groupBy(*family).agg(F.count_distinct("class").alias("n_classes"), F.count("*").alias("n_generators"), F.count_distinct("grp").alias("n_groups"))
+    fit = kept.join(F.broadcast(n.where("n_classes >= 2").select(*family)), family)
+    dealt = permuted(fit, "generator", "class", family, 4 * perms, seed).select("perm", *family, "generator", F.col("shuffled").alias("class")).join(fit.select(*family, "generator", "grp"), [*family, "generator"])
+    valid = dealt.groupBy(*family, "perm", "class").agg(F.count_distinct("grp").alias("spans")).groupBy(*family, "perm").agg(F.min("spans").alias("least")).where("least >= 2")
+    valid = valid.withColumn("place", F.row_number().over(Window.partitionBy(*family).orderBy("perm"))).where(F.col("place") <= perms).select(*family, "perm")  # a row for each order
+    columns = ["perm", *family, "generator", "grp", "class"]
+    both = fit.withColumn("perm", F.lit(0)).select(*columns).unionByName(dealt.join(F.broadcast(valid), [*family, "perm"]).select(*columns))
+    stat = summary(attribution(stats, both, ["perm", *family]), ["perm", *family])
+    seen = stat.where("perm = 0").select(*family, *[F.col(c).alias(f"obs_{c}") for c in ("acc", "llr")])
+    p = lambda c: ((1 + F.count_if(F.col(c) >= F.col(f"obs_{c}") - 1e-9)) / (1.0 + F.count("*"))).alias(f"p_{c}")
+    tests = stat.where("perm > 0").join(F.broadcast(seen), family).groupBy(*family).agg(F.first("obs_acc").alias("acc"), F.first("obs_llr").alias("llr"), F.avg("acc").alias("null_acc"), F.avg("llr").alias("null_llr"), p("acc"), p("llr"), F.count("*").alias("perms"))
+    return n.join(tests, family, "left").withColumn("chance", 1.0 / F.col("n_classes"))

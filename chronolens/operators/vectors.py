@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import written
+
 BLOCK_ROWS = 4096
 
 
@@ -181,18 +183,51 @@ def shuffled_labels(df: DataFrame, key: str, label: str, perms: int, within: lis
     return dealt.select("perm", *w, key, "from_slot").join(many.select("perm", *w, F.col("slot").alias("from_slot"), label), ["perm", *w, "from_slot"]).select("perm", key, label)
 
 
-def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Adjusted Rand index and normalised mutual information of two labelings."""
-    t = df.groupBy(a, b).agg(F.count("*").alias("n"))
+def stratified_accuracy(df: DataFrame, key: str, label: str, strata: list[str], x: str = "x", k: int = 5, perms: int = 200, least: int = 5, seed: int = 0) -> DataFrame:
+    """Are labels told apart inside strata? One row: strata, rows, chance, pooled accuracy, its null and p.
+
+    A stratum keeps labels of `least` rows or more, and counts with two such labels. Neighbours are of the stratum alone, min(k, n - 1)
+    of them; accuracies are balanced in a stratum and weighted by its rows; the null deals labels anew inside all strata at once."""
+    sizes = df.groupBy(*strata, label).agg(F.count("*").alias("n_")).where(F.col("n_") >= least)
+    cells = sizes.groupBy(*strata).agg(F.sum("n_").alias("rows_"), F.count("*").alias("labels_")).where("labels_ >= 2")
+    kept = written(df.join(F.broadcast(sizes.join(cells, strata).drop("n_")), [*strata, label]).select(*strata, key, label, x), "strata")
+    near = written(neighbours(kept, key, x, k, strata), "near")
+    dealt = shuffled_labels(kept, key, label, perms, strata, seed).unionByName(kept.select(F.lit(0).alias("perm"), key, label))
+    labels = dealt.join(kept.select(key, *strata), key)
+    each = balanced_accuracy(votes(near, labels, key, label, ["perm", *strata]), ["perm", *strata]).join(F.broadcast(cells), strata)
+    pooled = each.groupBy("perm").agg((F.sum(F.col("accuracy") * F.col("rows_")) / F.sum("rows_")).alias("accuracy"))
+    shape = cells.agg(F.count("*").alias("strata"), F.sum("rows_").alias("n"), (F.sum(F.col("rows_") / F.col("labels_")) / F.sum("rows_")).alias("chance"))
+    seen = pooled.where("perm = 0").select(F.col("accuracy").alias("seen")).join(shape)
+    out = pooled.where("perm > 0").join(F.broadcast(seen))
+    return out.groupBy("strata", "n", "chance").agg(F.first("seen").alias("accuracy"), F.avg("accuracy").alias("null_mean"), F.percentile("accuracy", 0.95).alias("null_q95"), ((1 + F.count_if(F.col("accuracy") >= F.col("seen") - 1e-12)) / (1.0 + F.count("*"))).alias("p"))
+
+
+def clusters(df: DataFrame, k: int, x: str = "x", seed: int = 0, name: str = "cluster") -> DataFrame:
+    """`df` with the k-means cluster of each vector."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.withColumn("features_", array_to_vector(F.col(x).cast("array<double>")))
+    return KMeans(k=k, seed=seed, featuresCol="features_", predictionCol=name).fit(rows).transform(rows).drop("features_")
+
+
+def agreements(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """(by, ari, nmi): adjusted Rand index and normalised mutual information of two labelings in each group."""
+    t = df.groupBy(by, a, b).agg(F.count("*").alias("n"))
     pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2.0
-    cells = t.agg(F.sum(pairs("n")).alias("s"), F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("h"))
-    side = lambda c, p: t.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum(pairs("m")).alias(f"{p}s"), F.sum(F.col("m") * F.log("m")).alias(f"{p}h"))
-    j = cells.join(side(a, "a")).join(side(b, "b"))  # three single rows
-    expected = F.col("as") * F.col("bs") / pairs("n")
+    cells = t.groupBy(by).agg(F.sum(pairs("n")).alias("s"), F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("h"))
+    side = lambda c, p: t.groupBy(by, c).agg(F.sum("n").alias("m")).groupBy(by).agg(F.sum(pairs("m")).alias(f"{p}s"), F.sum(F.col("m") * F.log("m")).alias(f"{p}h"))
+    j = cells.join(side(a, "a"), by).join(side(b, "b"), by)
+    expected = F.col("as") * F.col("bs") / F.greatest(F.lit(1.0), pairs("n"))
     most = (F.col("as") + F.col("bs")) / 2
     ha, hb = (F.log("n") - F.col(f"{p}h") / F.col("n") for p in "ab")
     mutual = F.log("n") + (F.col("h") - F.col("ah") - F.col("bh")) / F.col("n")
-    return j.select(F.when(most == expected, 1.0).otherwise((F.col("s") - expected) / (most - expected)).alias("ari"), F.when(ha + hb == 0, 1.0).otherwise(2 * mutual / (ha + hb)).alias("nmi"))
+    return j.select(by, F.when(F.abs(most - expected) < 1e-12, 1.0).otherwise((F.col("s") - expected) / (most - expected)).alias("ari"), F.when(ha + hb < 1e-12, 1.0).otherwise(2 * mutual / (ha + hb)).alias("nmi"))
+
+
+def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+    """The same of the whole table, in one row."""
+    return agreements(df.select(a, b).withColumn("all_", F.lit(0)), "all_", a, b).drop("all_")
 
 
 def calinski_harabasz(df: DataFrame, label: str, x: str = "x") -> DataFrame:

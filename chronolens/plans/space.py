@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import exprs as X
 from ..operators import mixture, ranks, temporal, vectors
+from ..operators.lineage import written
 from ..sources import views as V
 from .registry import query
 from .tables import r6
@@ -232,7 +233,7 @@ def reduced(spark, d, k=4):
 
 @query()
 def q_generator_components(spark, d):
-    """How many diagonal components each generator's vectors ask for, and how they agree with the origin."""
+    """How many diagonal components each generator's vectors ask for, and how many of them have members."""
     v = reduced(spark, d)
     models = mixture.fit(v.select(F.col("generator").alias("model"), "x"))
     member = mixture.score(v.select(F.col("generator").alias("model"), "origin", "x"), models.select("model", "components"), ["model"])
@@ -264,3 +265,74 @@ def q_cell_divergence(spark, d):
     rho = ranks.with_ranks(gaps, ["divergence", "gap"], ["perm", "family"]).groupBy("perm", "family").agg(F.corr("rank_divergence", "rank_gap").alias("rho"), F.count("*").alias("n_pairs"))
     seen = rho.where("perm = 0").select("family", "n_pairs", F.col("rho").alias("spearman"))
     return rho.where("perm > 0").select("family", "rho").join(F.broadcast(seen), "family").groupBy("family").agg(F.first("n_pairs").alias("n_pairs"), r6(F.first("spearman")).alias("spearman"), r6(F.avg("rho")).alias("null_mean"), r6((1 + F.count_if(F.col("rho") >= F.col("spearman") - 1e-12)) / (1.0 + F.count("*"))).alias("p"))
+
+
+def registry_of(v):
+    return v.select("family", "generator", "release_date").distinct()
+
+
+@query()
+def q_drift_whitened(spark, d):
+    """The drift of release groups in deviations within a generator: its null, the bootstrap's 95 % point, and the scatter about the line."""
+    v = V.vectors(spark, d)
+    t = temporal.drift_test(written(temporal.whitened_group_means(v, registry_of(v), ["family"]), "means"), ["family"])
+    return t.select("family", "n_groups", *[r6(c).alias(c) for c in ("delta", "null_mean", "null_q95", "p", "boot_q95", "tau")], "not_testable")
+
+
+@query()
+def q_lineage_test(spark, d):
+    """Held-out release groups attributed to lineage classes, against lineages dealt anew."""
+    v = V.vectors(spark, d)
+    g = registry_of(v).withColumn("lineage", F.when(F.col("generator") % 3 != 2, F.col("generator") % 2))
+    t = temporal.lineage_test(stats_of(spark, d), g.withColumn("all", F.lit(1)).drop("family"), ["all"])
+    return t.select("n_classes", "n_generators", "n_groups", r6("chance").alias("chance"), *[r6(c).alias(c) for c in ("acc", "llr", "null_acc", "null_llr", "p_acc", "p_llr")])
+
+
+@query()
+def q_lineage_null(spark, d):
+    """Does divergence follow lineage or date, each net of the other? Slopes of ranks, with lineages dealt anew among generators for the one
+    and dates among generators for the other."""
+    p = written(temporal.pair_gaps(cells(spark, d)).withColumn("divergence", F.round("divergence", 9)).select("family", *[F.floor(F.col(f"cell_{s}") / 10).cast("int").alias(s) for s in "ab"], "divergence"), "pairs")
+    g = registry_of(V.vectors(spark, d)).select("family", "generator", (F.col("generator") % 4).alias("lineage"), F.unix_date("release_date").alias("day")).where("lineage <> 3")
+    seen = g.withColumn("perm", F.lit(0)).withColumn("kind", F.lit("seen"))
+    columns = ["kind", "perm", "family", "generator", "lineage", "day"]
+    dealt = seen.select(*columns)
+    for kind, c, other in (("lineage", "lineage", "day"), ("date", "day", "lineage")):
+        dealt = dealt.unionByName(ranks.permuted(g, "generator", c, ["family"], 200).join(g.select("family", "generator", other), ["family", "generator"]).withColumn("kind", F.lit(kind)).withColumnRenamed("shuffled", c).select(*columns))
+    a, b = (dealt.select("kind", "perm", "family", F.col("generator").alias(s), F.col("lineage").alias(f"lineage_{s}"), F.col("day").alias(f"day_{s}")) for s in "ab")
+    rows = p.join(F.broadcast(a), ["family", "a"]).join(F.broadcast(b), ["kind", "perm", "family", "b"])
+    rows = rows.select("kind", "perm", "family", "divergence", (F.col("lineage_a") != F.col("lineage_b")).cast("double").alias("apart"), F.abs(F.col("day_a") - F.col("day_b")).alias("gap"))
+    k = ranks.with_ranks(rows, ["divergence", "gap"], ["kind", "perm", "family"])  # pairs of cells, a row for each pair and order
+    slopes = k.groupBy("kind", "perm", "family").agg(F.count("*").alias("n"), *temporal.two_regressors("rank_divergence", "apart", "rank_gap"))
+    scaled = slopes.select("kind", "perm", "family", "n", (F.col("b_a") / F.col("n")).alias("b_lineage"), F.col("b_b").alias("b_date"))
+    own = scaled.where("kind = 'seen'").select("family", "n", F.col("b_lineage").alias("seen_lineage"), F.col("b_date").alias("seen_date"))
+    null = scaled.where("kind <> 'seen'").drop("n").join(F.broadcast(own), "family")
+    p_of = lambda kind: F.when(F.first(f"seen_{kind}").isNotNull(), (1 + F.count_if((F.col("kind") == kind) & (F.col(f"b_{kind}") >= F.col(f"seen_{kind}") - 1e-12))) / (1.0 + F.count_if(F.col("kind") == kind))).alias(f"p_{kind}")
+    out = null.groupBy("family").agg(F.first("n").alias("n"), F.first("seen_lineage").alias("b_lineage"), F.first("seen_date").alias("b_date"), p_of("lineage"), p_of("date"))
+    return out.select("family", "n", *[r6(c).alias(c) for c in ("b_lineage", "p_lineage", "b_date", "p_date")])
+
+
+@query()
+def q_stratified_null(spark, d):
+    """Generators told apart by neighbours inside strata of family and origin, against labels dealt anew there."""
+    t = vectors.stratified_accuracy(V.vectors(spark, d), "vec_id", "generator", ["family", "origin"])
+    return t.select("strata", "n", *[r6(c).alias(c) for c in ("chance", "accuracy", "null_mean", "null_q95", "p")])
+
+
+@query()
+def q_kmeans_agreement(spark, d):
+    """How k-means clusters of the reduced vectors agree with the generators, and how far generators lie apart."""
+    v = reduced(spark, d)
+    k = v.select("generator").distinct().count()
+    both = vectors.agreement(vectors.clusters(v, k), "generator", "cluster")
+    return both.join(vectors.calinski_harabasz(v, "generator")).select(F.lit(k).alias("k"), r6("ari").alias("ari"), r6("nmi").alias("nmi"), F.round("ch", 4).alias("ch"))
+
+
+@query()
+def q_component_origin(spark, d):
+    """How the mixture components of each generator's vectors agree with the origin."""
+    v = reduced(spark, d)
+    models = mixture.fit(v.select(F.col("generator").alias("model"), "x"))
+    member = mixture.score(v.select(F.col("generator").alias("model"), "origin", "x"), models.select("model", "components"), ["model"]).select("model", "origin", "component")
+    t = vectors.agreements(written(member, "members"), "model", "origin", "component")
+    return t.select(F.col("model").alias("generator"), r6("ari").alias("ari"), r6("nmi").alias("nmi"))

@@ -23,12 +23,100 @@ def test_shuffled_scores_have_an_error_rate_of_one_at_the_neutral_bounds(spark):
 
 def test_perfect_separation_saturates_at_the_count_bound(spark):
     rng = random.Random(2)
-    rows = [("a", rng.uniform(-3, -1), 0) for _ in range(100)] + [("a", rng.uniform(1, 3), 1) for _ in range(100)]
+    rows = [("a", rng.uniform(-3, -1), 0) for _ in range(150)] + [("a", rng.uniform(1, 3), 1) for _ in range(40)]
     df = spark.createDataFrame(rows, "g string, score double, y int")
     lrs = calibrate.pav_lr(calibrate.pav(df, "score", "y"), df, "score")
     assert calibrate.cllr(lrs, "lr", "y", []).first()["cllr"] == pytest.approx(0, abs=1e-9)
     e = bounds.elub(lrs, "lr", "y", ["g"]).first()
-    assert e.lower == pytest.approx(0.01, rel=3e-3) and e.upper == pytest.approx(100, rel=3e-3)
+    assert e.lower == pytest.approx(151 / (41 * 150)) and e.upper == pytest.approx(40 * 151 / 41)  # 1 / 40 and 150, less the worst case added
+
+
+def test_bounds_are_fit_and_widest_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows, cases = [], {}
+    for k in range(12):
+        p, d = (np.round(np.exp(rng.normal(m, 0.4 + k % 4, rng.integers(2, 50))), 2 if k < 8 else 6) for m in (0.3 * (k % 4), -0.3 * (k % 4)))
+        if k == 5:
+            p[:1], d[:1] = np.inf, 0.0
+        if k == 7:
+            p, d = p + 2, d + 2
+        cases[f"k{k}"] = p, d
+        rows += [(f"k{k}", float(v), 1) for v in p] + [(f"k{k}", float(v), 0) for v in d]
+
+    def worst(p, d, lower, upper):
+        one, zero = np.append(np.clip(p, lower, upper), lower), np.append(np.clip(d, lower, upper), upper)
+        t = np.unique(np.concatenate([one, zero, [1.0]]))
+        t = np.concatenate([t * (1 - 1e-12), t, t * (1 + 1e-12)])
+        miss, alarm = np.array([[np.mean(one <= x), np.mean(zero > x)] for x in t]).T
+        return max((miss + t * alarm) / np.minimum(1, t))
+
+    for r in bounds.elub(frame(spark, rows), "lr", "y", ["g"]).collect():
+        p, d = cases[r.g]
+        assert worst(p, d, r.lower, r.upper) <= 1 + 1e-9
+        assert worst(p, d, r.lower * 0.999, r.upper) > 1 and worst(p, d, r.lower, r.upper * 1.001) > 1
+
+
+def test_calibrators_of_many_models_are_those_of_each(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(np.round(rng.normal(0.8 * y), 1)), int(y)) for g in ("a", "b", None) for y in rng.integers(0, 2, 120)]
+    df = spark.createDataFrame([r for r in rows if r[0]], "g string, score double, y int").repartition(5)
+    many = {(r.g, r.score, r.y): r.lr for r in calibrate.pav_ratios(df, calibrate.pav_table(df, "score", "y", ["g"]), "score", ["g"]).collect()}
+    cost = {r.g: r for r in calibrate.decomposition(df.withColumn("lr", F.exp("score")), "lr", "y", ["g"]).collect()}
+    for g in "ab":
+        of = df.where(F.col("g") == g)
+        for r in calibrate.pav_lr(calibrate.pav(of, "score", "y"), of, "score").collect():
+            assert many[g, r.score, r.y] == pytest.approx(r.lr)
+        assert cost[g].cllr_min == pytest.approx(calibrate.cllr_min(of.withColumn("lr", F.exp("score")), "lr", "y"))
+    null = calibrate.permuted_cost(df.withColumn("lr", F.exp("score")), "lr", "y", ["g"], 30).collect()
+    assert len(null) == 60 and all(0 <= r.cllr_min <= 1 + 1e-9 for r in null) and np.mean([r.cllr_min for r in null]) > max(c.cllr_min for c in cost.values())
+
+
+def test_positions_and_running_counts_are_those_of_a_sort(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, "x", "y"]), rng.choice([None, *range(30)]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(6)
+    place = {r.i: r.place for r in ranks.positions(df, ["g"], ["v", "i"], "place").collect()}
+    for g in (None, "x", "y"):
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (-1 if r[1] is None else r[1], r[2]))
+        assert [place[r[2]] for r in order] == list(range(1, len(order) + 1))
+    c = ranks.running_counts(df.where("g IS NOT NULL AND v IS NOT NULL"), "v", ["g"], {"n": F.count("*")}, following="next").collect()
+    for r in c:
+        assert r.n_below == sum(x[0] == r.g and x[1] is not None and x[1] < r.v for x in rows)
+        assert r.next == min((x[1] for x in rows if x[0] == r.g and x[1] is not None and x[1] > r.v), default=None)
+
+
+def test_neighbours_are_those_of_all_pairs_in_any_blocks(spark):
+    rng = np.random.default_rng(10)
+    x = np.round(rng.normal(size=(60, 4)), 1)
+    x[40:50] = x[0]  # ties
+    df = spark.createDataFrame([(i, i % 3 if i < 58 else 9, x[i].tolist()) for i in range(60)], "k long, s int, x array<double>")
+    for strata, block in ((None, 7), (["s"], 4096), (["s"], 5)):
+        got = {(r.k, r["rank"]): (r.other, r.d2) for r in vectors.neighbours(df, "k", "x", 5, strata, block_rows=block).collect()}
+        want = {}
+        for i in range(60):
+            near = sorted((round(float(((x[i] - x[j]) ** 2).sum()), 9), j) for j in range(60) if j != i and (not strata or (i % 3 if i < 58 else 9) == (j % 3 if j < 58 else 9)))
+            want |= {(i, r + 1): (j, d) for r, (d, j) in enumerate(near[:5])}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+
+
+def test_whitened_groups_show_a_planted_drift(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"g{g:02d}", 0, f"20{10 + g:02d}-01-01", (rng.normal(size=3) * [1, 5, 0.2] + [0, 0, 0.2 * 4 * g / 9]).tolist()) for g in range(10) for _ in range(60)]
+    df = spark.createDataFrame(rows, "generator string, family int, day string, x array<double>").withColumn("release_date", F.to_date("day"))
+    g = df.select("family", "generator", "release_date").distinct()
+    (r,) = temporal.drift_test(temporal.whitened_group_means(df, g, ["family"]), ["family"], perms=199, boot=100).collect()
+    assert r.n_groups == 10 and abs(r.delta - 4) < 0.8 and r.p < 0.05 and r.boot_q95 >= r.delta * 0.9 and r.tau < 0.3
+    few = temporal.drift_test(temporal.whitened_group_means(df.where("generator < 'g03'"), g.where("generator < 'g03'"), ["family"]), ["family"]).first()
+    assert few.p is None and "3 release group(s)" in few.not_testable
+
+
+def test_lineage_classes_are_told_by_their_vectors(spark):
+    rng = np.random.default_rng(13)
+    rows = [(g, (rng.normal(size=2) + [6 * (g % 2), 0]).tolist()) for g in range(8) for _ in range(30)]
+    df = spark.createDataFrame(rows, "generator int, x array<double>")
+    g = spark.createDataFrame([(0, i, f"20{10 + i}-01-01", i % 2 if i < 7 else None) for i in range(8)], "family int, generator int, day string, lineage int").withColumn("release_date", F.to_date("day")).drop("day")
+    (r,) = temporal.lineage_test(temporal.moments(df, ["generator"]), g, ["family"], perms=60).collect()
+    assert (r.n_classes, r.n_generators, r.acc) == (2, 7, 1.0) and r.p_llr < 0.1 and r.null_acc < 0.8
 
 
 def test_isotonic_ratios_keep_their_identity(spark):
@@ -133,7 +221,7 @@ def test_neighbours_are_exact(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(60, 4))
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, x array<double>")
-    got = {(r.id, r["rank"]): r.other for r in vectors.neighbours(df, "id", "x", 3, blocks=3).collect()}
+    got = {(r.id, r["rank"]): r.other for r in vectors.neighbours(df, "id", "x", 3, block_rows=20).collect()}
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
     assert got == {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.argsort(d[i])[:3])}
