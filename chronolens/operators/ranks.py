@@ -42,10 +42,10 @@ def positions(df: DataFrame, by: list[str], order: list[str], name: str) -> Data
     rows = written(df.repartitionByRange(*[F.col(c) for c in [*by, *order]]).withColumn("range_", F.spark_partition_id()), "positions")
     inside = F.row_number().over(Window.partitionBy("range_", *by).orderBy(*order))
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each key and range
-    offsets = rows.groupBy(*by, "range_").agg(F.count("*").alias("n_")).select(*[F.col(c).alias(f"{c}_") for c in by], F.col("range_").alias("of_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("offset_"))
-    on = F.col("range_") == F.col("of_")
+    offsets = rows.groupBy(*by, "range_").agg(F.count("*").alias("n_")).select(*[F.col(c).alias(f"key_{c}_") for c in by], F.col("range_").alias("key_range_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("offset_"))
+    on = F.col("range_") == F.col("key_range_")
     for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"{c}_"))
+        on = on & F.col(c).eqNullSafe(F.col(f"key_{c}_"))
     return rows.withColumn(name, inside).join(F.broadcast(offsets), on).withColumn(name, (F.col(name) + F.col("offset_")).cast("long")).select(*df.columns, name)
 
 
