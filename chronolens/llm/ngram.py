@@ -8,12 +8,12 @@ Counting sums in each task over blocks of text and then by shuffle. Estimation i
 each sharded by the n-gram: a lower order's counts are the numbers of distinct left neighbours, discounts come
 from counts of counts, and each probability joins its context's sums and its suffix's probability. A model is a
 table (order, hi, lo, logp, backoff): the log probability of a seen n-gram and the log weight of its backoff as
-a context.
+a context. Tables that led to a model are deleted.
 
-Scoring joins the n-grams of the texts with the model. Texts are dealt by a hash into buckets of about `BUCKET_BYTES`; a task lists
-the distinct n-grams of each. The distinct n-grams of all buckets look up their log probabilities and backoffs in
+Scoring joins the n-grams of the texts with the model. Texts are dealt by a hash into buckets of about `BUCKET_BYTES`,
+compressed for the shuffle; a task lists the distinct n-grams of each. The distinct n-grams of all buckets look up their log probabilities and backoffs in
 the model by joins, one n-gram a row; the results are joined to the lists and meet the texts of their bucket, where
-the texts' sums are taken. An n-gram comes up once a bucket at most, so no key of a join is frequent, and no part of a
+the texts' sums are taken; there an n-gram is known by a 64-bit hash. An n-gram comes up once a bucket at most, so no key of a join is frequent, and no part of a
 model passes through the driver.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, release, utf8_bytes
+from .common import free_name, materialize, release, remove, utf8_bytes
 
 BITS = 21
 HALF = 3  # tokens in a long
@@ -104,6 +104,19 @@ def mixed(hi: np.ndarray, lo: np.ndarray, turn: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def hashed(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The number that xxhash64(hi, lo) gives in Spark."""
+    a, b, c, d, e = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of the hash
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = np.full(len(hi), 42, np.uint64)
+    for x in (hi, lo):
+        h = turned((h + e + np.uint64(8)) ^ (turned(x.astype(np.uint64) * b, 31) * a), 27) * a + d
+        h = (h ^ (h >> np.uint64(33))) * b
+        h = (h ^ (h >> np.uint64(29))) * c
+        h ^= h >> np.uint64(32)
+    return h
+
+
 def distinct(hi: np.ndarray, lo: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct n-grams and how often each comes up (or the sum of `c`)."""
     if not len(hi):
@@ -184,7 +197,7 @@ def estimate(top: DataFrame, order: int, vocabulary: int = VOCABULARY) -> DataFr
     for k in range(order - 1, 0, -1):  # each distinct (k + 1)-gram is a left neighbour of its last k tokens
         hi, lo = suffix(k)
         counts[k] = materialize(counts[k + 1].groupBy(hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("c")), "counts")
-    lower, model = None, None
+    lower, model, probabilities = None, None, []
     for k in range(1, order + 1):
         d = discounts(counts[k])
         off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
@@ -203,7 +216,11 @@ def estimate(top: DataFrame, order: int, vocabulary: int = VOCABULARY) -> DataFr
         part = rows.withColumn("backoff", F.lit(None).cast("double")).unionByName(contexts.withColumn("logp", F.lit(None).cast("double")))
         model = part if model is None else model.unionByName(part)
         lower = p
-    return materialize(model.groupBy("order", "hi", "lo").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), "model")
+        probabilities.append(p)
+    model = materialize(model.groupBy("order", "hi", "lo").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), "model")
+    remove(top.sparkSession, *counts.values(), *probabilities)
+    release(top.sparkSession)
+    return model
 
 
 def looked_up(grams: DataFrame, model: DataFrame, name: str, order: int, vocabulary: int) -> DataFrame:
@@ -222,31 +239,63 @@ def looked_up(grams: DataFrame, model: DataFrame, name: str, order: int, vocabul
 
 
 def score(docs: DataFrame, text_col: str, models: dict[str, DataFrame], order: int, bucket_bytes: int = BUCKET_BYTES, vocabulary: int = VOCABULARY) -> DataFrame:
-    """`docs` with n_tokens and, for each model, its sum of log probabilities over all characters of the text."""
+    """`docs` with n_tokens and, for each model, its sum of log probabilities over all characters of the text; these replace
+    input columns of their names."""
+    spark, names = docs.sparkSession, list(models)
     buckets = max(1, -(-(docs.agg(F.sum(utf8_bytes(F.col(text_col)))).first()[0] or 0) // bucket_bytes))
-    bucket, names = free_name(docs, "bucket"), list(models)
-    dealt = docs.withColumn(bucket, F.pmod(F.xxhash64(*docs.columns), F.lit(buckets)))
+    bucket = free_name(docs, "bucket")
+    of_bucket = F.pmod(F.xxhash64(*docs.columns), F.lit(buckets)).alias(bucket)
 
     def listed(texts: pa.Table) -> pa.Table:
-        at = texts.column(bucket)[0].as_py()
-        parts = list(_summed(iter([texts.column(text_col).to_pylist()]), order))
+        at = texts.column("bucket")[0].as_py()
+        parts = list(_summed((unpacked(p).column(text_col).to_pylist() for p in texts.column("payload")), order))
         hi, lo, _ = distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return pa.table({"bucket": pa.array(np.full(len(hi), at, np.int64)), "hi": hi, "lo": lo})
+        by = np.lexsort((lo, hi))  # in order, they take less room
+        return pa.table({"bucket": pa.array(np.full(len(hi), at, np.int64)), "hi": hi[by], "lo": lo[by]})
 
-    texts = dealt.select(bucket, text_col).where(F.length(text_col) > 0)
-    lists = materialize(texts.groupBy(bucket).applyInArrow(listed, "bucket long, hi long, lo long"), "grams")
+    texts = packed(docs.select(text_col, of_bucket).where(F.length(text_col) > 0), bucket)
+    lists = materialize(texts.groupBy("bucket").applyInArrow(listed, "bucket long, hi long, lo long"), "grams")
+    release(spark)  # the texts' shuffle has done its work
     found = lists.select("hi", "lo").distinct()
     for name in names:
-        found = materialize(looked_up(found, models[name], name, order, vocabulary), "looked_up")
-    release(docs.sparkSession)
-    rows = lists.join(found, ["hi", "lo"])
+        before, found = found, materialize(looked_up(found, models[name], name, order, vocabulary), "looked_up")
+        if name != names[0]:
+            remove(spark, before)
+    release(spark)
+    rows = lists.join(found, ["hi", "lo"]).select("bucket", F.xxhash64("hi", "lo").alias("key"), *[F.col(name).cast("float").alias(name) for name in names])
+    rows = materialize(rows, "values")
+    remove(spark, lists, found)
+    release(spark)
     out = docs.withColumn("n_tokens", F.coalesce(F.length(text_col), F.lit(0)).cast("long")).withColumns({name: F.lit(0.0) for name in names})
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _sums(left.drop_columns([bucket]), right, text_col, names, order)
+        return _sums(pa.concat_tables([unpacked(p) for p in left.column("payload")]).drop_columns([bucket]), right, text_col, names, order)
+
+    texts = packed(out.select(*out.columns, of_bucket), bucket)
+    return texts.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(summed, out.schema)
+
+
+def packed(rows: DataFrame, bucket: str) -> DataFrame:
+    """(bucket, payload): the rows of each batch and bucket as one compressed block, half as large in a shuffle as the rows themselves."""
 
-    dealt = out.withColumn(bucket, F.pmod(F.xxhash64(*docs.columns), F.lit(buckets)))
-    return dealt.groupBy(bucket).cogroup(rows.groupBy("bucket")).applyInArrow(summed, out.schema)
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(batch.schema.get_field_index(bucket)).to_numpy()
+            by = np.argsort(key, kind="stable")
+            rows, key = pa.Table.from_batches([batch]).take(by), key[by]
+            edges = np.flatnonzero(np.diff(key)) + 1
+            for a, b in zip([0, *edges], [*edges, len(key)], strict=True):
+                if a < b:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                        to.write_table(rows.slice(a, b - a).combine_chunks())
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(key[a])], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return rows.mapInArrow(blocks, "bucket long, payload binary")
+
+
+def unpacked(payload: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(payload.as_py()).read_all()
 
 
 class Table:
@@ -278,16 +327,12 @@ class Table:
 
 
 def _sums(docs: pa.Table, grams: pa.Table, text_col: str, names: list[str], order: int) -> pa.Table:
-    hi, lo = (grams.column(c).to_numpy() for c in ("hi", "lo"))
-    turn = 0
-    while len(np.unique(key := mixed(hi, lo, turn))) < len(hi):  # until no two n-grams of the bucket share a number
-        turn += 1
-    known, values = Table(key), [grams.column(n).to_numpy() for n in names]
+    known, values = Table(grams.column("key").to_numpy().view(np.uint64)), [grams.column(n).to_numpy().astype(float) for n in names]
     texts = docs.column(text_col).to_pylist()
     sums = np.zeros((len(names), len(texts)))
     for at, part in chunks(texts):
         *gram, lengths = encode(part, order)
-        where = known.find(mixed(*gram, turn))
+        where = known.find(hashed(*gram))
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         for j, v in enumerate(values):
             sums[j, at : at + len(part)] = np.diff(np.concatenate([[0], np.cumsum(v[where])])[bounds])
