@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, fingerprint, jaccard, langid, lmscore, mixing, quality, sharding, warc
+from . import decontaminate, extract, fingerprint, jaccard, langid, lmscore, mixing, quality, runs, sharding, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_lmscore": lmscore.op9_lmscore,
     "op10_warc": warc.op10_warc,
+    "op11_runs": runs.op11_runs,
 }
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.OP3_SQL,
