@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, fingerprint, jaccard, langid, lmscore, mixing, quality, runs, sharding, warc
+from . import decontaminate, extract, fingerprint, jaccard, langid, lmscore, mixing, quality, ranked, runs, sharding, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_lmscore": lmscore.op9_lmscore,
     "op10_warc": warc.op10_warc,
     "op11_runs": runs.op11_runs,
+    "op13_ranked": ranked.op13_ranked,
 }
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.OP3_SQL,
     "op4_jaccard": jaccard.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op13_ranked": ranked.OP13_SQL,
 }
