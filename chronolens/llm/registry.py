@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, fingerprint, jaccard, langid, lmscore, mixing, quality, ranked, runs, sharding, warc
+from . import decontaminate, extract, fingerprint, jaccard, langid, lmscore, mixing, quality, ranked, runs, sharding, suffixes, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lmscore": lmscore.op9_lmscore,
     "op10_warc": warc.op10_warc,
     "op11_runs": runs.op11_runs,
+    "op12_suffixes": suffixes.op12_suffixes,
     "op13_ranked": ranked.op13_ranked,
 }
 ORACLE: dict[str, str] = {
