@@ -231,7 +231,8 @@ def planted(text: Column, key: Column) -> Column:
         place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")
         return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, place(i))), " ")
 
-    return F.when((h % 10 == 0) & (F.size(found) > 0), again(found)).otherwise(text)
+    # A lambda's variable is computed once; the expression itself would be split anew for each word.
+    return F.when((h % 10 == 0) & (F.size(found) > 0), F.transform(F.array(found), again)[0]).otherwise(text)
 
 
 def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
