@@ -14,8 +14,10 @@ import pandas as pd
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.exprs import inverse, odds
+from .lineage import written
 
 
 def balanced(df: DataFrame, y: str, by: list[str], name: str = "w") -> DataFrame:
@@ -38,12 +40,12 @@ def pav_lr(model: IsotonicRegressionModel, df: DataFrame, score: str, name: str
 
 def _pooled(rows: np.ndarray) -> np.ndarray:
     """Rows (lowest score, highest score, weight, weight of class 1) in order of score, pooled until their shares of class 1 increase."""
-    held: list[np.ndarray] = []
-    for row in rows:
-        while held and held[-1][3] * row[2] >= row[3] * held[-1][2]:
-            last = held.pop()
-            row = np.array([last[0], row[1], last[2] + row[2], last[3] + row[3]])
-        held.append(row)
+    held: list[tuple] = []
+    for lo, hi, w, w1 in rows.tolist():
+        while held and held[-1][3] * w >= w1 * held[-1][2]:
+            lo, _, v, v1 = held.pop()
+            w, w1 = v + w, v1 + w1
+        held.append((lo, hi, w, w1))
     return np.array(held).reshape(-1, 4)
 
 
@@ -51,14 +53,19 @@ BLOCK = ["lo", "hi", "w", "w1"]
 
 
 def pav_table(df: DataFrame, score: str, y: str, by: list[str]) -> DataFrame:
-    """(by, lo, hi, w, w1): the blocks of weighted pool-adjacent-violators of each model, classes weighing one half each.
+    """(by, lo, hi, w, w1): the blocks of weighted pool-adjacent-violators of each model, classes weighing one half each."""
+    one = F.col(y) == 1
+    hist = balanced(df.select(*by, F.col(score).cast("double").alias("lo"), F.col(y).alias(y)), y, by).groupBy(*by, "lo").agg(F.sum("w").alias("w"), F.sum(F.when(one, F.col("w")).otherwise(0.0)).alias("w1"))
+    return pooled(hist, by)
+
+
+def pooled(hist: DataFrame, by: list[str]) -> DataFrame:
+    """(by, lo, hi, w, w1): the blocks of each model from (by, lo, w, w1), a row for each distinct score.
 
     Scores are dealt out by range and pooled where they lie, then the blocks of the ranges are pooled: pooling in parts
     gives the blocks of pooling at once. What one task pools of a model at the end are blocks, not scores."""
-    kinds = dict(df.dtypes)
+    kinds = dict(hist.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], *[f"{c} double" for c in BLOCK]])
-    one = F.col(y) == 1
-    hist = balanced(df.select(*by, F.col(score).cast("double").alias("lo"), F.col(y).alias(y)), y, by).groupBy(*by, "lo").agg(F.sum("w").alias("w"), F.sum(F.when(one, F.col("w")).otherwise(0.0)).alias("w1"))
     hist = hist.select(*by, "lo", F.col("lo").alias("hi"), "w", "w1").repartitionByRange(*by, "lo").sortWithinPartitions(*by, "lo")
 
     def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,15 +83,15 @@ def pav_table(df: DataFrame, score: str, y: str, by: list[str]) -> DataFrame:
 def pav_ratios(df: DataFrame, table: DataFrame, score: str, by: list[str], name: str = "lr", most: int = 500_000) -> DataFrame:
     """`df` with the likelihood ratio of its score under its model's blocks: linear between blocks, and the end's outside.
 
-    The table of blocks goes to the tasks only up to `most` rows; beyond, round the scores before the fit."""
-    if (n := table.count()) > most:
-        raise ValueError(f"{n} blocks are too many to send to every task; round the scores")
+    The table of blocks goes to the tasks up to `most` rows; beyond, scores and blocks meet in a join by range."""
+    if table.limit(most + 1).count() > most:
+        return interpolated(df, table, score, by, name)
     models: dict = {}
-    for r in table.orderBy(*by, "lo").toLocalIterator():
+    for r in table.orderBy(*by, "lo").collect():
         xs, ps = models.setdefault(tuple(r[c] for c in by), ([], []))
         xs += [r.lo, r.hi]
         ps += [r.w1 / r.w] * 2
-    sent = df.sparkSession.sparkContext.broadcast({k: (np.array(x), np.array(p)) for k, (x, p) in models.items()})
+    sent = df.sparkSession.sparkContext.broadcast({k or (0,): (np.array(x), np.array(p)) for k, (x, p) in models.items()})
 
     @F.pandas_udf("double")
     def calibrated(model: pd.DataFrame, x: pd.Series) -> pd.Series:
@@ -96,11 +103,29 @@ def pav_ratios(df: DataFrame, table: DataFrame, score: str, by: list[str], name:
         return out
 
     keys = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all_"))
-    if not by:
-        sent = df.sparkSession.sparkContext.broadcast({(0,): v for v in sent.value.values()})
     return df.withColumn(name, odds(F.round(calibrated(keys, F.col(score).cast("double")), 12)))
 
 
+def interpolated(df: DataFrame, table: DataFrame, score: str, by: list[str], name: str = "lr") -> DataFrame:
+    """The same ratios for blocks of any number: the distinct scores and the ends of the blocks are dealt out by range together, and
+    each score takes the nearest ends on either side, in its range or, through a table with a row for each key and range, beyond it."""
+    at, p = F.col(score).cast("double").alias("at"), F.col("w1") / F.col("w")
+    ends = table.select(*by, F.inline(F.array(*[F.struct(F.col(c).alias("at"), p.alias("p")) for c in ("lo", "hi")]))).distinct()
+    both = df.select(*by, at).where(F.col(score).isNotNull()).distinct().withColumn("p", F.lit(None).cast("double")).unionByName(ends)
+    both = written(both.repartitionByRange(*by, "at").withColumn("range", F.spark_partition_id()), "knots")
+    end = F.when(F.col("p").isNotNull(), F.struct("at", "p"))
+    w = Window.partitionBy("range", *by).orderBy("at")
+    below, above = F.last(end, True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first(end, True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    found = both.select(*by, "at", "p", "range", below.alias("below"), above.alias("above"))
+    ranges = both.groupBy(*by, "range").agg(F.max(end).alias("last"), F.min(end).alias("first"))
+    r = Window.partitionBy(*(by or [F.lit(0)])).orderBy("range")  # a row for each key and range
+    ranges = ranges.select(*by, "range", F.last("last", True).over(r.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(r.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    a, b = F.coalesce("below", "before", "above", "after"), F.coalesce("above", "after", "below", "before")
+    share = F.when(a["at"] == b["at"], a["p"]).otherwise(a["p"] + (b["p"] - a["p"]) / F.nullif(b["at"] - a["at"], F.lit(0.0)) * (F.col("at") - a["at"]))
+    shares = found.where("p IS NULL").join(ranges, [*by, "range"]).select(*by, F.col("at").alias("at_"), odds(F.round(share, 12)).alias(name))
+    return df.withColumn("at_", at).join(shares, [*by, "at_"], "left").drop("at_")
+
+
 def block_cost(table: DataFrame, by: list[str]) -> DataFrame:
     """(by, cllr_min): the cost after the best monotone recalibration, from the blocks of the ratios themselves."""
     one, zero = F.col("w1"), F.col("w") - F.col("w1")

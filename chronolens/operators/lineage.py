@@ -4,17 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """`df` from a Parquet table in the folder of spark.checkpoint.dir: computed once, whatever reads it, and again by no executor's loss."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a local session without it gets a folder of its own, a cluster an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{folder.rstrip('/')}/tables/{what}-{uuid.uuid4().hex}"
+        found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return found.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """`df` from a Parquet table in the shared folder: computed once, whatever reads it, and again by no executor's loss."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/tables/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

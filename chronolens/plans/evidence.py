@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import aggregate, bounds, calibrate, ranks, sampling
+from ..operators import aggregate, blocks, bounds, calibrate, panel, ranks, sampling
 from ..operators.lineage import written
 from ..sources import views as V
 from .registry import query
@@ -181,25 +184,128 @@ def q_cllr_min(spark, d):
 
 
 Z = [f"z{c}" for c in V.SCORES]
+INPUTS = ("orders", "customer", "nation", "region", "lineitem")
 
 
 def standardised(spark, d):
     m = V.scored(spark, d)
     ref = m.where("label = 0 AND split = 'train'").agg(*[f(c).alias(f"{p}{c}") for c in V.SCORES for p, f in (("m", F.avg), ("d", F.stddev_samp))])
-    return m.join(F.broadcast(ref)).select("item_id", "label", "family", "generator", "release_date", "source", "split", *[((F.col(c) - F.col(f"m{c}")) / F.when(F.col(f"d{c}") > 0, F.col(f"d{c}")).otherwise(1)).alias(f"z{c}") for c in V.SCORES])
+    return m.join(F.broadcast(ref)).select("item_id", "label", "family", "generator", "release_date", "source", "split", F.log10(X.area_fraction(F.col("source_width"), F.col("source_height"), 200)).alias("area"), *[((F.col(c) - F.col(f"m{c}")) / F.when(F.col(f"d{c}") > 0, F.col(f"d{c}")).otherwise(1)).alias(f"z{c}") for c in V.SCORES])
+
+
+def kept(spark, d, name, build, **params):
+    """A result that several queries rest on, as a block by content: computed by the first, read by the others."""
+    return blocks.block(spark, name, params, [f"{d}/{t}.parquet" for t in INPUTS], [sys.modules[__name__], panel, calibrate, bounds, sampling, V], build)
+
+
+def panel_rows(spark, d):
+    """The scored items once, narrow: item_id, label, y, family, generator, release_date, split, area, the scores on the reference's scale,
+    source_no (0 for authentic, else the generator's number) and fold (five, dealt within each source or generator)."""
+
+    def build():
+        rows = panel.numbered(standardised(spark, d), "label", "generator")[0].withColumn("y", F.col("label"))
+        stratum = F.when(F.col("label") == 0, F.concat(F.lit("source:"), "source")).otherwise(F.concat(F.lit("generator:"), "generator"))
+        return sampling.kfolds(rows.withColumn("stratum", stratum), ["split", "stratum"], "item_id").drop("source", "stratum")
+
+    return kept(spark, d, "panel", build)
+
+
+class Registry:
+    """Generators in the order of their numbers with family and date, and what models of families learn from; a row a generator."""
 
+    def __init__(self, rows):
+        found = rows.where("label = 1").groupBy("source_no", "generator", "family").agg(F.min("release_date").alias("date")).orderBy("source_no").collect()
+        self.names, self.of, self.dates = ([r[c] for r in found] for c in ("generator", "family", "date"))
+        self.families = sorted(set(self.of))
+
+    def keep(self, chosen):
+        """What a model learns from that takes all of label 0 and the generators for which `chosen` (of name, family, date) holds."""
+        return [True, *[bool(chosen(*g)) for g in zip(self.names, self.of, self.dates, strict=True)]]
+
+    def family(self, f):
+        return self.keep(lambda _, of, __: of == f)
+
+
+def train(rows):
+    return rows.where("split = 'train'")
+
+
+#: The ridge strengths to choose from.
+L2_GRID = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0)
+FOLDS = 5
+
+
+def strengths(spark, d):
+    """(of, l2, cost): for each family and strength the mean over folds of the cost of ratios that didn't see the fold, within the
+    count bound of the rows that were seen."""
+    rows = train(panel_rows(spark, d))
+    r = Registry(rows)
+    specs = [(f, x, k) for f in r.families for x in L2_GRID for k in range(FOLDS)]
+    models = panel.Models([r.family(f) for f, _, _ in specs], [k for *_, k in specs], [x for _, x, _ in specs])
+    beta, n0, n1 = panel.fit(rows, models, Z)
+    table = written(panel.blocks(rows, models, beta, Z, n0, n1), "strengths")
+    places = [[i for i, s in enumerate(specs) if s[2] == k] for k in range(FOLDS)]
+    lrs = panel.ratios(rows, "item_id", table, beta, Z, of_fold=places)
+    seen = F.array(*[F.array(*[F.struct(F.lit(specs[i][0]).alias("of"), F.lit(specs[i][1]).alias("l2"), F.lit(float(1 / max(1, n1[i]))).alias("lower"), F.lit(float(n0[i])).alias("upper")) for i in p]) for p in places])
+    long = lrs.select("y", "family", "fold", F.posexplode("lr").alias("place", "lr")).withColumn("m", F.get(F.get(seen, F.col("fold")), F.col("place")))
+    long = long.where((F.col("y") == 0) | (F.col("family") == F.col("m.of"))).select("y", "fold", "m.of", "m.l2", X.clip(F.col("lr"), F.col("m.lower"), F.col("m.upper")).alias("lr"))
+    return calibrate.cllr(long, "lr", "y", ["of", "l2", "fold"]).where("cllr IS NOT NULL").groupBy("of", "l2").agg(F.avg("cllr").alias("cost"))
+
+
+def chosen(spark, d):
+    """(of, l2, cllr): the strength of least cost for each family, the smaller of equal ones."""
+    return kept(spark, d, "chosen", lambda: strengths(spark, d).groupBy("of").agg(F.min_by("l2", F.struct("cost", "l2")).alias("l2"), F.min("cost").alias("cllr")))
 
-def per_family(m):
-    """Authentic rows for every family, and each family's own: (of, y, ...)."""
-    families = m.where("label = 1").select(F.col("family").alias("of")).distinct()
-    return m.join(F.broadcast(families), (F.col("label") == 0) | (F.col("family") == F.col("of"))).withColumn("y", F.col("label"))
+
+def fitted(rows, learned, models, of_fold=None, name="lr"):
+    """(`rows` with an array of ratios, coefficients) of models fitted and calibrated on the rows `learned`."""
+    beta, n0, n1 = panel.fit(learned, models, Z)
+    table = written(panel.blocks(learned, models, beta, Z, n0, n1), "blocks")
+    return panel.ratios(rows, "item_id", table, beta, Z, of_fold=of_fold, name=name), beta
+
+
+def family_models(spark, d):
+    r = Registry(panel_rows(spark, d))
+    l2 = {x.of: x.l2 for x in chosen(spark, d).collect()}
+    return r, panel.Models([r.family(f) for f in r.families], l2=[l2[f] for f in r.families])
+
+
+def family_panel(spark, d):
+    """(registry, items with `lr`, the ratios under every family's model in order of the families' names, whatever their own family)."""
+    r, models = family_models(spark, d)
+    rows = panel_rows(spark, d)
+    return r, kept(spark, d, "families", lambda: fitted(rows, train(rows), models)[0])
+
+
+def own(lrs, names, name="lr"):
+    """(of, ..., lr): each item under the models that it can count for, all of them for label 0 and its own family's for label 1."""
+    return panel.long(lrs, names, name).where((F.col("y") == 0) | (F.col("family") == F.col("of")))
+
+
+def family_ratios(spark, d):
+    r, lrs = family_panel(spark, d)
+    return own(lrs, r.families)
+
+
+def family_bounds(spark, d):
+    """(of, lower, upper): the bounds of each family's ratios on the rows it learned from."""
+    return kept(spark, d, "bounds", lambda: bounds.elub(train(family_ratios(spark, d)), "lr", "y", ["of"]))
+
+
+def bounded_panel(spark, d):
+    """(registry, items with `lr` within the bounds of each model)."""
+    r, lrs = family_panel(spark, d)
+    e = {x.of: (x.lower, x.upper) for x in family_bounds(spark, d).collect()}
+    ends = F.array(*[F.struct(F.lit(e[f][0]).alias("lower"), F.lit(e[f][1]).alias("upper")) for f in r.families])
+    return r, lrs.withColumn("lr", F.zip_with("lr", ends, lambda x, b: X.clip(x, b["lower"], b["upper"])))
 
 
 @query()
 def q_fuse_ridge(spark, d):
-    rows = per_family(standardised(spark, d).where("split = 'train'")).withColumn("l2", F.lit(1.0))
-    beta = calibrate.fuse(rows, ["of"], Z, "y", "l2")
-    return calibrate.coefficients(spark, beta, ["of"], Z, ["string"]).select(F.col("of").alias("family"), *[r6(c).alias(c) for c in ["intercept", *[f"b_{z}" for z in Z]]])
+    rows = train(panel_rows(spark, d))
+    r = Registry(rows)
+    beta, _, _ = panel.fit(rows, panel.Models([r.family(f) for f in r.families]), Z)
+    return spark.createDataFrame([(f, *[round(float(x), 6) for x in b]) for f, b in zip(r.families, beta, strict=True)], ", ".join(["family string", "intercept double", *[f"b_{z} double" for z in Z]]))
 
 
 def span(lower: str, upper: str):
@@ -211,89 +317,150 @@ def clipped(lrs, e, keys):
     return lrs.join(F.broadcast(e), keys).withColumn("lr", X.clip(F.col("lr"), F.col("lower"), F.col("upper"))).drop("lower", "upper")
 
 
-def ratios(rows, keys, train):
-    """`rows` (keys, item_id, y, l2, features) with `fused` and `lr`, of each key's fusion and isotonic calibrator fitted on its rows of
-    `train`. Fused scores are rounded to four decimals, which bounds the blocks of a calibrator."""
-    spark, kinds = rows.sparkSession, dict(rows.dtypes)
-    rows = written(rows, "rows")
-    models = calibrate.coefficients(spark, calibrate.fuse(rows.where(train), keys, Z, "y", "l2"), keys, Z, [kinds[c] for c in keys])
-    scored = written(rows.join(F.broadcast(models), keys).withColumn("fused", F.round(calibrate.fused_score(Z), 4)).select(*rows.columns, "fused"), "fused")
-    return calibrate.pav_ratios(scored, calibrate.pav_table(scored.where(train), "fused", "y", keys), "fused", keys)
+@query()
+def q_pick_l2(spark, d):
+    """The ridge strength of least out-of-fold cost for each family; ratios are clipped to the count bound of the rows that were seen."""
+    return chosen(spark, d).select(F.col("of").alias("family"), "l2", r6("cllr").alias("cllr"))
+
+
+#: Models given as fixed values, for the query that SQL can check: (intercept, weights), calibrator as (score, share of label 1), bounds.
+GIVEN = {
+    "AFRICA": ((0.1, 0.5, -0.25, 0.125, 0.0, 0.25), ((-2.0, 0.1), (0.0, 0.4), (1.5, 0.9)), (0.2, 5.0)),
+    "AMERICA": ((0.0, -0.5, 0.5, 0.0, 0.25, 0.0), ((-1.0, 0.2), (0.5, 0.5), (2.0, 0.8)), (0.125, 8.0)),
+    "ASIA": ((-0.25, 0.25, 0.25, 0.25, 0.25, 0.25), ((-3.0, 0.05), (-1.0, 0.3), (3.0, 0.95)), (0.1, 10.0)),
+    "EUROPE": ((0.5, 0.0, 0.0, -1.0, 0.5, 0.125), ((-1.5, 0.25), (0.25, 0.45), (1.0, 0.7)), (0.25, 4.0)),
+    "MIDDLE EAST": ((0.0, 1.0, 0.0, 0.0, 0.0, -0.5), ((-0.5, 0.35), (0.0, 0.5), (0.5, 0.65)), (0.5, 2.0)),
+}
+_GIVEN_SQL = " UNION ALL ".join(
+    f"SELECT item_id, own, '{f}' AS family, least({hi!r}, greatest({lo!r}, p / (1 - p))) AS lr FROM (SELECT item_id, own, CASE WHEN s <= {k[0][0]!r} THEN {k[0][1]!r} "
+    + " ".join(f"WHEN s <= {b[0]!r} THEN {a[1]!r} + ({b[1]!r} - {a[1]!r}) / ({b[0]!r} - {a[0]!r}) * (s - ({a[0]!r}))" for a, b in zip(k, k[1:], strict=False))
+    + f" ELSE {k[-1][1]!r} END AS p FROM (SELECT item_id, own, {w[0]!r} + {' + '.join(f'{b!r} * z{c}' for b, c in zip(w[1:], V.SCORES, strict=True))} AS s FROM zz))"
+    for f, (w, k, (lo, hi)) in GIVEN.items()
+)
+
+
+@query(f"""WITH {V.SCORED}, r AS (SELECT {', '.join(f"avg({c}) AS m{c}, stddev_samp({c}) AS d{c}" for c in V.SCORES)} FROM scored WHERE label = 0 AND split = 'train'),
+zz AS (SELECT item_id, family AS own, {', '.join(f"({c} - m{c}) / CASE WHEN d{c} > 0 THEN d{c} ELSE 1 END AS z{c}" for c in V.SCORES)} FROM scored, r) SELECT item_id, own, family, round(lr, 6) AS lr FROM ({_GIVEN_SQL})""")
+def q_lr_matrix(spark, d):
+    """The ratio of every item under every family's model, those of other families too, for given models: one pass, an array, no copy of a row."""
+    beta = np.array([w for w, _, _ in GIVEN.values()])
+    knots = [tuple(np.array(x) for x in zip(*k, strict=True)) for _, k, _ in GIVEN.values()]
+    lrs = panel.apply(standardised(spark, d), beta, knots, Z, bounds=np.array([b for *_, b in GIVEN.values()]))
+    return panel.long(lrs.select("item_id", F.col("family").alias("own"), "lr"), list(GIVEN), of="family").select("item_id", "own", "family", r6("lr").alias("lr"))
+
+
+@query()
+def q_panel_leakage(spark, d):
+    """Geometric mean of the ratios of the other half under each model (rows) by the items' own family (columns): what models see of families not theirs."""
+    r, lrs = bounded_panel(spark, d)
+    return panel.long(lrs.where("split = 'val'"), r.families).groupBy(F.col("family").alias("own"), F.col("of").alias("family")).agg(F.count("*").alias("n"), r6(aggregate.geometric_mean(F.col("lr"))).alias("gmean"))
 
 
-def out_of_fold(rows, keys, k: int = 5):
-    """Each row's ratio under the fusion and the calibrator fitted without its fold; rows carry the keys, fold and l2."""
-    grid = rows.sparkSession.range(k).select(F.col("id").cast("int").alias("held"))
-    return ratios(rows.join(F.broadcast(grid)), [*keys, "held"], F.col("fold") != F.col("held")).where("fold = held")
+def panel_agg(spark, d):
+    """The aggregators over the families out by each date, for the items of the other half; and their own family's date."""
+    r, lrs = bounded_panel(spark, d)
+    first = {f: min(x for x, of in zip(r.dates, r.of, strict=True) if of == f) for f in r.families}
+    families = spark.createDataFrame(list(first.items()), "family string, date date")
+    val = panel.long(lrs.where("split = 'val'").select(F.col("item_id").alias("item"), "y", F.col("release_date").alias("true_date"), "lr"), r.families, of="family")
+    a = aggregate.aggregators(val.select("item", "family", "lr"), families, families.select(F.col("date").alias("T")).distinct())
+    return a, lrs.where("split = 'val'").select(F.col("item_id").alias("item"), "y", F.col("family").alias("own"), F.col("release_date").alias("true_date"))
 
 
-#: The ridge strengths to choose from.
-L2_GRID = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0)
+@query()
+def q_panel_tstar(spark, d):
+    """When the largest ratio over the families out first crosses each threshold, on the fitted panel."""
+    a, t = panel_agg(spark, d)
+    t = aggregate.tstar_table(aggregate.crossing(a, "max", THETAS), t)
+    return t.select("theta", r6("cross_fake").alias("cross_fake"), r6("cross_authentic").alias("cross_authentic"), "median_day", "median_error", r6("share_early").alias("share_early"), r6("median_years").alias("median_years"))
 
 
-def strengths(spark, rows, keys):
-    """(keys, l2, cost) of each model and strength: mean out-of-fold cost, ratios of the isotonic calibrator clipped to the count bound."""
-    grid = spark.createDataFrame([(x,) for x in L2_GRID], "l2 double")
-    scored = written(out_of_fold(rows.join(F.broadcast(grid)), [*keys, "l2"]), "folds")
-    n = scored.groupBy(*keys, "l2").agg(F.count_if(F.col("y") == 1).alias("n_p"), F.count_if(F.col("y") == 0).alias("n_d"))
-    lr = X.clip(F.col("lr"), 1.0 / F.col("n_p"), F.col("n_d").cast("double"))
-    return calibrate.cllr(scored.join(F.broadcast(n), [*keys, "l2"]).withColumn("lr", lr), "lr", "y", [*keys, "l2", "fold"]).groupBy(*keys, "l2").agg(F.avg("cllr").alias("cost"))
+@query()
+def q_panel_multiplicity(spark, d):
+    """The mean of the largest ratio of authentic items as families come out, with bootstrap limits, on the fitted panel."""
+    a, t = panel_agg(spark, d)
+    m = aggregate.multiplicity(a, t, 40)
+    return m.select("T", "n", *[r6(c).alias(c) for c in ("mean", "lo95", "hi95")])
 
 
-def chosen(spark, rows):
-    """(of, l2, cllr): the strength of least cost for each family, the smaller of equal ones."""
-    cost = strengths(spark, sampling.kfolds(rows, ["of", "y"], "item_id"), ["of"])
-    return cost.groupBy("of").agg(F.min_by("l2", F.struct("cost", "l2")).alias("l2"), F.min("cost").alias("cllr"))
+def crossfit(spark, d):
+    """(registry, items with `lr` under the models of all families that didn't see the item's fold)."""
+    rows = panel_rows(spark, d)
+    r, one = family_models(spark, d)
+    specs = [(j, k) for k in range(FOLDS) for j in range(len(r.families))]
+    models = panel.Models([one.keep[j] for j, _ in specs], [k for _, k in specs], [one.l2[j] for j, _ in specs])
+    places = [[i for i, s in enumerate(specs) if s[1] == k] for k in range(FOLDS)]
+    return r, kept(spark, d, "crossfit", lambda: fitted(rows, rows, models, of_fold=places)[0])
 
 
-@query()
-def q_pick_l2(spark, d):
-    """The ridge strength of least out-of-fold cost for each family; ratios are clipped to the count bound."""
-    return chosen(spark, per_family(standardised(spark, d).where("split = 'train'"))).select(F.col("of").alias("family"), "l2", r6("cllr").alias("cllr"))
+def crossfit_cost(spark, d):
+    r, lrs = crossfit(spark, d)
+    lrs = own(lrs, r.families)
+    e = bounds.elub(lrs, "lr", "y", ["of"])
+    return calibrate.decomposition(clipped(lrs, e, ["of"]), "lr", "y", ["of"]), e
 
 
 @query()
 def q_crossfit(spark, d):
-    """For each family: ratios of models that didn't see the row's fold, their bounds and cost, beside those of the fixed split."""
-    rows = sampling.kfolds(per_family(standardised(spark, d)), ["of", "y"], "item_id").withColumn("l2", F.lit(1.0))
-    lrs = written(out_of_fold(rows, ["of"]), "crossfit")
-    e = bounds.elub(lrs, "lr", "y", ["of"])
-    c = calibrate.decomposition(clipped(lrs, e, ["of"]), "lr", "y", ["of"])
-    split = q_family_table(spark, d).select(F.col("family").alias("of"), F.col("cllr").alias("cllr_split"), F.col("cllr_cal").alias("cllr_cal_split"))
-    return c.join(e, "of").join(split, "of").select(F.col("of").alias("family"), "n_p", "n_d", *[r6(x).alias(x) for x in ("cllr", "cllr_min", "cllr_cal")], span("lower", "upper"), "cllr_split", "cllr_cal_split")
+    """For each family: ratios of models that didn't see the row's fold, at the chosen strength, their bounds and cost, beside those of the fixed split."""
+    c, e = crossfit_cost(spark, d)
+    split = split_cost(spark, d).select("of", F.col("cllr").alias("cllr_split"), F.col("cllr_cal").alias("cllr_cal_split"))
+    return c.join(e, "of").join(split, "of").select(F.col("of").alias("family"), "n_p", "n_d", *[r6(x).alias(x) for x in ("cllr", "cllr_min", "cllr_cal")], span("lower", "upper"), r6("cllr_split").alias("cllr_split"), r6("cllr_cal_split").alias("cllr_cal_split"))
 
 
 def truncated(spark, d):
-    """(lrs, bounds) of a model for each family and number of members released: what could have been fitted by each date."""
-    m = per_family(standardised(spark, d))
-    members = V.generators(spark, d).groupBy("family", "generator").agg(F.min("release_date").alias("date"))
-    events = members.alias("a").join(members.alias("b"), (F.col("a.family") == F.col("b.family")) & (F.col("b.date") <= F.col("a.date"))).select(F.col("a.family").alias("of"), F.col("a.date").alias("by"), F.col("b.generator").alias("member"))
-    j = events.groupBy("of", "by").agg(F.count_distinct("member").alias("j"), F.collect_set("member").alias("out"))
-    train = (F.col("split") == "train") & ((F.col("y") == 0) | F.array_contains("out", F.col("generator")))
-    lrs = written(ratios(m.join(F.broadcast(j), "of").withColumn("l2", F.lit(1.0)), ["of", "j"], train), "truncated")
-    return lrs, written(bounds.elub(lrs.where(train), "lr", "y", ["of", "j"]), "bounds")
+    """(registry, specs, items with `lr`, bounds): a model for each family and number of generators released, of the family's strength;
+    every item under every one of them. specs: (family, j, date from which the model is in force), in order."""
+    rows = panel_rows(spark, d)
+    r, one = family_models(spark, d)
+    specs, keeps, l2 = [], [], []
+    for f, x in zip(r.families, one.l2, strict=True):
+        members = sorted((date, n) for n, of, date in zip(r.names, r.of, r.dates, strict=True) if of == f)
+        for j, (date, _) in enumerate(members, 1):
+            out = {n for _, n in members[:j]}
+            specs.append((f, j, date))
+            keeps.append(r.keep(lambda n, *_, out=out: n in out))
+            l2.append(x)
+    models = panel.Models(keeps, l2=l2)
+    lrs = kept(spark, d, "truncated", lambda: fitted(rows, train(rows), models)[0])
+    learns = F.array(*[F.array(*[F.lit(bool(k)) for k in m]) for m in models.keep])
+    long = panel.long(train(lrs), list(range(len(specs))), of="m").where(F.get(F.get(learns, F.col("m")), F.col("source_no")))
+    return r, specs, lrs, kept(spark, d, "truncated_bounds", lambda: bounds.elub(long, "lr", "y", ["m"]))
 
 
 @query()
 def q_truncated(spark, d):
     """Cost and bounds of each truncated model, on all of the family's rows of the other half."""
-    lrs, e = truncated(spark, d)
-    c = calibrate.cllr(clipped(lrs.where("split = 'val'"), e, ["of", "j"]), "lr", "y", ["of", "j"])
-    dates = lrs.groupBy("of", "j").agg(F.first("by").alias("by"))
-    return c.join(e, ["of", "j"]).join(dates, ["of", "j"]).select(F.col("of").alias("family"), "j", "by", "n_p", "n_d", r6("cllr").alias("cllr"), span("lower", "upper"))
+    r, specs, lrs, e = truncated(spark, d)
+    table = spark.createDataFrame([(m, *s) for m, s in enumerate(specs)], "m int, of string, j int, by date")
+    val = panel.long(lrs.where("split = 'val'"), list(range(len(specs))), of="m").join(F.broadcast(table), "m").where("y = 0 OR family = of")
+    c = calibrate.cllr(clipped(val, e, ["m"]), "lr", "y", ["m"])
+    return c.join(F.broadcast(table), "m").join(F.broadcast(e), "m").select(F.col("of").alias("family"), "j", "by", "n_p", "n_d", r6("cllr").alias("cllr"), span("lower", "upper"))
+
+
+def in_force(specs, dates):
+    """For each date the numbers of the models in force: of each family the one with all of its generators released by then."""
+    out = []
+    for t in dates:
+        last = {f: m for m, (f, _, by) in enumerate(specs) if by <= t}
+        out.append(sorted(last.values()))
+    return out
 
 
 @query()
 def q_truncated_curve(spark, d):
-    """For each date and class: the mean running maximum over families of the ratios of the models that were fitted by then."""
-    lrs, e = truncated(spark, d)
-    held = clipped(lrs.where("split = 'val'"), e, ["of", "j"]).select("of", "by", "item_id", "label", "lr")
-    # The model in force from a date on is that of the last release by then: the maximum by then of each family, then over families.
-    dates = lrs.select(F.col("by").alias("T")).distinct()
-    force = dates.join(lrs.select("of", "by").distinct(), F.col("by") <= F.col("T")).groupBy("T", "of").agg(F.max("by").alias("by"))
-    raw = held.join(F.broadcast(force), ["of", "by"]).groupBy("item_id", "label", "T").agg(F.max("lr").alias("max"))
-    run = aggregate.running_max(raw.withColumnRenamed("item_id", "item"), "max")
-    return run.groupBy("T", "label").agg(F.count("*").alias("n"), r6(F.avg("running")).alias("mean_running"), r6(F.avg((F.col("running") >= 2).cast("int"))).alias("share_2"))
+    """For each date and class: the mean running maximum over families of every item's ratios under the models that could be fitted by then."""
+    _, specs, lrs, e = truncated(spark, d)
+    ends = {x.m: (x.lower, x.upper) for x in e.collect()}
+    limits = F.array(*[F.struct(F.lit(ends[m][0]).alias("lower"), F.lit(ends[m][1]).alias("upper")) for m in range(len(specs))])
+    dates = sorted({by for *_, by in specs})
+    force = F.array(*[F.array(*[F.lit(m) for m in ms]) for ms in in_force(specs, dates)])
+    held = lrs.where("split = 'val'").select("label", F.zip_with("lr", limits, lambda x, b: X.clip(x, b["lower"], b["upper"])).alias("lr"))
+    # The maximum at each date in order, and the greatest so far: the models of a family change as its generators come out.
+    now = F.transform(force, lambda ms: F.array_max(F.transform(ms, lambda m: F.get("lr", m))))
+    curve = held.select("label", now.alias("now")).select("label", F.posexplode("now").alias("k", "raw"), "now")
+    run = curve.withColumn("running", F.array_max(F.slice("now", 1, F.col("k") + 1)))
+    names = F.array(*[F.lit(t) for t in dates])
+    return run.groupBy(F.get(names, F.col("k")).alias("T"), "label").agg(F.count("*").alias("n"), r6(F.avg("running")).alias("mean_running"), r6(F.avg((F.col("running") >= 2).cast("int"))).alias("share_2"))
 
 
 def on_halves(lrs, keys):
@@ -302,46 +469,76 @@ def on_halves(lrs, keys):
     return calibrate.decomposition(clipped(lrs.where("split = 'val'"), e, keys), "lr", "y", keys), e
 
 
+def split_cost(spark, d):
+    return calibrate.decomposition(clipped(family_ratios(spark, d).where("split = 'val'"), family_bounds(spark, d), ["of"]), "lr", "y", ["of"])
+
+
 def floor_of(spark, d):
-    rows = written(per_family(V.scored(spark, d).withColumn("f", F.round(F.log10(X.area_fraction(F.col("source_width"), F.col("source_height"), 200)), 4))).select("of", "item_id", "y", "split", "f"), "floor")
-    return on_halves(written(calibrate.pav_ratios(rows, calibrate.pav_table(rows.where("split = 'train'"), "f", "y", ["of"]), "f", ["of"]), "ratios"), ["of"])
+    """(registry, items with `lr`): the same calibration from one field of metadata, whose own value is the score of all models."""
+    rows = panel_rows(spark, d)
+    r = Registry(rows)
+    models = panel.Models([r.family(f) for f in r.families])
+
+    def build():
+        n = {(x.source_no, x.split): x["count"] for x in rows.groupBy("source_no", "split").count().collect()}
+        n0 = np.full(len(r.families), float(n.get((0, "train"), 0)))
+        n1 = np.array([sum(c for (s, half), c in n.items() if s and half == "train" and m[s]) for m in models.keep], "float64")
+        beta = np.tile([0.0, 1.0], (len(r.families), 1))
+        table = written(panel.blocks(train(rows), models, beta, ["area"], n0, n1), "floor")
+        return panel.ratios(rows, "item_id", table, beta, ["area"])
+
+    return r, kept(spark, d, "floor", build)
+
+
+def floor_cost(spark, d):
+    r, lrs = floor_of(spark, d)
+    return on_halves(own(lrs, r.families), ["of"])
 
 
 @query()
 def q_floor(spark, d):
     """The same calibration, bounds and cost from one field of metadata, the share of the area that is cropped: what the panel must beat."""
-    c, e = floor_of(spark, d)
+    c, e = floor_cost(spark, d)
     return c.join(e, "of").select(F.col("of").alias("family"), "n_p", "n_d", *[r6(x).alias(x) for x in ("lower", "upper", "cllr", "cllr_min", "cllr_cal")])
 
 
-def family_ratios(spark, d):
-    return written(ratios(per_family(standardised(spark, d)).withColumn("l2", F.lit(1.0)), ["of"], F.col("split") == "train"), "families")
+def learned_from(spark, d):
+    """(of, t_p, t_d, n_gen): the rows of both labels and the generators that each family's model learned from."""
+    rows = train(panel_rows(spark, d)).groupBy("family").agg(F.count("*").alias("t_p"), F.count_distinct("generator").alias("n_gen"), F.first("label").alias("label"))
+    zero = rows.where("label = 0").select(F.col("t_p").alias("t_d"))
+    return rows.where("label = 1").join(F.broadcast(zero)).select(F.col("family").alias("of"), "t_p", "t_d", "n_gen")
+
+
+def all_bounds(spark, d):
+    """Each family's three bounds and the tightest."""
+    e = family_bounds(spark, d).join(learned_from(spark, d), "of")
+    count, source = bounds.count_bound(F.col("t_p"), F.col("t_d")), bounds.source_bound(F.col("n_gen"))
+    lower, upper = bounds.adopt([F.col("lower"), F.col("upper")], count, source)
+    return e.select("*", *[c.alias(f"{name}_{side}") for name, pair in (("count", count), ("source", source)) for side, c in zip(("lower", "upper"), pair, strict=True)], lower.alias("lo"), upper.alias("hi"))
 
 
 @query()
 def q_family_table(spark, d):
-    """For each family: fusion on train, isotonic calibration, three bounds and the tightest, cost on the other half, and the floor."""
-    lrs = family_ratios(spark, d)
-    e = bounds.elub(lrs.where("split = 'train'"), "lr", "y", ["of"])
-    n = lrs.where("split = 'train'").groupBy("of").agg(F.count_if(F.col("y") == 1).alias("t_p"), F.count_if(F.col("y") == 0).alias("t_d"), F.count_distinct("generator").alias("n_gen"))
-    lower, upper = bounds.adopt([F.col("lower"), F.col("upper")], bounds.count_bound(F.col("t_p"), F.col("t_d")), bounds.source_bound(F.col("n_gen")))
-    adopted = e.join(n, "of").select("of", "n_gen", "lower", "upper", lower.alias("lo"), upper.alias("hi"))
-    cost = calibrate.decomposition(clipped(lrs.where("split = 'val'"), e, ["of"]), "lr", "y", ["of"])
-    floor = floor_of(spark, d)[0].select("of", F.col("cllr").alias("cllr_floor"))
-    return cost.join(adopted, "of").join(floor, "of").select(
-        F.col("of").alias("family"), "n_gen", "n_p", "n_d", r6("lower").alias("elub_lower"), r6("upper").alias("elub_upper"), r6("lo").alias("lower"), r6("hi").alias("upper"),
-        *[r6(c).alias(c) for c in ("cllr", "cllr_min", "cllr_cal", "cllr_floor")], span("lower", "upper"),
+    """For each family: fusion on train at the chosen strength, isotonic calibration, three bounds and the tightest, cost on the other half, and the floor."""
+    floor = floor_cost(spark, d)[0].select("of", F.col("cllr").alias("cllr_floor"))
+    return split_cost(spark, d).join(all_bounds(spark, d), "of").join(chosen(spark, d).select("of", "l2"), "of").join(floor, "of").select(
+        F.col("of").alias("family"), "n_gen", "t_p", "n_p", "n_d", "l2", r6("lower").alias("elub_lower"), r6("upper").alias("elub_upper"), *[r6(c).alias(c) for c in ("count_lower", "count_upper", "source_lower", "source_upper")],
+        r6("lo").alias("lower"), r6("hi").alias("upper"), *[r6(c).alias(c) for c in ("cllr", "cllr_min", "cllr_cal", "cllr_floor")], span("lower", "upper"),
     )
 
 
 @query()
 def q_calibrators(spark, d):
     """Isotonic against logistic calibration of the same fused score: cost and span of bounds of each family."""
-    lrs = family_ratios(spark, d)
-    line = calibrate.logistic(lrs.where("split = 'train'"), "fused", "y", ["of"])
-    other = lrs.join(F.broadcast(line), "of").withColumn("lr", F.exp(calibrate.fused_score(["fused"]))).select(*lrs.columns)
+    r, models = family_models(spark, d)
+    rows = panel_rows(spark, d)
+    beta, _, _ = panel.fit(train(rows), models, Z)
+    fused = rows.select("y", "family", "split", F.array(*[sum((F.lit(float(w)) * F.col(z) for w, z in zip(b[1:], Z, strict=True)), F.lit(float(b[0]))) for b in beta]).alias("fused"))
+    scores = written(own(fused, r.families, "fused"), "scores")
+    line = calibrate.logistic(train(scores), "fused", "y", ["of"])
+    other = scores.join(F.broadcast(line), "of").withColumn("lr", F.exp(calibrate.fused_score(["fused"]))).select("of", "y", "split", "lr")
     parts = []
-    for name, of in (("pav", lrs), ("logistic", written(other, "logistic"))):
+    for name, of in (("pav", family_ratios(spark, d)), ("logistic", written(other, "logistic"))):
         c, e = on_halves(of, ["of"])
         parts.append(c.join(e, "of").select(F.col("of").alias("family"), F.lit(name).alias("calibrator"), r6("cllr").alias("cllr"), r6("cllr_cal").alias("cllr_cal"), span("lower", "upper")))
     return parts[0].unionByName(parts[1])
@@ -350,37 +547,37 @@ def q_calibrators(spark, d):
 @query()
 def q_global_fusion(spark, d):
     """One fusion for all families with a calibrator for each, against a fusion for each family."""
-    m = standardised(spark, d).withColumn("y", F.col("label")).withColumn("all", F.lit(1)).withColumn("l2", F.lit(1.0))
-    models = calibrate.coefficients(spark, calibrate.fuse(m.where("split = 'train'"), ["all"], Z, "y", "l2"), ["all"], Z, ["int"])
-    scored = m.drop("y").join(F.broadcast(models), "all").withColumn("fused", F.round(calibrate.fused_score(Z), 4))
-    rows = written(per_family(scored).select("of", "item_id", "y", "split", "fused"), "global")
-    lrs = written(calibrate.pav_ratios(rows, calibrate.pav_table(rows.where("split = 'train'"), "fused", "y", ["of"]), "fused", ["of"]), "ratios")
-    c, e = on_halves(lrs, ["of"])
-    own = on_halves(family_ratios(spark, d), ["of"])[0].select("of", F.col("cllr").alias("cllr_own"))
-    return c.join(e, "of").join(own, "of").select(F.col("of").alias("family"), "n_p", r6("cllr").alias("cllr"), r6("cllr_cal").alias("cllr_cal"), r6("cllr_own").alias("cllr_own"), span("lower", "upper"))
+    rows = panel_rows(spark, d)
+    r = Registry(rows)
+    beta, _, _ = panel.fit(train(rows), panel.Models([r.keep(lambda *_: True)]), Z)
+    beta, models = np.repeat(beta, len(r.families), 0), panel.Models([r.family(f) for f in r.families])
+    n = learned_from(spark, d).collect()
+    n0, n1 = (np.array([next(float(x[c]) for x in n if x.of == f) for f in r.families]) for c in ("t_d", "t_p"))
+    table = written(panel.blocks(train(rows), models, beta, Z, n0, n1), "global")
+    c, e = on_halves(own(written(panel.ratios(rows, "item_id", table, beta, Z), "ratios"), r.families), ["of"])
+    alone = split_cost(spark, d).select("of", F.col("cllr").alias("cllr_own"))
+    return c.join(e, "of").join(alone, "of").select(F.col("of").alias("family"), "n_p", r6("cllr").alias("cllr"), r6("cllr_cal").alias("cllr_cal"), r6("cllr_own").alias("cllr_own"), span("lower", "upper"))
 
 
 @query()
 def q_generator_models(spark, d):
     """A model for each generator at a fixed strength, against that of its family: finer dates, fewer sources, less evidence."""
-    m = standardised(spark, d)
-    members = m.where("label = 1").select(F.col("generator").alias("of"), F.col("family").alias("of_family")).distinct()
-    rows = m.join(F.broadcast(members), (F.col("label") == 0) | (F.col("generator") == F.col("of"))).withColumn("y", F.col("label")).withColumn("l2", F.lit(1.0))
-    c, e = on_halves(written(ratios(rows, ["of"], F.col("split") == "train"), "generators"), ["of"])
-    own = on_halves(family_ratios(spark, d), ["of"])[0].select(F.col("of").alias("of_family"), F.col("cllr").alias("cllr_family"))
-    return c.join(e, "of").join(F.broadcast(members), "of").join(F.broadcast(own), "of_family").select(F.col("of").alias("generator"), F.col("of_family").alias("family"), "n_p", r6("cllr").alias("cllr"), r6("cllr_family").alias("cllr_family"), span("lower", "upper"), F.lit(1.0).alias("source_bound"))
+    rows = panel_rows(spark, d)
+    r = Registry(rows)
+    models = panel.Models([r.keep(lambda n, *_, g=g: n == g) for g in r.names])
+    lrs = kept(spark, d, "generators", lambda: fitted(rows, train(rows), models)[0])
+    c, e = on_halves(panel.long(lrs, r.names).where((F.col("y") == 0) | (F.col("generator") == F.col("of"))), ["of"])
+    families = spark.createDataFrame(list(zip(r.names, r.of, strict=True)), "of string, of_family string")
+    alone = split_cost(spark, d).select(F.col("of").alias("of_family"), F.col("cllr").alias("cllr_family"))
+    return c.join(e, "of").join(F.broadcast(families), "of").join(F.broadcast(alone), "of_family").select(F.col("of").alias("generator"), F.col("of_family").alias("family"), "n_p", r6("cllr").alias("cllr"), r6("cllr_family").alias("cllr_family"), span("lower", "upper"), F.lit(1.0).alias("source_bound"))
 
 
 @query()
 def q_bound_choice(spark, d):
     """The cost of each family's ratios within four choices of bounds: those of the error rate, of counts, of sources, and the tightest."""
-    lrs = family_ratios(spark, d)
-    e = bounds.elub(lrs.where("split = 'train'"), "lr", "y", ["of"])
-    n = lrs.where("split = 'train'").groupBy("of").agg(F.count_if(F.col("y") == 1).alias("t_p"), F.count_if(F.col("y") == 0).alias("t_d"), F.count_distinct("generator").alias("n_gen"))
-    own, count, source = [F.col("lower"), F.col("upper")], bounds.count_bound(F.col("t_p"), F.col("t_d")), bounds.source_bound(F.col("n_gen"))
-    choices = {"elub": own, "count": count, "source": source, "adopted": bounds.adopt(own, count, source)}
-    rows = e.join(n, "of").select("of", F.inline(F.array(*[F.struct(F.lit(k).alias("bound"), v[0].alias("lo"), v[1].alias("hi")) for k, v in choices.items()])))
-    val = lrs.where("split = 'val'").join(F.broadcast(rows), "of").withColumn("lr", X.clip(F.col("lr"), F.col("lo"), F.col("hi")))
+    choices = {"elub": ("lower", "upper"), "count": ("count_lower", "count_upper"), "source": ("source_lower", "source_upper"), "adopted": ("lo", "hi")}
+    rows = all_bounds(spark, d).select("of", F.inline(F.array(*[F.struct(F.lit(k).alias("bound"), F.col(a).alias("lo"), F.col(b).alias("hi")) for k, (a, b) in choices.items()])))
+    val = family_ratios(spark, d).where("split = 'val'").join(F.broadcast(rows), "of").withColumn("lr", X.clip(F.col("lr"), F.col("lo"), F.col("hi")))
     c = calibrate.cllr(val, "lr", "y", ["of", "bound"])
     return c.join(rows, ["of", "bound"]).select(F.col("of").alias("family"), "bound", r6("cllr").alias("cllr"), span("lo", "hi"))
 
@@ -389,7 +586,7 @@ def q_bound_choice(spark, d):
 def q_identity_table(spark, d):
     """The two identities of the isotonic ratios of each family on the rows they were fitted to (see q_pav_identity)."""
     one, zero = F.col("y") == 1, F.col("y") == 0
-    return family_ratios(spark, d).where("split = 'train'").groupBy(F.col("of").alias("family")).agg(
+    return train(family_ratios(spark, d)).groupBy(F.col("of").alias("family")).agg(
         r6(F.avg(F.when(zero, F.col("lr")))).alias("e_lr_d"), r6(1 - F.avg(F.when(one, (F.col("lr") == X.INF).cast("int")))).alias("finite_p"),
         r6(F.avg(F.when(one, X.inverse(F.col("lr"))))).alias("e_inv_p"), r6(1 - F.avg(F.when(zero, (F.col("lr") == 0).cast("int")))).alias("positive_d"),
     )
@@ -398,30 +595,44 @@ def q_identity_table(spark, d):
 @query()
 def q_lr_rank_matrix(spark, d):
     """Rank correlation of the ratios of each pair of families over the authentic items of the other half; least and median of all pairs."""
-    lrs = family_ratios(spark, d)
-    e = bounds.elub(lrs.where("split = 'train'"), "lr", "y", ["of"])
-    names = sorted(r.of for r in lrs.select("of").distinct().collect())
-    wide = clipped(lrs.where("split = 'val' AND label = 0"), e, ["of"]).groupBy("item_id").pivot("of", names).agg(F.first("lr")).withColumn("one", F.lit(1))
-    safe = [f"lr_{i}" for i in range(len(names))]
-    m = ranks.spearman_matrix(wide.select("one", *[F.col(f"`{n}`").alias(s) for n, s in zip(names, safe, strict=True)]), safe, ["one"])
+    r, lrs = bounded_panel(spark, d)
+    safe = [f"lr_{i}" for i in range(len(r.families))]
+    wide = lrs.where("split = 'val' AND label = 0").select(F.lit(1).alias("one"), *[F.get("lr", F.lit(i)).alias(s) for i, s in enumerate(safe)])
+    m = ranks.spearman_matrix(wide, safe, ["one"])
     ends = m.agg(F.min("rho").alias("least"), F.median("rho").alias("middle"))
-    name = F.create_map(*[F.lit(x) for s, n in zip(safe, names, strict=True) for x in (s, n)])
+    name = F.create_map(*[F.lit(x) for s, n in zip(safe, r.families, strict=True) for x in (s, n)])
     return m.join(F.broadcast(ends)).select(name[F.col("a")].alias("a"), name[F.col("b")].alias("b"), *[r6(c).alias(c) for c in ("rho", "least", "middle")])
 
 
-@query()
-def q_blind_battery(spark, d):
-    """Four ways to see nothing of a family: no span of bounds, no order in its ratios against permuted labels, one source, no common support of the covariate."""
-    lrs = family_ratios(spark, d)
-    e = bounds.elub(lrs.where("split = 'train'"), "lr", "y", ["of"])
-    val = written(clipped(lrs.where("split = 'val'"), e, ["of"]).select("of", "y", "lr"), "val")
+def blind(spark, d):
+    """(of, n_gen, lower, upper, cllr_min, null_median, p, support) of each family."""
+    e = family_bounds(spark, d)
+    val = written(clipped(family_ratios(spark, d).where("split = 'val'"), e, ["of"]).select("of", "y", "lr"), "val")
     seen = calibrate.block_cost(calibrate.pav_table(val, "lr", "y", ["of"]), ["of"]).withColumnRenamed("cllr_min", "observed")
     null = calibrate.permuted_cost(val, "lr", "y", ["of"], 2000).join(F.broadcast(seen), "of")
     p = null.groupBy("of").agg(F.first("observed").alias("cllr_min"), F.median("cllr_min").alias("null_median"), ((1 + F.count_if(F.col("cllr_min") <= F.col("observed") + 1e-12)) / (1.0 + F.count("*"))).alias("p"))
-    f = per_family(V.scored(spark, d)).select("of", "y", "generator", F.log10(X.area_fraction(F.col("source_width"), F.col("source_height"), 200)).alias("f"))
-    lo_hi = f.where("y = 0").groupBy("of").agg(F.percentile("f", 0.01).alias("lo"), F.percentile("f", 0.99).alias("hi"))
-    support = f.where("y = 1").join(F.broadcast(lo_hi), "of").groupBy("of").agg(F.avg(F.col("f").between(F.col("lo"), F.col("hi")).cast("int")).alias("support"), F.count_distinct("generator").alias("n_gen"))
-    return p.join(support, "of").join(e, "of").select(
+    rows = panel_rows(spark, d)
+    ends = rows.where("y = 0").agg(F.percentile("area", 0.01).alias("lo"), F.percentile("area", 0.99).alias("hi"))
+    support = rows.where("y = 1").join(F.broadcast(ends)).groupBy(F.col("family").alias("of")).agg(F.avg(F.col("area").between(F.col("lo"), F.col("hi")).cast("int")).alias("support"), F.count_distinct("generator").alias("n_gen"))
+    return p.join(support, "of").join(e, "of")
+
+
+@query()
+def q_blind_battery(spark, d):
+    """Four ways to see nothing of a family: no span of bounds, no order in its ratios against permuted labels, one source, no common support of the covariate."""
+    return blind(spark, d).select(
         F.col("of").alias("family"), "n_gen", span("lower", "upper"), r6("cllr_min").alias("cllr_min"), r6("null_median").alias("null_median"), r6("p").alias("p"), (F.col("p") > 0.05).alias("panel_blind"),
         (F.col("n_gen") == 1).alias("registry_blind"), r6("support").alias("support"), (F.col("support") == 0).alias("confound_blind"),
     )
+
+
+@query()
+def q_summary_table(spark, d):
+    """The panel on one page: for each family its date, what it can't see, the widest ratio that can be stated, and its cost split, cross-fitted and from the floor."""
+    date = panel_rows(spark, d).where("y = 1").groupBy(F.col("family").alias("of")).agg(F.min("release_date").alias("available"))
+    cost = lambda df, name: df.select("of", r6("cllr").alias(name))
+    b = blind(spark, d).select("of", "n_gen", (F.col("p") > 0.05).alias("panel_blind"), (F.col("n_gen") == 1).alias("registry_blind"), (F.col("support") == 0).alias("confound_blind"))
+    out = b.join(date, "of").join(all_bounds(spark, d).select("of", span("lower", "upper"), r6("hi").alias("most")), "of")
+    for part in (cost(split_cost(spark, d), "cllr_split"), cost(crossfit_cost(spark, d)[0], "cllr_crossfit"), cost(floor_cost(spark, d)[0], "cllr_floor")):
+        out = out.join(part, "of")
+    return out.withColumnRenamed("of", "family")
