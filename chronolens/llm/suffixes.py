@@ -18,8 +18,9 @@ neighbours compared, which strings of n bytes around it certainly are: those of
 the right, if l + r >= n. One of each class of equal key strings, and all that are alone, are then sorted a second time, left side
 first, which tells the most that the left side is repeated and gives certain strings too. What could still be repeated by both
 bounds, isn't certain, and isn't within what goes already is settled by a third sort, of those strings of n bytes themselves with
-all that have the same k-gram at the same offset. An anchor at the edge of a range whose neighbour lies in another one takes the
-highest bound instead. So each byte's fate is exact, and every decision is an equality of bytes, not of hashes.
+all distinct ones that have the same k-gram at the same offset and that their bounds leave possible. An anchor at the edge of a
+range whose neighbour lies in another one takes the highest bound instead. So each byte's fate is exact, and every decision is an
+equality of bytes, not of hashes.
 
 The splitters are at most `MAX_PARTS` strings on the driver; ranges hold about `PART_STRINGS` strings up to that and grow beyond.
 
@@ -47,6 +48,7 @@ RUN_STRINGS = 60_000
 PART_STRINGS = 100_000
 MAX_PARTS = 10_000
 PER_SPLITTER = 16
+HOT, HOT_ANCHORS = 1000, 10_000
 RESULTS = ("n_bytes", "removed", "kept")
 _BASE = 0x9E3779B97F4A7C15
 _PAD = 0xFF
@@ -340,8 +342,8 @@ class Pairs:
                 self.edge[row], self.most_l[row], self.most_r[row] = True, ends[0][row], ends[1][row] + k
 
 
-_KINDS = {"part": pa.int32(), "n": pa.int32(), "size": pa.int32(), "slice": pa.binary(), "key": pa.int64(), "low": pa.int64(), "high": pa.int64(), "at": pa.int64(), "h": pa.int64(), "offset": pa.list_(pa.int32())}
-FOUND = "part int, n int, size int, slice binary, key bigint, low bigint, high bigint, at bigint, h bigint, offset array<int>"
+_KINDS = {"part": pa.int32(), "n": pa.int32(), "size": pa.int32(), "slice": pa.binary(), "key": pa.int64(), "low": pa.int64(), "high": pa.int64(), "at": pa.int64(), "h": pa.int64(), "least": pa.int32(), "most": pa.int32(), "offset": pa.list_(pa.int32())}
+FOUND = "part int, n int, size int, slice binary, key bigint, low bigint, high bigint, at bigint, h bigint, least int, most int, offset array<int>"
 
 
 def _found(**columns) -> pa.Table:
@@ -372,18 +374,20 @@ def right_order(part: int, group: pa.Table, right: Form, left: Form, n: int, k:
 
 
 def left_order(part: int, group: pa.Table, left: Form, n: int, k: int, cuts: list[bytes]) -> pa.Table:
-    """Further byte ranges that go for certain, and for each anchor the offsets of the strings that both bounds leave open."""
+    """Further byte ranges that go for certain, and for each anchor the hash of its k-gram, the least and greatest offset of strings that
+    both bounds leave possible, and the offsets of those among them that aren't certain."""
     p = Pairs(group, part, left, n, k, False, cuts)
     keys, at = left.ids(p.rows)
     bounds = np.ascontiguousarray(p.rows[:, left.size + 16 :]).view("<u2").astype("int64")
     most_r, l, r = np.minimum(bounds[:, 0], n), np.maximum(bounds[:, 1], p.l), np.maximum(bounds[:, 2], p.r)
     sure = p.r > 0
-    low, high = np.maximum(n - most_r, 0), p.most_l  # offsets of strings that aren't ruled out
-    open_ = np.flatnonzero((low <= high) & ((high > l) | (n - low > r)))
-    offsets = [np.arange(a, b + 1, dtype="int32") for a, b in zip(low[open_].tolist(), high[open_].tolist(), strict=True)]
-    offsets = [o[(o > x) | (n - o > y)] for o, x, y in zip(offsets, l[open_].tolist(), r[open_].tolist(), strict=True)]
-    h = core_hashes(p.rows[open_, :k]).view("int64")
-    return pa.concat_tables([_found(key=keys[sure], low=(at - l)[sure], high=(at + r)[sure]), _found(key=keys[open_], at=at[open_], h=h, offset=offsets)])
+    low, high = np.maximum(n - most_r, 0), p.most_l
+    may = np.flatnonzero(low <= high)
+    offsets: list[list[int]] = []
+    for a, b, x, y in zip(*(c[may].tolist() for c in (low, high, l, r)), strict=True):
+        offsets.append([o for o in range(a, b + 1) if o > x or n - o > y] if b > x or n - a > y else [])
+    found = _found(key=keys[may], at=at[may], h=core_hashes(p.rows[may, :k]).view("int64"), least=low[may], most=high[may], offset=[o or None for o in offsets])
+    return pa.concat_tables([_found(key=keys[sure], low=(at - l)[sure], high=(at + r)[sure]), found])
 
 
 def whole_order(part: int, group: pa.Table, whole: Form, n: int, cuts: list[bytes]) -> pa.Table:
@@ -516,6 +520,17 @@ def _kept(keyed: DataFrame, spans: DataFrame, rest: list[str], key: str, z: str)
     return rows.mapInArrow(each, schema)
 
 
+def _repeated(places: DataFrame) -> DataFrame:
+    """The anchors whose hash comes up more than once. Hashes that come up very often, HOT at most, are dealt over several tasks."""
+    counts = materialize(places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "counts")
+    often = max(HOT_ANCHORS, (counts.agg(F.sum("times")).first()[0] or 0) // HOT)
+    hot = counts.where(F.col("times") > often).select("h", F.ceil(F.col("times") / often).cast("int").alias("salts"))  # fewer than HOT rows
+    salt = lambda n: F.pmod(F.xxhash64("key", "at"), n).cast("int")
+    dealt = places.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(salt(F.col("salts"))))
+    found = counts.join(F.broadcast(hot), "h", "left").select("h", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return dealt.join(found, ["h", "salt"], "left_semi").select("h", "key", "at")
+
+
 def removed(docs: DataFrame, text_col: str = "text", n: int = BYTES, part_strings: int = PART_STRINGS, run_strings: int = RUN_STRINGS) -> DataFrame:
     """`docs` without the text, with n_bytes, removed (structs of start and end, byte ranges in order) and kept (the other bytes)."""
     spark, k = docs.sparkSession, n // 2
@@ -525,8 +540,7 @@ def removed(docs: DataFrame, text_col: str = "text", n: int = BYTES, part_string
     texts = keyed.select(F.col(key).alias("key"), "n_bytes", F.col(z).alias("z"))
 
     places = anchor_rows(texts, n, k)
-    repeated = places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    wanted = materialize(places.join(repeated, "h", "left_semi"), "anchors")
+    wanted = materialize(_repeated(places), "anchors")
     release(spark)
     right, left = right_form(n, k), left_form(n, k)
     cuts = _splitters(texts, wanted, [right, left], part_strings)
@@ -538,8 +552,9 @@ def removed(docs: DataFrame, text_col: str = "text", n: int = BYTES, part_string
     spans = materialize(_spans(sure[0].unionByName(sure[1]), second.where("offset IS NOT NULL"), n), "spans")
     undecided = spans.select(F.inline("open")).distinct()
     if not undecided.isEmpty():
-        again = wanted.join(undecided, "h").select("key", (F.col("at") - F.col("offset")).alias("at"))
-        again = materialize(again.join(texts.select("key", "n_bytes"), "key").where((F.col("at") >= 0) & (F.col("at") + n <= F.col("n_bytes"))).select("key", "at").distinct(), "strings")
+        # All distinct strings of that k-gram and offset: one for each class of equal surroundings, where its own bounds leave it possible.
+        members = second.where("h IS NOT NULL").select("h", "key", "at", "least", "most").join(undecided, "h").where("offset BETWEEN least AND most")
+        again = materialize(members.select("key", (F.col("at") - F.col("offset")).alias("at")).distinct(), "strings")
         whole = Form(0, n, np.arange(n))
         cut = _splitters(texts, again, [whole], part_strings)[0]
         third = _ordered(_runs(texts, again, whole, cut, run_strings), lambda part, g: whole_order(part, g, whole, n, cut))
