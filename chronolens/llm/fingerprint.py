@@ -11,8 +11,9 @@ leaves its other two cells. A pair of versions whose cells don't all empty in `R
 tried again with sketches `GROWTH` times as large, until none is left; a pair that fails even with 64 cells a digest
 (digests that agree in all cells) is compared digest by digest. Within one subtable no digest is in
 two cells, so a round never removes a digest twice. Each round is an explode and an aggregation on pair and cell:
-small sketches are dealt out by pair once and peel without a shuffle, in partitions sized by their cells; those of
-`WIDE` cells and more are dealt out by cell in each round, so that one long document is the work of many tasks.
+small sketches are dealt out by pair and peel without a shuffle for a few rounds, in partitions sized by their cells, and are
+written then (see peeled_wholly); those of `WIDE` cells and more are dealt out by cell in each round, so that one long document is
+the work of many tasks.
 
 Likeness is the Jaccard likeness of the two sets, from the sketches alone: the counts of a subtable add up to the size
 of a set, and peeling gives the digests on either side. Two empty sets are alike (1.0); an empty set and another aren't (0.0).
@@ -32,11 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, materialize, table
+from .common import free_name, materialize, release, table
 
 CELLS = 8
 GROWTH = 8
 ROUNDS = 5
+STAGE_STEPS = 3  # aggregations in one stage: a task is promised memory for about four to eight of them
 SUBTABLES = 3
 WIDE = 4096
 CELL_ROWS = 250_000
@@ -93,9 +95,10 @@ def subtract(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return _sum(both.withColumn("found", F.lit(None).cast("long")), keys).where("n <> 0 OR x <> 0 OR c <> 0")
 
 
-def peel(df: DataFrame, keys: list[str], cells: int, rounds: int = ROUNDS) -> DataFrame:
-    """Cells after peeling: rows with `found` hold a digest recovered, n tells its side (1 or -1); other rows are cells that didn't empty."""
-    for r in range(rounds * SUBTABLES):
+def peel(df: DataFrame, keys: list[str], cells: int, steps: range) -> DataFrame:
+    """Cells after some steps of peeling, a subtable a step in turn: rows with `found` hold a digest recovered, n tells its side (1 or -1);
+    other rows are cells that didn't empty. A step is one aggregation."""
+    for r in steps:
         j = r % SUBTABLES
         pure = F.col("found").isNull() & F.col("cell").between(j * cells, (j + 1) * cells - 1) & (F.abs("n") == 1) & (F.col("c") == check(F.col("x"))) & (F.col("cell") == place(F.col("x"), j, cells))
         struct = lambda cell, found, n, x, c: F.struct(cell.cast("long").alias("cell"), found.alias("found"), n.alias("n"), x.alias("x"), c.alias("c"))
@@ -107,9 +110,34 @@ def peel(df: DataFrame, keys: list[str], cells: int, rounds: int = ROUNDS) -> Da
     return df
 
 
-def recovered(peeled: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, digest, side): the digests that peeling recovered; side is `a` or `b`."""
-    return peeled.where("found IS NOT NULL AND n <> 0").select(*keys, F.col("found").alias("digest"), F.when(F.col("n") > 0, "a").otherwise("b").alias("side"))
+def peeled_wholly(difference: DataFrame, keys: list[str], cells: int, rounds: int = ROUNDS) -> DataFrame:
+    """(keys, found, n): the digests recovered from each pair's difference, and rows without `found` for cells that didn't empty.
+
+    Each round is a job of its own, so that a stage holds few aggregations at once however many rounds there are, and needs as few
+    pages of a task's memory. What a round recovered is set aside, and the next goes on with the cells of those pairs that it
+    recovered something of: the others are stuck, and those without cells are done."""
+    spark, live, parts, stuck, begin = difference.sparkSession, difference, [], [], 0
+    for end in range(1, rounds * SUBTABLES + STAGE_STEPS, STAGE_STEPS):  # the first stage makes the cells and subtracts them, too
+        now = materialize(peel(live, keys, cells, range(begin, end)), "peeling")
+        found, rest = now.where("found IS NOT NULL AND n <> 0"), now.where("found IS NULL")
+        parts.append(found.select(*keys, "found", "n"))
+        if rest.isEmpty():
+            break
+        if begin:  # all subtables had their turn
+            moved = found.select(*keys).distinct()
+            stuck.append(rest.join(moved, keys, "left_anti").select(*keys).distinct())
+            rest = rest.join(moved, keys, "left_semi")
+        live, begin = rest, end
+    else:
+        stuck.append(live.select(*keys).distinct())
+    release(spark)
+    none = F.lit(None).cast("long")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    for part in stuck:
+        out = out.unionByName(part.select(*keys, none.alias("found"), none.alias("n")))
+    return out.groupBy(*keys, "found").agg(F.sum("n").alias("n")).where("found IS NULL OR n <> 0")
 
 
 def tally(peeled: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,7 +168,7 @@ def differences(pairs: DataFrame, keys: list[str], a: str, b: str, a_sketch: str
             sides = [todo.select(*keys, F.inline(c)) for c in (a_sketch, b_sketch)]
         else:
             sides = [cells_of(todo, keys, c, cells) for c in (a, b)]
-        counts = tally(peel(subtract(*sides, keys), keys, cells), keys)
+        counts = tally(peeled_wholly(subtract(*sides, keys), keys, cells), keys)
         tried = materialize(todo.select(*keys).join(counts, keys, "left").fillna(0, ["a_only", "b_only", "left"]), "peeled")
         good = tried.where("left = 0").drop("left")
         done = good if done is None else done.unionByName(good)
