@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,3 +117,56 @@ def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     c = running_counts(df, value, by, {"n": F.count("*")})
     total = c.groupBy(*by).agg(F.sum("n").alias("total"))
     return c.join(F.broadcast(total), by).select(*by, value, ((F.col("n_below") + F.col("n")) / F.col("total")).alias("share"))
+
+
+def row_grain_null(df: DataFrame, group: str, value: str, perms: int, seed: int = 0, range_rows: int = 5000) -> tuple[float, np.ndarray]:
+    """The rank correlation of `group` (few distinct values, such as dates) and `value` over rows, and its null with the rows' values dealt
+    anew, without a row for each permutation.
+
+    Ranks with ties are those of distinct values. The statistic needs, of each group, the sum of the ranks that it gets. Ranks are cut
+    into ranges of about `range_rows` rows; how many rows of a range each group gets is a multivariate hypergeometric draw for each
+    permutation, on the driver: ranges x groups numbers, at most 256 ranges. Given these, ranges are independent: the task of a range deals
+    its own ranks out and returns a sum for each permutation. Rows with a null in either stay out; a constant column gives NaN."""
+    spark, rows = df.sparkSession, df.dropna(subset=[group, value])
+    sizes = {r[0]: r[1] for r in rows.groupBy(group).count().orderBy(group).collect()}
+    names, counts = list(sizes), np.array(list(sizes.values()), "int64")
+    n = int(counts.sum())
+    if not n:
+        return float("nan"), np.full(perms, np.nan)
+    group_rank = np.cumsum(counts) - counts + (counts + 1) / 2
+    c = written(running_counts(rows.select(value), value, [], {"n": F.count("*")}).withColumn("rank", F.col("n_below") + (F.col("n") + 1) / 2), "ranks")
+    per_range = max(range_rows, -(-n // 256))
+    c = c.withColumn("part", F.floor(F.col("n_below") / per_range).cast("int"))
+    totals = {r.part: (r.rows, r.sum, r.square) for r in c.groupBy("part").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("rank")).alias("sum"), F.sum(F.col("n") * F.col("rank") * F.col("rank")).alias("square")).collect()}
+    mean = (n + 1) / 2
+    spread = np.sqrt(float((counts * group_rank**2).sum() - n * mean**2)) * np.sqrt(max(0.0, sum(t[2] for t in totals.values()) - n * mean**2))
+    seen = {r[0]: r[1] for r in rows.join(c.select(F.col(value).alias("v_"), "rank"), F.col(value) == F.col("v_")).groupBy(group).agg(F.sum("rank").alias("s")).collect()}
+    rho = lambda weighted: (weighted - n * mean**2) / spread if spread > 0 else weighted * np.nan
+    observed = rho(np.float64(sum(g * seen[k] for g, k in zip(group_rank.tolist(), names, strict=True))))
+    rng, parts = np.random.default_rng([seed, n]), sorted(totals)
+    given = np.zeros((len(parts), perms, len(names)), "int64")
+    for p in range(perms):
+        left = counts.copy()
+        for j, part in enumerate(parts[:-1]):
+            given[j, p] = rng.multivariate_hypergeometric(left, totals[part][0], method="marginals")
+            left = left - given[j, p]
+        given[-1, p] = left
+    table = spark.createDataFrame([(part, given[j].tobytes()) for j, part in enumerate(parts)], "part int, given binary")
+
+    def deal(values: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        part = int(draws["part"].iloc[0])
+        take = np.frombuffer(draws["given"].iloc[0], "int64").reshape(perms, -1)
+        own = values.sort_values("rank")
+        ranks = np.repeat(own["rank"].to_numpy(), own["n"].to_numpy())
+        rng, out = np.random.default_rng([seed, n, part]), np.empty(perms)
+        for p in range(perms):
+            ends = np.cumsum(take[p])
+            sums = np.append(0.0, np.cumsum(rng.permutation(ranks)))[ends]
+            out[p] = (np.diff(np.append(0.0, sums)) * group_rank).sum()
+        return pd.DataFrame({"perm": np.arange(perms), "weighted": out})
+
+    sums = c.select("part", "rank", "n").groupBy("part").cogroup(table.groupBy("part")).applyInPandas(deal, "perm long, weighted double")
+    null = np.zeros(perms)
+    for r in sums.groupBy("perm").agg(F.sum("weighted").alias("w")).collect():
+        null[r.perm] = r.w
+    return float(observed), rho(null)

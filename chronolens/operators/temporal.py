@@ -1,7 +1,7 @@
 """Tests of change over release time, with release groups as the independent units.
 
-Class models are diagonal normal distributions from each generator's (n, sum, sum of squares), so holding out a
-group is a subtraction and permutations touch tables of generators only.
+Class models here are diagonal normal distributions from each generator's (n, sum, sum of squares), so holding out a group is a
+subtraction; `attribution` has the tests with mixtures and their permutations.
 """
 
 from __future__ import annotations
@@ -61,32 +61,6 @@ def attribution(stats: DataFrame, classes: DataFrame, by: list[str]) -> DataFram
     return scores.groupBy(*by, "generator", "grp", "truth").agg(best.alias("predicted"), (true - others).alias("llr"))
 
 
-def summary(table: DataFrame, by: list[str]) -> DataFrame:
-    """Means over release groups of the means of their members: acc, mae, llr."""
-    g = table.groupBy(*by, "grp").agg(F.avg((F.col("predicted") == F.col("truth")).cast("int")).alias("acc"), F.avg(F.abs(F.col("predicted") - F.col("truth"))).alias("mae"), F.avg("llr").alias("llr"))
-    return g.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("acc", "mae", "llr")])
-
-
-def t1(stats: DataFrame, generators: DataFrame, family: list[str], n_bins: int = 2, perms: int = 50, seed: int = 0) -> DataFrame:
-    """Can a generator be dated by those of other release groups? Observed statistics and permutation p values for each family.
-
-    generators: family, generator, release_date. Permutation 0 is the observed order; in the others release groups
-    exchange their dates. A family with fewer than 2 * n_bins groups is reported as not testable."""
-    g = release_groups(generators, family)
-    groups = g.groupBy(*family, "grp").agg(F.min("group_date").alias("group_date"))
-    count = groups.groupBy(*family).agg(F.count("*").alias("n_groups"))
-    fit = groups.join(F.broadcast(count.where(F.col("n_groups") >= 2 * n_bins)), family).drop("n_groups")
-    dealt = permuted(fit, "grp", "group_date", family, perms, seed).select("perm", *family, "grp", F.col("shuffled").alias("group_date"))
-    bins = time_bins(fit.withColumn("perm", F.lit(0)).select("perm", *family, "grp", "group_date").unionByName(dealt), ["perm", *family], n_bins)
-    classes = bins.join(g.select(*family, "grp", "generator"), [*family, "grp"]).select("perm", *family, "generator", "grp", F.col("bin").alias("class"))
-    stat = summary(attribution(stats, classes, ["perm", *family]), ["perm", *family])
-    seen = stat.where("perm = 0").select(*family, *[F.col(c).alias(f"obs_{c}") for c in ("acc", "mae", "llr")])
-    null = stat.where("perm > 0").join(F.broadcast(seen), family)
-    p = lambda c, up: ((1 + F.count_if(F.col(c) >= F.col(f"obs_{c}") - 1e-9 if up else F.col(c) <= F.col(f"obs_{c}") + 1e-9)) / (1.0 + F.count("*"))).alias(f"p_{c}")
-    tests = null.groupBy(*family).agg(*[F.first(f"obs_{c}").alias(c) for c in ("acc", "mae", "llr")], p("acc", True), p("llr", True), p("mae", False), F.avg("acc").alias("null_acc"))
-    return count.join(tests, family, "left").withColumn("not_testable", F.when(F.col("n_groups") < 2 * n_bins, F.concat(F.col("n_groups").cast("string"), F.lit(f" release group(s) < 2 x {n_bins} bins"))))
-
-
 def pair_gaps(cells: DataFrame) -> DataFrame:
     """Pairs of cells of different release groups within a family: day gap and whether they share an origin.
 
@@ -113,12 +87,14 @@ def drift(means: DataFrame, by: list[str]) -> DataFrame:
 
 
 def whitening(df: DataFrame, by: list[str], x: str = "x") -> np.ndarray:
-    """The inverse square root of the pooled covariance within groups: it maps one deviation within a group to length 1 in any direction.
+    """A matrix that turns vectors into uncorrelated elements of unit spread within groups: the transposed inverse of the Cholesky factor
+    of the pooled covariance, to whose diagonal a millionth of a millionth of its mean is added.
 
-    The covariance is one aggregation; the matrix, as wide as a vector, is solved on the driver."""
+    The covariance is one aggregation; the factor, as wide as a vector, is the driver's."""
     _, cov = covariance(centre(df, by, x), x)
-    values, axes = np.linalg.eigh(cov)
-    return axes @ np.diag(1 / np.sqrt(np.maximum(values, 1e-12 * values.max()))) @ axes.T
+    width = len(cov)
+    factor = np.linalg.cholesky(cov + np.eye(width) * max(1e-12 * np.trace(cov) / width, 1e-300))
+    return np.linalg.solve(factor, np.eye(width)).T
 
 
 def whitened_group_means(df: DataFrame, generators: DataFrame, family: list[str], x: str = "x") -> DataFrame:
@@ -136,10 +112,10 @@ def whitened_group_means(df: DataFrame, generators: DataFrame, family: list[str]
 
 
 def drift_test(means: DataFrame, family: list[str], perms: int = 1000, boot: int = 1000, seed: int = 0, least: int = 4) -> DataFrame:
-    """Is there a linear trend in where release groups lie, and how big? means: whitened_group_means().
+    """The length of the slopes on time of a family's release groups, element by element. means: whitened_group_means().
 
-    delta, its null with times dealt anew among groups, the 95 % point of a bootstrap over groups, and tau, the scatter of groups
-    about the line for each dimension. A family with fewer than `least` groups isn't testable."""
+    Beside it: the same with the groups' times dealt anew (mean, 95 % point, p), its 95 % point when groups are drawn with replacement,
+    and tau, the root mean square of what the lines leave over. Families of fewer than `least` groups get no test."""
     groups = means.select(*family, "grp", "t").distinct()
     n = groups.groupBy(*family).agg(F.count("*").alias("n_groups"))
     fit = groups.join(F.broadcast(n.where(F.col("n_groups") >= least)), family)
@@ -156,26 +132,4 @@ def drift_test(means: DataFrame, family: list[str], perms: int = 1000, boot: int
     tests = null.join(F.broadcast(seen), family).groupBy(*family).agg(
         F.first("delta").alias("delta"), F.avg("null").alias("null_mean"), F.percentile("null", 0.95).alias("null_q95"), ((1 + F.count_if(F.col("null") >= F.col("delta") - 1e-9)) / (1.0 + F.count("*"))).alias("p")
     ).join(boots, family).join(tau, family)
-    return n.join(tests, family, "left").withColumn("not_testable", F.when(F.col("n_groups") < least, F.concat(F.col("n_groups").cast("string"), F.lit(f" release group(s) < {least}"))))
-
-
-def lineage_test(stats: DataFrame, generators: DataFrame, family: list[str], perms: int = 200, seed: int = 0) -> DataFrame:
-    """Is a held-out release group's lineage told by its vectors? Attribution to lineage classes against labels dealt anew.
-
-    generators: family, generator, release_date, lineage (null for unknown). Classes span two groups or more, in the null too:
-    orders under which one doesn't are left out, which takes up to four times as many orders."""
-    g = release_groups(generators.where("lineage IS NOT NULL"), family)
-    spanning = g.groupBy(*family, "lineage").agg(F.count_distinct("grp").alias("spans")).where("spans >= 2").drop("spans")
-    kept = g.join(F.broadcast(spanning), [*family, "lineage"]).select(*family, "generator", "grp", F.col("lineage").alias("class"))
-    n = kept.groupBy(*family).agg(F.count_distinct("class").alias("n_classes"), F.count("*").alias("n_generators"), F.count_distinct("grp").alias("n_groups"))
-    fit = kept.join(F.broadcast(n.where("n_classes >= 2").select(*family)), family)
-    dealt = permuted(fit, "generator", "class", family, 4 * perms, seed).select("perm", *family, "generator", F.col("shuffled").alias("class")).join(fit.select(*family, "generator", "grp"), [*family, "generator"])
-    valid = dealt.groupBy(*family, "perm", "class").agg(F.count_distinct("grp").alias("spans")).groupBy(*family, "perm").agg(F.min("spans").alias("least")).where("least >= 2")
-    valid = valid.withColumn("place", F.row_number().over(Window.partitionBy(*family).orderBy("perm"))).where(F.col("place") <= perms).select(*family, "perm")  # a row for each order
-    columns = ["perm", *family, "generator", "grp", "class"]
-    both = fit.withColumn("perm", F.lit(0)).select(*columns).unionByName(dealt.join(F.broadcast(valid), [*family, "perm"]).select(*columns))
-    stat = summary(attribution(stats, both, ["perm", *family]), ["perm", *family])
-    seen = stat.where("perm = 0").select(*family, *[F.col(c).alias(f"obs_{c}") for c in ("acc", "llr")])
-    p = lambda c: ((1 + F.count_if(F.col(c) >= F.col(f"obs_{c}") - 1e-9)) / (1.0 + F.count("*"))).alias(f"p_{c}")
-    tests = stat.where("perm > 0").join(F.broadcast(seen), family).groupBy(*family).agg(F.first("obs_acc").alias("acc"), F.first("obs_llr").alias("llr"), F.avg("acc").alias("null_acc"), F.avg("llr").alias("null_llr"), p("acc"), p("llr"), F.count("*").alias("perms"))
-    return n.join(tests, family, "left").withColumn("chance", 1.0 / F.col("n_classes"))
+    return n.join(tests, family, "left").withColumn("not_testable", F.when(F.col("n_groups") < least, F.format_string(f"{least} release groups are needed, %d are there", "n_groups")))

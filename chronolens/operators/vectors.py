@@ -120,14 +120,17 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda u, v: (u.cast("double") - v.cast("double")) * (u.cast("double") - v.cast("double"))), F.lit(0.0), lambda s, v: s + v)
 
 
-def neighbours(df: DataFrame, key: str, x: str, k: int, stratum: list[str] | None = None, queries: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def neighbours(df: DataFrame, key: str, x: str, k: int, stratum: list[str] | None = None, queries: DataFrame | None = None, block_rows: int = BLOCK_ROWS, prefixes: list[int] | None = None) -> DataFrame:
     """(key, rank, other, d2): the k nearest other rows of each query row, exactly, within its stratum (all of them where
     the stratum has k or fewer others). Ties in d2, rounded to nine decimals, go to the smaller key.
 
+    With `prefixes`, (g, key, rank, other, d2) for each of these numbers of leading elements: distances add up from prefix to prefix,
+    so all of them come from the products of one pass over the blocks.
+
     Rows are dealt into blocks of about `block_rows`, as many as the largest stratum needs. Each pair of a query block and a row
     block is a group of its own: one product of two matrices, in parts, of which k best rows a query are left. These meet at the
     end. All pairs of rows are compared, as exact neighbours without an index must be; no group holds more than two blocks."""
-    s, asked = stratum or [], queries if queries is not None else df
+    s, asked, cuts = stratum or [], queries if queries is not None else df, sorted(set(prefixes or []))
     blocks = [max(1, -(-(f.groupBy(*s).count().agg(F.max("count")).first()[0] or 0) // block_rows)) for f in (asked, df)]
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -140,31 +143,35 @@ def neighbours(df: DataFrame, key: str, x: str, k: int, stratum: list[str] | Non
         if len(q) and len(r):
             r = r.sort_values("other")
             a, b, other, asked = np.stack(q["x"]), np.stack(r["x"]), r["other"].to_numpy(), q["asked"].to_numpy()
-            square, most = (b * b).sum(axis=1), min(k, len(r)) - 1
+            most = min(k, len(r)) - 1
             for at in range(0, len(a), 256):
-                part, ids = a[at : at + 256], asked[at : at + 256]
-                d = np.round(np.maximum(0.0, (part * part).sum(axis=1)[:, None] + square - 2 * part @ b.T), 9)
-                d[other[None, :] == ids[:, None]] = np.inf
-                row, col = np.nonzero((d <= np.partition(d, most, axis=1)[:, most : most + 1]) & np.isfinite(d))
-                by = np.lexsort((col, d[row, col], row))
-                row, col = row[by], col[by]
-                first = np.arange(len(row)) - np.searchsorted(row, row) < k
-                row, col = row[first], col[first]
-                out.append(pd.DataFrame({key: ids[row], "other": other[col], "d2": d[row, col]}))
-        return pd.concat(out) if out else pd.DataFrame({key: [], "other": [], "d2": []})
+                part, ids, d, done = a[at : at + 256], asked[at : at + 256], 0.0, 0
+                for g in cuts or [a.shape[1]]:
+                    p, q = part[:, done:g], b[:, done:g]
+                    d, done = d + (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1) - 2 * p @ q.T, g
+                    near = np.round(np.maximum(0.0, d), 9)
+                    near[other[None, :] == ids[:, None]] = np.inf
+                    row, col = np.nonzero((near <= np.partition(near, most, axis=1)[:, most : most + 1]) & np.isfinite(near))
+                    by = np.lexsort((col, near[row, col], row))
+                    row, col = row[by], col[by]
+                    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, col = row[first], col[first]
+                    out.append(pd.DataFrame({"g": g, key: ids[row], "other": other[col], "d2": near[row, col]}))
+        return pd.concat(out) if out else pd.DataFrame({"g": [], key: [], "other": [], "d2": []})
 
     kind = dict(df.dtypes)[key]
-    near = left.groupBy(*s, "qb", "rb").cogroup(right.groupBy(*[f"r_{c}" for c in s], "r_qb", "r_rb")).applyInPandas(nearest, f"`{key}` {kind}, other {kind}, d2 double")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d2", "other")))
-    return ranked.where(F.col("rank") <= k).select(key, "rank", "other", "d2")
+    near = left.groupBy(*s, "qb", "rb").cogroup(right.groupBy(*[f"r_{c}" for c in s], "r_qb", "r_rb")).applyInPandas(nearest, f"g int, `{key}` {kind}, other {kind}, d2 double")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("g", key).orderBy("d2", "other")))  # k rows of each block a query
+    return ranked.where(F.col("rank") <= k).select(*(["g"] if cuts else []), key, "rank", "other", "d2")
 
 
-def votes(near: DataFrame, labels: DataFrame, key: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """(by, key, truth, predicted): the most frequent label among neighbours, ties to the nearest of them."""
-    by = by or []
+def votes(near: DataFrame, labels: DataFrame, key: str, label: str, by: list[str] | None = None, each: list[str] | None = None) -> DataFrame:
+    """(by, each, key, truth, predicted): the most frequent label among neighbours, ties to the nearest of them. `by` are columns of the
+    labels, `each` those of the neighbours that tell several searches of the same rows apart."""
+    by, each = by or [], each or []
     other = labels.select(*by, F.col(key).alias("other"), F.col(label).alias("voted"))
-    v = near.join(other, "other").groupBy(*by, key, "voted").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    best = v.groupBy(*by, key).agg(F.min_by("voted", F.struct(-F.col("n"), F.col("first"))).alias("predicted"))
+    v = near.join(other, "other").groupBy(*by, *each, key, "voted").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+    best = v.groupBy(*by, *each, key).agg(F.min_by("voted", F.struct(-F.col("n"), F.col("first"))).alias("predicted"))
     return best.join(labels.select(*by, key, F.col(label).alias("truth")), [*by, key])
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..operators import mixture, ranks, temporal, vectors
+from ..operators import attribution, mixture, ranks, regress, temporal, vectors
 from ..operators.lineage import written
 from ..sources import views as V
 from .registry import query
@@ -148,26 +149,76 @@ def q_logo_attribution(spark, d):
     return temporal.attribution(stats_of(spark, d), g, ["all"]).select("generator", "truth", "predicted", F.round("llr", 5).alias("llr"))
 
 
+def dated(v):
+    """{family: [(generator, date)]} of vectors, a registry."""
+    out = {}
+    for r in v.select("family", "generator", "release_date").distinct().orderBy("family", "generator").collect():
+        out.setdefault(r.family, []).append((r.generator, r.release_date))
+    return out
+
+
+TESTED = "family long, n_groups int, n_generators int, perms int, " + ", ".join(f"{c} double" for c in ("acc", "mae", "llr", "null_acc", "null_llr", "null_mae", "p_acc", "p_llr", "p_mae")) + ", not_testable string"
+
+
+def tested(spark, rows, first: str = ""):
+    """Results of tests as rows, statistics to six decimals."""
+    names = [c.strip().split(" ")[0] for c in (first + TESTED).split(",")]
+    value = lambda x: round(x, 6) if isinstance(x, float) else x
+    return spark.createDataFrame([tuple(value(r.get(c)) for c in names) for r in rows], first + TESTED)
+
+
 @query()
 def q_t1(spark, d):
-    g = V.vectors(spark, d).select("family", "generator", "release_date").distinct()
-    t = temporal.t1(stats_of(spark, d), g, ["family"])
-    return t.select("family", "n_groups", *[r6(c).alias(c) for c in ("acc", "mae", "llr", "p_acc", "p_llr", "p_mae", "null_acc")], "not_testable")
+    """Generators dated by mixtures of those of other release groups, against 1,000 orders of the groups."""
+    v = reduced(spark, d)
+    return tested(spark, attribution.time_test(v, dated(v), n_bins=2))
 
 
 @query()
 def q_planted_power(spark, d):
-    """The same test on vectors moved along one direction in step with release time, for several strengths."""
-    v = V.vectors(spark, d)
-    span = v.agg(F.min("release_date").alias("a"), F.max("release_date").alias("b"))
-    t = F.datediff("release_date", "a") / F.greatest(F.lit(1), F.datediff("b", "a"))
-    parts = None
-    for delta in (0.0, 2.0, 8.0):
-        shift = F.lit(delta) * t
-        moved = v.join(F.broadcast(span)).withColumn("x", F.concat(F.array(F.col("x")[0] + shift), F.slice(F.col("x").cast("array<double>"), 2, 10_000)))
-        r = temporal.t1(temporal.moments(moved, ["generator"]), v.select("family", "generator", "release_date").distinct(), ["family"], perms=19).withColumn("delta", F.lit(delta))
-        parts = r if parts is None else parts.unionByName(r)
-    return parts.select("delta", "family", r6("acc").alias("acc"), r6("llr").alias("llr"), r6("p_llr").alias("p_llr"), (F.col("p_llr") <= 0.05).alias("found"))
+    """The same test on vectors moved in step with release time by four strengths, in five directions, 99 orders each: p, and the share found."""
+    v = reduced(spark, d)
+    registry = dated(v)
+    shifts, variants = attribution.planted_shifts(v, registry, [0.5, 1.0, 2.0, 4.0], 5)
+    rows = attribution.time_test(v, registry, n_bins=2, perms=99, shifts=shifts)
+    rows = [r | {"delta": variants[r["variant"]][0], "rep": variants[r["variant"]][1]} for r in rows if "acc" in r]
+    out = tested(spark, rows, "delta double, rep int, ").drop("not_testable")
+    return out.withColumn("power", r6(F.avg((F.col("p_llr") <= 0.05).cast("int")).over(Window.partitionBy("family", "delta"))))  # a row for each variant
+
+
+@query(f"""WITH {VV} SELECT generator, count(*) AS n, {', '.join(f"round(sum(CAST(x[{i + 1}] AS DOUBLE) * CAST(x[{j + 1}] AS DOUBLE)), 5) AS x{i}x{j}" for i in range(1, 8) for j in range(i, 8))},
+{', '.join(f"round(sum(CAST(x[1] AS DOUBLE) * CAST(x[{i + 1}] AS DOUBLE)), 5) AS yx{i}" for i in range(1, 8))} FROM vectors GROUP BY generator""")
+def q_normal_equations(spark, d):
+    """Sums of products of seven elements with one another and with the first, for each generator."""
+    v, names = V.vectors(spark, d), [f"e{i}" for i in range(8)]
+    sums = regress.normal_equations(v.select("generator", *[F.col("x")[i].cast("double").alias(c) for i, c in enumerate(names)]), ["generator"], ["e0"], names[1:])
+    at = {ij: k for k, ij in enumerate((i, j) for i in range(8) for j in range(i, 8))}
+    return sums.select("generator", "n", *[F.round(F.col("xx")[at[i, j]], 5).alias(f"x{i}x{j}") for i in range(1, 8) for j in range(i, 8)], *[F.round(F.col("xy")[i], 5).alias(f"yx{i}") for i in range(1, 8)])
+
+
+@query(f"""WITH {VV}, {LONG}, g AS (SELECT generator, i, CAST(vec_id % 100 AS DOUBLE) AS z, v FROM l) SELECT generator, CAST(i AS INT) AS i, count(*) AS n, round(regr_slope(v, z), 7) AS slope, round(regr_intercept(v, z), 6) AS intercept, round(regr_r2(v, z), 6) AS r2 FROM g GROUP BY generator, i""")
+def q_regressions(spark, d):
+    """A line for each generator and element, all solved in the tasks."""
+    rows = vectors.long(V.vectors(spark, d), ["vec_id", "generator"]).withColumn("z", (F.col("vec_id") % 100).cast("double"))
+    f = regress.fit(rows, ["generator", "i"], ["v"], ["z"])
+    return f.select("generator", "i", "n", F.round("b_z", 7).alias("slope"), r6("intercept").alias("intercept"), r6("r2").alias("r2"))
+
+
+@query()
+def q_size_tests(spark, d):
+    """Is the dating only size? The test on log size alone, on the reduced vectors, and on what log size and its square leave of them in each family."""
+    v = reduced(spark, d).withColumn("z", F.log(F.lit(20.0) + F.col("vec_id") % 100 + F.datediff("release_date", F.lit("2017-01-01")) / 50)).withColumn("w", F.col("z") * F.col("z"))
+    names = [f"e{i}" for i in range(4)]
+    wide = written(v.select("vec_id", "family", "generator", "release_date", "z", "w", *[F.col("x")[i].alias(c) for i, c in enumerate(names)]), "sizes")
+    f = regress.fit(wide, ["family"], names, ["z", "w"])
+    models = f.groupBy("family").pivot("target", names).agg(F.first(F.struct("intercept", "b_z", "b_w")))  # a row for each family
+    rest = wide.join(F.broadcast(models.select(F.col("family"), *[F.col(c).alias(f"m_{c}") for c in names])), "family")
+    rest = rest.select("family", "generator", "release_date", F.array(*[F.col(c) - regress.fitted(f"m_{c}", ["z", "w"]) for c in names]).alias("x"))
+    share = {r.family: r.r2 for r in f.groupBy("family").agg((1 - F.sum("rss") / F.sum(F.when(F.col("r2") < 1, F.col("rss") / (1 - F.col("r2"))))).alias("r2")).collect()}
+    jitter = wide.select("family", "generator", "release_date", F.array(F.col("z") + 0.02 * X.probit(X.clip(X.md5_uniform(F.lit(11), F.col("vec_id")), 1e-9, 1 - 1e-9))).alias("x"))
+    arms = {"size": jitter, "vectors": v, "residuals": rest}
+    rows = [r | {"arm": arm, "size_r2": share.get(r["family"]) if arm == "residuals" else None} for arm, df in arms.items() for r in attribution.time_test(df, dated(v), n_bins=2)]
+    return tested(spark, rows, "arm string, size_r2 double, ")
 
 
 @query(f"""WITH {VV}, {LONG}, s AS (SELECT vec_id, i, v, CAST(vec_id % 100 AS DOUBLE) AS z FROM l), b AS (SELECT i, covar_pop(v, z) AS cyz, covar_pop(v, z * z) AS cyw, var_pop(z) AS zz, var_pop(z * z) AS ww, covar_pop(z, z * z) AS zw, avg(v) AS mv, avg(z) AS mz, avg(z * z) AS mw FROM s GROUP BY i)
@@ -259,7 +310,7 @@ def q_cell_divergence(spark, d):
     v = reduced(spark, d).withColumn("cell", F.col("generator") * 10 + F.col("origin"))
     pairs = mixture.divergence(v, "vec_id", "cell", ["family"]).withColumn("a", F.floor(F.col("cell_a") / 10).cast("int")).withColumn("b", F.floor(F.col("cell_b") / 10).cast("int")).where("a <> b").persist()
     days = v.select("family", "generator", "release_date").distinct().withColumn("day", F.unix_date("release_date"))
-    dealt = days.withColumn("perm", F.lit(0)).select("perm", "family", "generator", F.col("day").alias("shuffled")).unionByName(ranks.permuted(days, "generator", "day", ["family"], 30))
+    dealt = days.withColumn("perm", F.lit(0)).select("perm", "family", "generator", F.col("day").alias("shuffled")).unionByName(ranks.permuted(days, "generator", "day", ["family"], 1000))
     a, b = (dealt.select("perm", "family", F.col("generator").alias(s), F.col("shuffled").alias(f"day_{s}")) for s in "ab")
     gaps = pairs.join(F.broadcast(a), ["family", "a"]).join(F.broadcast(b), ["perm", "family", "b"]).withColumn("gap", F.abs(F.col("day_a") - F.col("day_b")))
     rho = ranks.with_ranks(gaps, ["divergence", "gap"], ["perm", "family"]).groupBy("perm", "family").agg(F.corr("rank_divergence", "rank_gap").alias("rho"), F.count("*").alias("n_pairs"))
@@ -281,11 +332,11 @@ def q_drift_whitened(spark, d):
 
 @query()
 def q_lineage_test(spark, d):
-    """Held-out release groups attributed to lineage classes, against lineages dealt anew."""
-    v = V.vectors(spark, d)
-    g = registry_of(v).withColumn("lineage", F.when(F.col("generator") % 3 != 2, F.col("generator") % 2))
-    t = temporal.lineage_test(stats_of(spark, d), g.withColumn("all", F.lit(1)).drop("family"), ["all"])
-    return t.select("n_classes", "n_generators", "n_groups", r6("chance").alias("chance"), *[r6(c).alias(c) for c in ("acc", "llr", "null_acc", "null_llr", "p_acc", "p_llr")])
+    """Held-out release groups attributed to lineage classes by mixtures, against 200 valid orders of the lineages."""
+    v = reduced(spark, d)
+    members = sorted((g, day) for of in dated(v).values() for g, day in of)
+    rows = attribution.lineage_test(v, {0: [(g, day, g % 2 if g % 3 != 2 else None) for g, day in members]})
+    return tested(spark, rows, "n_classes int, chance double, ").drop("n_groups", "mae", "null_mae", "p_mae", "family")
 
 
 @query()
@@ -336,3 +387,30 @@ def q_component_origin(spark, d):
     member = mixture.score(v.select(F.col("generator").alias("model"), "origin", "x"), models.select("model", "components"), ["model"]).select("model", "origin", "component")
     t = vectors.agreements(written(member, "members"), "model", "origin", "component")
     return t.select(F.col("model").alias("generator"), r6("ari").alias("ari"), r6("nmi").alias("nmi"))
+
+
+@query()
+def q_granularity(spark, d):
+    """How well neighbours tell generators apart on 1, 2, 4 and 8 components of centred and of raw vectors, and on all elements, in each family."""
+    v, parts = V.vectors(spark, d), []
+    for arm, base in (("centred", vectors.centre(v, ["family", "origin"])), ("raw", v)):
+        scored = written(vectors.pca(base, 8)[0].select("vec_id", "family", "generator", F.col("scores").alias("x")), arm)
+        near = vectors.neighbours(scored, "vec_id", "x", 5, ["family"], prefixes=[1, 2, 4, 8])
+        parts.append(vectors.balanced_accuracy(vectors.votes(near, scored, "vec_id", "generator", ["family"], ["g"]), ["family", "g"]).withColumn("arm", F.lit(arm)))
+    full = vectors.votes(vectors.neighbours(v, "vec_id", "x", 5, ["family"]), v, "vec_id", "generator", ["family"])
+    parts.append(vectors.balanced_accuracy(full, ["family"]).select("family", F.lit(64).alias("g"), "accuracy", F.lit("full").alias("arm")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("arm", "family", "g", r6("accuracy").alias("accuracy"))
+
+
+@query()
+def q_pseudo_replication(spark, d):
+    """The trend of each score with release date over generators and over items, each with a permutation null of its own grain: the second
+    counts items as independent and shows how far that overstates."""
+    m = V.scored(spark, d).where("label = 1").withColumn("day", F.unix_date("release_date"))
+    out = []
+    for c in V.SCORES:
+        g = m.groupBy("generator", "day").agg(F.median(c).alias("m"))
+        parts = [ranks.row_grain_null(g, "day", "m", 1000), ranks.row_grain_null(m, "day", c, 1000)]
+        p = [(1 + int((np.abs(null) >= abs(rho) - 1e-12).sum())) / (1 + len(null)) if rho == rho else rho for rho, null in parts]
+        out.append((c, *[round(rho, 6) for rho, _ in parts], *[round(x, 6) for x in p], *[round(float(np.quantile(np.abs(null), 0.95)), 6) for _, null in parts]))
+    return spark.createDataFrame(out, "detector string, rho_generators double, rho_items double, p_generators double, p_items double, critical_generators double, critical_items double")

@@ -107,16 +107,7 @@ def test_whitened_groups_show_a_planted_drift(spark):
     (r,) = temporal.drift_test(temporal.whitened_group_means(df, g, ["family"]), ["family"], perms=199, boot=100).collect()
     assert r.n_groups == 10 and abs(r.delta - 4) < 0.8 and r.p < 0.05 and r.boot_q95 >= r.delta * 0.9 and r.tau < 0.3
     few = temporal.drift_test(temporal.whitened_group_means(df.where("generator < 'g03'"), g.where("generator < 'g03'"), ["family"]), ["family"]).first()
-    assert few.p is None and "3 release group(s)" in few.not_testable
-
-
-def test_lineage_classes_are_told_by_their_vectors(spark):
-    rng = np.random.default_rng(13)
-    rows = [(g, (rng.normal(size=2) + [6 * (g % 2), 0]).tolist()) for g in range(8) for _ in range(30)]
-    df = spark.createDataFrame(rows, "generator int, x array<double>")
-    g = spark.createDataFrame([(0, i, f"20{10 + i}-01-01", i % 2 if i < 7 else None) for i in range(8)], "family int, generator int, day string, lineage int").withColumn("release_date", F.to_date("day")).drop("day")
-    (r,) = temporal.lineage_test(temporal.moments(df, ["generator"]), g, ["family"], perms=60).collect()
-    assert (r.n_classes, r.n_generators, r.acc) == (2, 7, 1.0) and r.p_llr < 0.1 and r.null_acc < 0.8
+    assert few.p is None and "3 are there" in few.not_testable
 
 
 def test_isotonic_ratios_keep_their_identity(spark):
@@ -189,23 +180,6 @@ def test_fusion_meets_the_gradient_condition(spark):
     assert np.abs(grad).max() < 1e-6
 
 
-def planted(spark, drift, seed):
-    rng = np.random.default_rng(seed)
-    rows = []
-    for g in range(12):
-        at = rng.normal(size=6) * 0.2 + np.array([drift * g / 11, 0, 0, 0, 0, 0])
-        rows += [(g, [float(v) for v in at + rng.normal(size=6)]) for _ in range(15)]
-    v = spark.createDataFrame(rows, "generator int, x array<double>")
-    gens = spark.createDataFrame([("f", g) for g in range(12)] + [("tiny", 99)], "family string, generator int").withColumn("release_date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("generator") * 30))
-    return {r.family: r for r in temporal.t1(temporal.moments(v, ["generator"]), gens, ["family"], n_bins=3, perms=39).collect()}
-
-
-def test_planted_drift_is_found_and_small_families_are_not_testable(spark):
-    got = planted(spark, 6.0, 1)
-    assert got["f"].p_llr <= 0.05 and got["f"].not_testable is None
-    assert got["tiny"].acc is None and "1 release group" in got["tiny"].not_testable
-
-
 def test_release_groups_bridge_a_week(spark):
     rows = [("f", f"g{i}", d) for i, d in enumerate([0, 7, 14, 22, 22])]
     df = spark.createDataFrame(rows, "family string, generator string, d int").withColumn("release_date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")))
