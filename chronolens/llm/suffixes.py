@@ -153,10 +153,11 @@ def anchor_rows(texts: DataFrame, n: int, k: int) -> DataFrame:
 class Form:
     """How a string is cut out of a text and laid out: `before` and `after` say how many bytes around a place, `order` their order.
 
-    Behind them come the key (8 bytes), the place (8) and `extra` bytes of the caller's."""
+    Rows with the same `core`, the first bytes of that number, belong together. Behind the string come the key (8 bytes), the
+    place (8) and `extra` bytes of the caller's."""
 
-    def __init__(self, before: int, after: int, order: np.ndarray, extra: int = 0):
-        self.before, self.after, self.order, self.extra = before, after, order, extra
+    def __init__(self, before: int, after: int, order: np.ndarray, core: int, extra: int = 0):
+        self.before, self.after, self.order, self.core, self.extra = before, after, order, core, extra
         self.size = len(order)
         self.width = self.size + 16 + extra
 
@@ -177,13 +178,13 @@ class Form:
 def right_form(n: int, k: int) -> Form:
     """From the anchor on to the right, then from it to the left; the context begins n - k bytes before it."""
     m = n - k
-    return Form(m, n, np.concatenate([np.arange(m, m + n), np.arange(m - 1, -1, -1)]))
+    return Form(m, n, np.concatenate([np.arange(m, m + n), np.arange(m - 1, -1, -1)]), k)
 
 
 def left_form(n: int, k: int) -> Form:
     """The k-gram, what is left of it backwards, what is right of it; behind, the bounds found so far."""
     m = n - k
-    return Form(m, n, np.concatenate([np.arange(m, n), np.arange(m - 1, -1, -1), np.arange(n, n + m)]), extra=6)
+    return Form(m, n, np.concatenate([np.arange(m, n), np.arange(m - 1, -1, -1), np.arange(n, n + m)]), k, extra=6)
 
 
 def contexts(batches: Iterator[pa.RecordBatch], before: int, after: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -398,7 +399,7 @@ def whole_order(part: int, group: pa.Table, whole: Form, n: int, cuts: list[byte
     like[0] = False
     twice = like | np.append(like[1:], False)
     for row, cut in ((0, part - 1), (-1, part)):
-        if 0 <= cut < len(cuts) and cuts[cut][n:].strip(b"\0") and rows[row, :n].tobytes() == cuts[cut][:n]:
+        if 0 < cut < len(cuts) and cuts[cut - 1][:n] == cuts[cut][:n] == rows[row, :n].tobytes():
             twice[row] = True
     keys, at = whole.ids(rows)
     return _found(key=keys[twice], low=at[twice], high=at[twice] + n)
@@ -451,8 +452,8 @@ def _splitters(texts: DataFrame, wanted: DataFrame, forms: list[Form], part_stri
     for form, found in zip(forms, strings, strict=True):
         found.sort()
         cut = sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
-        # A cut begins with the first of its class, unless the cut before it is of that class: few classes lie in two ranges.
-        cuts.append([s if j and cut[j - 1][: form.size] == s[: form.size] else s[: form.size] + bytes(form.width - form.size) for j, s in enumerate(cut)])
+        # A cut is before the first row of its core, unless the cut before it has that core, too: only the most frequent lie in two ranges.
+        cuts.append([s if j and cut[j - 1][: form.core] == s[: form.core] else s[: form.core] + bytes(form.width - form.core) for j, s in enumerate(cut)])
     return cuts
 
 
@@ -555,7 +556,7 @@ def removed(docs: DataFrame, text_col: str = "text", n: int = BYTES, part_string
         # All distinct strings of that k-gram and offset: one for each class of equal surroundings, where its own bounds leave it possible.
         members = second.where("h IS NOT NULL").select("h", "key", "at", "least", "most").join(undecided, "h").where("offset BETWEEN least AND most")
         again = materialize(members.select("key", (F.col("at") - F.col("offset")).alias("at")).distinct(), "strings")
-        whole = Form(0, n, np.arange(n))
+        whole = Form(0, n, np.arange(n), n)
         cut = _splitters(texts, again, [whole], part_strings)[0]
         third = _ordered(_runs(texts, again, whole, cut, run_strings), lambda part, g: whole_order(part, g, whole, n, cut))
         known = spans.select("key", F.inline("spans")).select("key", F.col("start").alias("low"), F.col("end").alias("high"))
