@@ -61,6 +61,12 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def row_hash(df: DataFrame, *first: Column) -> Column:
+    """A hash of `first` and all columns of a row; those that hold maps, which have no hash, count as JSON."""
+    of = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*first, *[of(f) for f in df.schema.fields])
+
+
 def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
     """The rows of the highest counts, at most `limit`: all above a cutoff found from how often each count comes up.
 

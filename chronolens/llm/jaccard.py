@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, materialize, most_frequent, release, remove, table
+from .common import free_name, materialize, most_frequent, release, remove, row_hash, table
 
 CROWD = 32
 HOT = 24
@@ -312,14 +312,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one row of each class: that with the smallest id (nulls last), then the smallest hash of id and text; documents without words stay."""
-    key, bare = free_name(docs, "row_key"), free_name(docs, "bare")
+    """`docs` with one row of each class: that with the smallest id (nulls last), then the smallest hash of id and text, then of all
+    columns; documents without words stay."""
+    key, bare, tie, kept_row = (free_name(docs, c) for c in ("row_key", "bare", "tie", "kept_row"))
     classes = materialize(link(docs, id_col, text_col, **options).select("id", "rk", "node"), "membership")
     first = classes.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rk"))).alias("f")).select("f.rk")
     kept = first.withColumn(bare, F.lit(False)).union(classes.where("node IS NULL").select("rk").distinct().withColumn(bare, F.lit(True))).withColumnRenamed("rk", key)
     joined = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col))).join(kept, key)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.where(~F.col(bare)).dropDuplicates([key]).select(*columns).unionByName(joined.where(bare).select(*columns))
+    one = joined.where(~F.col(bare)).withColumn(tie, row_hash(docs)).groupBy(key).agg(F.min_by(F.struct(*columns), tie).alias(kept_row))
+    return one.select(f"{kept_row}.*").unionByName(joined.where(bare).select(*columns))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

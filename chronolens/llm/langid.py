@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, table
+from .common import free_name, row_hash, table
 
 FIT_DOCS = 8_000
 FIT_TOTAL = 64_000
@@ -148,7 +148,7 @@ class Model(NamedTuple):
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, max_words: int | None = None, total: int = FIT_TOTAL) -> Model:
     """The model of a sample of labelled documents. What reaches the driver is its rows, as arrays of numbers, and the languages' names."""
-    pick = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(1_000_003))
+    pick = F.pmod(row_hash(docs), F.lit(1_000_003))
     docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), pick.alias("pick"))
     sizes = {r.lang: r.size_ for r in docs.groupBy("lang").agg(F.count("*").alias("size_")).collect()}  # a row for each language
     langs = sorted(sizes)

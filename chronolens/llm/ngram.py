@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, release, remove, utf8_bytes
+from .common import free_name, materialize, release, remove, row_hash, utf8_bytes
 
 BITS = 21
 HALF = 3  # tokens in a long
@@ -244,7 +244,7 @@ def score(docs: DataFrame, text_col: str, models: dict[str, DataFrame], order: i
     spark, names = docs.sparkSession, list(models)
     buckets = max(1, -(-(docs.agg(F.sum(utf8_bytes(F.col(text_col)))).first()[0] or 0) // bucket_bytes))
     bucket = free_name(docs, "bucket")
-    of_bucket = F.pmod(F.xxhash64(*docs.columns), F.lit(buckets)).alias(bucket)
+    of_bucket = F.pmod(row_hash(docs), F.lit(buckets)).alias(bucket)
 
     def listed(texts: pa.Table) -> pa.Table:
         at = texts.column("bucket")[0].as_py()

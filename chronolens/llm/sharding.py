@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import free_name, materialize, new_folder, table, utf8_bytes
+from .common import free_name, materialize, new_folder, row_hash, table, utf8_bytes
 
 SHARDS = 8
 SEED = 1234
@@ -48,7 +48,7 @@ def scatter(docs: DataFrame, key: str, text_col: str, shards: int, seed: int, bu
     n = max(1, -(-total // (shards * bucket_bytes)))
     named = lambda df: df.withColumns({
         "shard": shard_of(F.col(key), shards, seed).cast("int"), "grown_shard": shard_of(F.col(key), shards + 1, seed).cast("int"),
-        tie: F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns]),
+        tie: row_hash(docs, F.lit(seed)),
     }).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), tie), F.lit(n)).cast("long"))
     of = named(docs)
     sizes = of.groupBy("shard", "bucket").agg(F.sum(utf8_bytes(F.col(text_col)) + 1).alias("size"), F.count("*").alias("rows"))

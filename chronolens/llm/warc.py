@@ -177,7 +177,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "captures",
     )
     targets = captures.where("record_type = 'response'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to"))
-    return captures.join(targets, "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "has_request")
+    # Only revisits have a target to look up; a join of all captures would deal those without one to one task.
+    found = captures.where("to IS NOT NULL").join(targets, "to", "left").unionByName(captures.where("to IS NULL").withColumn("refers_to", F.lit(None).cast(captures.schema["page_id"].dataType)))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "has_request")
 
 
 OP10_SQL = """

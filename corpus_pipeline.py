@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words stay, all of them. Of equal smallest ids, the row with the smaller hash of id and text stays; of rows equal
-    in both, one. A row with a null doc_id stays only where its class has no other id."""
+    in both, that with the smallest hash of all columns. A row with a null doc_id stays only where its class has no other id."""
     return jaccard.keep_one(docs, k=5, num=80, den=100)
 
 

@@ -55,3 +55,21 @@ def test_stages_take_any_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, str(tmp_path))
         assert out.count() == 0 and set(empty.columns) <= set(out.columns), name
+
+
+def test_stages_and_scores_take_map_columns_and_choose_among_equal_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from chronolens.llm import langid, lmscore, sharding
+
+    texts = ["the house and the garden of the old man by the river", "le jardin et la maison du vieil homme sur la rive", None, "one"]
+    rows = [(i, t, "fr" if i == 1 else "en", "a") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("deep", F.array(F.struct("tags")))
+    assert sharding.shard(df).count() == 4 and lmscore.difference(df, df.where("lang = 'en'")).count() == 4
+    assert langid.identify(df, langid.fit(df)).count() == 4
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "decontaminate":
+            assert set(df.columns) <= set(stage(spark, df, str(tmp_path)).columns)
+    twice = df.unionByName(df.where("doc_id = 0").withColumn("source", F.lit("b")))
+    kept = {tuple(r) for n in (1, 3, 5) for r in jaccard.keep_one(twice.repartition(n), k=5, num=80, den=100).where("doc_id = 0").select("doc_id", "source").collect()}
+    assert len(kept) == 1
