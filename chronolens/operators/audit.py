@@ -54,8 +54,10 @@ def not_in_dimension(fact: DataFrame, dimension: DataFrame, key: str) -> DataFra
 
 
 def collisions(df: DataFrame, derived: Column, name: str) -> DataFrame:
-    """All rows whose derived key another row has too."""
-    return df.withColumn(name, derived).withColumn("n_same", F.count("*").over(Window.partitionBy(name))).where("n_same > 1")
+    """All rows whose derived key another row has too. Keys are counted first, so a frequent one is no task of its own."""
+    rows = df.withColumn(name, derived)
+    often = rows.groupBy(F.col(name).alias("same_key_")).agg(F.count("*").alias("n_same")).where("n_same > 1")
+    return rows.join(often, F.col(name).eqNullSafe(F.col("same_key_"))).drop("same_key_")
 
 
 def provenance(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -65,6 +67,14 @@ def provenance(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), part(1).alias("h1"), part(8).alias("h2"), part(15).alias("h3"))
 
 
+def recorded_as(df: DataFrame, key: str, columns: list[str], scored: list[str], recorded: DataFrame) -> DataFrame:
+    """For each recorded fingerprint (name, n_rows, h1, h2, h3) what of the table it matches: `whole` (all `columns`), `subset` (the
+    columns `scored`, if others were added since), or `neither`: then the table changed under what was recorded."""
+    both = [provenance(df, key, c).select(F.lit(kind).alias("kind"), "n_rows", "h1", "h2", "h3") for kind, c in (("whole", columns), ("subset", scored))]
+    match = recorded.join(F.broadcast(both[0].unionByName(both[1])), ["n_rows", "h1", "h2", "h3"], "left")
+    return match.groupBy("name").agg(F.coalesce(F.max("kind"), F.lit("neither")).alias("matches"))
+
+
 def value_parity(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """Distinct values that only one side has."""
     a, b = left.select(column).distinct(), right.select(column).distinct()

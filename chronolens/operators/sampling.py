@@ -62,6 +62,35 @@ def draw_matched(df: DataFrame, label: str, group: str, part: str, source: str,
     return ones.unionByName(picked)
 
 
+def draw_keeping_whole(df: DataFrame, label: str, group: str, part: str, source: str, key: str, per_group: int, whole: list[str], seed: int = 1234) -> DataFrame:
+    """`per_group` rows of each group of label 1, and as many rows of label 0 in all: the sources in `whole` with all their rows, the
+    others in proportion for what is left.
+
+    Before anything is drawn, groups that are short of `per_group` rows, and whole sources that hold more rows than are needed, are a
+    ValueError that lists them. The counts are tables with a row for each group and source."""
+    ones, zeros = df.where(F.col(label) == 1), df.where(F.col(label) == 0)
+    sizes = ones.groupBy(group).agg(F.count("*").alias("n")).orderBy(group).collect()
+    if short := [f"{r[group]} ({r.n})" for r in sizes if r.n < per_group]:
+        raise ValueError(f"fewer than {per_group} rows: {', '.join(short)}")
+    target = per_group * len(sizes)
+    undivided = zeros.where(F.col(source).isin(whole)) if whole else zeros.limit(0)
+    held = undivided.groupBy(source).agg(F.count("*").alias("n")).orderBy(source).collect()
+    left = target - sum(r.n for r in held)
+    if left < 0:
+        raise ValueError(f"{target} rows are needed, whole sources hold more: {', '.join(f'{r[source]} ({r.n})' for r in held)}")
+    rest = zeros.where(~F.coalesce(F.col(source).isin(whole), F.lit(False))) if whole else zeros
+    quota = allocate(rest.groupBy(source).agg(F.count("*").alias("size")), source, "size", F.lit(left))
+    quota = quota.select(F.col(source).alias("source_"), "share")
+    some = ranked(rest, [source], key, seed).join(F.broadcast(quota), F.col(source).eqNullSafe(F.col("source_"))).where(F.col("draw") <= F.col("share")).drop("draw", "share", "source_")
+    return draw(ones, group, part, key, F.lit(per_group), seed).unionByName(undivided).unionByName(some)
+
+
+def seeded_n(df: DataFrame, group: list[str], key: str, n: int, seed: int = 1234) -> DataFrame:
+    """`n` rows of each group by seed, with `place`, their order by key within the group: the order that they had before the draw."""
+    drawn = ranked(df, group, key, seed).where(F.col("draw") <= n).drop("draw")
+    return drawn.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(key)))  # n rows a group
+
+
 def kfolds(df: DataFrame, stratum: list[str], key: str, k: int = 5, seed: int = 0) -> DataFrame:
     return ranked(df, stratum, key, seed).withColumn("fold", ((F.col("draw") - 1) % k).cast("int")).drop("draw")
 

@@ -24,5 +24,5 @@ def load() -> None:
     """Import the modules that register queries."""
     from importlib import import_module
 
-    for name in ("tables", "fields", "evidence", "space"):
+    for name in ("tables", "fields", "evidence", "space", "more"):
         import_module(f"chronolens.plans.{name}")
