@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 RIDGE = 1e-3
 PER_COMPONENT = 5
-MODELS_A_CHUNK = 2_000_000  # rows x components of likelihoods held at once
 
 
 class Sets:
@@ -45,12 +44,16 @@ class Sets:
         return out
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    d = len(batch.column("x")[0]) if batch.num_rows else 0
-    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-    g = batch.column("g").to_numpy(zero_copy_only=False)
-    ok = np.isfinite(x).all(1)
-    return x[ok], g[ok]
+def _rows(batch: pa.RecordBatch, arms: int) -> tuple[np.ndarray, np.ndarray]:
+    """rows x arms x elements, and the generators' numbers."""
+    d = len(batch.column("x")[0]) if batch.num_rows else arms
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, arms, d // arms), batch.column("g").to_numpy(zero_copy_only=False)
+
+
+def _of(x: np.ndarray, g: np.ndarray, arm: int) -> tuple[np.ndarray, np.ndarray]:
+    """An arm's rows, those whose elements are all finite."""
+    ok = np.isfinite(x[:, arm]).all(1)
+    return x[ok, arm], g[ok]
 
 
 def _input(df: DataFrame, generators: list, generator: str, x: str) -> DataFrame:
@@ -59,24 +62,25 @@ def _input(df: DataFrame, generators: list, generator: str, x: str) -> DataFrame
     return rows.where("x IS NOT NULL AND NOT exists(x, v -> v IS NULL)")
 
 
-def moments(data: DataFrame, generators: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n, sums and sums of squares of each generator."""
+def moments(data: DataFrame, generators: int, d: int, arms: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, sums and sums of squares of each arm and generator."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, q = np.zeros(generators), np.zeros((generators, d)), np.zeros((generators, d))
+        rows = np.zeros((arms, generators, 1 + 2 * d))
         for b in batches:
-            x, g = _rows(b)
-            n += np.bincount(g, minlength=generators)
-            np.add.at(s, g, x)
-            np.add.at(q, g, x * x)
-        rows = np.hstack([n[:, None], s, q])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(generators, dtype="int32")), *[pa.array(c) for c in rows.T]], names=names)
+            x0, g0 = _rows(b, arms)
+            for arm in range(arms):
+                x, g = _of(x0, g0, arm)
+                np.add.at(rows[arm], g, np.hstack([np.ones((len(x), 1)), x, x * x]))
+        flat = rows.reshape(arms * generators, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype="int32")), *[pa.array(c) for c in flat.T]], names=names)
 
     names = ["g", *[f"c{i}" for i in range(1 + 2 * d)]]
-    total = np.zeros((generators, 1 + 2 * d))
+    total = np.zeros((arms * generators, 1 + 2 * d))
     for r in data.mapInArrow(each, ", ".join(["g int", *[f"{c} double" for c in names[1:]]])).groupBy("g").agg(*[F.sum(c).alias(c) for c in names[1:]]).collect():
         total[r.g] = r[1:]
-    return total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :]
+    total = total.reshape(arms, generators, -1)
+    return total[:, :, 0], total[:, :, 1 : 1 + d], total[:, :, 1 + d :]
 
 
 def _log_density(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
@@ -100,13 +104,14 @@ def _normal_quantile(p: np.ndarray) -> np.ndarray:
 class Mixtures:
     """All fits: for each (variant, set) those of 1 to `most` components, at most one for PER_COMPONENT rows, as flat arrays of components."""
 
-    def __init__(self, keep: np.ndarray, shifts: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray, most: int):
-        self.keep, self.shifts = keep, shifts
+    def __init__(self, keep: np.ndarray, shifts: np.ndarray, arms: int, n: np.ndarray, s: np.ndarray, q: np.ndarray, most: int):
+        self.keep, self.shifts, self.arms = keep, shifts, arms
         fits, weight, mean, var = [], [], [], []
         for v, shift in enumerate(shifts):
-            sv, qv = s + n[:, None] * shift, q + 2 * shift * s + n[:, None] * shift * shift
+            of = self.arm(v)
+            sv, qv = s[of] + n[of][:, None] * shift, q[of] + 2 * shift * s[of] + n[of][:, None] * shift * shift
             for m, k in enumerate(keep):
-                rows = n[k].sum()
+                rows = n[of][k].sum()
                 if not rows:
                     continue
                 mu = sv[k].sum(0) / rows
@@ -123,6 +128,9 @@ class Mixtures:
         self.ends = np.cumsum([0, *[len(w) for w in weight]])
         self.weight, self.mean, self.var = (np.concatenate(a) if a else np.zeros(0) for a in (weight, mean, var))
 
+    def arm(self, variant: int) -> int:
+        return variant if self.arms > 1 else 0
+
     def places(self, only: np.ndarray) -> Iterator[tuple[int, slice]]:
         for f in only.tolist():
             yield f, slice(self.ends[f], self.ends[f + 1])
@@ -135,9 +143,10 @@ def _pass(data: DataFrame, m: Mixtures, only: np.ndarray, d: int) -> np.ndarray:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((int(m.ends[-1]), 2 + 2 * d))
         for b in batches:
-            x0, g = _rows(b)
+            x0, g0 = _rows(b, m.arms)
             for v in np.unique([m.fits[f][0] for f in only.tolist()]).tolist():
-                x = x0 + m.shifts[v][g]
+                x, g = _of(x0, g0, m.arm(v))
+                x = x + m.shifts[v][g]
                 for f, at in m.places(only):
                     if m.fits[f][0] != v:
                         continue
@@ -160,10 +169,9 @@ def _pass(data: DataFrame, m: Mixtures, only: np.ndarray, d: int) -> np.ndarray:
     return total
 
 
-def fit(data: DataFrame, keep: np.ndarray, shifts: np.ndarray, d: int, most: int, steps: int, tol: float = 1e-4) -> tuple[Mixtures, np.ndarray]:
+def fit(data: DataFrame, keep: np.ndarray, shifts: np.ndarray, d: int, most: int, steps: int, tol: float = 1e-4, arms: int = 1, widths: list[int] | None = None) -> tuple[Mixtures, np.ndarray]:
     """(fits, the number of the best by BIC for each variant x set, -1 for none)."""
-    n, s, q = moments(data, keep.shape[1], d)
-    m = Mixtures(keep, shifts, n, s, q, most)
+    m = Mixtures(keep, shifts, arms, *moments(data, keep.shape[1], d, arms), most)
     likelihood = np.full(len(m.fits), -np.inf)
     only = np.arange(len(m.fits))
     for step in range(steps + 1):
@@ -182,35 +190,38 @@ def fit(data: DataFrame, keep: np.ndarray, shifts: np.ndarray, d: int, most: int
     best = np.full((len(shifts), len(keep)), -1)
     cost: dict = {}
     for f, (v, k, c, rows) in enumerate(m.fits):
-        bic = -2 * likelihood[f] + (c * (2 * d + 1) - 1) * np.log(rows)
+        wide = widths[m.arm(v)] if widths else d
+        bic = -2 * likelihood[f] + (c * (2 * wide + 1) - 1) * np.log(rows)
         if (v, k) not in cost or bic < cost[v, k]:
             cost[v, k], best[v, k] = bic, f
     return m, best
 
 
-def likelihoods(df: DataFrame, generators: list, sets: Sets, generator: str = "generator", x: str = "x", shifts: np.ndarray | None = None, most: int = 4, steps: int = 20) -> np.ndarray:
-    """variants x sets x generators: the mean log likelihood of each generator's rows under the mixture of each set."""
+def likelihoods(df: DataFrame, generators: list, sets: Sets, generator: str = "generator", x: str = "x", shifts: np.ndarray | None = None, most: int = 4, steps: int = 20, arms: int = 1, widths: list[int] | None = None) -> np.ndarray:
+    """variants x sets x generators: the mean log likelihood of each generator's rows under the mixture of each set.
+
+    With several arms, x holds the vectors of all of them one after the other, as wide as the widest (`widths`: how many elements of each
+    count, the others being 0 throughout), an arm is a variant, and rows with an element of an arm that isn't finite aren't in it."""
     data = _input(df, generators, generator, x).persist()
     first = data.first()
-    d, keep = len(first.x) if first else 1, sets.keep(len(generators))
-    shifts = np.zeros((1, len(generators), d)) if shifts is None else shifts
-    m, best = fit(data, keep, shifts, d, most, steps)
+    d, keep = len(first.x) // arms if first else 1, sets.keep(len(generators))
+    shifts = np.zeros((arms, len(generators), d)) if shifts is None else shifts
+    m, best = fit(data, keep, shifts, d, most, steps, arms=arms, widths=widths)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((len(shifts), len(keep), len(generators))), np.zeros(len(generators))
+        total, n = np.zeros((len(shifts), len(keep), len(generators))), np.zeros((len(shifts), len(generators)))
         for b in batches:
-            x0, g = _rows(b)
-            n += np.bincount(g, minlength=len(generators))
+            x0, g0 = _rows(b, arms)
             for v in range(len(shifts)):
-                moved = x0 + shifts[v][g]
+                rows, g = _of(x0, g0, m.arm(v))
+                moved = rows + shifts[v][g]
+                n[v] += np.bincount(g, minlength=len(generators))
                 for k, f in enumerate(best[v].tolist()):
                     if f >= 0:
                         at = slice(m.ends[f], m.ends[f + 1])
                         total[v, k] += np.bincount(g, _log_sum(_log_density(moved, m.weight[at], m.mean[at], m.var[at])), len(generators))
-        for k in range(len(generators)):
-            v, s = np.nonzero(np.ones(total.shape[:2]))
-            if n[k]:
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in (v, s, np.full(len(v), k), total[v, s, k], np.full(len(v), n[k]))], names=["v", "s", "g", "ll", "n"])
+        v, k, g = np.nonzero(np.broadcast_to((n > 0)[:, None], total.shape))
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (v, k, g, total[v, k, g], n[v, g])], names=["v", "s", "g", "ll", "n"])
 
     out = np.full((len(shifts), len(keep), len(generators)), np.nan)
     for r in data.mapInArrow(each, "v bigint, s bigint, g bigint, ll double, n double").groupBy("v", "s", "g").agg((F.sum("ll") / F.sum("n")).alias("ll")).collect():
@@ -268,26 +279,32 @@ def release_groups(dates: list[datetime.date], window: int) -> np.ndarray:
     return out
 
 
-def time_test(df: DataFrame, registry: dict[object, list[tuple]], n_bins: int = 3, perms: int = 1000, seed: int = 0, window: int = 7, shifts: np.ndarray | None = None, generator: str = "generator", x: str = "x", most: int = 4) -> list[dict]:
+def time_test(
+    df: DataFrame, registry: dict[object, list[tuple]], n_bins: int | list[int] = 3, perms: int = 1000, seed: int = 0, window: int = 7, shifts: np.ndarray | None = None,
+    generator: str = "generator", x: str = "x", most: int = 4, arms: int = 1, widths: list[int] | None = None,
+) -> list[dict]:
     """Can a generator be dated by those of other release groups? For each family and variant the statistics and their permutation
     null, in which release groups exchange their dates. registry: {family: [(generator, date)]}; shifts: variants x all generators of
-    the registry in its order x elements."""
+    the registry in its order x elements; arms and widths: see likelihoods(); n_bins may be a list, of one number for each arm."""
     sets, plans, names, out = Sets(), {}, [], []
+    bins = n_bins if isinstance(n_bins, list) else [n_bins] * max(arms, 1 if shifts is None else len(shifts))
     for family, members in registry.items():
         groups = release_groups([d for _, d in members], window)
         count, offset = int(groups.max()) + 1, len(names)
         names += [g for g, _ in members]
-        if count < 2 * n_bins:
-            out.append({"family": family, "variant": 0, "n_groups": count, "n_generators": len(members), "not_testable": f"{2 * n_bins} release groups are needed for {n_bins} bins, {count} are there"})
-            continue
         first = np.array([min(d.toordinal() for (_, d), k in zip(members, groups, strict=True) if k == g) for g in range(count)])
         orders = [first] + [first[np.random.default_rng([seed, p]).permutation(count)] for p in range(1, perms + 1)]
-        plans[family] = (offset, len(members), count, [Plan(time_classes(o, n_bins)[groups], groups, sets, n_bins, offset) for o in orders])
+        for b in sorted(set(bins)):
+            if count >= 2 * b:
+                plans[family, b] = (offset, len(members), count, [Plan(time_classes(o, b)[groups], groups, sets, b, offset) for o in orders])
+            else:
+                some = {"family": family, "n_groups": count, "n_generators": len(members), "not_testable": f"{2 * b} release groups are needed for {b} bins, {count} are there"}
+                out += [some | {"variant": v} for v, x in enumerate(bins) if x == b]
     if not plans:
         return out
-    ll = likelihoods(df, names, sets, generator, x, shifts, most)
-    for family, (offset, size, count, of) in plans.items():
-        for v in range(len(ll)):
+    ll = likelihoods(df, names, sets, generator, x, shifts, most, arms=arms, widths=widths)
+    for (family, b), (offset, size, count, of) in plans.items():
+        for v in [v for v, x in enumerate(bins) if x == b]:
             seen, *null = [p.statistics(ll[v][:, offset : offset + size]) for p in of]
             out.append({"family": family, "variant": v, "n_groups": count, "n_generators": size, **tested(seen, null)})
     return out
@@ -345,14 +362,14 @@ def planted_shifts(df: DataFrame, registry: dict[object, list[tuple]], deltas: l
         days = np.array([min(m[1].toordinal() for m, k in zip(members, groups, strict=True) if k == g) for g in groups.tolist()], float)
         t[at : at + len(members)] = (days - days.min()) / max(1.0, np.ptp(days))
         at += len(members)
-    means_n, means_s, _ = moments(data, len(names), d)
+    means_n, means_s, _ = (m[0] for m in moments(data, len(names), d))
     mean = means_s / np.maximum(means_n, 1)[:, None]
     directions = np.array([u / np.linalg.norm(u) for u in (np.random.default_rng([seed, 7, r]).normal(size=d) for r in range(reps))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, n = np.zeros((len(names), reps)), np.zeros(len(names))
         for b in batches:
-            rows, g = _rows(b)
+            rows, g = _of(*_rows(b, 1), 0)
             np.add.at(q, g, ((rows - mean[g]) @ directions.T) ** 2)
             n += np.bincount(g, minlength=len(names))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names))), pa.array(n), *[pa.array(c) for c in q.T]], names=columns)

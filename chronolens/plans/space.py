@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..operators import attribution, mixture, ranks, regress, temporal, vectors
+from ..operators import attribution, mixture, ranks, regress, specs, temporal, vectors
 from ..operators.lineage import written
 from ..sources import views as V
 from .registry import query
@@ -414,3 +414,41 @@ def q_pseudo_replication(spark, d):
         p = [(1 + int((np.abs(null) >= abs(rho) - 1e-12).sum())) / (1 + len(null)) if rho == rho else rho for rho, null in parts]
         out.append((c, *[round(rho, 6) for rho, _ in parts], *[round(x, 6) for x in p], *[round(float(np.quantile(np.abs(null), 0.95)), 6) for _, null in parts]))
     return spark.createDataFrame(out, "detector string, rho_generators double, rho_items double, p_generators double, p_items double, critical_generators double, critical_items double")
+
+
+def grid():
+    """Specifications about a primary one: other bins, components, centrings, scalings, blocks and single origins."""
+    base = {"block": (0, 64), "centring": ("family", "origin")}
+    out = [specs.Spec("primary", **base)]
+    out += [specs.Spec(f"components {g}", **base, g=g) for g in (1, 2, 8)]
+    out += [specs.Spec(f"scaling {s}", **base, scaling=s) for s in ("standard", "none")]
+    out += [specs.Spec(f"centring {n}", (0, 64), centring=c) for n, c in (("family", ("family",)), ("none", ()))]
+    out += [specs.Spec(f"block {a}", (a, a + 16), centring=base["centring"]) for a in (0, 16, 32, 48)]
+    out += [specs.Spec(f"origin {o}", (0, 64), centring=("family",), rows=f"origin = {o}") for o in range(4)]
+    return out
+
+
+@query()
+def q_spec_grid(spark, d):
+    """Every specification's dating test in each family, 200 orders each, one job for all: the log likelihood ratio, its excess over the
+    null, and p."""
+    v = V.vectors(spark, d)
+    rows = specs.time_tests(v, dated(v), grid())
+    return tested(spark, [r | {"excess": r["llr"] - r["null_llr"] if "llr" in r else None} for r in rows], "spec string, excess double, ")
+
+
+@query()
+def q_share_found(spark, d):
+    """The share of specifications of each kind that find the dates, by family, and their mean excess over the null."""
+    g = q_spec_grid(spark, d).where("spec <> 'primary' AND p_llr IS NOT NULL AND NOT isnan(p_llr)")
+    return g.groupBy(F.split_part("spec", F.lit(" "), F.lit(1)).alias("kind"), "family").agg(F.count("*").alias("tests"), r6(F.avg((F.col("p_llr") <= 0.05).cast("int"))).alias("found"), r6(F.avg("excess")).alias("excess"))
+
+
+@query()
+def q_spec_patterns(spark, d):
+    """The rank correlation of each specification's excess over families and statistics with that of the primary one."""
+    g = q_spec_grid(spark, d).select("spec", F.inline(F.array(*[F.struct(F.concat_ws("|", "family", F.lit(s)).alias("cell"), (F.col(s) - F.col(f"null_{s}")).alias("v")) for s in ("acc", "llr", "mae")]))).where("v IS NOT NULL AND NOT isnan(v)")
+    both = written(g, "excess")
+    pairs = both.join(both.where("spec = 'primary'").select("cell", F.col("v").alias("primary")), "cell")  # a row a specification and cell
+    k = ranks.with_ranks(pairs, ["v", "primary"], ["spec"])
+    return k.groupBy("spec").agg(F.count("*").alias("cells"), r6(F.corr("rank_v", "rank_primary")).alias("rho"))

@@ -145,3 +145,28 @@ def test_neighbours_on_prefixes_are_those_of_single_runs(spark):
         alone = vectors.neighbours(df.withColumn("x", F.slice("x", 1, g)), "id", "x", 4, ["s"]).select("id", "rank", "other")
         assert sorted(map(tuple, many.where(F.col("g") == g).select("id", "rank", "other").collect())) == sorted(map(tuple, alone.collect()))
     assert vectors.neighbours(df, "id", "x", 4).columns == ["id", "rank", "other", "d2"]
+
+
+def test_twenty_specifications_at_once_are_twenty_alone(spark):
+    from chronolens.operators import specs
+
+    rng = np.random.default_rng(9)
+    rows = [(g, g % 2, int(rng.integers(0, 3)), [float(v) for v in rng.normal(size=8) * np.arange(1, 9) + [0.4 * g, 0, 0, 0, 0, 0, 0, 0]]) for g in range(12) for _ in range(20)]
+    df = spark.createDataFrame(rows, "generator int, family int, origin int, x array<double>").repartition(3)
+    registry = {f: [(g, m) for g, m in enumerate(months(12)) if g % 2 == f] for f in (0, 1)}
+    some = [specs.Spec(f"{b} {s} {c} {g}", b, s, c, g, n) for (b, n), s, c, g in [(x, s, c, g) for x in (((0, 8), 2), ((2, 6), 3)) for s in ("robust", "standard", "none") for c in ((), ("origin",), ("family", "origin")) for g in (2,)]]
+    some += [specs.Spec("rows", (0, 8), rows="origin <> 1"), specs.Spec("wide", (0, 8), g=20)]
+    assert len(some) == 20
+    many = specs.time_tests(df, registry, some, perms=9)
+    assert len(many) == 40
+    for s in some[::3] + some[-2:]:
+        alone = specs.time_tests(df, registry, [s], perms=9)
+        for r in alone:
+            (same,) = [m for m in many if m["spec"] == s.name and m["family"] == r["family"]]
+            assert {k: v for k, v in same.items() if k != "variant"} == pytest.approx({k: v for k, v in r.items() if k != "variant"}, abs=2e-4, nan_ok=True)
+    mean, axes = specs.maps(df, [some[0]])[0]
+    x = np.array([r[3] for r in rows])
+    iqr = np.subtract(*np.percentile(x, [75, 25], axis=0))
+    scaled = (x - x.mean(0)) / iqr
+    _, _, v = np.linalg.svd(scaled, full_matrices=False)
+    assert np.allclose(np.abs((x - mean) @ axes), np.abs(scaled @ v[:2].T), atol=1e-6)
