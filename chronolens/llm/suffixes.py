@@ -49,6 +49,7 @@ PART_STRINGS = 100_000
 MAX_PARTS = 10_000
 PER_SPLITTER = 16
 HOT, HOT_ANCHORS = 1000, 10_000
+SENT = 500_000
 RESULTS = ("n_bytes", "removed", "kept")
 _BASE = 0x9E3779B97F4A7C15
 _PAD = 0xFF
@@ -458,8 +459,9 @@ def _splitters(texts: DataFrame, wanted: DataFrame, forms: list[Form], part_stri
 
 
 def _runs(texts: DataFrame, wanted: DataFrame, form: Form, cuts: list[bytes], run_strings: int) -> DataFrame:
-    """Front-coded slices of sorted runs of the strings wanted."""
+    """Front-coded slices of sorted runs of the strings wanted. Up to SENT places go to the texts, beyond that both meet by a shuffle."""
     places = wanted.groupBy("key").agg(F.collect_list("at").alias("at"))
+    places = F.broadcast(places) if wanted.limit(SENT + 1).count() <= SENT else places.hint("merge")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, at, found in contexts(batches, form.before, form.after, run_strings):
@@ -504,7 +506,7 @@ def _kept(keyed: DataFrame, spans: DataFrame, rest: list[str], key: str, z: str)
     span = "array<struct<start:bigint,end:bigint>>"
     schema = T.StructType([*[keyed.schema[c] for c in rest], *T._parse_datatype_string(f"n_bytes bigint, removed {span}, kept binary").fields])
     of, found = free_name(keyed, "of"), free_name(keyed, "spans")
-    rows = keyed.join(spans.select(F.col("key").alias(of), F.col("spans").alias(found)), F.col(f"`{key}`") == F.col(of), "left")
+    rows = keyed.join(spans.select(F.col("key").alias(of), F.col("spans").alias(found)).hint("merge"), F.col(f"`{key}`") == F.col(of), "left")
     rows = rows.select(*[F.col(f"`{c}`") for c in rest], "n_bytes", F.coalesce(F.col(found), F.array().cast(span)).alias("removed"), z)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
