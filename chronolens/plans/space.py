@@ -306,16 +306,22 @@ def q_bin_components(spark, d):
 
 @query()
 def q_cell_divergence(spark, d):
-    """Held-out divergence of (generator, origin) cells against their gap in release date: rank correlation and p by permuted dates."""
+    """Held-out divergence of (generator, origin) cells against their gap in release date, over all pairs and over those that share an
+    origin, which origin can't explain: rank correlation, and p by the same permuted dates for both."""
     v = reduced(spark, d).withColumn("cell", F.col("generator") * 10 + F.col("origin"))
     pairs = mixture.divergence(v, "vec_id", "cell", ["family"]).withColumn("a", F.floor(F.col("cell_a") / 10).cast("int")).withColumn("b", F.floor(F.col("cell_b") / 10).cast("int")).where("a <> b").persist()
     days = v.select("family", "generator", "release_date").distinct().withColumn("day", F.unix_date("release_date"))
     dealt = days.withColumn("perm", F.lit(0)).select("perm", "family", "generator", F.col("day").alias("shuffled")).unionByName(ranks.permuted(days, "generator", "day", ["family"], 1000))
     a, b = (dealt.select("perm", "family", F.col("generator").alias(s), F.col("shuffled").alias(f"day_{s}")) for s in "ab")
     gaps = pairs.join(F.broadcast(a), ["family", "a"]).join(F.broadcast(b), ["perm", "family", "b"]).withColumn("gap", F.abs(F.col("day_a") - F.col("day_b")))
-    rho = ranks.with_ranks(gaps, ["divergence", "gap"], ["perm", "family"]).groupBy("perm", "family").agg(F.corr("rank_divergence", "rank_gap").alias("rho"), F.count("*").alias("n_pairs"))
-    seen = rho.where("perm = 0").select("family", "n_pairs", F.col("rho").alias("spearman"))
-    return rho.where("perm > 0").select("family", "rho").join(F.broadcast(seen), "family").groupBy("family").agg(F.first("n_pairs").alias("n_pairs"), r6(F.first("spearman")).alias("spearman"), r6(F.avg("rho")).alias("null_mean"), r6((1 + F.count_if(F.col("rho") >= F.col("spearman") - 1e-12)) / (1.0 + F.count("*"))).alias("p"))
+    arms = F.filter(F.array(F.lit("all"), F.when(F.col("cell_a") % 10 == F.col("cell_b") % 10, "same origin")), lambda x: x.isNotNull())
+    by = ["perm", "family", "pairs"]
+    rho = ranks.with_ranks(gaps.withColumn("pairs", F.explode(arms)), ["divergence", "gap"], by).groupBy(*by).agg(F.corr("rank_divergence", "rank_gap").alias("rho"), F.count("*").alias("n_pairs"))
+    rho = rho.withColumn("rho", F.when(F.col("n_pairs") >= 4, F.col("rho")))  # pairs of cells, a row for each pair and order
+    seen = rho.where("perm = 0").select("family", "pairs", "n_pairs", F.col("rho").alias("spearman"))
+    null = rho.where("perm > 0").select("family", "pairs", "rho").join(F.broadcast(seen), ["family", "pairs"]).groupBy("family", "pairs")
+    p = F.when(F.first("spearman").isNotNull(), (1 + F.count_if(F.col("rho") >= F.col("spearman") - 1e-12)) / (1.0 + F.count("*")))
+    return null.agg(F.first("n_pairs").alias("n_pairs"), r6(F.first("spearman")).alias("spearman"), r6(F.avg("rho")).alias("null_mean"), r6(F.percentile("rho", 0.95)).alias("null_q95"), r6(p).alias("p"))
 
 
 def registry_of(v):

@@ -40,9 +40,6 @@ def test_query_is_its_sql(spark, duck, name):
     assert got == want or all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-5 * max(1, abs(x))) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
 
 
-SLOW = {"q_planted_power"}
-
-
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
 def test_query_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
