@@ -11,7 +11,7 @@ Scoring. A known word scores its log relative frequency in each language. An unk
 longest n-grams of which any is known: the mean log relative frequency of those n-grams. A language that
 lacks the word or n-gram gets a floor, the same for all languages. A document adds its words' scores; the prediction is the best language
 and the score its share in a softmax of the mean score per word over at most `EVIDENCE` words. Scoring covers
-every word of the whole text, in pieces of about a million characters; a batch of texts is scored at once.
+every word of the whole text, in pieces of about 250,000 characters; texts of a batch are taken out of it piece by piece.
 
 Edge cases: null text, empty text and text without a letter are `und` with score 0. Ties go to the language
 that sorts first. Without any labelled row every text is `und`, and without texts there is no row. Null labels aren't
@@ -24,12 +24,13 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,7 +43,8 @@ ORDERS = (4, 3, 2, 1)
 EVIDENCE = 30
 MAX_BROADCAST = 20_000  # languages whose shares are sent to the tasks; of more, the join is an ordinary one
 UND = "und"
-_PIECE = 1 << 20
+_PIECE = 1 << 18
+_HELD = 400_000  # rows of counts that a task of the fit holds before it adds them up
 _BREAK = re.compile(r"[\s\d]")
 _U = np.uint64
 _MODELS: dict = {}
@@ -60,7 +62,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pieces(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The texts in lower case as code points, about _PIECE at a time, with the number of the text of each; texts end in a line break."""
     held, of, size = [], [], 0
     for i, t in enumerate(texts):
@@ -165,9 +167,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_doc
             for lang, texts in b.groupby("lang", sort=False)["text"]:
                 for part in _counted(texts.tolist()):
                     held.append(part.assign(lang=number[lang]))
-                    if sum(map(len, held)) > 1_500_000:
+                    if sum(map(len, held)) > _HELD:
                         held = [pd.concat(held).groupby(["lang", "n", "token"], as_index=False)["c"].sum()]
-                        if len(held[0]) > 750_000:
+                        if len(held[0]) > _HELD // 2:
                             yield held.pop()[["lang", "n", "token", "c"]]
         if held:
             yield pd.concat(held).groupby(["lang", "n", "token"], as_index=False)["c"].sum()[["lang", "n", "token", "c"]]
@@ -228,10 +230,11 @@ class Scorer:
             left = left[m == 0]
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Prediction and score of each text."""
+    def score(self, texts: Iterable[str | None], size: int | None = None) -> tuple[list[str], np.ndarray]:
+        """Prediction and score of each text; `size` says how many there are where they have no length."""
+        size = len(texts) if size is None else size
         langs = max(1, len(self.langs))
-        total, n, lettered = np.zeros((len(texts), langs)), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        total, n, lettered = np.zeros((size, langs)), np.zeros(size), np.zeros(size, bool)
         for piece in pieces(texts):
             words = Words(*piece)
             lettered[words.lettered] = True
@@ -248,22 +251,22 @@ class Scorer:
             n[low : low + texts_in] += np.bincount(words.of - low, minlength=texts_in)
         x = total / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE)[:, None]
         best = x.argmax(axis=1)
-        share = 1.0 / np.exp(x - x[np.arange(len(x)), best][:, None]).sum(axis=1) if len(x) else np.zeros(0)
+        share = 1.0 / np.exp(x - x[np.arange(size), best][:, None]).sum(axis=1)
         given = lettered & (n > 0) & bool(self.langs)
-        return [self.langs[b] if g else UND for b, g in zip(best, given, strict=True)], [float(s) if g else 0.0 for s, g in zip(share, given, strict=True)]
+        return [self.langs[b] if g else UND for b, g in zip(best, given, strict=True)], np.where(given, share, 0.0)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score."""
     name, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(text: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(text: pa.Array) -> pa.Array:
         if name not in _MODELS:
             _MODELS.clear()
             _MODELS[name] = Scorer(sent.value)
-        lang, score = _MODELS[name].score(text.tolist())
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        lang, score = _MODELS[name].score((t.as_py() for t in text), len(text))
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {"lang_pred", "score"}])
     found = free_name(docs, "found")
