@@ -23,16 +23,17 @@ words, nothing). Two documents link when den * intersection >= num * union.
 Edge cases: null or empty text, or text of white space, has 0 shingles and is a class of its own. Repeated rows
 are in one class. A null id never names a class while the class has another id. Ties of ids are equal ids. A very long
 text has as many shingles as it has; it is compared whole. An empty table gives an empty result. Other columns pass through
-keep_one() as they are, whatever their names; link() reads none of them. Of rows equal in id and text one stays, whichever.
+keep_one() as they are, whatever their names; link() reads none of them. Of rows equal in id and text one stays (keep_one says which).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,7 +43,7 @@ from .common import free_name, materialize, most_frequent, release, remove, row_
 CROWD = 32
 HOT = 24
 MAX_HOT = 200_000
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18
 _U = np.uint64
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
@@ -53,7 +54,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> list[np.ndarray]:
     """base ** i and base ** -i modulo 2 ** 64, for i below n."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, _CHUNK + (1 << 17))
+        size = max(n, _CHUNK + (1 << 16))
         _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, b, _U)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _POWERS
 
@@ -64,18 +65,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def sets_of(texts: list[str | None], k: int) -> list[np.ndarray]:
-    """The sorted shingle hashes of each text."""
-    out: list[np.ndarray] = []
+def sets_of(texts: Iterable[str | None], k: int) -> Iterator[np.ndarray]:
+    """The sorted shingle hashes of each text; about _CHUNK bytes of texts are hashed at a time."""
     held: list[bytes] = []
     size = 0
     for t in texts:
         held.append(t.encode("utf-8", "replace") if t else b"")
         size += len(held[-1]) + 1
         if size > _CHUNK:
-            out += _sets(held, k)
+            yield from _sets(held, k)
             held, size = [], 0
-    return out + _sets(held, k) if held else out
+    if held:
+        yield from _sets(held, k)
 
 
 def _sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -127,7 +128,7 @@ def frequent(docs: DataFrame, text_col: str, k: int, num: int, den: int, hot: in
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            firsts = [s[: prefix_length(len(s), num, den) * 5 // 4 + 1] for s in sets_of(b["t"].tolist(), k) if len(s)]
+            firsts = [s[: prefix_length(len(s), num, den) * 5 // 4 + 1].copy() for s in sets_of(b["t"], k) if len(s)]
             if firsts:
                 token, c = np.unique(np.concatenate(firsts), return_counts=True)
                 yield pd.DataFrame({"token": token, "c": c})
@@ -141,19 +142,24 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, de
     """For each document: id, rk (of id and text), n, digest of the set, and its prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
-    @F.pandas_udf("n int, digest binary, prefix array<long>")
-    def sign(text: pd.Series) -> pd.DataFrame:
-        often, rows = sent.value, []
-        for s in sets_of(text.tolist(), k):
+    @F.arrow_udf("n int, digest binary, prefix array<long>")
+    def sign(text: pa.Array) -> pa.Array:
+        often, sizes, digests, prefixes = sent.value, [], [], [np.zeros(0, np.int64)]
+        for s in sets_of((t.as_py() for t in text), k):
+            sizes.append(len(s))
             if not len(s):
-                rows.append((0, None, s))
+                digests.append(None)
+                prefixes.append(s)
                 continue
             order = s
             if len(often):
                 is_hot = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
                 order = np.concatenate([s[~is_hot], s[is_hot]])
-            rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), order[: prefix_length(len(s), num, den)]))
-        return pd.DataFrame(rows, columns=["n", "digest", "prefix"])
+            digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            prefixes.append(order[: prefix_length(len(s), num, den)].copy())
+        ends = np.cumsum([len(p) for p in prefixes], dtype=np.int32)
+        prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), prefix], ["n", "digest", "prefix"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), text).alias("rk"), sign(text).alias("s")).select("id", "rk", "s.n", "s.digest", "s.prefix")
@@ -165,7 +171,7 @@ def rare_first(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 500):
-                sets = sets_of(b["text"].iloc[at : at + 500].tolist(), k)
+                sets = list(sets_of(b["text"].iloc[at : at + 500], k))
                 n = np.array([len(s) for s in sets], dtype=np.int32)
                 yield pd.DataFrame({"node": np.repeat(b["node"].iloc[at : at + 500].to_numpy(), n), "n": np.repeat(n, n), "token": np.concatenate(sets)})
 
@@ -233,7 +239,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            left, right = sets_of(b["ta"].tolist(), k), sets_of(b["tb"].tolist(), k)
+            left, right = sets_of(b["ta"], k), sets_of(b["tb"], k)
             keep = []
             for s, t in zip(left, right, strict=True):
                 inter = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
