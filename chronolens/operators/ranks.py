@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.exprs import corr
 from .lineage import written
 
 
@@ -87,7 +88,7 @@ def spearman_matrix(df: DataFrame, columns: list[str], by: list[str]) -> DataFra
     """(by, a, b, rho) for each pair of columns, from ranks within `by`; rows with a null in one of them stay out."""
     ranks = ranked_columns(written(df.select(*by, *columns).dropna(subset=columns), "ranked"), columns, by)
     pairs = list(combinations(columns, 2))
-    wide = ranks.groupBy(*by).agg(*[F.corr(f"rank_{a}", f"rank_{b}").alias(f"{a}~{b}") for a, b in pairs])
+    wide = ranks.groupBy(*by).agg(*[corr(f"rank_{a}", f"rank_{b}").alias(f"{a}~{b}") for a, b in pairs])
     long = wide.unpivot(by, [f"{a}~{b}" for a, b in pairs], "pair", "rho")
     return long.select(*by, F.split_part("pair", F.lit("~"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("~"), F.lit(2)).alias("b"), "rho")
 

@@ -36,7 +36,7 @@ def q_size_trend(spark, d):
     side = X.short_side(F.col("source_width"), F.col("source_height")).cast("double")
     g = V.scored(spark, d).where("label = 1").groupBy("family", "generator", F.unix_date("release_date").alias("t")).agg(F.median(side).alias("m"))
     k = ranks.with_ranks(g, ["t", "m"], ["family"])  # a row a generator
-    return k.groupBy("family").agg(F.count("*").alias("n"), r6(F.corr("rank_t", "rank_m")).alias("rho"))
+    return k.groupBy("family").agg(F.count("*").alias("n"), r6(X.corr("rank_t", "rank_m")).alias("rho"))
 
 
 @query(f"""WITH {S} SELECT source, count(*) AS count, round(avg(source_width), 6) AS mean, round(stddev_samp(source_width), 6) AS std, CAST(min(source_width) AS BIGINT) AS min, round(quantile_cont(source_width, 0.25), 6) AS q25,
@@ -96,8 +96,8 @@ def q_trend_tests(spark, d):
     m = V.scored(spark, d).where("label = 1").withColumn("t", F.unix_date("release_date"))
     g = m.groupBy("generator", "t").agg(*[F.median(c).alias(c) for c in V.SCORES]).unpivot(["generator", "t"], V.SCORES, "detector", "m")  # a row a generator and score
     k = ranks.with_ranks(g, ["t", "m"], ["detector"])
-    null = ranks.permuted(k, "generator", "rank_t", ["detector"], 1000).join(k.select("detector", "generator", "rank_m"), ["detector", "generator"]).groupBy("detector", "perm").agg(F.corr("rank_m", "shuffled").alias("null"))
-    seen = k.groupBy("detector").agg(F.corr("rank_t", "rank_m").alias("rho"), (F.count("*") - F.count_distinct("m")).alias("ties")).where("rho IS NOT NULL AND NOT isnan(rho)")
+    null = ranks.permuted(k, "generator", "rank_t", ["detector"], 1000).join(k.select("detector", "generator", "rank_m"), ["detector", "generator"]).groupBy("detector", "perm").agg(X.corr("rank_m", "shuffled").alias("null"))
+    seen = k.groupBy("detector").agg(X.corr("rank_t", "rank_m").alias("rho"), (F.count("*") - F.count_distinct("m")).alias("ties")).where("rho IS NOT NULL AND NOT isnan(rho)")
     p = null.join(F.broadcast(seen), "detector").groupBy("detector").agg(F.first("rho").alias("rho"), F.first("ties").alias("ties"), ((1 + F.count_if(F.abs("null") >= F.abs("rho") - 1e-12)) / (1.0 + F.count("*"))).alias("p"))
     h = ranks.holm(p.withColumn("all", F.lit(1)).select("all", "detector", "rho", "ties", "p"), "p", ["all"])
     return h.select("detector", r6("rho").alias("rho"), "ties", r6("p").alias("p"), r6("holm").alias("holm"), F.when(F.col("holm") < 0.05, "trend").otherwise("no trend shown").alias("verdict"))

@@ -316,8 +316,8 @@ def q_cell_divergence(spark, d):
     gaps = pairs.join(F.broadcast(a), ["family", "a"]).join(F.broadcast(b), ["perm", "family", "b"]).withColumn("gap", F.abs(F.col("day_a") - F.col("day_b")))
     arms = F.filter(F.array(F.lit("all"), F.when(F.col("cell_a") % 10 == F.col("cell_b") % 10, "same origin")), lambda x: x.isNotNull())
     by = ["perm", "family", "pairs"]
-    rho = ranks.with_ranks(gaps.withColumn("pairs", F.explode(arms)), ["divergence", "gap"], by).groupBy(*by).agg(F.corr("rank_divergence", "rank_gap").alias("rho"), F.count("*").alias("n_pairs"))
-    rho = rho.withColumn("rho", F.when(F.col("n_pairs") >= 4, F.col("rho")))  # pairs of cells, a row for each pair and order
+    rho = ranks.with_ranks(gaps.withColumn("pairs", F.explode(arms)), ["divergence", "gap"], by).groupBy(*by).agg(X.corr("rank_divergence", "rank_gap").alias("rho"), F.count("*").alias("n_pairs"))
+    rho = rho.withColumn("rho", F.when((F.col("n_pairs") >= 4) & ~F.isnan("rho"), F.col("rho")))  # pairs of cells, a row for each pair and order
     seen = rho.where("perm = 0").select("family", "pairs", "n_pairs", F.col("rho").alias("spearman"))
     null = rho.where("perm > 0").select("family", "pairs", "rho").join(F.broadcast(seen), ["family", "pairs"]).groupBy("family", "pairs")
     p = F.when(F.first("spearman").isNotNull(), (1 + F.count_if(F.col("rho") >= F.col("spearman") - 1e-12)) / (1.0 + F.count("*")))
@@ -457,4 +457,4 @@ def q_spec_patterns(spark, d):
     both = written(g, "excess")
     pairs = both.join(both.where("spec = 'primary'").select("cell", F.col("v").alias("primary")), "cell")  # a row a specification and cell
     k = ranks.with_ranks(pairs, ["v", "primary"], ["spec"])
-    return k.groupBy("spec").agg(F.count("*").alias("cells"), r6(F.corr("rank_v", "rank_primary")).alias("rho"))
+    return k.groupBy("spec").agg(F.count("*").alias("cells"), r6(X.corr("rank_v", "rank_primary")).alias("rho"))

@@ -269,7 +269,7 @@ SELECT detector, round(regr_slope(score, f), 4) AS slope, round(corr(f, score),
 FROM (UNPIVOT a ON s1, s2, s3, s4, s5 INTO NAME detector VALUE score) GROUP BY detector""")
 def q_residual_slopes(spark, d):
     a = V.scored(spark, d).where("label = 0").withColumn("f", F.log10(X.area_fraction(F.col("source_width"), F.col("source_height"), 200)))
-    g = a.unpivot("f", V.SCORES, "detector", "score").groupBy("detector").agg(F.regr_slope("score", "f").alias("b"), F.corr("f", "score").alias("rho"))
+    g = a.unpivot("f", V.SCORES, "detector", "score").groupBy("detector").agg(F.regr_slope("score", "f").alias("b"), X.corr("f", "score").alias("rho"))
     return g.select("detector", F.round("b", 4).alias("slope"), r6("rho").alias("rho"), F.when(F.col("b") < 0, "helps").otherwise("hurts").alias("residual"))
 
 
@@ -309,8 +309,8 @@ SELECT round(any_value(o.rho), 6) AS rho, round(avg(n.rho), 6) AS null_mean, rou
 def q_spearman_perm(spark, d):
     g = V.scored(spark, d).where("label = 1").groupBy("generator", "release_date").agg(F.median("s1").alias("m")).withColumn("t", F.unix_date("release_date"))
     k = ranks.with_ranks(g.withColumn("one", F.lit(1)), ["t", "m"], ["one"])  # a row for each generator
-    null = ranks.permuted(k, "generator", "rank_t", ["one"], 200).join(k.select("generator", "rank_m"), "generator").groupBy("perm").agg(F.corr("rank_m", "shuffled").alias("null"))
-    observed = k.agg(F.corr("rank_t", "rank_m").alias("rho"))
+    null = ranks.permuted(k, "generator", "rank_t", ["one"], 200).join(k.select("generator", "rank_m"), "generator").groupBy("perm").agg(X.corr("rank_m", "shuffled").alias("null"))
+    observed = k.agg(X.corr("rank_t", "rank_m").alias("rho"))
     both = null.join(F.broadcast(observed))
     return both.agg(
         r6(F.first("rho")).alias("rho"), r6(F.avg("null")).alias("null_mean"), r6((1 + F.count_if(F.abs("null") >= F.abs("rho") - 1e-12)) / (1.0 + F.count("*"))).alias("p"), r6(F.percentile(F.abs("null"), 0.95)).alias("critical")
