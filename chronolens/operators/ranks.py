@@ -127,8 +127,9 @@ def row_grain_null(df: DataFrame, group: str, value: str, perms: int, seed: int
     Ranks with ties are those of distinct values. The statistic needs, of each group, the sum of the ranks that it gets. Ranks are cut
     into ranges of about `range_rows` rows; how many rows of a range each group gets is a multivariate hypergeometric draw for each
     permutation, on the driver: ranges x groups numbers, at most 256 ranges. Given these, ranges are independent: the task of a range deals
-    its own ranks out and returns a sum for each permutation. Rows with a null in either stay out; a constant column gives NaN."""
-    spark, rows = df.sparkSession, df.dropna(subset=[group, value])
+    its own ranks out and returns a sum for each permutation. Rows with a null in either stay out; a constant column gives NaN.
+    Rows meet their ranks by value, so both columns are written first: a sum of doubles computed again can differ in its last bits."""
+    spark, rows = df.sparkSession, written(df.select(group, value).dropna(), "rows")
     sizes = {r[0]: r[1] for r in rows.groupBy(group).count().orderBy(group).collect()}
     names, counts = list(sizes), np.array(list(sizes.values()), "int64")
     n = int(counts.sum())

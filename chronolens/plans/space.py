@@ -412,7 +412,7 @@ def q_granularity(spark, d):
 def q_pseudo_replication(spark, d):
     """The trend of each score with release date over generators and over items, each with a permutation null of its own grain: the second
     counts items as independent and shows how far that overstates."""
-    m = V.scored(spark, d).where("label = 1").withColumn("day", F.unix_date("release_date"))
+    m = written(V.scored(spark, d).where("label = 1").select("generator", F.unix_date("release_date").alias("day"), *V.SCORES), "items")
     out = []
     for c in V.SCORES:
         g = m.groupBy("generator", "day").agg(F.median(c).alias("m"))

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -24,6 +25,15 @@ def test_correlations_of_columns_that_do_not_vary(spark):
     assert matrix["line"] == pytest.approx(1) and math.isnan(matrix["flat"])
 
 
+def test_row_nulls_of_values_that_differ_when_computed_again(spark):
+    """As sums of doubles do in their last bits, whenever their terms arrive in another order."""
+    noise = F.udf(lambda v: v + 1e-9 * random.SystemRandom().random(), "double").asNondeterministic()
+    df = spark.range(40).select((F.col("id") % 20).alias("day"), noise(F.col("id").cast("double")).alias("v"))
+    rho, null = ranks.row_grain_null(df, "day", "v", 20)
+    exact, same = ranks.row_grain_null(spark.range(40).select((F.col("id") % 20).alias("day"), F.col("id").alias("v")), "day", "v", 20)
+    assert rho == pytest.approx(exact) and null == pytest.approx(same)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_trends_of_a_score_with_equal_medians(spark):
     """On this table the medians of a score are all equal."""
