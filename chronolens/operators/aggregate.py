@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..functions.exprs import md5_uniform
 from .ranks import positions
 
+DRAWS = 10_000
+
 
 def availability(families: DataFrame, dates: DataFrame) -> DataFrame:
     """(T, family) for each date T of the grid and each family out by then; both tables are registries."""
@@ -52,13 +54,19 @@ def tstar_table(tstar: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def multiplicity(curve: DataFrame, truth: DataFrame, boot: int, seed: int = 0) -> DataFrame:
-    """For each date: the mean of the maximum over authentic items, with 2.5 and 97.5 % points of a bootstrap over items."""
+    """For each date: the mean of the maximum over authentic items, with 2.5 and 97.5 % points of a bootstrap over items.
+
+    Draws are made where they are used, `DRAWS` in a row of work. Spark takes them for as few rows as there are dates and would send
+    them through the driver as a broadcast, so the join is one of sorted sides."""
     d = curve.join(truth.where("y = 0"), "item")
     d = positions(d.select("T", "item", "max"), ["T"], ["item"], "slot").withColumn("slot", F.col("slot") - 1)
     n = d.groupBy("T").agg(F.count("*").alias("n"), F.avg("max").alias("mean"))
     pick = F.floor(md5_uniform(F.lit(seed), F.unix_date("T"), F.col("rep"), F.col("k")) * F.col("n")).cast("int")
-    draws = n.select("T", "n", F.explode(F.sequence(F.lit(1), F.lit(boot))).alias("rep")).select("T", "n", "rep", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k")).select("T", "rep", pick.alias("slot"))
-    means = draws.join(d.select("T", "slot", "max"), ["T", "slot"]).groupBy("T", "rep").agg(F.avg("max").alias("b"))
+    reps = n.select("T", "n", F.explode(F.sequence(F.lit(1), F.lit(boot))).alias("rep"))
+    parts = reps.select("T", "n", "rep", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"), F.lit(DRAWS))).alias("first"))
+    parts = parts.repartition(4 * d.sparkSession.sparkContext.defaultParallelism, "T", "rep", "first")  # a row for each DRAWS draws
+    draws = parts.select("T", "n", "rep", F.explode(F.sequence("first", F.least(F.col("first") + DRAWS - 1, F.col("n").cast("int")))).alias("k")).select("T", "rep", pick.alias("slot"))
+    means = draws.join(d.select("T", "slot", "max").hint("merge"), ["T", "slot"]).groupBy("T", "rep").agg(F.avg("max").alias("b"))
     ends = means.groupBy("T").agg(F.percentile("b", 0.025).alias("lo95"), F.percentile("b", 0.975).alias("hi95"))
     return n.join(ends, "T")
 
