@@ -7,8 +7,9 @@ same passes over the rows, as matrices in the tasks:
 
 - A Newton step is one pass that returns a row of sums for each model and task, added up by model; the driver solves one small
   system a model. Steps begin at the models of a bounded sample of rows, which only saves passes: they end at the same optimum.
-- Calibrators need scores in order, so each task adds up the weights of equal (model, score) and Spark pools them by range
-  (calibrate.pooled). This is the only place where a row counts once for each model.
+- Calibrators need scores in order. This is the only place where a row counts once for each model, so scores travel packed: a task
+  sends one sorted array of scores, with counts of equal ones, for each model, range of scores and label, and they are shuffled
+  once, into ranges of about `RANGE` scores that are pooled where they lie.
 - Ratios of a row under all models are one array column, from one pass. Blocks of calibrators go to the tasks up to a
   number of rows; beyond it scores meet them in a join by range.
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ from . import calibrate
 
 SAMPLE = 20_000
 KNOTS = 500_000
+BUFFER, RANGE = 4_000_000, 500_000
 
 
 @dataclass
@@ -142,25 +145,86 @@ def fit(rows: DataFrame, models: Models, features: list[str], steps: int = 25, t
     return beta, n0, n1
 
 
+def _cuts(data: DataFrame, models: Models, beta: np.ndarray, features: list[str], n: np.ndarray) -> list[np.ndarray]:
+    """For each model the scores that part its ranges of about `RANGE` of its n scores. They come from a bounded sample: nothing but the sizes of the ranges depends on them."""
+    ranges, none = np.ceil(np.nan_to_num(n) / RANGE).astype(int), np.zeros(0)
+    if ranges.max(initial=0) < 2:
+        return [none] * len(beta)
+    share = min(1.0, SAMPLE / max(1, data.count()))
+    drawn = data.where(F.pmod(F.xxhash64(*data.columns), F.lit(1 << 30)) < int((1 << 30) * share)).toArrow().combine_chunks().to_batches()
+    if not drawn:
+        return [none] * len(beta)
+    x, source, fold = _columns(drawn[0], features)
+    score, on = beta @ x.T, models.learns(source, fold).T & np.isfinite(x).all(1)
+    seen = [s[o & np.isfinite(s)] for s, o in zip(score, on, strict=True)]
+    return [np.unique(np.quantile(s, np.arange(1, r) / r)) if r > 1 and len(s) else none for s, r in zip(seen, ranges.tolist(), strict=True)]
+
+
+def _packed(values: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(range, its distinct scores in order, how often each comes up: a byte each where that is enough, else eight)."""
+    lo, n = np.unique(values, return_counts=True)
+    ends = [0, *np.searchsorted(lo, cuts).tolist(), len(lo)]
+    for part, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        if a < b:
+            yield part, lo[a:b].tobytes(), n[a:b].astype("uint8" if n[a:b].max() < 256 else "int64").tobytes()
+
+
+def _unpacked(scores: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    lo = np.frombuffer(scores)
+    return lo, np.frombuffer(counts, "uint8" if len(counts) == len(lo) else "int64").astype("int64")
+
+
 def blocks(rows: DataFrame, models: Models, beta: np.ndarray, features: list[str], n0: np.ndarray, n1: np.ndarray) -> DataFrame:
     """(model, lo, hi, w, w1): the blocks of each model's isotonic calibrator, on the rows it learned from."""
+    data, names = _inputs(rows, features), ["model", "part", "one", "scores", "counts"]
     with np.errstate(divide="ignore"):
         w0, w1 = 0.5 / n0, 0.5 / n1
+    cuts = _cuts(data, models, beta, features, n0 + n1)
+
+    def send(held: list[tuple[list, list]]) -> Iterator[pa.RecordBatch]:
+        for k, of in enumerate(held):
+            found = [(k, part, bool(one), lo, n) for one, values in enumerate(of) if values for part, lo, n in _packed(np.concatenate(values), cuts[k])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [([], []) for _ in beta], 0
         for b in batches:
             x, source, fold = _columns(b, features)
-            score, on, y = x @ beta.T, models.learns(source, fold), source > 0
-            parts = []
-            for k in range(len(beta)):
-                use = on[:, k] & np.isfinite(score[:, k])
-                lo, of = np.unique(score[use, k], return_inverse=True)
-                ones, n = np.bincount(of, y[use], len(lo)), np.bincount(of, minlength=len(lo))
-                parts.append((np.full(len(lo), k, "int32"), lo, ones * w1[k] + (n - ones) * w0[k], ones * w1[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["model", "lo", "w", "w1"])
-
-    hist = _inputs(rows, features).mapInArrow(each, "model int, lo double, w double, w1 double")
-    return calibrate.pooled(hist.groupBy("model", "lo").agg(F.sum("w").alias("w"), F.sum("w1").alias("w1")), ["model"])
+            score, y = beta @ x.T, source > 0
+            on = np.ascontiguousarray(models.learns(source, fold).T) & np.isfinite(score)
+            for k, of in enumerate(held):
+                for one, use in enumerate((on[k] & ~y, on[k] & y)):
+                    if len(values := score[k][use]):
+                        of[one].append(values)
+                        size += len(values)
+            if size > BUFFER:
+                yield from send(held)
+                held, size = [([], []) for _ in beta], 0
+        yield from send(held)
+
+    def here(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unpacked(s, c) for s, c in zip(rows["scores"], rows["counts"], strict=True)]
+        lo, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        ones = n * np.repeat(rows["one"].to_numpy(), [len(p[0]) for p in parts])
+        order = np.argsort(lo)
+        lo = lo[order]
+        first = np.flatnonzero(np.append(True, lo[1:] > lo[:-1]))
+        lo = lo[first]
+        # Shares by counts rise where those by weights do, and counts are added without rounding.
+        pooled = calibrate._pooled(np.column_stack([lo, lo, np.add.reduceat(n[order], first), np.add.reduceat(ones[order], first)]))
+        return pd.DataFrame(pooled, columns=calibrate.BLOCK).assign(model=rows["model"].iloc[0])
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        k = int(rows["model"].iloc[0])
+        pooled = calibrate._pooled(rows.sort_values("lo")[calibrate.BLOCK].to_numpy())
+        zeros, ones = (pooled[:, 2] - pooled[:, 3]) * w0[k], pooled[:, 3] * w1[k]
+        return pd.DataFrame({"model": k, "lo": pooled[:, 0], "hi": pooled[:, 1], "w": zeros + ones, "w1": ones})
+
+    tasks = max(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(np.nansum(n0 + n1) / (4 * RANGE)))
+    sent = data.mapInArrow(each, "model int, part int, one boolean, scores binary, counts binary").repartition(tasks, "model", "part")
+    kinds = "lo double, hi double, w double, w1 double"
+    return sent.groupBy("model", "part").applyInPandas(here, f"{kinds}, model int").groupBy("model").applyInPandas(whole, f"model int, {kinds}")
 
 
 def knots_of(table: DataFrame, n: int) -> list[tuple[np.ndarray, np.ndarray]]:

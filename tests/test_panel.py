@@ -131,3 +131,62 @@ def test_blocks_are_computed_once(spark, tmp_path):
     assert blocks.missing(spark, [("bad", {}, [], [])]) == [0]  # nothing is published by halves
     blocks.clear(spark)
     assert blocks.missing(spark, [spec(2)]) == [0]
+
+
+def records_shuffled(spark):
+    """Rows written to shuffles so far, by stage."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None).iterator()
+    out = {}
+    while stages.hasNext():
+        s = stages.next()
+        out[s.stageId()] = s.shuffleWriteRecords()
+    return out
+
+
+@pytest.mark.parametrize(("size", "buffer"), [(500_000, 4_000_000), (60, 300)])
+def test_calibrators_shuffle_packed_scores_and_pool_them_by_range(spark, items, monkeypatch, size, buffer):
+    """A row for each row and model used to be shuffled, twice."""
+    monkeypatch.setattr(panel, "RANGE", size, raising=False)
+    monkeypatch.setattr(panel, "BUFFER", buffer, raising=False)
+    rows, df = items
+    df, names = panel.numbered(df, "label", "generator")
+    m = models(names)
+    rng = np.random.default_rng(5)
+    beta = rng.normal(0, 1, (len(SPECS), 4))
+    n0, n1 = (np.array([float(sum(r[1] == y and r[3] != held and (not y or r[2] in keep) for r in rows)) for keep, held, _ in SPECS]) for y in (0, 1))
+    df = df.repartition(3).localCheckpoint()
+    before = records_shuffled(spark)
+    found = panel.blocks(df, m, beta, ["a", "b", "c"], n0, n1).collect()
+    sent = sum(n for stage, n in records_shuffled(spark).items() if stage not in before)
+    if size > len(rows):
+        assert sent < len(rows)  # 3 tasks x 6 models x 2 labels, and the blocks
+    for k, (keep, held, _) in enumerate(SPECS):
+        use = [r for r in rows if r[3] != held and (r[1] == 0 or r[2] in keep)]
+        score, y = np.round([beta[k] @ [1.0, *r[4:]] for r in use], 9), np.array([r[1] for r in use])
+        at = np.unique(score)
+        w1 = np.array([y[score == s].sum() * 0.5 / n1[k] for s in at])
+        w = w1 + np.array([(1 - y[score == s]).sum() * 0.5 / n0[k] for s in at])
+        a, b = np.append(0, np.cumsum(w1)), np.append(0, np.cumsum(w))
+        # Isotonic regression by its formula: the greatest over beginnings of the least over ends of the mean between them.
+        mean = np.array([[(a[j + 1] - a[i]) / (b[j + 1] - b[i]) if j >= i else np.inf for j in range(len(at))] for i in range(len(at))])
+        ends = np.minimum.accumulate(mean[:, ::-1], 1)[:, ::-1]
+        expected = np.array([ends[: i + 1, i].max() for i in range(len(at))])
+        mine = sorted((r.lo, r.hi, r.w1 / r.w) for r in found if r.model == k)
+        got = np.array([next(p for lo, hi, p in mine if lo - 1e-6 <= s <= hi + 1e-6) for s in at])
+        assert np.allclose(got, expected, atol=1e-12)
+
+
+def test_falling_runs_are_pooled_like_single_rows():
+    rng = np.random.default_rng(3)
+    for n in (101, 1000, 5000):
+        w = rng.integers(1, 4, n).astype(float)
+        w1 = np.minimum(w, rng.integers(0, 4, n))
+        rows = np.column_stack([np.arange(n), np.arange(n), w, w1])
+        held = []
+        for lo, hi, v, v1 in rows.tolist():
+            while held and held[-1][3] * v >= v1 * held[-1][2]:
+                lo, _, u, u1 = held.pop()
+                v, v1 = v + u, v1 + u1
+            held.append((lo, hi, v, v1))
+        assert np.array_equal(calibrate._pooled(rows), np.array(held))
