@@ -446,19 +446,25 @@ def in_force(specs, dates):
     return out
 
 
+def running(lr, ends, force):
+    """For each date in order: the greatest so far of the ratios `lr`, within the bounds `ends` of their models, that were in force at a date.
+
+    Which models those are doesn't depend on the row, so each date has its list of all models up to then. Ratios are clipped where they
+    are taken: Spark puts an expression in place of a name, and would make a clipped array anew for each element taken from it."""
+    lower, upper = (F.array(*[F.lit(e[k]) for e in ends]) for k in (0, 1))
+    upto = F.array(*[F.array(*[F.lit(m) for m in sorted(set().union(*force[: k + 1]))]) for k in range(len(force))])
+    within = lambda m: X.clip(F.get(lr, m), F.get(lower, m), F.get(upper, m))
+    return F.transform(upto, lambda ms: F.array_max(F.transform(ms, within)))
+
+
 @query()
 def q_truncated_curve(spark, d):
     """For each date and class: the mean running maximum over families of every item's ratios under the models that could be fitted by then."""
     _, specs, lrs, e = truncated(spark, d)
     ends = {x.m: (x.lower, x.upper) for x in e.collect()}
-    limits = F.array(*[F.struct(F.lit(ends[m][0]).alias("lower"), F.lit(ends[m][1]).alias("upper")) for m in range(len(specs))])
     dates = sorted({by for *_, by in specs})
-    force = F.array(*[F.array(*[F.lit(m) for m in ms]) for ms in in_force(specs, dates)])
-    held = lrs.where("split = 'val'").select("label", F.zip_with("lr", limits, lambda x, b: X.clip(x, b["lower"], b["upper"])).alias("lr"))
-    # The maximum at each date in order, and the greatest so far: the models of a family change as its generators come out.
-    now = F.transform(force, lambda ms: F.array_max(F.transform(ms, lambda m: F.get("lr", m))))
-    curve = held.select("label", now.alias("now")).select("label", F.posexplode("now").alias("k", "raw"), "now")
-    run = curve.withColumn("running", F.array_max(F.slice("now", 1, F.col("k") + 1)))
+    lrs = lrs.where("split = 'val'")
+    run = lrs.select("label", F.posexplode(running("lr", [ends[m] for m in range(len(specs))], in_force(specs, dates))).alias("k", "running"))
     names = F.array(*[F.lit(t) for t in dates])
     return run.groupBy(F.get(names, F.col("k")).alias("T"), "label").agg(F.count("*").alias("n"), r6(F.avg("running")).alias("mean_running"), r6(F.avg((F.col("running") >= 2).cast("int"))).alias("share_2"))
 

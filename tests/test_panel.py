@@ -105,6 +105,18 @@ def test_models_in_force():
     assert evidence.in_force(specs, [day(1), day(3), day(4), day(9)]) == [[0], [0, 3], [0, 3], [1, 3]]
 
 
+def test_running_maximum_of_models_in_force(spark):
+    force, ends = [[0], [0, 3], [0, 3], [1, 3]], [(0.5, 4.0), (0.25, 8.0), (1.0, 1.0), (0.1, 2.0)]
+    rows = [[9.0, 0.0, 99.0, 0.1], [0.1, 9.0, 99.0, 7.0], [None, 0.01, 99.0, None], [float("nan"), 1.0, 1.0, 1.0]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, lr array<double>")
+    got = {r.i: r.now for r in df.select("i", evidence.running("lr", ends, force).alias("now")).collect()}
+    assert got[0] == [4.0] * 4 and got[1] == [0.5, 2.0, 2.0, 8.0] and got[2] == [0.5, 0.5, 0.5, 0.5]
+    assert all(math.isnan(x) or x == 4.0 for x in got[3])
+    # The array of ratios is read as it is: an array made from it, put in place of its name, is made anew for each element.
+    plan = df.select("i", F.posexplode(evidence.running("lr", ends, force)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip" not in plan.lower()
+
+
 def test_blocks_are_computed_once(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "in.parquet"))
     built = []
