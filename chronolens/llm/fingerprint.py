@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, materialize, release, table
+from .common import free_name, materialize, release, remove, table
 
 CELLS = 8
 GROWTH = 8
@@ -155,8 +155,9 @@ def differences(pairs: DataFrame, keys: list[str], a: str, b: str, a_sketch: str
     """For each row of `pairs` (keys identify it; a and b are sets of digests): a_only and b_only, from the smallest
     sketches that peel wholly. The first are taken from the columns a_sketch and b_sketch, where given.
 
-    Retries are written to the shared folder, so each works on what failed before and on nothing else."""
-    todo, done, given = pairs, None, a_sketch is not None
+    Retries are written to the shared folder, so each works on what failed before and on nothing else. Tables that the peeling
+    wrote are deleted once they are counted."""
+    spark, todo, done, given, retry = pairs.sparkSession, pairs, None, a_sketch is not None, None
     while True:
         sizes = [F.size(c) for c in (a_sketch, b_sketch)] if given else [SUBTABLES * F.size(c) for c in (a, b)]
         rows, largest = todo.agg(F.sum(sizes[0] + sizes[1]), F.max(F.greatest(F.size(a), F.size(b)))).first()
@@ -170,12 +171,15 @@ def differences(pairs: DataFrame, keys: list[str], a: str, b: str, a_sketch: str
             sides = [cells_of(todo, keys, c, cells) for c in (a, b)]
         counts = tally(peeled_wholly(subtract(*sides, keys), keys, cells), keys)
         tried = materialize(todo.select(*keys).join(counts, keys, "left").fillna(0, ["a_only", "b_only", "left"]), "peeled")
+        remove(spark, counts, *([retry] if retry is not None else []))  # what peeling wrote
+        release(spark)
         good = tried.where("left = 0").drop("left")
         done = good if done is None else done.unionByName(good)
         bad = tried.where("left > 0").select(*keys)
         if bad.isEmpty():
             return done
-        todo, cells, given = materialize(pairs.select(*keys, a, b).join(bad, keys, "left_semi"), "retry"), cells * growth, False
+        retry = materialize(pairs.select(*keys, a, b).join(bad, keys, "left_semi"), "retry")
+        todo, cells, given = retry, cells * growth, False
 
 
 def likeness(a_size: Column, b_size: Column, a_only: Column, b_only: Column) -> Column:
@@ -226,7 +230,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.expr("CAST(length(text) DIV 2 AS INT)")
     rows = with_next(docs, "doc_id", "text").withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[paragraphs(F.col(c)).alias(v) for c, v in (("text", "own"), ("edited", "edited"), ("next_text", "next"))])
-    rows = materialize(rows.withColumn("k", F.monotonically_increasing_id()), "digests")
+    rows = digests = materialize(rows.withColumn("k", F.monotonically_increasing_id()), "digests")
+    release(spark)  # the texts' shuffle: digests are all that is read from here on
     sets = ["own", "edited", "next"]
     total = rows.agg(F.sum(sum((F.size(c) for c in sets), F.lit(0)))).first()[0] or 0
     versions = dealt(rows.select("k", *sets), ["k"], SUBTABLES * total).select("k", F.inline(F.array(*[F.struct(F.lit(v).alias("v"), F.col(v).alias("set")) for v in sets])))
@@ -234,6 +239,9 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast(SKETCH)
     rows = rows.join(sketches, "k", "left").withColumns({f"{v}_sketch": F.coalesce(f"{v}_sketch", none) for v in sets})
     rows = materialize(rows, "sketches")
+    remove(spark, digests)
+    del digests, versions, sketches
+    release(spark)
     pairs = rows.select("k", "own", "own_sketch", F.inline(F.array(*[F.struct(F.lit(v).alias("p"), F.col(v).alias("other"), F.col(f"{v}_sketch").alias("other_sketch")) for v in sets[1:]])))
     near = differences(pairs, ["k", "p"], "own", "other", "own_sketch", "other_sketch").groupBy("k").agg(*[F.max(F.when(F.col("p") == v, F.struct("a_only", "b_only"))).alias(f"d_{v}") for v in sets[1:]])
     size = {v: size_of(F.col(f"{v}_sketch")) for v in sets}

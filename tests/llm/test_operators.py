@@ -3,12 +3,13 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolens.llm import decontaminate, extract, fingerprint, jaccard, langid, lmscore, mixing, ngram, quality, sharding, warc
+from chronolens.llm import common, decontaminate, extract, fingerprint, jaccard, langid, lmscore, mixing, ngram, quality, sharding, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, state string"
 
@@ -180,6 +181,15 @@ def test_fingerprint_query_takes_repeated_and_null_rows(spark, docs, rows, empty
     assert fingerprint.op1_fingerprints(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_fingerprint_query_leaves_no_digests_and_peelings(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    folder = Path(common.shared_folder(spark))
+    before = set(folder.glob("*")) if folder.exists() else set()
+    got = fingerprint.op1_fingerprints(spark, str(tmp_path))
+    left = {f.name.split("-")[0] for f in set(folder.glob("*")) - before}
+    assert not left & {"digests", "peeling", "retry"} and got.count() == docs.count()
+
+
 def test_langid_learns_words_and_backs_off(spark, docs, empty):
     texts = [("the house and the garden", "en"), ("le jardin et la maison", "fr"), ("das haus und der garten", "de")]
     train = spark.createDataFrame([(t, lang) for t, lang in texts for _ in range(3)] + [("x", None), (None, "en")], "text string, lang string")
