@@ -10,7 +10,7 @@ same passes over the rows, as matrices in the tasks:
 - Calibrators need scores in order. This is the only place where a row counts once for each model, so scores travel packed: a task
   sends one sorted array of scores, with counts of equal ones, for each model, range of scores and label, and they are shuffled
   once, into ranges of about `RANGE` scores that are pooled where they lie.
-- Ratios of a row under all models are one array column, from one pass. Blocks of calibrators go to the tasks up to a
+- Ratios of a row under all models are one array column, from one pass; where only their costs are asked for, the tasks add them up. Blocks of calibrators go to the tasks up to a
   number of rows; beyond it scores meet them in a join by range.
 
 Edge cases: a model without rows of both labels has no fit; its coefficients and ratios are NaN. Null or NaN features make a row's
@@ -267,6 +267,32 @@ def apply(rows: DataFrame, beta: np.ndarray, knots: list[tuple[np.ndarray, np.nd
     return rows.mapInArrow(each, schema)
 
 
+def costs(rows: DataFrame, models: Models, beta: np.ndarray, knots: list[tuple[np.ndarray, np.ndarray]], features: list[str], bounds: np.ndarray, of_fold: np.ndarray) -> DataFrame:
+    """(model, cllr): the cost of each model's ratios within `bounds` over the rows of its sources in the fold for which of_fold numbers it; null
+    without rows of both labels. Penalties are added up in the tasks, so a row is never copied for models. NaN ratios count as the upper bound."""
+    which, names = np.asarray(of_fold), ["model", "n0", "n1", "c0", "c1"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(beta), 4))
+        for b in batches:
+            x, source, fold = _columns(b, features)
+            ok = np.isfinite(x).all(1)
+            for f in np.unique(fold).tolist():
+                for k in which[f].tolist():
+                    at = np.flatnonzero((fold == f) & models.keep[k][source])
+                    lr = np.full(len(at), np.inf)
+                    if len(knots[k][0]):
+                        lr = np.where(ok[at], _odds(np.interp(x[at] @ beta[k], *knots[k])), np.inf)
+                    lr, y = np.minimum(np.maximum(lr, bounds[k, 0]), bounds[k, 1]), source[at] > 0
+                    with np.errstate(divide="ignore"):
+                        total[k] += (~y).sum(), y.sum(), np.log2(1 + lr[~y]).sum(), np.log2(1 + 1 / lr[y]).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(beta), dtype="int32")), *[pa.array(c) for c in total.T]], names=names)
+
+    sums = _inputs(rows, features).mapInArrow(each, "model int, n0 double, n1 double, c0 double, c1 double").groupBy("model").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    mean = lambda j: F.when(F.col(f"n{j}") > 0, F.col(f"c{j}") / F.col(f"n{j}"))
+    return sums.select("model", (0.5 * (mean(1) + mean(0))).alias("cllr"))
+
+
 def ratios(rows: DataFrame, key: str, table: DataFrame, beta: np.ndarray, features: list[str], of_fold: np.ndarray | None = None, name: str = "lr", most: int = KNOTS) -> DataFrame:
     """`rows` with an array of ratios, calibrated by the blocks of `table`: sent to the tasks up to `most` blocks, else joined by range."""
     if table.limit(most + 1).count() <= most:

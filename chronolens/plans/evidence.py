@@ -245,6 +245,11 @@ def strengths(spark, d):
     beta, n0, n1 = panel.fit(rows, models, Z)
     table = written(panel.blocks(rows, models, beta, Z, n0, n1), "strengths")
     places = [[i for i, s in enumerate(specs) if s[2] == k] for k in range(FOLDS)]
+    if table.limit(panel.KNOTS + 1).count() <= panel.KNOTS:
+        ends = np.column_stack([1 / np.maximum(1, n1), n0])
+        cost = panel.costs(rows, models, beta, panel.knots_of(table, len(specs)), Z, ends, places).where("cllr IS NOT NULL")
+        names = spark.createDataFrame([(i, f, x) for i, (f, x, _) in enumerate(specs)], "model int, of string, l2 double")
+        return cost.join(F.broadcast(names), "model").groupBy("of", "l2").agg(F.avg("cllr").alias("cost"))
     lrs = panel.ratios(rows, "item_id", table, beta, Z, of_fold=places)
     seen = F.array(*[F.array(*[F.struct(F.lit(specs[i][0]).alias("of"), F.lit(specs[i][1]).alias("l2"), F.lit(float(1 / max(1, n1[i]))).alias("lower"), F.lit(float(n0[i])).alias("upper")) for i in p]) for p in places])
     long = lrs.select("y", "family", "fold", F.posexplode("lr").alias("place", "lr")).withColumn("m", F.get(F.get(seen, F.col("fold")), F.col("place")))

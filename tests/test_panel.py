@@ -202,3 +202,13 @@ def test_falling_runs_are_pooled_like_single_rows():
                 v, v1 = v + u, v1 + u1
             held.append((lo, hi, v, v1))
         assert np.array_equal(calibrate._pooled(rows), np.array(held))
+
+
+def test_costs_of_strengths_are_added_up_without_copies_of_rows(spark, monkeypatch):
+    blocks.clear(spark)
+    got = evidence.strengths(spark, "/root/testdata/sf0.001")
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.of, r.l2): r.cost for r in got.collect()}
+    monkeypatch.setattr(panel, "KNOTS", 0)
+    assert got == pytest.approx({(r.of, r.l2): r.cost for r in evidence.strengths(spark, "/root/testdata/sf0.001").collect()})
+    assert len(got) == 35
