@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialize, remove, table
+from .common import free_name, give_back, materialize, remove, table
 
 WINDOW = 10
 MAX_BYTES = 64 << 20
@@ -156,6 +156,7 @@ def _pass(spark: SparkSession, df: DataFrame, block: list, text_col: str, state:
                     owner.setdefault(window, []).append(item)
             _BUILT[name] = (automaton(owner), bool(owner))
         machine, some = _BUILT[name]
+        give_back()
         rows = []
         for t, hit0, items0 in zip(text, before["hit"], before["items"], strict=True):
             n_words, hit, items = scan(t, machine, some)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, materialize, most_frequent, release, remove, row_hash, table
+from .common import free_name, give_back, materialize, most_frequent, release, remove, row_hash, table
 
 CROWD = 32
 HOT = 24
@@ -128,6 +128,7 @@ def frequent(docs: DataFrame, text_col: str, k: int, num: int, den: int, hot: in
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            give_back()
             firsts = [s[: prefix_length(len(s), num, den) * 5 // 4 + 1].copy() for s in sets_of(b["t"], k) if len(s)]
             if firsts:
                 token, c = np.unique(np.concatenate(firsts), return_counts=True)
@@ -144,6 +145,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, de
 
     @F.arrow_udf("n int, digest binary, prefix array<long>")
     def sign(text: pa.Array) -> pa.Array:
+        give_back()
         often, sizes, digests, prefixes = sent.value, [], [], [np.zeros(0, np.int64)]
         for s in sets_of((t.as_py() for t in text), k):
             sizes.append(len(s))
@@ -170,6 +172,7 @@ def rare_first(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            give_back()
             for at in range(0, len(b), 500):
                 sets = list(sets_of(b["text"].iloc[at : at + 500], k))
                 n = np.array([len(s) for s in sets], dtype=np.int32)
@@ -239,6 +242,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            give_back()
             left, right = sets_of(b["ta"], k), sets_of(b["tb"], k)
             keep = []
             for s, t in zip(left, right, strict=True):

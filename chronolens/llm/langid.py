@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, row_hash, table
+from .common import free_name, give_back, row_hash, table
 
 FIT_DOCS = 8_000
 FIT_TOTAL = 64_000
@@ -173,6 +173,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_doc
                             yield held.pop()[["lang", "n", "token", "c"]]
         if held:
             yield pd.concat(held).groupby(["lang", "n", "token"], as_index=False)["c"].sum()[["lang", "n", "token", "c"]]
+        held.clear()
+        give_back()
 
     sums = chosen.mapInPandas(count, "lang int, n int, token long, c long").groupBy("lang", "n", "token").agg(F.sum("c").alias("c"))
     if max_words is not None:
@@ -265,6 +267,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         if name not in _MODELS:
             _MODELS.clear()
             _MODELS[name] = Scorer(sent.value)
+        give_back()
         lang, score = _MODELS[name].score((t.as_py() for t in text), len(text))
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 

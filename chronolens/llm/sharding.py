@@ -21,13 +21,13 @@ pass through; shard, slot, grown_shard and bucket replace input columns of that
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import free_name, materialize, new_folder, row_hash, table, utf8_bytes
+from .common import free_name, give_back, materialize, new_folder, row_hash, table, utf8_bytes
 
 SHARDS = 8
 SEED = 1234
@@ -68,23 +68,22 @@ def shard(docs: DataFrame, key: str = "doc_id", text_col: str = "text", shards:
     counts = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     starts = counts.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("slot", T.LongType())])
+    schema = T.StructType([*[scattered.schema[c] for c in docs.columns], T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("slot", T.LongType())])
     out_columns = schema.names
 
-    def fisher_yates(group: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        s, b = (int(x) for x in group)
-        rows = rows.sort_values([tie], kind="stable")
+    def fisher_yates(group: tuple, rows: pa.Table, start: pa.Table) -> pa.Table:
+        give_back()
+        s, b = (x.as_py() for x in group)
         rng = np.random.default_rng([seed, s, b])
-        order = np.arange(len(rows))
+        order = np.argsort(rows.column(tie).to_numpy(), kind="stable")
         for i in range(len(order) - 1, 0, -1):
             j = int(rng.integers(0, i + 1))
             order[i], order[j] = order[j], order[i]
-        rows = rows.iloc[order]
-        rows["slot"] = np.arange(len(rows), dtype="int64") + int(start["start"].iloc[0])
-        return rows[out_columns]
+        rows = rows.take(pa.array(order))
+        return rows.append_column("slot", pa.array(np.arange(len(order), dtype="int64") + start.column("start")[0].as_py())).select(out_columns)
 
     dealt = scattered.repartition(max(shards * n, docs.sparkSession.sparkContext.defaultParallelism), "shard", "bucket")
-    return dealt.groupBy("shard", "bucket").cogroup(starts.groupBy("s", "b")).applyInPandas(fisher_yates, schema)
+    return dealt.groupBy("shard", "bucket").cogroup(starts.groupBy("s", "b")).applyInArrow(fisher_yates, schema)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> DataFrame:

@@ -24,6 +24,8 @@ from chronolens.llm import decontaminate, jaccard, langid, mixing, sharding
 from chronolens.llm.common import materialize, remove, table
 
 MIN_SCORE = 0.35
+#: Shards are shuffled in smaller buckets than by default: an executor that ran the stages before has less memory left.
+BUCKET_BYTES = 8 << 20
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A null doc_id hashes like a value, a null text is empty. Equal ids share a shard; repeated rows get slots of their own."""
-    return sharding.shard(docs)
+    return sharding.shard(docs, bucket_bytes=BUCKET_BYTES)
 
 
 STAGES = [

@@ -73,3 +73,12 @@ def test_stages_and_scores_take_map_columns_and_choose_among_equal_rows(spark, t
     twice = df.unionByName(df.where("doc_id = 0").withColumn("source", F.lit("b")))
     kept = {tuple(r) for n in (1, 3, 5) for r in jaccard.keep_one(twice.repartition(n), k=5, num=80, den=100).where("doc_id = 0").select("doc_id", "source").collect()}
     assert len(kept) == 1
+
+
+def test_shards_are_shuffled_in_small_buckets(spark, tmp_path):
+    """A task of the last stage holds some megabytes of text: eight buckets of 20 MB before."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(160, numPartitions=4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), 170_000).alias("text"))
+    out = corpus_pipeline.sharded(spark, docs, str(tmp_path)).groupBy("shard", "bucket").agg(F.sum(F.length("text")).alias("size"), F.min("slot").alias("slot"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in out) == 160 and len(out) >= 20 and max(r["size"] for r in out) <= 2 * corpus_pipeline.BUCKET_BYTES
