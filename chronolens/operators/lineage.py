@@ -28,3 +28,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{folder(spark)}/tables/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, rows: int, least: int = 100) -> DataFrame:
+    """`df`, which has so many `rows`, over tasks of equal size: as many as shuffles have, but for small tables of at least `least` rows each.
+    A scan has no more tasks with rows than its files have row groups."""
+    return df.repartition(max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // least)))

@@ -22,3 +22,24 @@ def test_planted_components_and_divergence(spark):
     found = {(r.cell_a, r.cell_b): r.divergence for r in d.collect()}
     assert abs(found["a", "b"]) < 0.6 < found["a", "c"] and found["b", "c"] > 0.6
     assert d.where(F.col("divergence").isNull()).count() == 0
+
+
+def test_rows_of_one_model_are_dealt_to_many_tasks(spark, monkeypatch):
+    """One model's rows were all in one task of each step before; the fit is that of plain expectation-maximisation."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(-2, 1, size=(150, 2)), rng.normal(2, 1, size=(250, 2))])
+    rows = [("m", [float(v) for v in r]) for r in x] + [("m", [float("nan"), 0.0]), ("m", None), (None, [0.0, 0.0])]
+    most, real = [], mixture._pass
+    monkeypatch.setattr(mixture, "_pass", lambda data, *a, **k: most.append(max(data.groupBy(F.spark_partition_id()).count().toPandas()["count"])) or real(data, *a, **k))
+    (got,) = mixture.fit(spark.createDataFrame(rows, "model string, x array<double>").coalesce(1), most=2, steps=5).collect()
+    assert got.n == 400 and got.k == 2 and len(most) == 7 and max(most) < 200
+    share = (np.lexsort(x.T[::-1]).argsort() * 2 // 400)[:, None] == np.arange(2)
+    for step in range(6):
+        n = share.sum(0)
+        mean = share.T @ x / n[:, None]
+        var = share.T @ (x * x) / n[:, None] - mean**2 + mixture.RIDGE
+        joint = np.column_stack([np.log(n[c] / 400) - 0.5 * (np.log(2 * np.pi * var[c]) + (x - mean[c]) ** 2 / var[c]).sum(1) for c in range(2)])
+        total = np.logaddexp.reduce(joint, 1)
+        share = np.exp(joint - total[:, None])
+    assert [c["mean"] for c in got.components] == [pytest.approx(list(m)) for m in mean] and [c["var"] for c in got.components] == [pytest.approx(list(v)) for v in var]
+    assert got.bic == pytest.approx(-2 * total.sum() + 9 * np.log(400))
