@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import dealt
+
 RIDGE = 1e-3
 PER_COMPONENT = 5
 
@@ -202,7 +204,8 @@ def likelihoods(df: DataFrame, generators: list, sets: Sets, generator: str = "g
 
     With several arms, x holds the vectors of all of them one after the other, as wide as the widest (`widths`: how many elements of each
     count, the others being 0 throughout), an arm is a variant, and rows with an element of an arm that isn't finite aren't in it."""
-    data = _input(df, generators, generator, x).persist()
+    data = _input(df, generators, generator, x)
+    data = dealt(data, data.count(), max(100, 5_000 // (arms if shifts is None else len(shifts)))).persist()
     first = data.first()
     d, keep = len(first.x) // arms if first else 1, sets.keep(len(generators))
     shifts = np.zeros((arms, len(generators), d)) if shifts is None else shifts

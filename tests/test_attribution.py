@@ -170,3 +170,15 @@ def test_twenty_specifications_at_once_are_twenty_alone(spark):
     scaled = (x - x.mean(0)) / iqr
     _, _, v = np.linalg.svd(scaled, full_matrices=False)
     assert np.allclose(np.abs((x - mean) @ axes), np.abs(scaled @ v[:2].T), atol=1e-6)
+
+
+def test_rows_of_one_file_are_dealt_to_many_tasks(spark, monkeypatch):
+    """With many variants a row is much work, and a table of one row group was one task in each step before."""
+    rng = np.random.default_rng(4)
+    df = frame(spark, [(g, rng.normal(g, 1, size=2)) for g in range(3) for _ in range(400)]).coalesce(1)
+    most, real = [], attribution._pass
+    monkeypatch.setattr(attribution, "_pass", lambda data, *a: most.append(max(data.groupBy(F.spark_partition_id()).count().toPandas()["count"])) or real(data, *a))
+    sets = attribution.Sets()
+    sets.of({0, 1})
+    got = attribution.likelihoods(df, [0, 1, 2], sets, shifts=np.zeros((50, 3, 2)), most=1)
+    assert np.isfinite(got).all() and np.ptp(got, axis=0).max() < 1e-9 and most and max(most) <= 400
