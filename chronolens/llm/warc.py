@@ -28,7 +28,7 @@ import hashlib
 import io
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,22 +138,26 @@ def parse(stream) -> Iterator[dict]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives in a folder."""
+    """A row for each record of the archives in a folder.
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Batches have about 4 MB of payload, so one may hold a single request or metadata record. Its types are stated and not found from
+    the rows: a column without a value would count as doubles."""
+    schema = pa.schema([(c, pa.int64() if c == "payload_bytes" else pa.string()) for c in RECORD.names])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files in batches:
-            for content in files["content"]:
+            for content in files.column("content"):
                 held, size = [], 0
-                for row in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 20)):
+                for row in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())), 1 << 20)):
                     held.append(row)
                     size += len(row.get("payload") or "")
-                    if size > 4 << 20:
-                        yield pd.DataFrame(held, columns=RECORD.names).astype({"payload_bytes": "Int64"})
+                    if size > 4 << 20 or len(held) == 10000:
+                        yield pa.RecordBatch.from_pylist(held, schema)
                         held, size = [], 0
-                yield pd.DataFrame(held, columns=RECORD.names).astype({"payload_bytes": "Int64"})
+                yield pa.RecordBatch.from_pylist(held, schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInPandas(rows, RECORD)
+    return files.select("content").mapInArrow(rows, RECORD)
 
 
 def assemble(found: DataFrame) -> DataFrame:
