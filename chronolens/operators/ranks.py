@@ -120,14 +120,27 @@ def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return c.join(F.broadcast(total), by).select(*by, value, ((F.col("n_below") + F.col("n")) / F.col("total")).alias("share"))
 
 
-def row_grain_null(df: DataFrame, group: str, value: str, perms: int, seed: int = 0, range_rows: int = 5000) -> tuple[float, np.ndarray]:
+def dealt_out(rng: np.random.Generator, left: np.ndarray, rows: int) -> np.ndarray:
+    """For each line of `left` (what is left of each group), how many of each group are among so many rows: a multivariate hypergeometric
+    draw, group after group, for all lines at once."""
+    out, rest, need = np.zeros_like(left), left.sum(axis=1), np.full(len(left), rows, left.dtype)
+    for g in range(left.shape[1] - 1):
+        rest = rest - left[:, g]
+        out[:, g] = rng.hypergeometric(left[:, g], rest, need)
+        need = need - out[:, g]
+    out[:, -1] = need
+    return out
+
+
+def row_grain_null(df: DataFrame, group: str, value: str, perms: int, seed: int = 0, range_rows: int = 5000, many_rows: int = 1000) -> tuple[float, np.ndarray]:
     """The rank correlation of `group` (few distinct values, such as dates) and `value` over rows, and its null with the rows' values dealt
     anew, without a row for each permutation.
 
     Ranks with ties are those of distinct values. The statistic needs, of each group, the sum of the ranks that it gets. Ranks are cut
     into ranges of about `range_rows` rows; how many rows of a range each group gets is a multivariate hypergeometric draw for each
-    permutation, on the driver: ranges x groups numbers, at most 256 ranges. Given these, ranges are independent: the task of a range deals
-    its own ranks out and returns a sum for each permutation. Rows with a null in either stay out; a constant column gives NaN.
+    permutation, on the driver: ranges x groups numbers, at most 256 ranges. Given these, ranges are independent, and each is a task: it deals
+    its own ranks out and returns a sum for each permutation. Rows of one value have one rank, so of a value with many rows only the number
+    that each group gets is drawn. Rows with a null in either stay out; a constant column gives NaN.
     Rows meet their ranks by value, so both columns are written first: a sum of doubles computed again can differ in its last bits."""
     spark, rows = df.sparkSession, written(df.select(group, value).dropna(), "rows")
     sizes = {r[0]: r[1] for r in rows.groupBy(group).count().orderBy(group).collect()}
@@ -146,28 +159,31 @@ def row_grain_null(df: DataFrame, group: str, value: str, perms: int, seed: int
     rho = lambda weighted: (weighted - n * mean**2) / spread if spread > 0 else weighted * np.nan
     observed = rho(np.float64(sum(g * seen[k] for g, k in zip(group_rank.tolist(), names, strict=True))))
     rng, parts = np.random.default_rng([seed, n]), sorted(totals)
-    given = np.zeros((len(parts), perms, len(names)), "int64")
-    for p in range(perms):
-        left = counts.copy()
-        for j, part in enumerate(parts[:-1]):
-            given[j, p] = rng.multivariate_hypergeometric(left, totals[part][0], method="marginals")
-            left = left - given[j, p]
-        given[-1, p] = left
+    given, left = np.zeros((len(parts), perms, len(names)), "int64"), np.tile(counts, (perms, 1))
+    for j, part in enumerate(parts):
+        given[j] = dealt_out(rng, left, totals[part][0])
+        left = left - given[j]
     table = spark.createDataFrame([(part, given[j].tobytes()) for j, part in enumerate(parts)], "part int, given binary")
 
     def deal(values: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
         part = int(draws["part"].iloc[0])
-        take = np.frombuffer(draws["given"].iloc[0], "int64").reshape(perms, -1)
+        left = np.frombuffer(draws["given"].iloc[0], "int64").reshape(perms, -1)
         own = values.sort_values("rank")
-        ranks = np.repeat(own["rank"].to_numpy(), own["n"].to_numpy())
-        rng, out = np.random.default_rng([seed, n, part]), np.empty(perms)
-        for p in range(perms):
-            ends = np.cumsum(take[p])
-            sums = np.append(0.0, np.cumsum(rng.permutation(ranks)))[ends]
-            out[p] = (np.diff(np.append(0.0, sums)) * group_rank).sum()
+        rng, out, many = np.random.default_rng([seed, n, part]), np.zeros(perms), own["n"] >= many_rows
+        for r in own[many].itertuples():
+            of = dealt_out(rng, left, r.n)
+            left = left - of
+            out += r.rank * (of @ group_rank)
+        ranks = np.repeat(own["rank"][~many].to_numpy(), own["n"][~many].to_numpy())
+        for p in range(perms if len(ranks) else 0):
+            dealt = np.repeat(group_rank, left[p])
+            rng.shuffle(dealt)
+            out[p] += dealt @ ranks
         return pd.DataFrame({"perm": np.arange(perms), "weighted": out})
 
-    sums = c.select("part", "rank", "n").groupBy("part").cogroup(table.groupBy("part")).applyInPandas(deal, "perm long, weighted double")
+    # a task a range: ranges are a few bytes for much work, and would be put together by their size
+    sides = (side.repartition(len(parts), "part").groupBy("part") for side in (c.select("part", "rank", "n"), table))
+    sums = next(sides).cogroup(next(sides)).applyInPandas(deal, "perm long, weighted double")
     null = np.zeros(perms)
     for r in sums.groupBy("perm").agg(F.sum("weighted").alias("w")).collect():
         null[r.perm] = r.w
